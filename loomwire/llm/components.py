@@ -1,0 +1,39 @@
+"""Connected components of links, by alternating large and small stars.
+
+Each round hooks every node's larger neighbours to the least node of its neighbourhood, then its smaller
+ones; edges stay as few as they were and the number of rounds is logarithmic in practice. Every round
+is written to the shared folder, so lost executors cost one round at most.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import forget, written
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Edges (x, y) with x > y."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        out = both.filter("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y"))
+    else:
+        least = edges.groupBy("x").agg(F.min("y").alias("m"))
+        out = edges.join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y")))
+    return out.filter("x <> y").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """links (x, y) -> node, part: the least node of the component; nodes without links have no row. Null ends are dropped."""
+    edges = written(links.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct(), "links")
+    while True:
+        hooked = written(_star(_star(edges, True), False), "links")
+        size = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first())
+        same = size(hooked) == size(edges)
+        forget(edges)
+        edges = hooked
+        if same:
+            break
+    return edges.select(F.col("x").alias("node"), F.col("y").alias("part")).unionByName(edges.select(F.col("y").alias("node"), F.col("y").alias("part")).distinct())

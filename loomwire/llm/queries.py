@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, quality, url_filter, warc
+from . import decontaminate, fingerprint, jaccard_join, language_id, mixing, packing, quality, token_counts, url_filter, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_quality_bradley_terry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_jaccard_pivot_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_url_shift_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
@@ -25,18 +29,44 @@ def op4_language_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op5_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shard", "shard_again")
+
+
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages")))
 
 
+def op8_viterbi_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.Vocabulary.load())
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_bradley_terry,
+        op2_jaccard_pivot_join,
         op3_url_shift_and,
         op4_language_centroids,
+        op5_canonical_digest,
+        op6_mixing_splitting_tree,
         op7_warc_derivatives,
+        op8_viterbi_token_counts,
+        op9_best_fit_packing,
+        op10_template_decontamination,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_shift_and": url_filter.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_url_shift_and": url_filter.ORACLE_SQL, "op6_mixing_splitting_tree": mixing.oracle_sql()}
