@@ -157,7 +157,7 @@ WITH sized AS (
     coalesce(sum(d.size) OVER (PARTITION BY d.source, d.block ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM dealt d LEFT JOIN {at} a ON a.pass = 0 AND a.source IS NOT DISTINCT FROM d.source AND a.block = d.block LEFT JOIN {at} b ON b.pass = 1 AND b.source IS NOT DISTINCT FROM d.source AND b.block = d.block
 ), took AS (
-  SELECT *, coalesce(greatest(0, least(size, r0 - start)), 0)::BIGINT AS taken_first, coalesce(greatest(0, least(size, r1 - start)), 0)::BIGINT AS taken_again FROM summed
+  SELECT *, CASE WHEN r0 IS NULL THEN 0 ELSE greatest(0, least(size, r0 - start)) END::BIGINT AS taken_first, CASE WHEN r1 IS NULL THEN 0 ELSE greatest(0, least(size, r1 - start)) END::BIGINT AS taken_again FROM summed
 )
 SELECT doc_id, size, source_size, target, taken_first + taken_again AS taken, CASE WHEN taken_first > 0 THEN s0 ELSE -1 END::INT AS shard, CASE WHEN taken_again > 0 THEN s1 ELSE -1 END::INT AS shard_again FROM took
 """
