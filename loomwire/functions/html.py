@@ -20,6 +20,7 @@ WALLS = ("just a moment", "enable javascript and cookies", "verify you are human
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "area", "base", "col", "embed", "track", "wbr"}
 _SKIP = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside", "form", "iframe", "button"}
 _BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "section", "article", "main", "td", "tr", "figure", "figcaption", "pre", "br"}
+_BOX = {"html", "body", "main", "article", "section", "div", "table", "tbody", "tr", "td", "ul", "ol", "center"}
 _ACTIVE = {"script", "style", "iframe", "object", "embed", "form", "link", "meta", "base"}
 _LAZY = ("data-src", "data-original", "data-lazy-src", "data-srcset")
 
@@ -126,7 +127,7 @@ def best_container(root: list) -> list:
     while True:
         c, p = _weigh(node)
         whole = c + 600 * p
-        inner = [(sum(w * f for w, f in zip(_weigh(x), (1, 600), strict=True)), x) for x in node[2] if not isinstance(x, str) and x[0] not in _SKIP]
+        inner = [(sum(w * f for w, f in zip(_weigh(x), (1, 600), strict=True)), x) for x in node[2] if not isinstance(x, str) and x[0] in _BOX]
         if not inner or not whole:
             return node
         most, child = max(inner, key=lambda i: i[0])
