@@ -1,0 +1,469 @@
+"""Brute force, round trips, held-out accuracy and odd rows for the ten operators."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import unicodedata
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from loomwire.llm import decontaminate, fingerprint, jaccard_join, language_id, mixing, packing, quality, token_counts, url_filter, warc
+from loomwire.llm.bytescan import doc_words
+from loomwire.llm.common import table
+from loomwire.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.01"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one two three four"), (6, "One two THREE four"), (7, LONG), (8, LONG), (9, "Ünïcode — ‘quotes’ 東京 5 km"), (None, "no id at all here now"), (4, "One"), (10, "1234 5678 !!")]
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+
+
+def odd(spark):
+    """Documents with nulls, empty and very long texts, repeated rows and clashing extra columns."""
+    names = "doc_id long, text string"
+    return spark.createDataFrame(ODD, names).withColumns({"lang": F.lit("en"), "source": F.when(F.col("doc_id") > 5, "s").otherwise(F.lit(None)), "n_chars": F.length("text").cast("long"), "score": F.lit("clash"), "size": F.lit("clash"), "point": F.lit("clash"), "h1": F.lit("clash"), "n": F.lit("clash"), "first": F.lit("clash"), "pos": F.lit("clash"), "held_out": F.lit("clash")})
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def ascii_lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def test_word_hashes_do_not_depend_on_batches():
+    texts = ["a b  c", None, "", "Straße straße A", "x" * 3_000_000 + " y"]
+    got = {r: h.tolist() for r, h in doc_words(pa.array(texts))}
+    assert len(got[0]) == 3 and got[1] == got[2] == [] and got[3][0] == got[3][1] and got[3][2] == got[0][0] and len(got[4]) == 2
+    assert {r: h.tolist() for r, h in doc_words(pa.array(texts[3:]))} == {0: got[3], 1: got[4]}
+
+
+# 1
+
+
+def test_quality_held_out(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    got = quality.score(docs, quality.fit(docs, labels)).join(labels, "doc_id").filter("held_out").select("quality", "predicted", "score").collect()
+    assert len(got) > 80 and np.mean([r.quality == r.predicted for r in got]) > 0.95
+    assert all(0 <= r.score <= 1 and (r.score >= 0.5) == (r.predicted == 1) for r in got)
+
+
+def test_quality_odd_rows(spark):
+    docs = odd(spark)
+    labels = spark.createDataFrame([(5, 1), (7, 1), (10, 0), (2, 0), (6, None), (None, 1), (99, 1), (5, 1)], "doc_id long, quality int")
+    for model in (quality.fit(docs, labels), quality.fit(docs, labels.limit(0)), quality.fit(docs.limit(0), labels)):
+        got = quality.score(docs, model).collect()
+        assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
+        by = {}
+        for r in got:
+            assert by.setdefault(r.text, r.score) == r.score
+    assert quality.score(empty(spark), None).count() == 0
+    assert quality.accepted(docs, None).columns == docs.columns
+
+
+def test_pairs_learn_the_order():
+    x = np.random.default_rng(0).normal(size=(400, 3))
+    good = x[:, 0] - x[:, 1] > 0.5
+    m = quality.rank(x, good, pairs=5000)
+    assert np.mean((quality.strengths(x, m) >= m.threshold) == good) > 0.98
+    assert quality.rank(x, np.ones(400, bool)) is None
+
+
+# 2
+
+
+def shingle_set(t):
+    w = WORD.findall(ascii_lower(t or ""))
+    return frozenset([tuple(w)] if 0 < len(w) < 5 else [tuple(w[i : i + 5]) for i in range(len(w) - 4)])
+
+
+def brute_components(rows):
+    sets = [shingle_set(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in combinations(range(len(rows)), 2):
+        both = len(sets[a] & sets[b])
+        if both and rows[a][0] is not None and rows[b][0] is not None and 100 * both >= 80 * len(sets[a] | sets[b]):
+            root[find(a)] = find(b)
+    low: dict = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            low[find(i)] = min(low.get(find(i), d), d)
+    return sorted((d is None, d or 0, len(s), low[find(i)] if d is not None else None) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def near_copies(seed):
+    """Groups of near copies at every distance around the threshold, chains, shared passages, tiny texts."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(30)]
+    texts = []
+    for _ in range(8):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([3, 6, 20, 60, 150]))]
+        for _ in range(rng.choice([1, 2, 9])):
+            t = list(base)
+            for _ in range(rng.randrange(4)):
+                i = rng.randrange(len(t) + 1)
+                t[i : i + rng.randrange(3)] = [rng.choice(vocabulary) for _ in range(rng.randrange(3))]
+            texts.append(t)
+            base = t if rng.random() < 0.5 else base
+    texts += [passage + [rng.choice(vocabulary) for _ in range(rng.randrange(25))] for _ in range(12)]
+    rng.shuffle(texts)
+    return [(i * 3, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("seed", "most"), [(1, 64), (2, 1), (3, 3)])
+def test_jaccard_join_is_exact(spark, seed, most):
+    rows = near_copies(seed) + [(1000 + (d or 0), t) if d is not None else (d, t) for d, t in ODD]
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=most).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
+def test_jaccard_join_odd_rows(spark):
+    docs = odd(spark)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (6, 1, 5), (7, 59996, 7), (8, 59996, 7), (None, 2, None)} <= got
+    assert jaccard_join.join(empty(spark)).count() == 0
+    one = jaccard_join.one_each(docs)
+    assert one.columns == docs.columns
+    assert sorted(r.doc_id or 0 for r in one.select("doc_id").collect()) == [0, 1, 2, 3, 4, 5, 7, 9, 10]
+
+
+# 3
+
+
+def test_shift_and_agrees_with_regular_expressions():
+    globs = ["*.com/**", "a*b", "*", "**", "abc", "*ab**ba*", "", "x*/y**", "*.www.example.com/en/**"] + [f"*{'q' * k}z" for k in range(1, 40)]
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abxy/.comqz") for _ in range(rng.randrange(14))) for _ in range(400)] + [".www.example.com/en/1", "q" * 40 + "z", "é/y", ""]
+    like = [re.compile("".join({"**": ".*", "*": "[^/]*"}.get(p, re.escape(p)) for p in re.split(r"(\*\*|\*)", g)), re.S) for g in globs]
+    got = url_filter.ShiftAnd(globs).match([t.encode() for t in texts])
+    assert url_filter.ShiftAnd(globs).words > 1
+    assert got.tolist() == [[bool(r.fullmatch(t)) for r in like] for t in texts]
+
+
+def test_url_filter_odd_rows(spark):
+    urls = {None: ("", "", None, "allow"), "": ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "HTTP://WWW.Example.COM/en/x?y": ("www.example.com", "/en/x", "www.example.com/en/", "allow"), "http://a.example.com/en/": ("a.example.com", "/en/", "example.com/en/", "block"), "http://example.com/EN/": ("example.com", "/EN/", "com/", "allow"), "http://net/fr/": ("net", "/fr/", "net/fr/", "block"), "http://xnet/fr/": ("xnet", "/fr/", None, "allow"), "x://a.com?b://c.net/fr/": ("a.com", "", None, "allow"), "x://my-spam.org/net/fr/": ("my-spam.org", "/net/fr/", None, "block"), "x://h/" + "y" * 100_000: ("h", "/" + "y" * 100_000, None, "allow")}
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)] + [(0, None, "clash")], "page_id long, url string, rule string")
+    got = url_filter.filter_urls(df).collect()
+    assert len(got) == len(urls) + 1
+    assert {r.url: (r.host, r.path, r.rule, r.verdict) for r in got} == urls
+    assert url_filter.filter_urls(df.limit(0)).count() == 0
+
+
+# 4
+
+
+def test_language_held_out(spark):
+    docs = table(spark, SF, "documents")
+    got = language_id.identify(docs, language_id.fit(docs)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(got) > 150 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+
+
+def test_language_odd_rows(spark):
+    docs = odd(spark)
+    got = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert len(got) == len(ODD)
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "und", 2: "und", 3: "und", 4: "en", 5: "en", 6: "en", 7: "en", 8: "en", 9: "en", 10: "und", None: "en"}
+    assert all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(docs.withColumn("lang", F.lit(None).cast("string")))).collect()} == {"und"}
+    assert language_id.identify(empty(spark), language_id.fit(empty(spark))).count() == 0
+
+
+# 5
+
+
+def canonical(t):
+    c = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold())
+    return re.sub(r"[\s\x85]+", " ", c).strip(" ")
+
+
+def test_fingerprints_against_brute_force(spark):
+    rows = [(5, "Café  au\tlait"), (2, "CAFE\u0301 au lait "), (9, "ﬁne"), (1, "FINE"), (7, None), (8, ""), (12, "漢字𝒳 text"), (20, "unlike"), (21, "Café au lait!"), (22, LONG)]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    order = sorted(rows)
+    prints: dict = {}
+    for k, (d, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[d]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for text, f in ((t, r.fingerprint), (edited, r.edited_fingerprint)):
+            assert prints.setdefault(canonical(text), f) == f
+        assert r.near_edited == float(canonical(edited) == canonical(t)) and r.near_next == float(canonical(after) == canonical(t))
+    assert len(set(prints.values())) == len(prints)
+
+
+def test_fingerprint_bins_are_seamless(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "BIN_DOCS", 3)
+    rows = [(i * i, f"text number {i} of some") for i in range(25)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for k, (d, t) in enumerate(rows):
+        half = len(t) // 2
+        assert got[d] == hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % 25][1][:half]).encode()).hexdigest()
+
+
+def test_fingerprint_bytes_are_compared(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
+    bucket = docs.withColumn("canon", fingerprint.canonical(F.col("text"))).select("doc_id", *fingerprint.hashes("canon", "h1", "h2")).filter("doc_id = 2")
+    assert fingerprint.unequal_members(docs, bucket.select("h1", "h2", F.lit(2).cast("long").alias("first"))).count() == 0
+    wrong = spark.createDataFrame([(3, "a"), (2, "a")], "doc_id long, text string")
+    a = wrong.withColumn("canon", fingerprint.canonical(F.col("text"))).select(*fingerprint.hashes("canon", "h1", "h2")).limit(1).withColumn("first", F.lit(2).cast("long"))
+    assert fingerprint.unequal_members(wrong, a).count() == 0
+
+
+def test_fingerprint_odd_rows(spark):
+    got = fingerprint.fingerprints(odd(spark)).collect()
+    assert len(got) == len(ODD)
+    by = {r.doc_id: r.fingerprint for r in got}
+    assert by[1] == by[2] == by[3] and by[5] == fingerprint.fingerprints(spark.createDataFrame([(1, "ONE two three\nfour")], "doc_id long, text string")).first().fingerprint and by[7] == by[8]
+    assert fingerprint.fingerprints(empty(spark)).count() == 0
+    alone = fingerprint.fingerprints(spark.createDataFrame([(3, "abcd")], "doc_id long, text string")).first()
+    assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and alone.near_next == 1.0
+
+
+# 6
+
+
+def brute_targets(sizes, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(names)}
+    total, capped = 1.5 * sum(sizes.values()), {}
+    while True:
+        rest = [s for s in names if s not in capped]
+        left, all_ = total - sum(capped.values()), sum(w[s] for s in rest)
+        over = [s for s in rest if left * w[s] / all_ > 2 * sizes[s] + 1e-9]
+        if not over:
+            return capped | {s: left * w[s] / all_ for s in rest}
+        capped |= {s: 2 * sizes[s] for s in over}
+
+
+def test_mixing_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randrange(60)), rng.choices(["a", "b", "c", None, "é"], [8, 1, 1, 2, 1])[0]) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = mixing.plan(docs, block_docs=32).collect()
+    b = mixing.plan(docs.repartition(5), block_docs=32).collect()
+    assert sorted(map(repr, a)) == sorted(map(repr, b))
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    for s in sizes:
+        own = [r for r in a if r.source == s]
+        assert own[0].source_size == sizes[s] and abs(own[0].target - want[s]) < 1e-6
+        assert 0 <= want[s] - sum(r.taken for r in own) < 1
+    assert all(r.taken <= 2 * r.size and (r.shard >= 0) == (r.taken_first > 0) for r in a)
+    blocks = {r.shard for r in a if r.shard >= 0}
+    assert len(blocks) > 10 and max(blocks) < 64
+
+
+def test_mixing_odd_rows(spark):
+    got = mixing.plan(odd(spark)).collect()
+    assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (1, 2, 3)} == {0}
+    total = sum(r.size for r in got)
+    assert abs(sum(r.taken for r in got) - 1.5 * total) < 2
+    assert mixing.plan(empty(spark)).count() == 0
+    docs = odd(spark)
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(empty(spark)).count() == 0
+
+
+def test_mix_repeats_whole_documents(spark):
+    docs = spark.createDataFrame([(i, "one two three", "abc"[i % 3]) for i in range(90)], "doc_id long, text string, source string")
+    took = {r.doc_id: r.taken for r in mixing.plan(docs).collect()}
+    got: dict = {}
+    for r in mixing.mixed(docs).collect():
+        got[r.doc_id] = got.get(r.doc_id, 0) + 1
+    assert all(abs(3 * got.get(d, 0) - n) <= 1 for d, n in took.items())
+
+
+# 7
+
+
+def test_warc_links_digests_and_round_trip(spark, tmp_path):
+    page = '<html lang="en"><head><title>A &amp; B</title><script>x</script></head><body><p>Héllo</p><p>two  words<br>three</p><a href="/l">link</a><!-- no --></body></html>'
+    pages = spark.createDataFrame([(1, "http://x/1", page, "clash"), (2, None, None, "clash"), (3, "http://x/3\r\nEvil: 1", "", "clash"), (1, "http://x/1", page, "clash")], "page_id long, url string, html string, block string")
+    source = warc.responses(pages)
+    made = warc.derive(source).collect()
+    assert len(made) == 8
+    by = {(r.page_id, r.record_type): r for r in made}
+    origin = {r.page_id: r for r in source.collect()}
+    for (p, kind), r in by.items():
+        assert r.refers_to == origin[p].record_id and r.payload_digest == origin[p].payload_digest and r.target_uri == origin[p].target_uri
+        assert r.block_digest == warc.digest(r.block.encode()) and r.content_length == len(r.block.encode())
+        assert warc.header(r.headers, "WARC-Type") == kind and warc.header(r.headers, "Evil") is None
+    assert by[1, "conversion"].block == "Héllo\ntwo words\nthree\nlink"
+    m = by[1, "metadata"]
+    assert warc.header(m.block, "title") == "A & B" and warc.header(m.block, "outlink") == "/l" and warc.header(m.block, "source-http-content-type") == "text/html; charset=utf-8"
+    assert warc.header(m.headers, "WARC-Concurrent-To") == by[1, "conversion"].record_id
+    assert by[2, "conversion"].block == "" and warc.header(by[2, "conversion"].headers, "WARC-Target-URI") is None
+    warc.write_warc(source, str(tmp_path / "w"))
+    again = warc.derive(warc.read_warc(spark, str(tmp_path / "w"))).collect()
+    key = lambda r: (r.record_id, r.headers, r.block)
+    assert sorted(map(key, again)) == sorted(map(key, made))
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+# 8
+
+
+def test_counts_agree_with_the_tokenizer(spark):
+    from tokenizers.models import Unigram
+
+    v = token_counts.Vocabulary.load()
+    exact = Unigram([("<unk>", min(v.scores))] + list(zip(v.pieces, v.scores, strict=True)) + [(f"<0x{i:02X}>", min(v.scores)) for i in range(256)], 0, True)
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").orderBy("doc_id").limit(120).collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate(["a  b   c", " lead", "trail ", "\n\tx", "東京 🙂 é", "▁mark▁▁s", "x" * 500, "a", " ", "ab" * 200 + " c"])]
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), v).collect()}
+    assert got == {d: len(exact.tokenize("▁" + t.replace(" ", "▁"))) for d, t in rows}
+
+
+def test_ties_keep_the_earliest_start():
+    v = token_counts.Vocabulary(["a", "aa", "aaa", "▁"], [-1.0, -2.0, -3.0, -1.0], False)
+    s = token_counts.Viterbi(v)
+    assert s.solve("aaa") == (-3.0, 1) and s.solve("aaaa") == (-4.0, 2) and s.solve("ab") == (-1.0 - 13.0, 2)
+    rng = random.Random(1)
+    for _ in range(200):
+        t = "".join(rng.choice("ab▁") for _ in range(9))
+        ways = [(0.0, 0)] + [None] * len(t)
+        for i in range(len(t)):
+            for n in (1, 2, 3):
+                piece = t[i : i + n]
+                score = dict(zip(v.pieces, v.scores, strict=True)).get(piece, -13.0 if n == 1 else None)
+                if len(piece) == n and score is not None:
+                    c = (ways[i][0] + score, ways[i][1] + 1)
+                    if ways[i + n] is None or c[0] > ways[i + n][0]:
+                        ways[i + n] = c
+        assert s.solve(t) == ways[-1]
+
+
+def test_crossing_pieces_are_solved_whole():
+    v = token_counts.Vocabulary(["a", "▁", "a▁a", "▁a"], [-2.0, -2.0, -1.0, -2.0], False)
+    s = token_counts.Viterbi(v)
+    assert not s.by_word and s.count("a a") == (-3.0, 2)
+
+
+def test_counts_of_odd_rows(spark):
+    v = token_counts.Vocabulary.load()
+    got = token_counts.count_tokens(odd(spark), v).collect()
+    assert len(got) == len(ODD) and {r.n_tokens for r in got if r.doc_id in (1, 2)} == {0}
+    assert token_counts.count_tokens(empty(spark), v).count() == 0
+
+
+# 9
+
+
+def test_best_fit_decreasing_is_best_fit():
+    rng = random.Random(2)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 33) for _ in range(rng.randrange(60))]
+        room: list[int] = []
+        for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+            fits = [(r, k) for k, r in enumerate(room) if r >= sizes[i]]
+            if fits:
+                room[min(fits)[1]] -= sizes[i]
+            else:
+                room.append(32 - sizes[i])
+        rows = packing.best_fit_decreasing(sizes, 32)
+        assert sorted(i for r in rows for i in r) == list(range(len(sizes)))
+        assert sorted(32 - sum(sizes[i] for i in r) for r in rows) == sorted(room)
+
+
+def test_packing_round_trip(spark):
+    with open(packing.RANKS, "rb") as f:
+        encoder = packing.Encoder(f.read())
+    whole = encoder.bpe.encode_ordinary
+    rows = [(r.doc_id, r.text) for r in table(spark, SF, "documents").orderBy("doc_id").limit(150).collect()]
+    rows += [(10_000 + i, t) for i, t in enumerate(["", None, "a\n\n b  c \u3000d\u2028e", " \x1c x\x1f\x1fy ", "it's  'll ", "\n", LONG, "x" * 3000, "東京 🙂"])]
+    packed = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), length=256, window=20_000).collect()
+    assert packing.unpack(packed) == {d: whole(t or "") for d, t in rows}
+    assert len({r.pack_id for r in packed}) == len(packed)
+    for r in packed:
+        assert len(r.ids) == 512 and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] <= 256 and len(r.doc_ids) == len(r.doc_offsets) == len(r.cu_seqlens) - 1
+        p = packing.position_ids(r.reset_at, 256)
+        assert all(p[a] == 0 and p[b - 1] == b - a - 1 for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:], strict=False))
+    assert sum(r.cu_seqlens[-1] for r in packed) / (256 * len(packed)) > 0.95
+
+
+def test_packing_odd_rows(spark):
+    got = packing.pack(odd(spark)).collect()
+    assert sum(d is None for r in got for d in r.doc_ids) >= 1
+    assert sum(o == 0 for r in got for o in r.doc_offsets) == len(ODD)
+    assert packing.pack(empty(spark)).count() == 0
+
+
+# 10
+
+NAME, NUMBER, UNIT = decontaminate.NAME, decontaminate.NUMBER, decontaminate.UNIT
+
+
+def brute_template(t):
+    out, before = [], ""
+    for w in re.findall(r"\S+", t):
+        core = w.strip(".,?!")
+        if before and re.search(r"[^\W_A-Z]$|[,;]$", before) and re.fullmatch(r"[A-Z][a-z]+", core):
+            if not (out and out[-1] == NAME and before[-1].isalpha()):
+                out.append(NAME)
+        elif re.fullmatch(r"[0-9][0-9.,]*", core):
+            out.append(NUMBER)
+        elif out and out[-1] == NUMBER and core in decontaminate.UNITS:
+            out.append(UNIT)
+        else:
+            out.append(core.lower())
+        before = w
+    return [w for w in out if w]
+
+
+ITEM = "A train leaves with Anna Smith at 30 mph and after 4 hours Anna Smith has gone how many miles, if 30 of them were slow"
+CASES = {
+    1: ("Intro text here. " + ITEM + " and more text.", True),
+    2: ("A train leaves with Bob Jones at 55 mph and after 7 hours Bob Jones has gone how many miles, if 55 of them were slow", True),
+    3: ("A train leaves with Bob at 55 mph and after 7 days Cid has gone how many miles, if 9 of them were slow", False),
+    4: ("A train leaves the town and nothing else of the question is here at all, not even a number", False),
+    5: (None, False),
+    6: ("", False),
+    7: (LONG, False),
+    8: (ITEM.upper(), False),
+}
+
+
+def test_templates(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in CASES.items() if t and k != 7 and k != 8], "k int, t string")
+    for r in df.select("t", decontaminate.template(F.col("t")).alias("w")).collect():
+        assert r.w == brute_template(r.t)
+
+
+def test_decontamination_finds_other_parameters(spark):
+    docs = spark.createDataFrame([(k, t, "clash", 1) for k, (t, _) in CASES.items()] + [(None, ITEM, "clash", 1), (1, CASES[1][0], "clash", 1)], "doc_id long, text string, item_id string, h int")
+    items = spark.createDataFrame([(1, ITEM, "clash"), (2, None, "x"), (3, "", "x"), (4, "Too short", "x"), (None, ITEM, "x")], "item_id long, text string, doc_id string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(k, 1) for k, (_, bad) in CASES.items() if bad}
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5, 6, 7, 8]
+    assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_decontamination_against_brute_force(spark):
+    docs, items = table(spark, SF, "documents").collect(), table(spark, SF, "benchmark").collect()
+    cut = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    five = lambda t: {tuple(w[i : i + 5]) for w in [cut(t)] for i in range(max(1, len(w) - 4))}
+    sets = {r.item_id: five(r.text) for r in items}
+    want = set()
+    for d in docs:
+        own = five(d.text or "")
+        want |= {(d.doc_id, i) for i, s in sets.items() if len(s & own) >= 0.8 * len(s)}
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op10_template_decontamination"](spark, SF).collect()}
+    assert len(want) > 20 and got == want
