@@ -28,7 +28,7 @@ from .common import WORD, bounded, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
-LEVELS = 6  # 64 shards
+LEVELS, SHARD_DOCS, MOST_LEVELS = 6, 4096, 16  # 64 shards at least, then one for each SHARD_DOCS documents
 BLOCK_DOCS, MOST_BLOCKS = 512, 65536
 SEED = "mix"
 
@@ -67,7 +67,7 @@ def _tree(blocks: DataFrame, levels: int, seed: str) -> DataFrame:
     return node
 
 
-def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, levels: int = LEVELS, block_docs: int = BLOCK_DOCS, most_blocks: int = MOST_BLOCKS, seed: str = SEED, text: str = "text") -> DataFrame:
+def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, levels: int | None = None, block_docs: int = BLOCK_DOCS, most_blocks: int = MOST_BLOCKS, seed: str = SEED, text: str = "text") -> DataFrame:
     """doc_id, source, size, source_size, target, taken; shard, taken_first and shard_again, taken_again of the two passes (shard -1: not taken)."""
     sized = written(docs.select("doc_id", "source", n_words(text).alias("size"), hashed(seed, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("h")), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
@@ -81,6 +81,8 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
     # pass 0 has what fits in the source once, pass 1 the rest
     first = F.least("quota", "source_size")
     passes = blocks.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("left", F.when(F.col("pass") == 0, first).otherwise(F.col("quota") - first) - F.col("before")).filter((F.col("left") > 0) & (F.col("block_size") > 0))
+    if levels is None:
+        levels = min(MOST_LEVELS, max(LEVELS, (sized.count() // SHARD_DOCS).bit_length()))
     shards = _tree(passes.select("source", "block", "pass", F.least("left", "block_size").alias("block_taken"), (F.col("left") < F.col("block_size")).alias("cut")), levels, seed)
     ways = written(
         shards.groupBy("source", "block").agg(
@@ -107,7 +109,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
 def mixed(docs: DataFrame, text: str = "text", seed: str = SEED, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row for each pass that takes at least half of a document's words, dealt to shards and shuffled within.
 
-    doc_id must tell rows apart.
+    Rows with one doc_id are dealt as one document: each of them comes once a pass.
     """
     spark = docs.sparkSession
     took = plan(docs, text=text, seed=seed, **options)
@@ -116,7 +118,7 @@ def mixed(docs: DataFrame, text: str = "text", seed: str = SEED, **options) -> D
         F.col("doc_id").alias("_doc"),
         F.explode(F.filter(F.array(F.when(half("taken_first") & (F.col("taken_first") > 0), F.struct(F.lit(0).alias("turn"), F.col("shard").alias("shard"))), F.when(half("taken_again") & (F.col("taken_again") > 0), F.struct(F.lit(1).alias("turn"), F.col("shard_again").alias("shard")))), lambda x: x.isNotNull())).alias("_at"),
     )
-    turns = bounded(written(turns, "mix-turns"))
+    turns = bounded(written(turns.distinct(), "mix-turns"))
     drawn = docs.join(turns, docs["doc_id"].eqNullSafe(turns["_doc"]))
     key = hashed(seed, F.col("_at.turn").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -124,7 +126,7 @@ def mixed(docs: DataFrame, text: str = "text", seed: str = SEED, **options) -> D
 
 
 def oracle_sql(levels: int = LEVELS) -> str:
-    """DuckDB SQL for plan() with its default parameters."""
+    """DuckDB SQL for plan() with its default parameters, for fewer than 2**levels * SHARD_DOCS documents."""
     h = lambda *x: "('0x' || substr(md5(" + " || '|' || ".join(x) + "), 1, 15))::BIGINT"
     tree, at = "", "passes0"
     for k in range(levels):
