@@ -87,7 +87,7 @@ def derivatives(page_id, kind, rid, uri, date, payload, headers, block) -> Itera
         return
     head, _, page = block.partition("\r\n\r\n")
     payload = payload or digest(page.encode("utf-8", "surrogatepass"))
-    source = [("WARC-Refers-To-Target-URI", _clean(uri))] * (uri is not None) + [("WARC-Refers-To-Date", date)]
+    source = ([("WARC-Refers-To-Target-URI", _clean(uri))] if uri is not None else []) + [("WARC-Refers-To-Date", date)]
     title, lang = _TITLE.search(page), _LANG.search(page)
     fields = [("source-record-id", rid), ("source-status", head.split("\r\n", 1)[0]), *((f"source-http-{k.strip().lower()}", v.strip()) for k, _, v in (x.partition(":") for x in head.split("\r\n")[1:]))]
     fields += [("source-payload-digest", payload), *([("source-block-digest", d)] if (d := header(headers or "", "WARC-Block-Digest")) else []), ("title", _clean(html.unescape(title[1]).strip()) if title else ""), ("languages", lang[1] if lang else "")]
