@@ -615,14 +615,49 @@ def slim_index(spark, sf_dir):
     return sinks.slim(articles(spark, sf_dir)).withColumn("ts", iso("ts"))
 
 
-# Windows as on a stream, over the whole table
+# Streams: the events table replayed, and the same windows over the whole table
 
 
-@query("""WITH w AS (SELECT event_type AS topic, user_id, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS start FROM events, generate_series(0, 3) s(k))
-SELECT strftime(start, '%Y-%m-%dT%H:%M:%S') AS start, topic, count(*) AS n, count(DISTINCT user_id) AS n_sources FROM w GROUP BY w.start, topic HAVING count(DISTINCT user_id) >= 3""")
+def _replay(spark, sf_dir):
+    """The events table as a stream."""
+    t = table(spark, sf_dir, "events")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    stream = spark.readStream.schema(t.schema)
+    stream = stream.parquet(f"{sf_dir}/events.parquet") if whole else stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.select(F.col("event_type").alias("topic"), F.col("user_id").cast("string").alias("source"), F.col("value").cast("int").alias("score"), "ts", F.col("event_id").cast("string").alias("id"))
+
+
+def _drained(stream, mode):
+    """Runs a stream over what there is and returns its last result."""
+    from uuid import uuid4
+
+    name = f"replay_{uuid4().hex}"
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+_BURSTS = """WITH w AS (SELECT event_type AS topic, user_id, time_bucket(INTERVAL 30 MINUTE, ts) - to_minutes(30 * k) AS start FROM events, generate_series(0, 3) s(k))
+SELECT strftime(start, '%Y-%m-%dT%H:%M:%S') AS start, topic, count(*) AS n, count(DISTINCT user_id) AS n_sources FROM w GROUP BY w.start, topic HAVING count(DISTINCT user_id) >= 3"""
+
+
+@query(_BURSTS)
+def stream_bursts(spark, sf_dir):
+    from loomwire.streaming.jobs import bursts
+
+    return _drained(bursts(_replay(spark, sf_dir)), "complete").select(iso("start").alias("start"), "topic", "n", F.col("n_sources").cast("long").alias("n_sources"))
+
+
+@query("SELECT topic, count(*) AS n FROM (SELECT DISTINCT event_type AS topic FROM events) GROUP BY 1")
+def stream_once_per_cluster(spark, sf_dir):
+    from loomwire.streaming.jobs import once_per_cluster
+
+    return _drained(once_per_cluster(_replay(spark, sf_dir).select("topic", "ts"), "3000 hours"), "append").groupBy("topic").agg(F.count("*").alias("n"))
+
+
+@query(_BURSTS)
 def window_bursts(spark, sf_dir):
     from loomwire.streaming.jobs import bursts
 
-    rows = events(spark, sf_dir).withColumn("ts", F.col("ts"))
-    out = bursts(rows)
-    return out.select(iso("start").alias("start"), "topic", "n", F.col("n_sources").cast("long").alias("n_sources"))
+    return bursts(events(spark, sf_dir)).select(iso("start").alias("start"), "topic", "n", F.col("n_sources").cast("long").alias("n_sources"))

@@ -147,3 +147,59 @@ class _FeedReader(DataSourceReader):
             yield partition.source, body, n, None
         except (OSError, ElementTree.ParseError) as e:
             yield partition.source, None, 0, f"{type(e).__name__}: {e}"
+
+
+def _field(c: Column, name: str) -> Column:
+    """The value of a hidden form field or meta element of a page."""
+    by_id = F.regexp_extract(c, rf"""(?is)<input\b(?=[^>]*\b(?:id|name)=["']{name}["'])[^>]*\bvalue=["']([^"']*)""", 1)
+    meta = F.regexp_extract(c, rf"""(?is)<meta\b(?=[^>]*\b(?:property|name)=["']{name}["'])[^>]*\bcontent=["']([^"']*)""", 1)
+    return _plain(F.coalesce(F.nullif(by_id, F.lit("")), F.nullif(meta, F.lit(""))))
+
+
+def pages(files: DataFrame, cutoff: Column, section: str, fields: dict[str, str] | None = None) -> DataFrame:
+    """files (source, url, body): articles from pages that carry title, section, date and image in hidden fields; other sections are dropped."""
+    f = {"title": "title", "section": "section", "date": "date", "image": "image"} | (fields or {})
+    rows = files.select("source", clean_url(F.col("url")).alias("url"), _field(F.col("body"), f["title"]).alias("title"), _field(F.col("body"), f["section"]).alias("section"), feed_date(_field(F.col("body"), f["date"])).alias("ts"), F.lit(None).cast("string").alias("content"), _field(F.col("body"), f["image"]).alias("thumbnail"))
+    return _article(rows.filter((F.col("section") == section) & (F.col("ts") >= cutoff)), F.col("source"), F.col("section"))
+
+
+def walk_sitemaps(root: str, fetch, levels: int = 4, most: int = 120) -> list[str]:
+    """URLs of pages below a sitemap index: at each level the last child, of the leaf the first `most`. fetch(url) gives XML or None."""
+    at = root
+    for _ in range(levels):
+        body = fetch(at)
+        if not body:
+            return []
+        try:
+            tree = ElementTree.fromstring(body)
+        except ElementTree.ParseError:
+            return []
+        locations = [(x.text or "").strip() for x in tree.iter() if x.tag.rsplit("}", 1)[-1] == "loc"]
+        if tree.tag.rsplit("}", 1)[-1] != "sitemapindex":
+            return locations[:most]
+        if not locations:
+            return []
+        at = locations[-1]
+    return []
+
+
+#: Readers by the name that a feed's configuration gives.
+READERS = {"rss": rss, "sitemap": sitemap, "paged_json": paged_json, "flat_json": flat_json, "index_page": index_page, "pages": pages}
+
+
+def read(files: DataFrame, kind: str, cutoff: Column, **options) -> DataFrame:
+    return READERS[kind](files, cutoff, **options)
+
+
+def snapshot(spark, path: str, schema: str) -> DataFrame:
+    """A table of an earlier run, empty if there is none."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+
+
+def converted(c: Column, table: dict[str, str]) -> Column:
+    """Characters replaced one for one, as from one script variant to another; the table is the caller's."""
+    return F.translate(c, "".join(table), "".join(table.values())) if table else c
