@@ -216,13 +216,15 @@ def test_fingerprint_bins_are_seamless(spark, monkeypatch):
         assert got[d] == hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % 25][1][:half]).encode()).hexdigest()
 
 
-def test_fingerprint_bytes_are_compared(spark):
-    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
-    bucket = docs.withColumn("canon", fingerprint.canonical(F.col("text"))).select("doc_id", *fingerprint.hashes("canon", "h1", "h2")).filter("doc_id = 2")
-    assert fingerprint.unequal_members(docs, bucket.select("h1", "h2", F.lit(2).cast("long").alias("first"))).count() == 0
-    wrong = spark.createDataFrame([(3, "a"), (2, "a")], "doc_id long, text string")
-    a = wrong.withColumn("canon", fingerprint.canonical(F.col("text"))).select(*fingerprint.hashes("canon", "h1", "h2")).limit(1).withColumn("first", F.lit(2).cast("long"))
-    assert fingerprint.unequal_members(wrong, a).count() == 0
+def test_fingerprint_bytes_are_compared(spark, monkeypatch):
+    """With hashes that are all equal, only the bytes can tell texts apart."""
+    monkeypatch.setattr(fingerprint, "hashes", lambda c, a, b: [F.lit(1).cast("long").alias(a), F.lit(2).cast("long").alias(b)])
+    monkeypatch.setattr(fingerprint, "PART_DOCS", 2)
+    rows = [(i, t) for i, t in enumerate(["a", "b", "A ", "c", "c", "b", "a"])]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    prints = {i: r.fingerprint for i, r in got.items()}
+    assert prints[0] == prints[2] == prints[6] and prints[1] == prints[5] and prints[3] == prints[4] and len(set(prints.values())) == 3
+    assert [got[i].near_next for i in range(7)] == [0, 0, 0, 1, 0, 0, 1] and all(r.near_edited == (i != 2) for i, r in got.items())
 
 
 def test_fingerprint_odd_rows(spark):
