@@ -69,4 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_shift_and": url_filter.ORACLE_SQL, "op6_mixing_splitting_tree": mixing.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_jaccard_pivot_join": jaccard_join.ORACLE_SQL,
+    "op3_url_shift_and": url_filter.ORACLE_SQL,
+    "op6_mixing_splitting_tree": mixing.oracle_sql(),
+    "op10_template_decontamination": decontaminate.oracle_sql(),
+}

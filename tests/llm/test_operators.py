@@ -469,3 +469,20 @@ def test_decontamination_against_brute_force(spark):
         want |= {(d.doc_id, i) for i, s in sets.items() if len(s & own) >= 0.8 * len(s)}
     got = {(r.doc_id, r.item_id) for r in QUERIES["op10_template_decontamination"](spark, SF).collect()}
     assert len(want) > 20 and got == want
+
+
+def test_decontamination_sql_on_slots(spark):
+    import duckdb
+    import pandas as pd
+
+    docs = [(k, t) for k, (t, _) in CASES.items()]
+    c = duckdb.connect()
+    c.register("d", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    c.register("b", pd.DataFrame([(1, ITEM), (4, "Too short")], columns=["item_id", "text"]))
+    c.sql("CREATE TABLE documents AS SELECT * FROM d")
+    c.sql("CREATE TABLE benchmark AS SELECT * FROM b")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM), (4, "Too short")], "item_id long, text string"))
+    theirs = c.sql(decontaminate.oracle_sql())
+    order = sorted(got.columns)
+    assert sorted(tuple(r[n] for n in order) for r in got.collect()) == sorted(theirs.select(*order).fetchall())
+    assert any(r.n_slots > 4 for r in got.collect())
