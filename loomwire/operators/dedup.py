@@ -17,7 +17,8 @@ def similar_pairs(rows: DataFrame, key: str = "ord", title: str = "title", perce
     """(a, b, jaccard) of keys a < b whose bigram sets are at least `percent` alike.
 
     Equal sets are joined once. Of each set only the rarest bigrams are indexed: two sets that reach the threshold share one of the first
-    n - ceil(t*n) + 1, as Catalyst's equi-join on the bigram then finds; sizes and the exact overlap decide.
+    n - ceil(t*n) + 1, as Catalyst's equi-join on the bigram then finds. Sizes, the place of the last
+    shared bigram and the exact overlap decide.
     """
     sets = rows.select(F.col(key).alias("key"), F.sort_array(bigrams(F.col(title))).alias("grams")).filter(F.size("grams") > 0)
     points = written(sets.groupBy("grams").agg(F.min("key").alias("point"), F.collect_list("key").alias("keys")), "title-sets")
@@ -25,10 +26,14 @@ def similar_pairs(rows: DataFrame, key: str = "ord", title: str = "title", perce
     rank = each.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = each.join(rank, "gram").groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by_rank"))
     prefix = F.floor(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    index = written(ordered.select("point", "n", F.explode(F.slice("by_rank", F.lit(1), prefix)).alias("at")).select("point", "n", F.col("at.gram").alias("gram")), "title-prefixes")
+    index = written(ordered.select("point", "n", F.posexplode(F.slice("by_rank", F.lit(1), prefix)).alias("pos", "at")).select("point", "n", "pos", F.col("at.gram").alias("gram")), "title-prefixes")
     a, b = index.alias("a"), index.alias("b")
     sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.point") < F.col("b.point")) & sizes).select(F.col("a.point").alias("p"), F.col("b.point").alias("q")).distinct()
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.point") < F.col("b.point")) & sizes)
+    met = met.groupBy(F.col("a.point").alias("p"), F.col("b.point").alias("q"), F.col("a.n").alias("np"), F.col("b.n").alias("nq")).agg(F.count("*").alias("c"), F.max("a.pos").alias("lp"), F.max("b.pos").alias("lq"))
+    # Beyond the last shared bigram of the prefixes only the shorter rest can still be shared.
+    most = F.col("c") + F.least(F.col("np") - F.col("lp"), F.col("nq") - F.col("lq")) - 1
+    met = met.filter(most * (100 + percent) >= (F.col("np") + F.col("nq")) * percent).select("p", "q")
     grams = points.select("point", "grams", "keys")
     both = F.size(F.array_intersect("gp", "gq"))
     near = met.join(grams.select(F.col("point").alias("p"), F.col("grams").alias("gp"), F.col("keys").alias("kp")), "p").join(grams.select(F.col("point").alias("q"), F.col("grams").alias("gq"), F.col("keys").alias("kq")), "q")
