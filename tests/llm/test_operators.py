@@ -124,8 +124,11 @@ def near_copies(seed):
     return [(i * 3, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 64), (2, 1), (3, 3)])
-def test_jaccard_join_is_exact(spark, seed, most):
+@pytest.mark.parametrize(("seed", "most", "small"), [(1, 64, 64), (2, 1, 2), (3, 3, 2)])
+def test_jaccard_join_is_exact(spark, monkeypatch, seed, most, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "PICKS", 1)
     rows = near_copies(seed) + [(1000 + (d or 0), t) if d is not None else (d, t) for d, t in ODD]
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=most).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
