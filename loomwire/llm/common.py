@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that one Arrow batch may hold; with long texts a batch stays a few MB.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Largest table, in rows of ids, that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -53,10 +53,10 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+def bounded(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if its count proves it small; else as it is, so that the join shuffles."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= most else df
 
 
 def ascii_lower(c: Column) -> Column:

@@ -8,11 +8,12 @@ pivots alone would put every document into every window. Regions are therefore m
    than `most` windows last. A set's nearest pivots are its first shingles; as a linked set lacks at most
    floor(n/5) of them, a set is replicated to the regions of its floor(n/5) + 1 nearest pivots, and linked
    sets always meet in one. Regions of one set vanish.
-2. Regions have document pivots. Every member is compared with its region's pivot; what is within 0.2
-   is linked, so that a large group of near copies costs one comparison each. A region whose members are
-   then in several components goes on: members x, y of different components are compared only if the
-   triangle inequality |d(x, p) - d(y, p)| <= 0.2 and their sizes allow a link. Everything else is
-   either linked already or proven apart. Components of all links give the result.
+2. Regions have document pivots. Every member is compared with its region's pivot, unless the regions that
+   both are in prove them too far apart; what is within 0.2 is linked, so that a large group of near copies costs one comparison each. A region whose members are
+   then in several components goes on, first by a round of further pivots, one of each of some components,
+   then by pairs (in large regions by pairs of blocks): members x, y of different components are compared only if the triangle inequality
+   |d(x, p) - d(y, p)| <= 0.2, their sizes and the number of their regions allow a link. Everything else
+   is either linked already or proven apart. Components of all links give the result.
 
 Pivots of large regions are known beforehand, so their rows are dealt out evenly and never meet in one
 task; distances are computed from whole sets. Two passes read all texts, a third those of candidates. What the driver gets
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytescan import doc_words, mix, shingles
@@ -39,6 +40,12 @@ WORDS = 5
 MOST, MOST_HOT = 64, 500_000
 #: Copies of one set are left out of a task's later windows while it remembers this many sets.
 SEEN = 500_000
+#: Rows of ids that are broadcast at most.
+MOST_SENT = 200_000
+#: Members of a small region, and of one block of a large one.
+SMALL, BLOCK = 64, 512
+#: Rounds of new pivots, and pivots of a region in each.
+ROUNDS, PICKS = 1, 16
 
 
 def _sets(column: pa.Array):
@@ -168,16 +175,97 @@ def _candidate_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("text", "point").mapInArrow(run, "point long, n long, members array<long>")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """x, y, linked, distance of pairs (x, y) of points."""
+def _beyond(n: Column) -> Column:
+    """How many of a set's shingles are outside its window."""
+    return n - F.floor(n / 5) - 1
+
+
+def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """x, y, lowest distance, possible: what the regions that both are in say of pairs (x, y), exactly.
+
+    Of two sets one window ends first. Up to there all that both hold is among their common regions; beyond
+    there only the rest of that set can be common.
+    """
+    a, b = (known.select(F.col("point").alias(k), F.col("n").alias(f"n{k}"), F.col("keys").alias(f"k{k}")) for k in "xy")
+    shared = F.size(F.array_intersect("kx", "ky")).cast("long")
+    most = F.least(shared + F.greatest(_beyond(F.col("nx")), _beyond(F.col("ny"))), "nx", "ny")
+    both = pairs.join(a, "x").join(b, "y").select("x", "y", (F.col("nx") + F.col("ny")).alias("sum"), most.alias("most"))
+    return both.select("x", "y", (1 - F.col("most") / (F.col("sum") - F.col("most"))).alias("low"), (F.col("most") * 9 >= F.col("sum") * 4).alias("possible"))
+
+
+def _distances(pairs: DataFrame, docs: DataFrame, named: DataFrame, name: str) -> DataFrame:
+    """x, y, linked, distance of pairs (x, y) of points, from their whole sets."""
+    ends = pairs.select(F.explode(F.array("x", "y")).alias("point")).distinct().join(named, "point").select(F.col("first").alias("doc_id"), "point")
+    sets = written(_candidate_sets(docs, bounded(written(ends, f"{name}-ends"), most=MOST_SENT)), f"{name}-sets")
     a, b = (sets.select(F.col("point").alias(k), F.col("n").alias(f"n{k}"), F.col("members").alias(f"s{k}")) for k in "xy")
     both = F.size(F.array_intersect("sx", "sy")).cast("long")
-    return pairs.join(a, "x").join(b, "y").select("x", "y", both.alias("both"), (F.col("nx") + F.col("ny") - both).alias("all")).select("x", "y", (F.col("both") * 100 >= F.col("all") * 80).alias("linked"), (1 - F.col("both") / F.col("all")).alias("distance"))
+    near = pairs.join(a, "x").join(b, "y").select("x", "y", both.alias("both"), (F.col("nx") + F.col("ny") - both).alias("all")).distinct()
+    near = written(near.select("x", "y", (F.col("both") * 100 >= F.col("all") * 80).alias("linked"), (1 - F.col("both") / F.col("all")).alias("distance")), name)
+    forget(sets)
+    return near
+
+
+def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """Links (x, y) between components of large regions, one for each two components of two blocks at most.
+
+    members: pivot, point, part, of (the region's size). Members are dealt into blocks; every two blocks of a region
+    are one group, whose intersections are a product of incidence matrices. Pairs never become rows.
+    """
+    ends = members.select("point").distinct().join(named, "point").select(F.col("first").alias("doc_id"), "point")
+    sets = written(_candidate_sets(docs, bounded(written(ends, "jaccard-block-ends"), most=MOST_SENT)), "jaccard-block-sets")
+    dealt = members.select("pivot", "point", "part", (F.floor(F.col("of") / BLOCK) + 1).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "point", "part")
+
+    def links(t: pa.Table) -> pa.Table:
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        block, point, part = (t.column(c).to_numpy() for c in ("block", "point", "part"))
+        lists = t.column("members").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        _, column, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1  # columns that one row alone has don't matter
+        keep = count[column] > 1
+        row, column = row[keep], shared[column[keep]]
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        both = np.zeros((len(a), len(b)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+            x, y = np.searchsorted(column, (first, first + 2048))
+            m = np.zeros((len(size), 2048), np.float32)
+            m[row[x:y], column[x:y] - first] = 1
+            both += m[a] @ m[b].T
+        every = size[a][:, None] + size[b][None] - both
+        i, j = np.nonzero((both * 100 >= every * 80) & (part[a][:, None] != part[b][None]))
+        x, y = a[i], b[j]
+        _, one = np.unique(np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])]), axis=1, return_index=True)
+        return pa.table({"x": point[x[one]], "y": point[y[one]]}, schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]))
+
+    return dealt.join(sets.select("point", "members"), "point").groupBy("pivot", "low", "high").applyInArrow(links, "x long, y long")
+
+
+def _apart(a: str, b: str) -> Column:
+    """Members a and b of one region that are in different components and that nothing known so far keeps from being linked."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    return (
+        (c(a, "part") != c(b, "part"))
+        & (c(a, "low") - c(b, "high") <= 0.2 + 1e-9)
+        & (c(b, "low") - c(a, "high") <= 0.2 + 1e-9)
+        & (c(a, "n") * 5 >= c(b, "n") * 4)
+        & (c(b, "n") * 5 >= c(a, "n") * 4)
+        # They have no more regions in common than the one with fewer is in.
+        & ((F.least(c(a, "k"), c(b, "k")) + F.greatest(_beyond(c(a, "n")), _beyond(c(b, "n")))) * 9 >= (c(a, "n") + c(b, "n")) * 4)
+    )
 
 
-def _sized(pairs: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow a link."""
-    return pairs.filter((F.col("nx") * 5 >= F.col("ny") * 4) & (F.col("ny") * 5 >= F.col("nx") * 4))
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """node, part after more links (x, y)."""
+    side = lambda k: found.select(F.col("node").alias(k), F.col("part").alias(f"p{k}"))
+    ends = written(links.join(side("x"), "x", "left").join(side("y"), "y", "left").select("x", "y", F.coalesce("px", "x").alias("px"), F.coalesce("py", "y").alias("py")), "jaccard-ends")
+    joined = components(ends.select(F.col("px").alias("x"), F.col("py").alias("y")))
+    every = found.unionByName(ends.select(F.col("x").alias("node"), F.col("px").alias("part"))).unionByName(ends.select(F.col("y").alias("node"), F.col("py").alias("part"))).distinct()
+    return written(every.join(joined.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("node", F.coalesce("to", "part").alias("part")), "jaccard-parts")
 
 
 def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFrame:
@@ -193,47 +281,55 @@ def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFra
     order = np.argsort(keys)
     ids = written(points.select("doc_id", F.col("n").alias("n_shingles"), "point"), "jaccard-ids")
     forget(points)
-    named = ids.filter(F.col("doc_id").isNotNull() & F.col("point").isNotNull()).groupBy("point").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"))
+    named = written(ids.filter(F.col("doc_id").isNotNull() & F.col("point").isNotNull()).groupBy("point").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "jaccard-named")
 
     regions = written(_regions(_memberships(docs.filter(F.col("doc_id").isNotNull()), keys[order], pivots[order])), "jaccard-regions")
-    members = regions.select("point").distinct().join(named, "point")
-    members = written(members, "jaccard-members")
-    sets = written(_candidate_sets(docs, bounded(members.select(F.col("first").alias("doc_id"), "point"))).dropDuplicates(["point"]), "jaccard-sets")
-    size = members.select("point", "n")
+    known = written(regions.groupBy("point").agg(F.collect_set("shingle").alias("keys")).join(named.select("point", "n"), "point"), "jaccard-known")
 
     # Every member against its region's pivot.
     stars = regions.filter(F.col("point") != F.col("pivot")).select(F.col("point").alias("x"), F.col("pivot").alias("y")).distinct()
-    with_sizes = lambda pairs: pairs.join(size.select(F.col("point").alias("x"), F.col("n").alias("nx")), "x").join(size.select(F.col("point").alias("y"), F.col("n").alias("ny")), "y")
-    near = written(_distances(stars, sets), "jaccard-stars")
-    links = near.filter("linked").select("x", "y")
-    found = written(components(links), "jaccard-parts")
+    stars = written(_bounds(stars, known), "jaccard-stars")
+    near = _distances(stars.filter("possible").select("x", "y"), docs, named, "jaccard-near")
+    found = written(components(near.filter("linked").select("x", "y")), "jaccard-parts")
+    spans = stars.join(near, ["x", "y"], "left").select("x", "y", F.coalesce("distance", "low").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
 
     # Regions that are still in several components.
     part = regions.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("part", F.coalesce("part", "point"))
-    open_ = part.groupBy("shingle", "pivot").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("shingle", "pivot")
-    going = part.join(bounded(open_), ["shingle", "pivot"]).join(near.select(F.col("x").alias("point"), F.col("y").alias("pivot"), "distance"), ["point", "pivot"]).join(size, "point")
-    going = written(going.select("shingle", "pivot", "point", "part", "distance", "n"), "jaccard-open")
-    a, b = going.alias("a"), going.alias("b")
-    apart = (
-        (F.col("a.shingle") == F.col("b.shingle"))
-        & (F.col("a.pivot") == F.col("b.pivot"))
-        & (F.col("a.point") < F.col("b.point"))
-        & (F.col("a.part") != F.col("b.part"))
-        & (F.abs(F.col("a.distance") - F.col("b.distance")) <= 0.2 + 1e-9)
-        & (F.col("a.n") * 5 >= F.col("b.n") * 4)
-        & (F.col("b.n") * 5 >= F.col("a.n") * 4)
-    )
-    rest = a.join(b, apart).select(F.col("a.point").alias("x"), F.col("b.point").alias("y")).distinct()
-    more = written(_distances(rest, sets).filter("linked").select("x", "y"), "jaccard-more")
-    if more.isEmpty():
-        final = found
-    else:
-        parts = more.join(found.withColumnRenamed("node", "x").withColumnRenamed("part", "px"), "x", "left").join(found.withColumnRenamed("node", "y").withColumnRenamed("part", "py"), "y", "left")
-        joined = components(parts.select(F.coalesce("px", "x").alias("x"), F.coalesce("py", "y").alias("y")))
-        every = found.unionByName(parts.select(F.col("x").alias("node"), F.coalesce("px", "x").alias("part"))).unionByName(parts.select(F.col("y").alias("node"), F.coalesce("py", "y").alias("part"))).distinct()
-        final = written(every.join(joined.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("node", F.coalesce("to", "part").alias("part")), "jaccard-final")
+    # Pivots are compared with all members, so only the others can be unsettled among themselves.
+    open_ = part.filter(F.col("point") != F.col("pivot")).groupBy("shingle", "pivot").agg(F.min("part").alias("least"), F.max("part").alias("last")).filter("least <> last").select("shingle", "pivot")
+    going = part.join(bounded(written(open_, "jaccard-unsettled"), most=MOST_SENT), ["shingle", "pivot"]).select("pivot", "point", "part").distinct()
+    going = going.join(spans.select(F.col("x").alias("point"), F.col("y").alias("pivot"), "low", "high"), ["point", "pivot"]).join(known.select("point", "n", F.size("keys").alias("k")), "point")
+    members = written(going.drop("part"), "jaccard-open")
+    placed = lambda parts: members.join(parts.withColumnRenamed("node", "point"), "point", "left").withColumn("part", F.coalesce("part", "point"))
+
+    # Rounds of new pivots, one of each of some components, join most of what belongs together.
+    for turn in range(ROUNDS):
+        now = placed(found)
+        ones = now.groupBy("pivot", "part").agg(F.min_by("point", F.xxhash64("point", F.lit(turn))).alias("point"))
+        group = Window.partitionBy("pivot")
+        picks = ones.withColumn("nth", F.row_number().over(group.orderBy(F.xxhash64("point", F.lit(turn))))).withColumn("of", F.count("*").over(group)).filter((F.col("nth") <= PICKS) & (F.col("of") > 1))
+        picks = picks.select("pivot", "point").join(now, ["pivot", "point"])
+        pairs = now.alias("a").join(picks.alias("b"), (F.col("a.pivot") == F.col("b.pivot")) & _apart("a", "b")).select(F.least("a.point", "b.point").alias("x"), F.greatest("a.point", "b.point").alias("y")).distinct()
+        pairs = written(_bounds(pairs, known).filter("possible").select("x", "y"), "jaccard-round")
+        more = pairs if pairs.isEmpty() else written(_distances(pairs, docs, named, "jaccard-far").filter("linked").select("x", "y"), "jaccard-more")
+        if more.isEmpty():
+            break
+        found = _merged(found, more)
+
+    # What is left of small regions is compared pair by pair, of large ones block by block.
+    now = placed(found)
+    sizes = now.groupBy("pivot").agg(F.count("*").alias("of"), F.min("part").alias("least"), F.max("part").alias("last")).filter("least <> last").select("pivot", "of")
+    left = written(now.join(written(sizes, "jaccard-several"), "pivot"), "jaccard-left")
+    few, many = left.filter(F.col("of") <= SMALL), left.filter(F.col("of") > SMALL)
+    rest = few.alias("a").join(few.alias("b"), (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.point") < F.col("b.point")) & _apart("a", "b")).select(F.col("a.point").alias("x"), F.col("b.point").alias("y")).distinct()
+    rest = written(_bounds(rest, known).filter("possible").select("x", "y"), "jaccard-rest")
+    more = rest if rest.isEmpty() else _distances(rest, docs, named, "jaccard-far").filter("linked").select("x", "y")
+    if not many.isEmpty():
+        more = more.unionByName(_block_links(many, docs, named))
+    more = written(more, "jaccard-more")
+    final = found if more.isEmpty() else _merged(found, more)
     # A component's name: the smallest id of its points.
-    by_point = named.select("point", "first").join(bounded(final.withColumnRenamed("node", "point")), "point", "left").withColumn("part", F.coalesce("part", "point"))
+    by_point = named.select("point", "first").join(bounded(final.withColumnRenamed("node", "point"), most=MOST_SENT), "point", "left").withColumn("part", F.coalesce("part", "point"))
     low = by_point.groupBy("part").agg(F.min("first").alias("low"))
     names = written(by_point.join(low, "part").select("point", "low"), "jaccard-names")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
@@ -241,7 +337,25 @@ def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFra
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document that names it; documents without an id stay."""
-    kept = join(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(bounded(written(kept, "jaccard-kept")), "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Of each component the document that names it; documents without an id stay. Rows with one id are one document: the first by text stays."""
+    kept = written(join(docs).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows")), "jaccard-kept")
+    stay = docs.join(bounded(kept.select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    twice = written(kept.filter("rows > 1").select("doc_id"), "jaccard-twice")
+    if not twice.isEmpty():
+        one = Window.partitionBy("doc_id").orderBy("text")
+        again = stay.join(bounded(twice), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
+        stay = stay.join(bounded(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, generate_series(1, greatest(len(w) - 4, 1)) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+l AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+m AS (SELECT x AS doc_id, min(y) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
