@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates, by built-in SQL functions only.
 
 A text's template is its words in lower case with typed placeholders: names (capitalised words after a
-lower-case letter, digit, comma or semicolon), numbers, and units after numbers. Windows of five template words
+lower-case letter, digit, comma or semicolon), numbers (ASCII digits), and units after numbers. Windows of five template words
 are hashed and joined with the benchmark's. A document is contaminated by an item if it holds at least
 0.8 of the item's different windows and its slots are consistent: along the best alignment, at least 0.8 of the
 placeholders follow one mapping from the item's values to the document's, as a copy or a question
@@ -14,6 +14,8 @@ Items that are repeated or alike are reported each. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,29 +25,30 @@ WIDTH, LEAST = 5, 0.8
 NAME, NUMBER, UNIT = "\ue001", "\ue000", "\ue002"
 #: Words that are units after a number.
 UNITS = "mm cm km kg mg ml kwh mph kph hz khz mhz ghz kb mb gb tb usd eur gbp percent dollars dollar euros euro cents cent pounds pound miles mile metres meters metre meter feet foot inches inch grams gram litres liters hours hour minutes minute seconds second days day weeks week months month years year degrees degree".split()
-NAME_RE = r"([\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*)"
-NUMBER_RE = r"(\p{Nd}[\p{Nd}.,]*)"
-UNIT_RE = NUMBER + " ?(%|(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")\b)"
+NAME_RE = r" (?<=[\p{Ll}0-9,;] )(\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*)"
+NUMBER_RE = r"([0-9][0-9.,]*)"
+UNIT_RE = NUMBER + " {1,2}(%|(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")\b)"
+#: What stands between template words: all of ASCII but lower-case letters, and the usual signs beyond it.
+BETWEEN = r"[\x00-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u20A0-\u20BF\u2E00-\u2E7F\u3000-\u303F\uFF00-\uFF0F]+"
 
 
 def _stages(text: Column) -> tuple[Column, Column, Column]:
     """The text with names replaced and in lower case, then with numbers replaced, then with units replaced."""
-    named = F.lower(F.regexp_replace(text, NAME_RE, f"$1{NAME} "))
-    numbered = F.regexp_replace(named, NUMBER_RE, f" {NUMBER}")
+    named = F.lower(F.regexp_replace(text, NAME_RE, f" {NAME} "))
+    numbered = F.regexp_replace(named, NUMBER_RE, f" {NUMBER} ")
     return named, numbered, F.regexp_replace(numbered, UNIT_RE, f"{NUMBER} {UNIT} ")
 
 
 def template(text: Column) -> Column:
     """Array of template words."""
-    spaced = F.replace(_stages(text)[2], F.lit(NUMBER), F.lit(f" {NUMBER} "))
-    words = F.trim(F.regexp_replace(spaced, rf"[^\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}]+", " "))
-    return F.when(words != "", F.split(words, " ")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(_stages(text)[2], BETWEEN), "")
 
 
 def windows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, pos, h: each window of a text's template, from 0."""
-    words = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, template(F.col(text)).alias("words")).filter(F.size("words") > 0)
-    hashed = F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - WIDTH + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, WIDTH)))
+    words = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(key, template(F.col(text)).alias("words"))
+    last = F.greatest(F.size("words") - WIDTH + 1, F.lit(1))
+    hashed = F.when(F.size("words") > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("words", i, WIDTH))))
     return words.select(key, F.posexplode(hashed).alias("pos", "h"))
 
 
@@ -55,7 +58,7 @@ def slots(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     found = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).dropDuplicates([key]).select(
         key,
         template(F.col(text)).alias("words"),
-        F.create_map(F.lit(NAME), F.regexp_extract_all(F.col(text), F.lit(NAME_RE), F.lit(2)), F.lit(NUMBER), F.regexp_extract_all(named, F.lit(NUMBER_RE), F.lit(1)), F.lit(UNIT), F.regexp_extract_all(numbered, F.lit(UNIT_RE), F.lit(1))).alias("values"),
+        F.create_map(F.lit(NAME), F.regexp_extract_all(F.col(text), F.lit(NAME_RE), F.lit(1)), F.lit(NUMBER), F.regexp_extract_all(named, F.lit(NUMBER_RE), F.lit(1)), F.lit(UNIT), F.regexp_extract_all(numbered, F.lit(UNIT_RE), F.lit(1))).alias("values"),
     )
     each = found.select(key, "values", F.explode(F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("kind"))), lambda x: x["kind"].isin(NAME, NUMBER, UNIT))).alias("slot")).select(key, "values", "slot.*")
     nth = F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos"))
@@ -88,3 +91,34 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     """The rows of docs that no item contaminates; rows with a null id stay."""
     bad = written(contaminated(docs, benchmark, least).select("doc_id").distinct(), "decon-bad")
     return docs.join(bounded(bad), "doc_id", "left_anti").select(*docs.columns)
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL for contaminated() over the tables documents and benchmark with unique ids. RE2 has no look-behind: the character before a name is captured and put back."""
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    name = r"([\p{Ll}0-9,;]) (\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*)"
+    between = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", BETWEEN)
+    return rf"""
+WITH base AS (SELECT 'd' AS side, doc_id AS k, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+a AS (SELECT *, lower(regexp_replace(text, {q(name)}, '\1 {NAME} ', 'g')) AS named FROM base),
+b AS (SELECT *, regexp_replace(named, {q(NUMBER_RE)}, ' {NUMBER} ', 'g') AS numbered FROM a),
+c AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(numbered, {q(UNIT_RE)}, '{NUMBER} {UNIT} ', 'g'), {q(between)}), lambda w: w <> '') AS words FROM b),
+w AS (SELECT side, k, i - 1 AS pos, array_to_string(words[i:i + {WIDTH - 1}], ' ') AS g FROM c, generate_series(1, greatest(len(words) - {WIDTH - 1}, 1)) t(i) WHERE len(words) > 0),
+sizes AS (SELECT k AS item_id, count(DISTINCT g) AS n_windows FROM w WHERE side = 'i' GROUP BY 1),
+found AS (
+  SELECT doc_id, item_id, n_windows, n_found FROM (
+    SELECT d.k AS doc_id, i.k AS item_id, count(*) AS n_found FROM (SELECT DISTINCT k, g FROM w WHERE side = 'd') d JOIN (SELECT DISTINCT k, g FROM w WHERE side = 'i') i USING (g) GROUP BY 1, 2
+  ) JOIN sizes USING (item_id) WHERE n_found >= n_windows * {LEAST}::DOUBLE
+), shifts AS (
+  SELECT d.k AS doc_id, i.k AS item_id, d.pos - i.pos AS shift, count(DISTINCT i.pos) AS n FROM w d JOIN w i USING (g) SEMI JOIN found f ON f.doc_id = d.k AND f.item_id = i.k WHERE d.side = 'd' AND i.side = 'i' GROUP BY 1, 2, 3
+), aligned AS (SELECT doc_id, item_id, shift FROM shifts QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n DESC, shift) = 1),
+marks AS (
+  SELECT side, k, pos, kind, row_number() OVER (PARTITION BY side, k, kind ORDER BY pos) AS nth, text, named, numbered FROM (
+    SELECT side, k, unnest(words) AS kind, generate_subscripts(words, 1) - 1 AS pos, text, named, numbered FROM c WHERE side = 'i' OR k IN (SELECT doc_id FROM found)) WHERE kind IN ('{NAME}', '{NUMBER}', '{UNIT}')
+), slots AS (
+  SELECT side, k, pos, kind, lower(regexp_replace(CASE kind WHEN '{NAME}' THEN regexp_extract_all(text, {q(name)}, 2)[nth] WHEN '{NUMBER}' THEN regexp_extract_all(named, {q(NUMBER_RE)}, 1)[nth] ELSE regexp_extract_all(numbered, {q(UNIT_RE)}, 1)[nth] END, '[.,]+$', '')) AS value FROM marks
+), votes AS (
+  SELECT doc_id, item_id, i.kind, i.value AS asked, s.value AS said, count(*) AS n FROM aligned JOIN slots i ON i.side = 'i' AND i.k = item_id JOIN slots s ON s.side = 'd' AND s.k = doc_id AND s.kind = i.kind AND s.pos = i.pos + shift GROUP BY ALL
+), tally AS (SELECT doc_id, item_id, sum(n)::BIGINT AS n_slots, sum(best)::BIGINT AS n_consistent FROM (SELECT doc_id, item_id, sum(n) AS n, max(n) AS best FROM votes GROUP BY doc_id, item_id, kind, asked) GROUP BY 1, 2)
+SELECT doc_id, item_id, n_windows, n_found, coalesce(n_slots, 0) AS n_slots, coalesce(n_consistent, 0) AS n_consistent FROM found LEFT JOIN tally USING (doc_id, item_id) WHERE coalesce(n_consistent, 0) >= coalesce(n_slots, 0) * {LEAST}::DOUBLE
+"""
