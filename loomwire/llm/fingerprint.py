@@ -20,6 +20,8 @@ from .common import bounded, written
 SPACE = r"[\s\x85\xA0  -     　]+"
 #: Documents of one bin of ids, whose texts are sorted together, and the most bins.
 BIN_DOCS, MOST_BINS = 1000, 100_000
+#: Rows of one bucket that are compared together.
+PART_DOCS = 256
 
 
 def canonical(text: Column) -> Column:
@@ -39,12 +41,15 @@ def printed(one: str, two: str) -> Column:
 def unequal_members(docs: DataFrame, buckets: DataFrame) -> DataFrame:
     """Rows (doc_id, h1, h2, odd) of documents whose canonical text isn't that of their bucket's first.
 
-    buckets: h1, h2 and the first id of every bucket with two rows or more.
+    buckets: h1, h2, the first id and n, the number of rows, of every bucket with two rows or more. A large
+    bucket is dealt into parts of about PART_DOCS rows, to each of which its first text is sent.
     """
     texts = docs.select("doc_id", canonical(F.col("text")).alias("canon")).select("doc_id", "canon", *hashes("canon", "h1", "h2"))
-    members = texts.join(bounded(buckets), ["h1", "h2"]).select("doc_id", "h1", "h2", "canon", "first")
-    firsts = members.filter(F.col("doc_id").eqNullSafe(F.col("first"))).select("h1", "h2", F.col("canon").alias("first_canon")).dropDuplicates(["h1", "h2"])
-    return members.join(firsts, ["h1", "h2"]).filter(F.col("canon").cast("binary") != F.col("first_canon").cast("binary")).select("doc_id", "h1", "h2", F.substring(F.sha2("canon", 256), 1, 16).alias("odd")).distinct()
+    parts = F.floor(F.col("n") / PART_DOCS) + 1
+    members = texts.join(bounded(buckets), ["h1", "h2"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
+    firsts = members.filter(F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("h1", "h2").agg(F.min("canon").alias("first_canon"), F.max("n").alias("n"))
+    firsts = written(firsts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n"), "fingerprint-firsts")
+    return members.join(firsts, ["h1", "h2", "part"]).filter(F.col("canon").cast("binary") != F.col("first_canon").cast("binary")).select("doc_id", "h1", "h2", F.substring(F.sha2("canon", 256), 1, 16).alias("odd")).distinct()
 
 
 def followed(docs: DataFrame, carry: list[str]) -> DataFrame:
@@ -76,12 +81,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     own = docs.withColumn("canon", canonical(F.col("text"))).select("doc_id", "text", *hashes("canon", "h1", "h2"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = followed(own, ["h1", "h2"]).select("doc_id", "h1", "h2", "next_h1", "next_h2", n.cast("long").alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
-    hashed = written(
-        edited.withColumn("canon", canonical(F.col("edited"))).select("doc_id", "h1", "h2", "next_h1", "next_h2", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *hashes("canon", "e1", "e2")), "fingerprints"
+    # Equal hashes are settled by the bytes.
+    same = lambda one, two, other: F.when((F.col("h1") == F.col(one)) & (F.col("h2") == F.col(two)), (canonical(F.col("text")).cast("binary") == other.cast("binary")).cast("double")).otherwise(0.0)
+    edited = followed(own, ["h1", "h2"]).select(
+        "doc_id", "text", "h1", "h2", n.cast("long").alias("n_chars"), same("next_h1", "next_h2", canonical(F.col("next_text"))).alias("near_next"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited")
     )
-    buckets = written(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").select("h1", "h2", "first"), "fingerprint-buckets")
+    both = edited.withColumn("canon", canonical(F.col("edited"))).select("*", *hashes("canon", "e1", "e2"))
+    hashed = written(both.select("doc_id", "h1", "h2", "e1", "e2", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), same("e1", "e2", F.col("canon")).alias("near_edited"), "near_next"), "fingerprints")
+    buckets = written(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"), "fingerprint-buckets")
     odd = written(unequal_members(docs, buckets), "fingerprint-odd")
     whole = hashed.alias("a").join(bounded(odd).alias("o"), F.col("a.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("a.h1") == F.col("o.h1")) & (F.col("a.h2") == F.col("o.h2")), "left").select("a.*", "odd")
-    same = lambda a, b: F.when((F.col(f"{a}1") == F.col(f"{b}1")) & (F.col(f"{a}2") == F.col(f"{b}2")) & F.col("odd").isNull(), 1.0).otherwise(0.0)
-    return whole.select("doc_id", "n_chars", "edited_sha256", F.concat(printed("h1", "h2"), F.coalesce("odd", F.lit(""))).alias("fingerprint"), printed("e1", "e2").alias("edited_fingerprint"), same("h", "e").alias("near_edited"), same("h", "next_h").alias("near_next"))
+    return whole.select("doc_id", "n_chars", "edited_sha256", F.concat(printed("h1", "h2"), F.coalesce("odd", F.lit(""))).alias("fingerprint"), printed("e1", "e2").alias("edited_fingerprint"), "near_edited", "near_next")
