@@ -61,18 +61,20 @@ def _digest(s: np.ndarray) -> int:
 
 
 def _points(docs: DataFrame) -> DataFrame:
-    """doc_id, n, point and, for a point's first row in a task, its window by hash alone."""
+    """doc_id, n, point and, for a point's first row with an id in a task, its window by hash alone."""
 
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             n, point, window = [], [], []
-            for _, s in _sets(b.column(1)):
+            named = b.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for row, s in _sets(b.column(1)):
                 p = _digest(s) if len(s) else None
                 n.append(len(s))
                 point.append(p)
-                window.append(s[: len(s) // 5 + 1] if p is not None and p not in seen else s[:0])
-                seen.add(p)
+                window.append(s[: len(s) // 5 + 1] if p is not None and named[row] and p not in seen else s[:0])
+                if named[row]:
+                    seen.add(p)
                 if len(seen) > SEEN:
                     seen.clear()
             offsets = np.concatenate([[0], np.cumsum([len(w) for w in window])]).astype(np.int32)
@@ -284,7 +286,9 @@ def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFra
     named = written(ids.filter(F.col("doc_id").isNotNull() & F.col("point").isNotNull()).groupBy("point").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "jaccard-named")
 
     regions = written(_regions(_memberships(docs.filter(F.col("doc_id").isNotNull()), keys[order], pivots[order])), "jaccard-regions")
-    known = written(regions.groupBy("point").agg(F.collect_set("shingle").alias("keys")).join(named.select("point", "n"), "point"), "jaccard-known")
+    # The pivot of a hot shingle may itself be in no region: then it has no keys, but is compared all the same.
+    pivot = regions.select(F.lit(None).cast("long").alias("shingle"), F.col("pivot").alias("point")).distinct()
+    known = written(regions.select("shingle", "point").unionByName(pivot).groupBy("point").agg(F.collect_set("shingle").alias("keys")).join(named.select("point", "n"), "point"), "jaccard-known")
 
     # Every member against its region's pivot.
     stars = regions.filter(F.col("point") != F.col("pivot")).select(F.col("point").alias("x"), F.col("pivot").alias("y")).distinct()

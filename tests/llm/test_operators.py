@@ -134,6 +134,23 @@ def test_jaccard_join_is_exact(spark, monkeypatch, seed, most, small):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
 
 
+def stock_phrases(seed):
+    """Near copies that hold common shingles only, each of which is in many texts that have a rare one besides, some without an id."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    phrases = [[word() for _ in range(9)] for _ in range(4)]
+    carriers = [" ".join([word(), *p[i : i + 5]]) for p in phrases for i in range(5) for _ in range(40)]
+    near = [" ".join(p[:k]) for p in phrases for k in (8, 9)]
+    return [(i if i % 3 else None, t) for i, t in enumerate(carriers)] + [(1000 + i, t) for i, t in enumerate(near)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_join_finds_near_copies_of_common_shingles(spark, seed):
+    rows = stock_phrases(seed)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=3).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+
+
 def test_jaccard_join_odd_rows(spark):
     docs = odd(spark)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
