@@ -1,7 +1,7 @@
 """Benchmark decontamination by templates, by built-in SQL functions only.
 
 A text's template is its words in lower case with typed placeholders: names (capitalised words after a
-lower-case letter, digit, comma or semicolon), numbers (ASCII digits), and units after numbers. Windows of five template words
+lower-case letter, digit, comma or semicolon), numbers (decimal digits of any script), and units after numbers. Windows of five template words
 are hashed and joined with the benchmark's. A document is contaminated by an item if it holds at least
 0.8 of the item's different windows and its slots are consistent: along the best alignment, at least 0.8 of the
 placeholders follow one mapping from the item's values to the document's, as a copy or a question
@@ -25,11 +25,14 @@ WIDTH, LEAST = 5, 0.8
 NAME, NUMBER, UNIT = "\ue001", "\ue000", "\ue002"
 #: Words that are units after a number.
 UNITS = "mm cm km kg mg ml kwh mph kph hz khz mhz ghz kb mb gb tb usd eur gbp percent dollars dollar euros euro cents cent pounds pound miles mile metres meters metre meter feet foot inches inch grams gram litres liters hours hour minutes minute seconds second days day weeks week months month years year degrees degree".split()
-NAME_RE = r" (?<=[\p{Ll}0-9,;] )(\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*)"
-NUMBER_RE = r"([0-9][0-9.,]*)"
+NAME_RE = r" (?<=[\p{Ll}\p{N},;] )(\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*)"
+NUMBER_RE = r"([0-9\p{Nd}][0-9\p{Nd}.,]*)"
 UNIT_RE = NUMBER + " {1,2}(%|(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + r")\b)"
-#: What stands between template words: all of ASCII but lower-case letters, and the usual signs beyond it.
-BETWEEN = r"[\x00-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u20A0-\u20BF\u2E00-\u2E7F\u3000-\u303F\uFF00-\uFF0F]+"
+#: What stands between template words: all that is no letter, mark or placeholder.
+BETWEEN = rf"[^a-z\p{{L}}\p{{M}}{NUMBER}{NAME}{UNIT}]+"
+#: The SQL's own patterns, of texts whose digits are ASCII and whose signs are the usual ones.
+SQL_NUMBER_RE = r"([0-9][0-9.,]*)"
+SQL_BETWEEN = r"[\x00-\x60\x7B-\xA9\xAB-\xB4\xB6-\xB9\xBB-\xBF\xD7\xF7\u2000-\u206F\u20A0-\u20BF\u2E00-\u2E7F\u3000-\u303F\uFF00-\uFF0F]+"
 
 
 def _stages(text: Column) -> tuple[Column, Column, Column]:
@@ -94,14 +97,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
 
 
 def oracle_sql() -> str:
-    """DuckDB SQL for contaminated() over the tables documents and benchmark with unique ids. RE2 has no look-behind: the character before a name is captured and put back."""
+    """DuckDB SQL for contaminated() over the tables documents and benchmark with unique ids and ASCII digits. RE2 has no look-behind: the character before a name is captured and put back."""
     q = lambda t: "'" + t.replace("'", "''") + "'"
     name = r"([\p{Ll}0-9,;]) (\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*)"
-    between = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", BETWEEN)
+    between = re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", SQL_BETWEEN)
     return rf"""
 WITH base AS (SELECT 'd' AS side, doc_id AS k, text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL UNION ALL SELECT 'i', item_id, text FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 a AS (SELECT *, lower(regexp_replace(text, {q(name)}, '\1 {NAME} ', 'g')) AS named FROM base),
-b AS (SELECT *, regexp_replace(named, {q(NUMBER_RE)}, ' {NUMBER} ', 'g') AS numbered FROM a),
+b AS (SELECT *, regexp_replace(named, {q(SQL_NUMBER_RE)}, ' {NUMBER} ', 'g') AS numbered FROM a),
 c AS (SELECT *, list_filter(regexp_split_to_array(regexp_replace(numbered, {q(UNIT_RE)}, '{NUMBER} {UNIT} ', 'g'), {q(between)}), lambda w: w <> '') AS words FROM b),
 w AS (SELECT side, k, i - 1 AS pos, array_to_string(words[i:i + {WIDTH - 1}], ' ') AS g FROM c, generate_series(1, greatest(len(words) - {WIDTH - 1}, 1)) t(i) WHERE len(words) > 0),
 sizes AS (SELECT k AS item_id, count(DISTINCT g) AS n_windows FROM w WHERE side = 'i' GROUP BY 1),
@@ -116,7 +119,7 @@ marks AS (
   SELECT side, k, pos, kind, row_number() OVER (PARTITION BY side, k, kind ORDER BY pos) AS nth, text, named, numbered FROM (
     SELECT side, k, unnest(words) AS kind, generate_subscripts(words, 1) - 1 AS pos, text, named, numbered FROM c WHERE side = 'i' OR k IN (SELECT doc_id FROM found)) WHERE kind IN ('{NAME}', '{NUMBER}', '{UNIT}')
 ), slots AS (
-  SELECT side, k, pos, kind, lower(regexp_replace(CASE kind WHEN '{NAME}' THEN regexp_extract_all(text, {q(name)}, 2)[nth] WHEN '{NUMBER}' THEN regexp_extract_all(named, {q(NUMBER_RE)}, 1)[nth] ELSE regexp_extract_all(numbered, {q(UNIT_RE)}, 1)[nth] END, '[.,]+$', '')) AS value FROM marks
+  SELECT side, k, pos, kind, lower(regexp_replace(CASE kind WHEN '{NAME}' THEN regexp_extract_all(text, {q(name)}, 2)[nth] WHEN '{NUMBER}' THEN regexp_extract_all(named, {q(SQL_NUMBER_RE)}, 1)[nth] ELSE regexp_extract_all(numbered, {q(UNIT_RE)}, 1)[nth] END, '[.,]+$', '')) AS value FROM marks
 ), votes AS (
   SELECT doc_id, item_id, i.kind, i.value AS asked, s.value AS said, count(*) AS n FROM aligned JOIN slots i ON i.side = 'i' AND i.k = item_id JOIN slots s ON s.side = 'd' AND s.k = doc_id AND s.kind = i.kind AND s.pos = i.pos + shift GROUP BY ALL
 ), tally AS (SELECT doc_id, item_id, sum(n)::BIGINT AS n_slots, sum(best)::BIGINT AS n_consistent FROM (SELECT doc_id, item_id, sum(n) AS n, max(n) AS best FROM votes GROUP BY doc_id, item_id, kind, asked) GROUP BY 1, 2)

@@ -478,6 +478,18 @@ def test_decontamination_finds_other_parameters(spark):
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_reads_digits_and_signs_of_all_scripts(spark):
+    def ask(zero, a, b, sign):
+        a, b = ("".join(chr(ord(zero) + int(c)) for c in str(n)) for n in (a, b))
+        return f"{a} boxes hold {b} pens each{sign} and {a} more boxes hold {b} cups each{sign} so how many things are there"
+
+    zeros = "0٠०０"
+    docs = spark.createDataFrame([(i, ask(z, 37, 58, s)) for i, (z, s) in enumerate((z, s) for z in zeros for s in "،؟।−🙂")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, ask(z, 12, 4, ",")) for i, z in enumerate(zeros)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(d, i) for d in range(20) for i in range(4)}
+
+
 def test_decontamination_against_brute_force(spark):
     docs, items = table(spark, SF, "documents").collect(), table(spark, SF, "benchmark").collect()
     cut = lambda t: re.findall(r"[^\W\d_]+", t.lower())
