@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from loomwire.llm import decontaminate, fingerprint, jaccard_join, language_id, mixing, packing, quality, token_counts, url_filter, warc
@@ -432,24 +433,67 @@ def test_packing_odd_rows(spark):
 NAME, NUMBER, UNIT = decontaminate.NAME, decontaminate.NUMBER, decontaminate.UNIT
 
 
-def brute_template(t):
-    out, before = [], ""
-    for w in re.findall(r"\S+", t):
-        core = w.strip(".,?!")
-        if before and re.search(r"[^\W_A-Z]$|[,;]$", before) and re.fullmatch(r"[A-Z][a-z]+", core):
-            if not (out and out[-1] == NAME and before[-1].isalpha()):
-                out.append(NAME)
-        elif re.fullmatch(r"[0-9][0-9.,]*", core):
-            out.append(NUMBER)
-        elif out and out[-1] == NUMBER and core in decontaminate.UNITS:
-            out.append(UNIT)
-        else:
-            out.append(core.lower())
-        before = w
-    return [w for w in out if w]
+def brute_templates(t):
+    """Words and values of the plain and of the named template, by loops."""
+    plain = []
+    for m in regex.finditer(r"\p{Nd}[\p{Nd}.,]*|%|[\p{L}\p{M}]+|[^\p{L}\p{M}\p{Nd}]", t):
+        w = m[0]
+        behind = t[: m.start()]
+        after_number = regex.search(r"\p{Nd}[\p{Nd}.,]* ?\Z", behind) is not None
+        if regex.match(r"\p{Nd}", w):
+            plain.append((NUMBER, w.rstrip(".,"), False))
+        elif after_number and (w == "%" or w.lower() in decontaminate.UNITS):
+            plain.append((UNIT, w.lower(), False))
+        elif regex.match(r"[\p{L}\p{M}]", w):
+            plain.append((w.lower(), w.lower(), regex.match(r"\p{Lu}\p{Ll}", w) is not None))
+    named = [(NAME if c else w, v) for k, (w, v, c) in enumerate(plain) if not (c and k + 1 < len(plain) and plain[k + 1][2])]
+    return [(w, v) for w, v, _ in plain], named
+
+
+def brute_windows(form):
+    words = [w for w, _ in form]
+    all_ = [tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+    return {(i, g) for i, g in enumerate(all_) if set(g) - {NAME, NUMBER, UNIT}}
+
+
+def brute_contaminated(docs, items):
+    out = {}
+    own = [(i, k, f, brute_windows(f)) for i, t in items if i is not None and t for k, f in enumerate(brute_templates(t))]
+    for d, t in docs:
+        if d is None or not t:
+            continue
+        for k, form in enumerate(brute_templates(t)):
+            at: dict = {}
+            for p, g in brute_windows(form):
+                at.setdefault(g, []).append(p)
+            for i, kind, f, w in own:
+                n, got = len({g for _, g in w}), {g for _, g in w if g in at}
+                if kind != k or not n or len(got) < 0.8 * n:
+                    continue
+                shifts: dict = {}
+                for p, g in w:
+                    for q in at.get(g, ()):
+                        shifts.setdefault(q - p, set()).add(p)
+                shift = min(shifts, key=lambda s: (-len(shifts[s]), s))
+                votes: dict = {}
+                for p, (word, v) in enumerate(f):
+                    if word in (NAME, NUMBER, UNIT) and 0 <= p + shift < len(form) and form[p + shift][0] == word:
+                        said = votes.setdefault((word, v), [])
+                        said.append(form[p + shift][1])
+                slots, same = sum(map(len, votes.values())), sum(max(map(v.count, v)) for v in votes.values())
+                if same >= 0.8 * slots:
+                    best = (len(got) / n, k == 0, n, len(got), slots, same)
+                    out[d, i] = max(out.get((d, i), best), best)
+    return {(d, i, *b[2:]) for (d, i), b in out.items()}
+
+
+def figures(df):
+    return {(r.doc_id, r.item_id, r.n_windows, r.n_found, r.n_slots, r.n_consistent) for r in df.collect()}
 
 
 ITEM = "A train leaves with Anna Smith at 30 mph and after 4 hours Anna Smith has gone how many miles, if 30 of them were slow"
+STARTS = "Anna has 12 apples. Bob gives Anna 5 more apples. Anna then eats 3 apples. How many apples does Anna have left now?"
+WAGES = "Weng earns 12 dollars an hour. \"Weng also walked dogs\", said Lee. Weng did 50 minutes of it. How much did she earn?"
 CASES = {
     1: ("Intro text here. " + ITEM + " and more text.", True),
     2: ("A train leaves with Bob Jones at 55 mph and after 7 hours Bob Jones has gone how many miles, if 55 of them were slow", True),
@@ -458,26 +502,48 @@ CASES = {
     5: (None, False),
     6: ("", False),
     7: (LONG, False),
-    8: (ITEM.upper(), False),
+    8: (ITEM.upper(), True),
+    9: (ITEM.lower(), True),
+    10: ("a train leaves with anna smith at 55 mph and after 7 hours anna smith has gone how many miles, if 55 of them were slow", True),
 }
 
 
 def test_templates(spark):
-    df = spark.createDataFrame([(k, t) for k, (t, _) in CASES.items() if t and k != 7 and k != 8], "k int, t string")
-    for r in df.select("t", decontaminate.template(F.col("t")).alias("w")).collect():
-        assert r.w == brute_template(r.t)
+    texts = [t for t, _ in CASES.values() if t and t is not LONG] + [STARTS, WAGES, "5% of 7kg, 12.5 % or 3 Days. Zoë Åberg (Émile) met H2O; 1,000. \n5\n%", "x"]
+    for r in decontaminate.templates(spark.createDataFrame([(t, t) for t in texts], "t string, text string")).collect():
+        plain, named = brute_templates(r.t)
+        assert r.plain == [w for w, _ in plain] and r.named == [w for w, _ in named]
 
 
 def test_decontamination_finds_other_parameters(spark):
     docs = spark.createDataFrame([(k, t, "clash", 1) for k, (t, _) in CASES.items()] + [(None, ITEM, "clash", 1), (1, CASES[1][0], "clash", 1)], "doc_id long, text string, item_id string, h int")
-    items = spark.createDataFrame([(1, ITEM, "clash"), (2, None, "x"), (3, "", "x"), (4, "Too short", "x"), (None, ITEM, "x")], "item_id long, text string, doc_id string")
+    items = spark.createDataFrame([(1, ITEM, "clash"), (2, None, "x"), (3, "", "x"), (4, "Too short", "x"), (None, ITEM, "x"), (5, "7 8 9 10 11 12", "x")], "item_id long, text string, doc_id string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(k, 1) for k, (_, bad) in CASES.items() if bad}
     kept = decontaminate.clean(docs, items)
-    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5, 6, 7, 8]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 4, 5, 6, 7]
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0 and decontaminate.contaminated(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_names_at_the_beginning_of_sentences(spark):
+    other = lambda t: regex.sub(r"\d+", lambda m: str(int(m[0]) + 17), t.replace("Anna", "Mary Ann").replace("Bob", "Jim").replace("Weng", "Tamsin").replace("Lee", "Kit"))
+    docs = [(k, t) for k, t in enumerate([STARTS, WAGES, other(STARTS), other(WAGES), "So: " + other(STARTS) + " Tell me.", STARTS.upper(), WAGES.lower(), "Anna has a dog. Bob has a cat."])]
+    items = [(0, STARTS), (1, WAGES)]
+    df = lambda rows, key: spark.createDataFrame(rows, f"{key} long, text string")
+    got = figures(decontaminate.contaminated(df(docs, "doc_id"), df(items, "item_id")))
+    assert {(d, i) for d, i, *_ in got} == {(0, 0), (1, 1), (2, 0), (3, 1), (4, 0), (5, 0), (6, 1)}
+    assert got == brute_contaminated(docs, items)
+
+
+def test_decontamination_of_long_runs(spark):
+    """Runs of names, numbers and units that a recursing pattern wouldn't survive; two texts under one id."""
+    runs = ["Anna " * 200_000, "12 " * 200_000, "12 km " * 100_000, "1,2." * 200_000, "a" * 1_000_000, "Zz" * 500_000, "% " * 200_000]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(runs)] + [(50, ITEM), (50, "nothing of the kind"), (51, "Anna " * 100_000 + ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(docs, items).collect()} == {50, 51}
+    assert sorted((r.doc_id, len(r.text)) for r in decontaminate.clean(docs, items).collect()) == sorted([(k, len(t)) for k, t in enumerate(runs)] + [(50, 19)])
+
+
 def test_decontamination_reads_digits_and_signs_of_all_scripts(spark):
     def ask(zero, a, b, sign):
         a, b = ("".join(chr(ord(zero) + int(c)) for c in str(n)) for n in (a, b))
@@ -491,30 +557,24 @@ def test_decontamination_reads_digits_and_signs_of_all_scripts(spark):
 
 
 def test_decontamination_against_brute_force(spark):
-    docs, items = table(spark, SF, "documents").collect(), table(spark, SF, "benchmark").collect()
-    cut = lambda t: re.findall(r"[^\W\d_]+", t.lower())
-    five = lambda t: {tuple(w[i : i + 5]) for w in [cut(t)] for i in range(max(1, len(w) - 4))}
-    sets = {r.item_id: five(r.text) for r in items}
-    want = set()
-    for d in docs:
-        own = five(d.text or "")
-        want |= {(d.doc_id, i) for i, s in sets.items() if len(s & own) >= 0.8 * len(s)}
-    got = {(r.doc_id, r.item_id) for r in QUERIES["op10_template_decontamination"](spark, SF).collect()}
-    assert len(want) > 20 and got == want
+    docs, items = ([(r[0], r.text) for r in table(spark, SF, n).collect()] for n in ("documents", "benchmark"))
+    got = figures(QUERIES["op10_template_decontamination"](spark, SF))
+    assert len(got) > 20 and got == brute_contaminated(docs, items)
 
 
 def test_decontamination_sql_on_slots(spark):
     import duckdb
     import pandas as pd
 
-    docs = [(k, t) for k, (t, _) in CASES.items()]
+    docs = [(k, t) for k, (t, _) in CASES.items() if k != 7] + [(11, STARTS.replace("Anna", "Zoë")), (12, "٣٤ boxes hold 5% of it each، so how many more are there")]
+    items = [(1, ITEM), (4, "Too short"), (5, STARTS), (6, "12 boxes hold 7 % of it each, so how many more are there")]
     c = duckdb.connect()
     c.register("d", pd.DataFrame(docs, columns=["doc_id", "text"]))
-    c.register("b", pd.DataFrame([(1, ITEM), (4, "Too short")], columns=["item_id", "text"]))
+    c.register("b", pd.DataFrame(items, columns=["item_id", "text"]))
     c.sql("CREATE TABLE documents AS SELECT * FROM d")
     c.sql("CREATE TABLE benchmark AS SELECT * FROM b")
-    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, ITEM), (4, "Too short")], "item_id long, text string"))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     theirs = c.sql(decontaminate.oracle_sql())
     order = sorted(got.columns)
     assert sorted(tuple(r[n] for n in order) for r in got.collect()) == sorted(theirs.select(*order).fetchall())
-    assert any(r.n_slots > 4 for r in got.collect())
+    assert any(r.n_slots > 4 for r in got.collect()) and {11, 12} <= {r.doc_id for r in got.collect()}
