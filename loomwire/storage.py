@@ -17,11 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, named in spark.checkpoint.dir.
+
+    Where none is set, a temporary one on a local master, as in tests; on a cluster that is an error, since the
+    driver's own folder is not the executors'.
+    """
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwire-"))
-        named = spark.sparkContext.getCheckpointDir()
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomwire-"))
+        named = sc.getCheckpointDir()
     return named.rstrip("/")
 
 
@@ -41,7 +48,7 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+def bounded(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if its count proves it small; else as it is, so that the join shuffles."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= most else df
