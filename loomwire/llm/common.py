@@ -1,24 +1,19 @@
-"""Reading, shared scratch space and small helpers of the operators in this subpackage."""
+"""The library's storage and small helpers, for the operators in this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from loomwire.storage import bounded, forget, shared_dir, table, written
+
+__all__ = ["ascii_lower", "bounded", "fold", "forget", "shared_dir", "small_batches", "table", "written"]
+
 #: A word of the contracts: a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that one Arrow batch may hold; with long texts a batch stays a few MB.
 BATCH_ROWS = 1000
-#: Largest table, in rows of ids, that is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -28,37 +23,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where none is set (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomwire-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors, has sizes Catalyst can plan with."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomwire/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def bounded(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its count proves it small; else as it is, so that the join shuffles."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
-
-
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 

@@ -1,28 +1,36 @@
 """Exact Jaccard join of documents' sets of word shingles, by pivots and triangle-inequality windows.
 
 Sets live in the metric space of the Jaccard distance d = 1 - |A & B| / |A | B|; two documents link at
-d <= 0.2. Exact copies are one point. Between unlike texts all distances are near 1, so that document
-pivots alone would put every document into every window. Regions are therefore made in two steps.
-
-1. Voronoi regions of shingle pivots. One order ranks all shingles: rare ones first, by hash, those of more
-   than `most` windows last. A set's nearest pivots are its first shingles; as a linked set lacks at most
-   floor(n/5) of them, a set is replicated to the regions of its floor(n/5) + 1 nearest pivots, and linked
-   sets always meet in one. Regions of one set vanish.
-2. Regions have document pivots. Every member is compared with its region's pivot, unless the regions that
-   both are in prove them too far apart; what is within 0.2 is linked, so that a large group of near copies costs one comparison each. A region whose members are
-   then in several components goes on, first by a round of further pivots, one of each of some components,
-   then by pairs (in large regions by pairs of blocks): members x, y of different components are compared only if the triangle inequality
-   |d(x, p) - d(y, p)| <= 0.2, their sizes and the number of their regions allow a link. Everything else
-   is either linked already or proven apart. Components of all links give the result.
-
-Pivots of large regions are known beforehand, so their rows are dealt out evenly and never meet in one
-task; distances are computed from whole sets. Two passes read all texts, a third those of candidates. What the driver gets
-is bounded: at most `most_hot` shingles and their pivots.
+d <= r = 0.2. Exact copies are one point. The result is the components of all links.
+
+1. Bound. Between unlike texts all distances are near 1, so that no choice of pivots parts a whole corpus. Linked
+   sets lack at most floor(n/5) of each other's shingles, so they share one of their first floor(n/5) + 1 under
+   any one order; the order has rare shingles first, by hash, those of more than `most` windows last. Points that
+   share such a shingle are in the region of the pivot that its points agree on; all others are too far apart.
+2. Pivots. Every member is compared with its region's pivot, unless the shingles that both share prove them too far
+   apart. What is within r is linked, so that a large group of near copies costs one comparison each. A region
+   whose members are then all in one component is done.
+3. Voronoi regions. An open region of more than LEAF members draws up to PICKS pivots of its own, each from another
+   component where it can, and all members are compared with them. A member x belongs to the region of its nearest
+   pivot and, by the triangle inequality, to that of every pivot p with d(x, p) <= d(x, nearest) + 2r: a
+   linked y whose nearest pivot is p can't be further from x. What is 3r or more from every pivot is
+   one region of its own, to which boundary members, 2r or more from every pivot, belong as well. Regions go on
+   the same way while that parts them: while the squares of the new sizes sum up to half the old one's at most.
+4. Leaves. Pairs of small regions, and blocks of those that pivots can't part (dense groups), are compared if
+   they are of different components and the triangle inequality |d(x, p) - d(y, p)| <= r, their sizes and
+   their shared shingles allow a link. In blocks the largest component is compared with the others, not with itself.
+
+Every step is exact: what isn't compared is linked already or proven apart. Rows of a region are dealt out over
+tasks whatever its size; a shingle that is common only under the second order is found by a sample of documents,
+which decides how its rows are dealt, never which links are found. Distances are computed from whole sets.
+Two passes read all texts, others those of candidates. What the driver gets is bounded: at most `most_hot` shingles
+and their pivots, twice.
 
 Sets are 64-bit hashes of lower-cased (A-Z) words; sets with equal 64-bit digests count as equal.
 Texts with fewer than five words are one shingle; null texts and those without words have size 0, link to
-nothing and are their own component. Rows with a null id get no component and link to nothing. Repeated
-rows and rows with one id are each returned; a component is named by its smallest id. Extra columns are ignored.
+nothing and are their own component, as are rows of an empty table: none. Very long texts are read in pieces of
+half a MB. Rows with a null id get no component and link to nothing. Repeated rows and rows with one id are each
+returned; a component is named by its smallest id. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,20 +40,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwire.operators.components import components
+
 from .bytescan import doc_words, mix, shingles
 from .common import bounded, forget, small_batches, written
-from .components import components
 
+R = 0.2
+EPS = 1e-9
 WORDS = 5
 MOST, MOST_HOT = 64, 500_000
 #: Copies of one set are left out of a task's later windows while it remembers this many sets.
 SEEN = 500_000
 #: Rows of ids that are broadcast at most.
 MOST_SENT = 200_000
-#: Members of a small region, and of one block of a large one.
-SMALL, BLOCK = 64, 512
-#: Rounds of new pivots, and pivots of a region in each.
-ROUNDS, PICKS = 1, 16
+#: Members of a region that isn't parted further, of a block of a dense one, and of a part that meets pivots in one task.
+LEAF, BLOCK, PART = 64, 512, 256
+#: How often regions are parted, and pivots of a region each time.
+ROUNDS, PICKS = 4, 16
+#: One document of so many is in the sample that finds common shingles, and rows there that make one common.
+SAMPLED, COMMON = 16, 8
+#: Blocks of a region's largest component are numbered from here.
+LARGEST = 1 << 40
 
 
 def _sets(column: pa.Array):
@@ -85,15 +100,21 @@ def _points(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n long, point long, window array<long>")
 
 
-def _memberships(docs: DataFrame, hot: np.ndarray, pivots: np.ndarray) -> DataFrame:
-    """shingle, point and, for hot shingles, the pivot: the windows under the order that has hot shingles last."""
-    shared = docs.sparkSession.sparkContext.broadcast((hot, pivots))
+def _look_up(keys: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of s are in the sorted keys, and where."""
+    at = np.searchsorted(keys, s)
+    return (keys[np.minimum(at, len(keys) - 1)] == s if len(keys) else np.zeros(len(s), bool)), at
+
+
+def _memberships(docs: DataFrame, hot: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """shingle, point and, for hot and common shingles, the pivot: the windows under the order that has hot shingles last."""
+    shared = docs.sparkSession.sparkContext.broadcast((hot, common))
 
     def run(batches):
-        hot, pivots = shared.value
+        (hot, hot_pivots), (common, common_pivots) = shared.value
         seen: set[int] = set()
         for b in batches:
-            keys, points, known = [], [], []
+            keys, points, pivots, known = [], [], [], []
             for _, s in _sets(b.column(1)):
                 if not len(s) or (p := _digest(s)) in seen:
                     continue
@@ -101,60 +122,71 @@ def _memberships(docs: DataFrame, hot: np.ndarray, pivots: np.ndarray) -> DataFr
                 if len(seen) > SEEN:
                     seen.clear()
                 take = len(s) // 5 + 1
-                at = np.searchsorted(hot, s)
-                is_hot = hot[np.minimum(at, len(hot) - 1)] == s if len(hot) else np.zeros(len(s), bool)
-                rare = s[~is_hot][:take]
-                common = np.flatnonzero(is_hot)[: take - len(rare)]
-                keys += [rare, s[common]]
-                points.append(np.full(len(rare) + len(common), p, np.int64))
-                known += [np.zeros(len(rare), np.int64), pivots[at[common]]]
-            k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            p = np.concatenate(points) if points else np.zeros(0, np.int64)
-            q = np.concatenate(known) if known else np.zeros(0, np.int64)
-            is_rare = np.concatenate([np.full(len(x), i % 2 == 0) for i, x in enumerate(keys)]) if keys else np.zeros(0, bool)
+                is_hot, at = _look_up(hot, s)
+                rare, last = s[~is_hot][:take], np.flatnonzero(is_hot)
+                last = last[: take - len(rare)]
+                is_common, place = _look_up(common, rare)
+                keys += [rare, s[last]]
+                points.append(np.full(len(rare) + len(last), p, np.int64))
+                pivots += [np.where(is_common, common_pivots[np.minimum(place, len(common) - 1)], 0) if len(common) else np.zeros(len(rare), np.int64), hot_pivots[at[last]]]
+                known += [is_common, np.ones(len(last), bool)]
+            flat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+            k, p, q, has = flat(keys, np.int64), flat(points, np.int64), flat(pivots, np.int64), flat(known, bool)
             for i in range(0, max(1, len(k)), 200_000):
                 j = slice(i, i + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(k[j]), pa.array(p[j]), pa.array(q[j], mask=is_rare[j])], ["shingle", "point", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[j]), pa.array(p[j]), pa.array(q[j], mask=~has[j])], ["shingle", "point", "pivot"])
 
     return docs.mapInArrow(run, "shingle long, point long, pivot long")
 
 
+def _pivots(rows: DataFrame, more_than: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles of more rows than that, and the least point of each."""
+    got = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("point").alias("pivot")).filter(F.col("n") > more_than).select("shingle", "pivot").toArrow()
+    keys, pivots = (np.asarray(got.column(i).to_numpy(), np.int64) for i in range(2))
+    order = np.argsort(keys)
+    return keys[order], pivots[order]
+
+
 def _regions(memberships: DataFrame) -> DataFrame:
-    """Members of regions with two points or more, each with its region's pivot."""
+    """Members of regions with two points or more, each with its region's pivot; where none is known, the least point."""
     spread = memberships.withColumn("deal", F.when(F.col("pivot").isNull(), F.col("shingle")).otherwise(F.xxhash64("shingle", "point")))
     n = int(memberships.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = spread.repartition(n, "deal").sortWithinPartitions("shingle", "point").select("shingle", "point", "pivot")
+    names = ["shingle", "point", "pivot"]
 
     def run(batches):
-        rest = [np.zeros(0, np.int64)] * 2
-        names = ["shingle", "point", "pivot"]
-
-        def whole(k, p):
-            """Runs of one shingle with different points; the smallest is the pivot."""
+        # Of the shingle at the end of a batch: its pivot, its last point, and whether the pivot's row still waits for a second point.
+        key = pivot = last = None
+        waits = False
+        for b in batches:
+            known = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            k, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            if known.any():
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(known)) for c in b.columns], names)
+            k, p = k[~known], p[~known]
+            if waits:
+                k, p = np.append(np.int64(key), k), np.append(np.int64(pivot), p)
             if not len(k):
-                return None
+                continue
             new = np.ones(len(k), bool)
             new[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+            goes_on = key is not None and not waits and int(k[0]) == key
+            if goes_on:
+                new[0] = int(p[0]) != last
+            if not new.any():
+                continue
             k, p = k[new], p[new]
             start = np.ones(len(k), bool)
             start[1:] = k[1:] != k[:-1]
             first = np.flatnonzero(start)
             size = np.diff(np.append(first, len(k)))
-            several = np.repeat(size > 1, size)
-            return pa.RecordBatch.from_arrays([pa.array(k[several]), pa.array(p[several]), pa.array(np.repeat(p[first], size)[several])], names)
-
-        for b in batches:
-            known = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            k, p = (b.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            if known.any():
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(known)) for c in b.columns], names)
-            k, p = np.concatenate([rest[0], k[~known]]), np.concatenate([rest[1], p[~known]])
-            cut = int(np.searchsorted(k, k[-1], "left")) if len(k) else 0  # the last run may go on
-            rest = [k[cut:], p[cut:]]
-            if cut:
-                yield whole(k[:cut], p[:cut])
-        if (last := whole(*rest)) is not None:
-            yield last
+            own = p[first].copy()
+            more = size > 1
+            if goes_on and int(k[0]) == key:
+                own[0], more[0] = pivot, True
+            take = np.repeat(more, size)
+            key, pivot, last, waits = int(k[-1]), int(own[-1]), int(p[-1]), not more[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(k[take]), pa.array(p[take]), pa.array(np.repeat(own, size)[take])], names)
 
     return sorted_.mapInArrow(run, "shingle long, point long, pivot long")
 
@@ -195,29 +227,100 @@ def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return both.select("x", "y", (1 - F.col("most") / (F.col("sum") - F.col("most"))).alias("low"), (F.col("most") * 9 >= F.col("sum") * 4).alias("possible"))
 
 
-def _distances(pairs: DataFrame, docs: DataFrame, named: DataFrame, name: str) -> DataFrame:
-    """x, y, linked, distance of pairs (x, y) of points, from their whole sets."""
-    ends = pairs.select(F.explode(F.array("x", "y")).alias("point")).distinct().join(named, "point").select(F.col("first").alias("doc_id"), "point")
-    sets = written(_candidate_sets(docs, bounded(written(ends, f"{name}-ends"), most=MOST_SENT)), f"{name}-sets")
+def _sets_of(points: DataFrame, docs: DataFrame, named: DataFrame, name: str) -> DataFrame:
+    """point, n, members of the points."""
+    ends = points.distinct().join(named, "point").select(F.col("first").alias("doc_id"), "point")
+    return written(_candidate_sets(docs, bounded(written(ends, f"{name}-ends"), most=MOST_SENT)), f"{name}-sets")
+
+
+def _distances(pairs: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
+    """x, y of the pairs (x, y) of points that are linked, by their whole sets."""
+    sets = _sets_of(pairs.select(F.explode(F.array("x", "y")).alias("point")), docs, named, "jaccard-leaf")
     a, b = (sets.select(F.col("point").alias(k), F.col("n").alias(f"n{k}"), F.col("members").alias(f"s{k}")) for k in "xy")
     both = F.size(F.array_intersect("sx", "sy")).cast("long")
     near = pairs.join(a, "x").join(b, "y").select("x", "y", both.alias("both"), (F.col("nx") + F.col("ny") - both).alias("all")).distinct()
-    near = written(near.select("x", "y", (F.col("both") * 100 >= F.col("all") * 80).alias("linked"), (1 - F.col("both") / F.col("all")).alias("distance")), name)
+    near = written(near.filter(F.col("both") * 100 >= F.col("all") * 80).select("x", "y"), "jaccard-leaf")
     forget(sets)
     return near
 
 
+def _against(members: DataFrame, picks: DataFrame, docs: DataFrame, named: DataFrame, name: str) -> DataFrame:
+    """region, point, pick, distance, linked of every member (region, point) and every pick (region, point) of its region.
+
+    Members of large regions are dealt into parts, to each of which the region's picks are sent; members meet them
+    one by one, as they come.
+    """
+    sets = _sets_of(members.select("point").unionByName(picks.select("point")), docs, named, name)
+    large = members.groupBy("region").agg(F.count("*").alias("of")).filter(F.col("of") > PART).select("region", (F.floor(F.col("of") / PART) + 1).alias("parts"))
+    large = bounded(written(large, f"{name}-large"))
+    dealt = members.join(large, "region", "left").select("region", F.coalesce(F.pmod(F.xxhash64("point"), F.col("parts")), F.lit(0)).alias("part"), F.lit(1).alias("kind"), "point")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
+    sent = picks.join(large, "region", "left").select("region", everywhere.alias("part"), F.lit(0).alias("kind"), "point")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = dealt.unionByName(sent).join(sets.select("point", "members"), "point").select("region", "part", "kind", "point", "members")
+
+    def run(batches):
+        at, chosen = None, []
+        for b in batches:
+            region, part, kind, point = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            offsets, flat = b.column(4).offsets.to_numpy(), b.column(4).values.to_numpy(zero_copy_only=False)
+            out = []
+            for i in range(b.num_rows):
+                s = flat[offsets[i] : offsets[i + 1]]
+                if (region[i], part[i]) != at:
+                    at, chosen = (region[i], part[i]), []
+                if kind[i] == 0:
+                    chosen.append((point[i], s.copy()))
+                    continue
+                for p, t in chosen:
+                    if p != point[i]:
+                        both = int(_look_up(t, s)[0].sum())
+                        out.append((region[i], point[i], p, both, len(s) + len(t) - both))
+            region_, point_, pick_, both_, all_ = np.array(out, np.int64).reshape(-1, 5).T
+            yield pa.RecordBatch.from_arrays([pa.array(region_), pa.array(point_), pa.array(pick_), pa.array(1 - both_ / np.maximum(all_, 1)), pa.array(both_ * 100 >= all_ * 80)], ["region", "point", "pick", "distance", "linked"])
+
+    met = rows.repartition(n, "region", "part").sortWithinPartitions("region", "part", "kind").mapInArrow(run, "region long, point long, pick long, distance double, linked boolean")
+    met = written(met, name)
+    forget(sets)
+    return met
+
+
+def _picks(members: DataFrame) -> DataFrame:
+    """region, point: up to PICKS members of each region, from different components where there are as many."""
+    slot = F.pmod(F.xxhash64("part", "region"), F.lit(PICKS))
+    return members.groupBy("region", slot.alias("slot")).agg(F.min_by("point", F.xxhash64("point", "region")).alias("point")).select("region", "point")
+
+
+def _cells(met: DataFrame, picks: DataFrame) -> DataFrame:
+    """region, cell, point, low, high: the Voronoi regions of the picks with their windows, without the picks, which are settled."""
+    each = met.groupBy("region", "point").agg(F.min("distance").alias("own"), F.collect_list(F.struct("pick", "distance")).alias("all"))
+    each = each.join(picks, ["region", "point"], "left_anti")
+    near = F.transform(F.filter("all", lambda p: (F.col("own") < 3 * R) & (p["distance"] <= F.col("own") + 2 * R + EPS)), lambda p: F.struct(p["pick"].alias("pick"), p["distance"].alias("low"), p["distance"].alias("high")))
+    far = F.when(F.col("own") >= 2 * R - EPS, F.array(F.struct(F.lit(None).cast("long").alias("pick"), F.col("own").alias("low"), F.lit(1.0).alias("high")))).otherwise(F.array())
+    placed = each.select("region", "point", F.explode(F.concat(near, far)).alias("at"))
+    return placed.select("region", F.xxhash64("region", "at.pick", F.col("at.pick").isNull()).alias("cell"), "point", "at.low", "at.high")
+
+
 def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
-    """Links (x, y) between components of large regions, one for each two components of two blocks at most.
+    """Links (x, y) between components of dense regions, one for each two components of two blocks at most.
 
-    members: pivot, point, part, of (the region's size). Members are dealt into blocks; every two blocks of a region
-    are one group, whose intersections are a product of incidence matrices. Pairs never become rows.
+    members: region, point, part, low, high. A region's largest component and all its others are dealt into blocks of
+    their own; two blocks of others, or one of others and one of the largest, are one group, whose intersections
+    are a product of incidence matrices. Members of the largest that are too far from or too near to the
+    region's pivot for any of the others are left out.
     """
-    ends = members.select("point").distinct().join(named, "point").select(F.col("first").alias("doc_id"), "point")
-    sets = written(_candidate_sets(docs, bounded(written(ends, "jaccard-block-ends"), most=MOST_SENT)), "jaccard-block-sets")
-    dealt = members.select("pivot", "point", "part", (F.floor(F.col("of") / BLOCK) + 1).alias("blocks")).withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "point", "part")
+    counts = members.groupBy("region", "part").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    largest = counts.groupBy("region").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("of"))
+    others = counts.join(largest.select("region", "main"), "region").filter("part <> main").groupBy("region").agg(F.min("low").alias("from"), F.max("high").alias("to"))
+    known = bounded(written(largest.join(others, "region"), "jaccard-dense"))
+    main = F.col("part") == F.col("main")
+    placed = members.join(known, "region").filter(~main | ((F.col("low") <= F.col("to") + R + EPS) & (F.col("high") >= F.col("from") - R - EPS)))
+    n_others, n_main = F.floor((F.col("of") - F.col("n_main")) / BLOCK) + 1, F.floor(F.col("n_main") / BLOCK) + 1
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    placed = placed.withColumn("block", F.when(main, F.pmod(F.xxhash64("point"), n_main) + LARGEST).otherwise(F.pmod(F.xxhash64("point"), n_others)))
+    placed = placed.withColumn("other", F.explode(F.when(main, numbers(n_others)).otherwise(F.concat(numbers(n_others), F.transform(numbers(n_main), lambda k: k + LARGEST)))))
+    dealt = placed.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "point", "part")
+    sets = _sets_of(members.select("point"), docs, named, "jaccard-block")
 
     def links(t: pa.Table) -> pa.Table:
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
@@ -244,7 +347,7 @@ def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataF
         _, one = np.unique(np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])]), axis=1, return_index=True)
         return pa.table({"x": point[x[one]], "y": point[y[one]]}, schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]))
 
-    return dealt.join(sets.select("point", "members"), "point").groupBy("pivot", "low", "high").applyInArrow(links, "x long, y long")
+    return dealt.join(sets.select("point", "members"), "point").groupBy("region", "low", "high").applyInArrow(links, "x long, y long")
 
 
 def _apart(a: str, b: str) -> Column:
@@ -252,8 +355,8 @@ def _apart(a: str, b: str) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     return (
         (c(a, "part") != c(b, "part"))
-        & (c(a, "low") - c(b, "high") <= 0.2 + 1e-9)
-        & (c(b, "low") - c(a, "high") <= 0.2 + 1e-9)
+        & (c(a, "low") - c(b, "high") <= R + EPS)
+        & (c(b, "low") - c(a, "high") <= R + EPS)
         & (c(a, "n") * 5 >= c(b, "n") * 4)
         & (c(b, "n") * 5 >= c(a, "n") * 4)
         # They have no more regions in common than the one with fewer is in.
@@ -278,58 +381,73 @@ def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFra
     points = written(_points(docs), "jaccard-points")
     total = points.agg(F.sum(F.size("window"))).first()[0] or 0
     most = max(most, -(-total // most_hot))
-    hot = points.select(F.explode("window").alias("shingle"), "point").groupBy("shingle").agg(F.count("*").alias("n"), F.min("point").alias("pivot")).filter(F.col("n") > most).select("shingle", "pivot").toArrow()
-    keys, pivots = (np.asarray(hot.column(i).to_numpy(), np.int64) for i in range(2))
-    order = np.argsort(keys)
+    hot = _pivots(points.select(F.explode("window").alias("shingle"), "point"), most)
     ids = written(points.select("doc_id", F.col("n").alias("n_shingles"), "point"), "jaccard-ids")
     forget(points)
     named = written(ids.filter(F.col("doc_id").isNotNull() & F.col("point").isNotNull()).groupBy("point").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n")), "jaccard-named")
 
-    regions = written(_regions(_memberships(docs.filter(F.col("doc_id").isNotNull()), keys[order], pivots[order])), "jaccard-regions")
+    # 1. Regions by shared shingles.
+    usable = docs.filter(F.col("doc_id").isNotNull())
+    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    sample = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0)
+    common = _pivots(_memberships(sample, hot, none).filter("pivot is null"), max(COMMON, most // SAMPLED))
+    regions = written(_regions(_memberships(usable, hot, common)), "jaccard-regions")
     # The pivot of a hot shingle may itself be in no region: then it has no keys, but is compared all the same.
     pivot = regions.select(F.lit(None).cast("long").alias("shingle"), F.col("pivot").alias("point")).distinct()
     known = written(regions.select("shingle", "point").unionByName(pivot).groupBy("point").agg(F.collect_set("shingle").alias("keys")).join(named.select("point", "n"), "point"), "jaccard-known")
 
-    # Every member against its region's pivot.
+    # 2. Every member against its region's pivot.
     stars = regions.filter(F.col("point") != F.col("pivot")).select(F.col("point").alias("x"), F.col("pivot").alias("y")).distinct()
     stars = written(_bounds(stars, known), "jaccard-stars")
-    near = _distances(stars.filter("possible").select("x", "y"), docs, named, "jaccard-near")
-    found = written(components(near.filter("linked").select("x", "y")), "jaccard-parts")
-    spans = stars.join(near, ["x", "y"], "left").select("x", "y", F.coalesce("distance", "low").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
+    possible = stars.filter("possible").select(F.col("y").alias("region"), F.col("x").alias("point"))
+    near = _against(possible, possible.select("region", F.col("region").alias("point")).distinct(), docs, named, "jaccard-near")
+    found = written(components(near.filter("linked").select(F.col("point").alias("x"), F.col("pick").alias("y"))), "jaccard-parts")
+    spans = stars.select("x", "y", F.col("low").alias("least")).join(near.select(F.col("point").alias("x"), F.col("pick").alias("y"), "distance"), ["x", "y"], "left")
+    spans = spans.select(F.col("x").alias("point"), F.col("y").alias("pivot"), F.coalesce("distance", "least").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
 
-    # Regions that are still in several components.
+    # Regions that are still in several components. Pivots are compared with all members, so only the others can be unsettled.
     part = regions.join(found.withColumnRenamed("node", "point"), "point", "left").withColumn("part", F.coalesce("part", "point"))
-    # Pivots are compared with all members, so only the others can be unsettled among themselves.
     open_ = part.filter(F.col("point") != F.col("pivot")).groupBy("shingle", "pivot").agg(F.min("part").alias("least"), F.max("part").alias("last")).filter("least <> last").select("shingle", "pivot")
-    going = part.join(bounded(written(open_, "jaccard-unsettled"), most=MOST_SENT), ["shingle", "pivot"]).select("pivot", "point", "part").distinct()
-    going = going.join(spans.select(F.col("x").alias("point"), F.col("y").alias("pivot"), "low", "high"), ["point", "pivot"]).join(known.select("point", "n", F.size("keys").alias("k")), "point")
-    members = written(going.drop("part"), "jaccard-open")
-    placed = lambda parts: members.join(parts.withColumnRenamed("node", "point"), "point", "left").withColumn("part", F.coalesce("part", "point"))
-
-    # Rounds of new pivots, one of each of some components, join most of what belongs together.
-    for turn in range(ROUNDS):
-        now = placed(found)
-        ones = now.groupBy("pivot", "part").agg(F.min_by("point", F.xxhash64("point", F.lit(turn))).alias("point"))
-        group = Window.partitionBy("pivot")
-        picks = ones.withColumn("nth", F.row_number().over(group.orderBy(F.xxhash64("point", F.lit(turn))))).withColumn("of", F.count("*").over(group)).filter((F.col("nth") <= PICKS) & (F.col("of") > 1))
-        picks = picks.select("pivot", "point").join(now, ["pivot", "point"])
-        pairs = now.alias("a").join(picks.alias("b"), (F.col("a.pivot") == F.col("b.pivot")) & _apart("a", "b")).select(F.least("a.point", "b.point").alias("x"), F.greatest("a.point", "b.point").alias("y")).distinct()
-        pairs = written(_bounds(pairs, known).filter("possible").select("x", "y"), "jaccard-round")
-        more = pairs if pairs.isEmpty() else written(_distances(pairs, docs, named, "jaccard-far").filter("linked").select("x", "y"), "jaccard-more")
-        if more.isEmpty():
+    going = part.join(bounded(written(open_, "jaccard-unsettled"), most=MOST_SENT), ["shingle", "pivot"]).select("pivot", "point").distinct()
+    members = written(going.join(spans, ["point", "pivot"]).select(F.col("pivot").alias("region"), "point", "low", "high"), "jaccard-open")
+    placed = lambda m, parts: m.join(parts.withColumnRenamed("node", "point"), "point", "left").withColumn("part", F.coalesce("part", "point"))
+
+    def still_open(m: DataFrame, parts: DataFrame) -> DataFrame:
+        """region, of: the regions with several components and their sizes."""
+        sizes = placed(m, parts).groupBy("region").agg(F.count("*").alias("of"), F.min("part").alias("least"), F.max("part").alias("last"))
+        return written(sizes.filter("least <> last").select("region", "of"), "jaccard-several")
+
+    # 3. Large regions are parted by pivots of their own.
+    leaves = []
+    for _ in range(ROUNDS):
+        several = still_open(members, found)
+        large = several.filter(F.col("of") > LEAF)
+        if large.isEmpty():
             break
-        found = _merged(found, more)
-
-    # What is left of small regions is compared pair by pair, of large ones block by block.
-    now = placed(found)
-    sizes = now.groupBy("pivot").agg(F.count("*").alias("of"), F.min("part").alias("least"), F.max("part").alias("last")).filter("least <> last").select("pivot", "of")
-    left = written(now.join(written(sizes, "jaccard-several"), "pivot"), "jaccard-left")
-    few, many = left.filter(F.col("of") <= SMALL), left.filter(F.col("of") > SMALL)
-    rest = few.alias("a").join(few.alias("b"), (F.col("a.pivot") == F.col("b.pivot")) & (F.col("a.point") < F.col("b.point")) & _apart("a", "b")).select(F.col("a.point").alias("x"), F.col("b.point").alias("y")).distinct()
+        leaves.append(members.join(bounded(several.filter(F.col("of") <= LEAF).select("region")), "region", "left_semi"))
+        members = written(members.join(bounded(large), "region"), "jaccard-large")
+        picks = written(_picks(placed(members, found)), "jaccard-picks")
+        met = _against(members.select("region", "point"), picks, docs, named, "jaccard-met")
+        more = written(met.filter("linked").select(F.col("point").alias("x"), F.col("pick").alias("y")), "jaccard-more")
+        found = found if more.isEmpty() else _merged(found, more)
+        cells = written(_cells(met, picks), "jaccard-cells")
+        squares = cells.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+        parted = written(large.join(squares, "region", "left").filter(F.coalesce("squares", F.lit(0.0)) * 2 <= F.col("of").cast("double") * F.col("of")).select("region"), "jaccard-parted")
+        leaves.append(members.drop("of").join(bounded(parted), "region", "left_anti"))
+        members = written(cells.join(bounded(parted), "region", "left_semi").select(F.col("cell").alias("region"), "point", "low", "high"), "jaccard-open")
+    for leaf in leaves:
+        members = members.unionByName(leaf.select(*members.columns))
+
+    # 4. What is left of small regions is compared pair by pair, of dense ones block by block.
+    several = still_open(members, found)
+    left = placed(members.join(bounded(several, most=MOST_SENT), "region"), found).join(known.select("point", "n", F.size("keys").alias("k")), "point")
+    left = written(left, "jaccard-left")
+    few, many = left.filter(F.col("of") <= LEAF), left.filter(F.col("of") > LEAF)
+    rest = few.alias("a").join(few.alias("b"), (F.col("a.region") == F.col("b.region")) & (F.col("a.point") < F.col("b.point")) & _apart("a", "b")).select(F.col("a.point").alias("x"), F.col("b.point").alias("y")).distinct()
     rest = written(_bounds(rest, known).filter("possible").select("x", "y"), "jaccard-rest")
-    more = rest if rest.isEmpty() else _distances(rest, docs, named, "jaccard-far").filter("linked").select("x", "y")
+    more = rest if rest.isEmpty() else _distances(rest, docs, named)
     if not many.isEmpty():
-        more = more.unionByName(_block_links(many, docs, named))
+        more = more.unionByName(_block_links(many.select("region", "point", "part", "low", "high"), docs, named))
     more = written(more, "jaccard-more")
     final = found if more.isEmpty() else _merged(found, more)
     # A component's name: the smallest id of its points.

@@ -125,14 +125,55 @@ def near_copies(seed):
     return [(i * 3, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("seed", "most", "small"), [(1, 64, 64), (2, 1, 2), (3, 3, 2)])
-def test_jaccard_join_is_exact(spark, monkeypatch, seed, most, small):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
+def components_by(spark, rows, **options):
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **options).collect()
+    return sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got)
+
+
+@pytest.mark.parametrize(("seed", "most", "leaf"), [(1, 64, 64), (2, 1, 2), (3, 3, 2)])
+def test_jaccard_join_is_exact(spark, monkeypatch, seed, most, leaf):
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
     monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    monkeypatch.setattr(jaccard_join, "PICKS", 1)
+    monkeypatch.setattr(jaccard_join, "PART", 4)
+    monkeypatch.setattr(jaccard_join, "PICKS", 2)
     rows = near_copies(seed) + [(1000 + (d or 0), t) if d is not None else (d, t) for d, t in ODD]
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=most).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert components_by(spark, rows, most=most) == brute_components(rows)
+
+
+def families(seed, n, edits, shared=60, own=40):
+    """Families of near copies that all hold one passage, so that one region has them all."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage, texts = [word() for _ in range(shared)], []
+    for size in n:
+        base = passage + [word() for _ in range(own)]
+        for _ in range(size):
+            t = list(base)
+            for _ in range(rng.randrange(edits)):
+                t[rng.randrange(len(t))] = word()
+            texts.append(t)
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize(("seed", "n", "edits", "most"), [(1, [40] * 8, 3, 10**9), (2, [300], 7, 64), (3, [130, 1, 1, 90, 2, 1], 6, 10**9)])
+def test_large_open_regions_with_the_own_parameters(spark, seed, n, edits, most):
+    rows = families(seed, n, edits)
+    assert components_by(spark, rows, most=most) == brute_components(rows)
+
+
+def test_voronoi_regions_hold_all_linked_pairs(spark):
+    """Every two members within r of each other share a cell, unless one is a pick."""
+    rng = random.Random(9)
+    at = [(rng.random(), rng.random()) for _ in range(150)]
+    dist = lambda i, j: min(1.0, ((at[i][0] - at[j][0]) ** 2 + (at[i][1] - at[j][1]) ** 2) ** 0.5 * 1.4)
+    picks = [3, 50, 149]
+    met = spark.createDataFrame([(7, i, p, dist(i, p), dist(i, p) <= 0.2) for i in range(150) for p in picks if p != i], "region long, point long, pick long, distance double, linked boolean")
+    cells: dict = {}
+    for r in jaccard_join._cells(met, spark.createDataFrame([(7, p) for p in picks], "region long, point long")).collect():
+        cells.setdefault(r.point, set()).add(r.cell)
+    assert not set(cells) & set(picks) and len(set().union(*cells.values())) > 2
+    assert all(cells[i] & cells[j] for i, j in combinations(cells, 2) if dist(i, j) <= 0.2)
 
 
 def stock_phrases(seed):
@@ -148,8 +189,7 @@ def stock_phrases(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join_finds_near_copies_of_common_shingles(spark, seed):
     rows = stock_phrases(seed)
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), most=3).collect()
-    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got) == brute_components(rows)
+    assert components_by(spark, rows, most=3) == brute_components(rows)
 
 
 def test_jaccard_join_odd_rows(spark):
