@@ -8,8 +8,9 @@ all training texts of that centroid reach is marked rejected; it still carries i
 The sample is bounded: at most about `per_language` texts of each language and `total` texts in all,
 drawn by a hash of the id, so that memory on the driver doesn't grow with the corpus.
 Null texts and texts without a letter are `und` with score 0, as is everything if nothing can be
-learned. Null ids are never learned from and not held out. Repeated rows are scored alike; extra
-columns are ignored; texts of any length are read whole.
+learned. Null ids are never learned from and not held out. Repeated rows are scored alike; of languages with
+the same cosine the first by name wins; extra columns are ignored; texts of any length are read whole; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -110,9 +111,10 @@ def fit(docs: DataFrame, per_language: int = 800, total: int = 8000, clusters: i
     def count(batches):
         for b in batches:
             x = trigram_counts(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.astype(np.uint16 if r.max(initial=0) < 65536 else np.float32).astype(np.float32).tobytes() for r in x], pa.binary())], ["lang", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([r.astype(np.uint16 if r.max(initial=0) < 65536 else np.float32).astype(np.float32).tobytes() for r in x], pa.binary())], ["lang", "h", "counts"])
 
-    got = drawn.select("lang", "text").mapInArrow(count, "lang string, counts binary").limit(2 * total).collect()
+    counted = drawn.select("lang", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(count, "lang string, h long, counts binary")
+    got = counted.orderBy("h", "lang", "counts").limit(2 * total).collect()
     return train(sorted(((r["lang"], np.frombuffer(r["counts"], np.float32)) for r in got), key=lambda r: (r[0], r[1].tobytes())), clusters)
 
 

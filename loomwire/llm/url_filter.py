@@ -5,11 +5,13 @@ without a slash, `**` for any run. All rules share one Shift-And automaton whose
 of as many 64-bit words as they need; one step per character moves every rule of every URL of a batch.
 
 Nulls and URLs without `://` have an empty host and path, fit no rule and get the default verdict.
-Repeated rows give repeated rows. Very long URLs only cost their length. Extra columns are ignored.
+Repeated rows give repeated rows, an empty table none. Very long URLs only cost their length. Of rules of one
+length that fit a URL the first listed wins. Extra columns stay; those named as the results are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -43,8 +45,18 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: For URLs that no rule fits: hosts that match one of these globs are blocked, others allowed.
-BLOCKED_HOSTS = ("*spam*", "*casino*", "*adserver*")
+#: For URLs that no rule fits: globs over `.host/path` of what isn't worth reading. Hosts first (all their paths), then paths.
+BLOCKED_HOSTS = tuple("*spam* *casino* *poker* *gambl* *betting* *porn* *viagra* *adserver* *.ads.* *.adserv.* *tracker.* *.doubleclick.net *.onion".split())
+BLOCKED_PATHS = tuple(
+    """
+    *.*/**/wp-login.php** *.*/wp-login.php** *.*/wp-admin/** *.*/cgi-bin/** *.*/login *.*/login/** *.*/signin** *.*/logout** *.*/cart/** *.*/checkout/**
+    *.*/**.exe *.*/**.zip *.*/**.gz *.*/**.iso *.*/**.mp3 *.*/**.mp4 *.*/**.avi *.*/**.jpg *.*/**.jpeg *.*/**.png *.*/**.gif *.*/**.css *.*/**.js
+    """.split()
+)
+
+
+def default_globs(hosts: Sequence[str], paths: Sequence[str]) -> list[str]:
+    return [g for h in hosts for g in ((h if h.startswith("*") else f".{h}"), (h if h.startswith("*") else f".{h}") + "/**")] + list(paths)
 
 
 class ShiftAnd:
@@ -117,12 +129,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def filter_urls(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES, blocked_hosts: Sequence[str] = BLOCKED_HOSTS) -> DataFrame:
-    """Adds host, path, rule and verdict to df. Of rules of one length the first listed wins."""
+def filter_urls(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES, blocked_hosts: Sequence[str] = BLOCKED_HOSTS, blocked_paths: Sequence[str] = BLOCKED_PATHS) -> DataFrame:
+    """Adds host, path, rule and verdict to df; columns of df with these names are replaced. Of rules of one length the first listed wins."""
     names = [r.name for r in rules]
     order = sorted(range(len(rules)), key=lambda i: (-len(names[i]), i))
     globs = [(i, g) for i in order for g in rules[i].globs()]
-    own = [(-2, g) for h in blocked_hosts for g in (f".{h}", f".{h}/**")]
+    own = [(-2, g) for g in default_globs(blocked_hosts, blocked_paths)]
     built: list[ShiftAnd] = []
 
     @F.pandas_udf("int")
@@ -136,14 +148,24 @@ def filter_urls(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES,
         return pd.Series(value[first].astype("int32"))
 
     host, path = host_and_path(F.col(url))
-    out = df.withColumns({"host": host, "path": path}).withColumn("_hit", verdict(F.concat(F.lit("."), "host", "path")))
-    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col("_hit")) if values else F.lit(None).cast("string")
-    return out.withColumns(
-        {"rule": F.when(F.col("_hit") >= 0, pick(names)), "verdict": F.when(F.col("_hit") >= 0, pick([r.verdict for r in rules])).when(F.col("_hit") == -2, "block").otherwise("allow")}
-    ).drop("_hit")
+    hit = "_hit"
+    while hit in df.columns:
+        hit += "_"
+    judged = df.select("*", host.alias("host_" + hit), path.alias("path_" + hit)).withColumn(hit, verdict(F.concat(F.lit("."), "host_" + hit, "path_" + hit)))
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col(hit)) if values else F.lit(None).cast("string")
+    rule = F.when(F.col(hit) >= 0, pick(names))
+    said = F.when(F.col(hit) >= 0, pick([r.verdict for r in rules])).when(F.col(hit) == -2, "block").otherwise("allow")
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    return judged.select(*keep, F.col("host_" + hit).alias("host"), F.col("path_" + hit).alias("path"), rule.alias("rule"), said.alias("verdict"))
+
+
+def glob_pattern(glob: str) -> str:
+    """The regular expression of a glob."""
+    return "^" + "".join({"**": ".*", "*": "[^/]*"}.get(part, re.escape(part)) for part in re.split(r"(\*\*|\*)", glob)) + "$"
 
 
-ORACLE_SQL = r"""
+_DEFAULT = " OR ".join(f"regexp_matches('.' || host || path, '{glob_pattern(g)}', 's')" for g in default_globs(BLOCKED_HOSTS, BLOCKED_PATHS))
+ORACLE_SQL = rf"""
 WITH cut AS (
   SELECT page_id, CASE WHEN coalesce(position('://' IN url), 0) = 0 THEN '' ELSE substr(url, position('://' IN url) + 3) END AS rest FROM pages
 ), named AS (
@@ -159,6 +181,6 @@ WITH cut AS (
 )
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN host LIKE '%spam%' OR host LIKE '%casino%' OR host LIKE '%adserver%' THEN 'block' ELSE 'allow' END AS verdict
+  WHEN {_DEFAULT} THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
