@@ -283,6 +283,20 @@ def test_fingerprint_bins_are_seamless(spark, monkeypatch):
         assert got[d] == hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % 25][1][:half]).encode()).hexdigest()
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_fingerprint_bins_of_any_ids(spark, monkeypatch, kind):
+    """Outliers, gaps, and ids that aren't numbers; more bounds than are compared at a time."""
+    monkeypatch.setattr(fingerprint, "BIN_DOCS", 2)
+    monkeypatch.setattr(fingerprint, "STEP", 4)
+    monkeypatch.setattr(fingerprint, "SAMPLE", 16)
+    ids = [-(2**62), 2**62, *range(1000, 1040), *(i * 10**9 for i in range(1, 6))]
+    rows = sorted((i if kind == "long" else f"id-{i}", f"text number {i} of some") for i in ids)
+    got = {r.doc_id: r.edited_sha256 for r in fingerprint.fingerprints(spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(4)).collect()}
+    for k, (d, t) in enumerate(rows):
+        half = len(t) // 2
+        assert got[d] == hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % len(rows)][1][:half]).encode()).hexdigest()
+
+
 def test_fingerprint_bytes_are_compared(spark, monkeypatch):
     """With hashes that are all equal, only the bytes can tell texts apart."""
     monkeypatch.setattr(fingerprint, "hashes", lambda c, a, b: [F.lit(1).cast("long").alias(a), F.lit(2).cast("long").alias(b)])
