@@ -9,7 +9,7 @@ from .text import bullets, json_array, json_object, key_sentences, strip, string
 
 SENTIMENTS = ("positive", "negative", "neutral")
 #: Phrases of the requested schema; an answer with two of them echoes it.
-ECHO = ("score:", "tags:", "sentiment:", "summary:", "1-10", "string array", "json object", "key_sentences", "no markdown")
+ECHO = ("單一字串", "單字串", "非array", "每點用", "每點之間用換行符", "唔超過10個字", "唔超過10字", "至8重點", "5至8個重點")
 
 
 def parsed(c: Column) -> Column:

@@ -16,8 +16,8 @@ def feed_date(c: Column) -> Column:
 
 
 def stamp_in_url(url: Column, zone: str = "Asia/Hong_Kong") -> Column:
-    """A 14-digit local time inside a URL, as UTC."""
-    return F.to_utc_timestamp(F.try_to_timestamp(F.regexp_extract(url, r"(\d{14})", 1), F.lit("yyyyMMddHHmmss")), zone)
+    """The local time of a breaking-news URL, `/yyyyMMdd/bkn-yyyyMMddHHmmss...`, as UTC."""
+    return F.to_utc_timestamp(F.try_to_timestamp(F.regexp_extract(url, r"/\d{8}/bkn-(\d{14})", 1), F.lit("yyyyMMddHHmmss")), zone)
 
 
 def strict_date(c: Column) -> Column:

@@ -16,7 +16,15 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from .text import escape_xml, sentences, squeeze, strip
 
 #: Phrases of pages that only ask who is there.
-WALLS = ("just a moment", "enable javascript and cookies", "verify you are human", "access denied", "attention required", "checking your browser", "are you a robot")
+WALLS = (
+    "cloudflare ray id",
+    "security service to protect",
+    "cf-browser-verification",
+    "checking your browser",
+    "please enable cookies",
+    "enable javascript and cookies",
+    "ddos protection by",
+)
 _VOID = {"br", "img", "hr", "meta", "link", "input", "source", "area", "base", "col", "embed", "track", "wbr"}
 _SKIP = {"script", "style", "noscript", "template", "svg", "nav", "header", "footer", "aside", "form", "iframe", "button"}
 _BLOCK = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "section", "article", "main", "td", "tr", "figure", "figcaption", "pre", "br"}

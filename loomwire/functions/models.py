@@ -13,14 +13,16 @@ from .text import hash_id
 
 #: One call: a list of prompts to a list of answers of the same length.
 Call = Callable[[list[str]], list[str | None]]
-#: Names of errors that a later attempt may not meet.
-TRANSIENT = ("TimeoutError", "ConnectionError", "ServerDisconnectedError", "ClientConnectorError", "IncompleteRead")
+#: Types of errors, as a service names them, that a later attempt may not meet.
+TRANSIENT = ("overloaded_error", "rate_limit_error", "api_error")
+#: Errors of the connection itself, by class.
+BROKEN = ("TimeoutError", "ConnectionError", "ServerDisconnectedError", "ClientConnectorError", "IncompleteRead")
 
 
 def retryable(error: Exception) -> bool:
-    """Named transient errors, too many requests, and errors of the server."""
+    """Named transient errors (`type` of the error), broken connections, too many requests, and errors of the server."""
     status = getattr(error, "status", None) or getattr(error, "code", None)
-    return type(error).__name__ in TRANSIENT or (isinstance(status, int) and (status == 429 or status >= 500))
+    return getattr(error, "type", None) in TRANSIENT or type(error).__name__ in BROKEN or (isinstance(status, int) and (status == 429 or status >= 500))
 
 
 def attempt(call: Call, prompts: list[str], attempts: int = 4, pause: float = 1.0, cap: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> list[str | None] | None:

@@ -74,7 +74,7 @@ def key_sentences(items: Column, limit: int = 2, least: int = 8, most: int = 120
 def sentences(c: Column) -> Column:
     """Bullets if there are two marks or more, else sentences after their closing marks."""
     many = (F.length(c) - F.length(F.replace(c, F.lit("・"), F.lit("")))) >= 2
-    return F.filter(F.transform(F.when(many, F.split(c, "・")).otherwise(F.split(c, r"(?<=[。！？；.!?])\s*")), strip), lambda x: x != "")
+    return F.filter(F.transform(F.when(many, F.split(c, "・")).otherwise(F.split(c, r"(?<=[。！？；])\s*")), strip), lambda x: x != "")
 
 
 def escape_xml(c: Column) -> Column:

@@ -21,22 +21,30 @@ def canonical_topic(topic: Column, text: Column, aliases: Sequence[tuple[str, Se
     return out
 
 
+def reports(rows: DataFrame) -> DataFrame:
+    """rows that aren't near copies of others; all where nothing tells."""
+    return rows.filter(F.col("duplicate_of").isNull()) if "duplicate_of" in rows.columns else rows
+
+
 def with_clusters(rows: DataFrame, topic: str = "topic") -> DataFrame:
-    """rows with cluster_id and cluster_size where two rows or more share a topic."""
-    size = F.count("*").over(Window.partitionBy(topic))
-    named = rows.withColumn("_n", F.when(F.coalesce(F.col(topic), F.lit("")) != "", size).otherwise(0))
-    return named.withColumn("cluster_id", F.when(F.col("_n") > 1, hash_id(F.col(topic), 8))).withColumn("cluster_size", F.when(F.col("_n") > 1, F.col("_n"))).drop("_n")
+    """rows with cluster_id and cluster_size where two reports or more share a topic; near copies neither count nor get them."""
+    rows = rows.drop("cluster_id", "cluster_size")
+    sizes = clusters(rows, topic).select(F.col(topic).alias("_topic"), F.col("cluster_id").alias("_id"), F.col("n").alias("_n"))
+    named = rows.join(sizes, rows[topic] == sizes["_topic"], "left")
+    own = F.col("duplicate_of").isNull() if "duplicate_of" in rows.columns else F.lit(True)
+    return named.withColumn("cluster_id", F.when(own, F.col("_id"))).withColumn("cluster_size", F.when(own, F.col("_n"))).drop("_topic", "_id", "_n")
 
 
 def clusters(rows: DataFrame, topic: str = "topic") -> DataFrame:
-    """topic, cluster_id, n, n_sources of topics with two rows or more."""
-    own = rows.filter(F.coalesce(F.col(topic), F.lit("")) != "")
-    return own.groupBy(topic).agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources")).filter("n > 1").select(topic, hash_id(F.col(topic), 8).alias("cluster_id"), "n", "n_sources")
+    """topic, cluster_id, n, n_sources of topics with two reports or more."""
+    own = reports(rows).filter(F.coalesce(F.col(topic), F.lit("")) != "")
+    counted = own.groupBy(topic).agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources")).filter("n > 1")
+    return counted.select(topic, hash_id(F.col(topic), 8).alias("cluster_id"), "n", "n_sources")
 
 
 def qualifying(rows: DataFrame, least: int = 2, large: int = 4, peak: int = 8, limit: int = 25) -> DataFrame:
     """Clusters worth a digest: of `least` members, and large or with a high score; the best `limit`."""
-    own = rows.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("score").alias("peak"))
+    own = reports(rows).filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.count("*").alias("n"), F.max("score").alias("peak"))
     return own.filter((F.col("n") >= least) & ((F.col("n") >= large) | (F.col("peak") >= peak))).orderBy(F.desc("peak"), F.desc("n"), F.desc("cluster_id")).limit(limit)
 
 
@@ -51,17 +59,29 @@ def representatives(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_nth = 1").drop("_nth")
 
 
-#: What the flags look for in title and summary.
-FLAG_PATTERNS = (("unverified", r"(?i)\b(alleged|reportedly|rumou?r|unconfirmed|sources say)\b"), ("developing", r"(?i)\b(breaking|developing|live updates?)\b"), ("opinion", r"(?i)\b(opinion|editorial|commentary)\b"))
+#: What the flags look for in title, summary, topic and event type, and the flags, in this order.
+FLAG_PATTERNS = (
+    ("消息未證實", "據悉|消息指|消息人士|有傳|傳出|網傳|未證實|暫未證實|據報"),
+    ("仍有變數", "或|可能|料|預計|估計|相信|未知|暫未|變數"),
+)
+THIN, ONE_SOURCE, NO_SUMMARY = "全文不足", "單一來源", "AI摘要缺失"
+FLAG_FIELDS = ("title", "summary", "topic", "event_type")
 
 
-def uncertainty_flags(rows: DataFrame, patterns: Sequence[tuple[str, str]] = FLAG_PATTERNS, text: Column | None = None) -> DataFrame:
-    """rows with flags: patterns found, thin content, an important story of one source, no summary; at most three, in this order.
+def uncertainty_flags(rows: DataFrame, patterns: Sequence[tuple[str, str]] = FLAG_PATTERNS, most: int = 3) -> DataFrame:
+    """rows with flags: patterns found, thin content, an important story of one source, no summary; the first `most`.
 
-    rows has title, summary, score, source, cluster_id, chars.
+    rows has title, summary, score, source, cluster_id, chars (of the content) and, if known, topic, event_type, fallback
+    and duplicate_of. Content is thin below 500 characters or where only a minimal page was made. Near copies are
+    no sources; a story without a cluster has one.
     """
-    text = F.concat_ws(" ", "title", "summary") if text is None else text
-    n = F.when(F.col("cluster_id").isNull(), 1).otherwise(F.size(F.collect_set("source").over(Window.partitionBy("cluster_id"))))
-    flags = [F.when(text.rlike(p), F.lit(name)) for name, p in patterns]
-    flags += [F.when(F.col("chars") < 150, F.lit("thin")), F.when((F.col("score") >= 7) & (F.col("_sources") < 2), F.lit("single-source")), F.when(F.coalesce(F.trim("summary"), F.lit("")) == "", F.lit("no-summary"))]
-    return rows.withColumn("_sources", n).withColumn("flags", F.slice(F.array_distinct(F.array_compact(F.array(*flags))), 1, 3)).drop("_sources")
+    found = F.concat_ws(" ", *(F.col(c) for c in FLAG_FIELDS if c in rows.columns))
+    counts = reports(rows).filter("cluster_id IS NOT NULL").groupBy(F.col("cluster_id").alias("_cluster")).agg(F.count_distinct(F.coalesce("source", F.lit(""))).alias("_sources"))
+    out = rows.join(counts, rows["cluster_id"] == counts["_cluster"], "left")
+    sources = F.when(F.col("cluster_id").isNull(), 1).otherwise(F.coalesce("_sources", F.lit(0)))
+    thin = F.col("chars") < 500
+    if "fallback" in rows.columns:
+        thin = thin | F.coalesce(F.col("fallback") == "minimal", F.lit(False))
+    flags = [F.when(found.rlike(p), F.lit(name)) for name, p in patterns]
+    flags += [F.when(thin, F.lit(THIN)), F.when((F.col("score") >= 7) & (sources < 2), F.lit(ONE_SOURCE)), F.when(F.coalesce("summary", F.lit("")) == "", F.lit(NO_SUMMARY))]
+    return out.withColumn("flags", F.slice(F.array_distinct(F.array_compact(F.array(*flags))), 1, most)).drop("_cluster", "_sources")

@@ -1,8 +1,10 @@
-"""Near-duplicate titles: exact set-similarity join by prefix filter, groups, and the copy to keep."""
+"""Near-duplicate titles: exact set-similarity join by partitions of the bigrams, groups, and the copy to keep."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwire.functions.text import bigrams
@@ -13,39 +15,59 @@ from .components import components
 THRESHOLD = 82  # per cent
 
 
-def similar_pairs(rows: DataFrame, key: str = "ord", title: str = "title", percent: int = THRESHOLD) -> DataFrame:
-    """(a, b, jaccard) of keys a < b whose bigram sets are at least `percent` alike.
+def _points(rows: DataFrame, key: str, title: str) -> tuple[DataFrame, DataFrame]:
+    """(point, grams) of each different bigram set, named by its smallest key, and (key, point) of all rows with a set."""
+    sets = written(rows.select(F.col(key).alias("key"), F.sort_array(bigrams(F.col(title))).alias("grams")).filter(F.size("grams") > 0), "title-sets")
+    points = written(sets.groupBy("grams").agg(F.min("key").alias("point")), "title-points")
+    return points, sets.join(points, "grams").select("key", "point")
+
+
+def _parts(size: Column, percent: int) -> Column:
+    """More than two sets of that size at most, as alike as asked, can differ in: (2 - 2t) / (1 + t) * size elements."""
+    return F.floor(size * (200 - 2 * percent) / (100 + percent) + 1e-9).cast("int") + 1
+
 
-    Equal sets are joined once. Of each set only the rarest bigrams are indexed: two sets that reach the threshold share one of the first
-    n - ceil(t*n) + 1, as Catalyst's equi-join on the bigram then finds. Sizes, the place of the last
-    shared bigram and the exact overlap decide.
+def _similar_points(points: DataFrame, percent: int) -> DataFrame:
+    """(p, q, jaccard) of points p < q that are at least `percent` alike.
+
+    Sizes are cut into classes, each from one power of 1 / t to the next; a pair belongs to the class of its larger set,
+    so that every set takes part in its own class and the next. Sets of a class differ in fewer elements than
+    the class has parts; cut by the hashes of the elements into so many parts, alike sets have at least one part
+    in common, which a join on its hash finds. Sizes and the exact overlap decide. Whole parts are much
+    rarer than single bigrams, of which a language has only hundreds.
     """
-    sets = rows.select(F.col(key).alias("key"), F.sort_array(bigrams(F.col(title))).alias("grams")).filter(F.size("grams") > 0)
-    points = written(sets.groupBy("grams").agg(F.min("key").alias("point"), F.collect_list("key").alias("keys")), "title-sets")
-    each = points.select("point", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    rank = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ordered = each.join(rank, "gram").groupBy("point", "n").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("by_rank"))
-    prefix = F.floor(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    index = written(ordered.select("point", "n", F.posexplode(F.slice("by_rank", F.lit(1), prefix)).alias("pos", "at")).select("point", "n", "pos", F.col("at.gram").alias("gram")), "title-prefixes")
+    step = math.log(100 / percent)
+    own = F.floor(F.log(F.size("grams").cast("double")) / step + 1e-9).cast("int")
+    sized = points.select("point", "grams", F.size("grams").alias("n"), F.explode(F.array(own, own + 1)).alias("class"))
+    largest = F.ceil(F.exp((F.col("class") + 1) * F.lit(step)) + 1e-6)
+    parts = sized.withColumn("parts", _parts(largest, percent)).withColumn("hashes", F.transform("grams", lambda g: F.xxhash64(g)))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    each = parts.select("point", "n", "class", part.alias("part"), "hashes", "parts")
+    held = F.filter("hashes", lambda h: F.pmod(h, F.col("parts")) == F.col("part"))
+    index = written(each.select("point", "n", "class", F.xxhash64("class", "part", held).alias("mark")), "title-marks")
     a, b = index.alias("a"), index.alias("b")
     sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.point") < F.col("b.point")) & sizes)
-    met = met.groupBy(F.col("a.point").alias("p"), F.col("b.point").alias("q"), F.col("a.n").alias("np"), F.col("b.n").alias("nq")).agg(F.count("*").alias("c"), F.max("a.pos").alias("lp"), F.max("b.pos").alias("lq"))
-    # Beyond the last shared bigram of the prefixes only the shorter rest can still be shared.
-    most = F.col("c") + F.least(F.col("np") - F.col("lp"), F.col("nq") - F.col("lq")) - 1
-    met = met.filter(most * (100 + percent) >= (F.col("np") + F.col("nq")) * percent).select("p", "q")
-    grams = points.select("point", "grams", "keys")
-    both = F.size(F.array_intersect("gp", "gq"))
-    near = met.join(grams.select(F.col("point").alias("p"), F.col("grams").alias("gp"), F.col("keys").alias("kp")), "p").join(grams.select(F.col("point").alias("q"), F.col("grams").alias("gq"), F.col("keys").alias("kq")), "q")
-    near = near.withColumn("both", both).withColumn("all", F.size("gp") + F.size("gq") - F.col("both")).filter(F.col("both") * 100 >= F.col("all") * percent)
-    unlike = near.select((F.col("both") / F.col("all")).alias("jaccard"), F.explode("kp").alias("x"), "kq").select("jaccard", "x", F.explode("kq").alias("y"))
-    alike = points.filter(F.size("keys") > 1).select(F.lit(1.0).alias("jaccard"), F.explode("keys").alias("x"), "keys").select("jaccard", "x", F.explode("keys").alias("y")).filter("x < y")
-    return unlike.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    met = a.join(b, (F.col("a.mark") == F.col("b.mark")) & (F.col("a.point") < F.col("b.point")) & sizes).select(F.col("a.point").alias("p"), F.col("b.point").alias("q")).distinct()
+    near = met.join(points.select(F.col("point").alias("p"), F.col("grams").alias("gp")), "p").join(points.select(F.col("point").alias("q"), F.col("grams").alias("gq")), "q")
+    near = near.withColumn("both", F.size(F.array_intersect("gp", "gq"))).withColumn("all", F.size("gp") + F.size("gq") - F.col("both"))
+    return near.filter(F.col("both") * 100 >= F.col("all") * percent).select("p", "q", (F.col("both") / F.col("all")).alias("jaccard"))
+
+
+def similar_pairs(rows: DataFrame, key: str = "ord", title: str = "title", percent: int = THRESHOLD) -> DataFrame:
+    """(a, b, jaccard) of all keys a < b whose bigram sets are at least `percent` alike: a report, as long as there are pairs. Groups don't need it."""
+    points, members = _points(rows, key, title)
+    members = written(members, "title-members")
+    alike = _similar_points(points, percent).unionByName(members.groupBy("point").count().filter("count > 1").select(F.col("point").alias("p"), F.col("point").alias("q"), F.lit(1.0).alias("jaccard")))
+    both = alike.join(members.select(F.col("key").alias("x"), F.col("point").alias("p")), "p").join(members.select(F.col("key").alias("y"), F.col("point").alias("q")), "q")
+    both = both.filter((F.col("p") != F.col("q")) | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
 
 
 def duplicate_groups(rows: DataFrame, key: str = "ord", title: str = "title", percent: int = THRESHOLD) -> DataFrame:
-    """(key, group) of rows that are in a group of two or more; the group is its smallest key."""
-    parts = components(similar_pairs(rows, key, title, percent).select(F.col("a").alias("x"), F.col("b").alias("y")))
+    """(key, group) of rows that are in a group of two or more; the group is its smallest key. Equal titles are one link each."""
+    points, members = _points(rows, key, title)
+    links = _similar_points(points, percent).select(F.col("p").alias("x"), F.col("q").alias("y"))
+    parts = components(links.unionByName(members.filter("key <> point").select(F.col("key").alias("x"), F.col("point").alias("y"))))
     return parts.select(F.col("node").alias(key), F.col("part").alias("group"))
 
 
@@ -54,11 +76,11 @@ def mark_duplicates(rows: DataFrame, key: str = "ord", title: str = "title", per
 
     Kept is the best (score, date); the first row of equals.
     """
-    groups = duplicate_groups(rows, key, title, percent)
-    best = Window.partitionBy("group").orderBy(F.desc(F.coalesce("score", F.lit(0))), F.desc("ts"), key)
-    grouped = rows.join(groups, key).withColumn("_nth", F.row_number().over(best))
-    whole = Window.partitionBy("group")
-    marks = grouped.withColumn("_keep", F.max(F.when(F.col("_nth") == 1, F.col("id"))).over(whole)).select(
-        key, F.when(F.col("_nth") > 1, F.col("_keep")).alias("duplicate_of"), F.when(F.col("_nth") == 1, F.count("*").over(whole)).alias("duplicate_count")
-    )
+    groups = written(duplicate_groups(rows, key, title, percent), "title-groups")
+    late = F.coalesce(-F.unix_micros(F.col("ts").cast("timestamp")), F.lit((1 << 63) - 1))
+    order = F.struct((-F.coalesce("score", F.lit(0))).alias("score"), late.alias("late"), F.col(key).alias("key"))
+    own = rows.select(key, "id", order.alias("order")).join(groups, key)
+    best = own.groupBy("group").agg(F.min_by(F.struct(F.col(key).alias("key"), "id"), "order").alias("best"), F.count("*").alias("n"))
+    first = F.col(key) == F.col("best.key")
+    marks = groups.join(best, "group").select(key, F.when(~first, F.col("best.id")).alias("duplicate_of"), F.when(first, F.col("n")).alias("duplicate_count"))
     return rows.join(marks, key, "left")

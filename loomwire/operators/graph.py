@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clusters import reports
+
 
 def nodes(mentions: DataFrame, least: int = 2, limit: int = 150, ids: int = 20) -> DataFrame:
-    """type, label, mentions (repeats count), articles; the most mentioned first."""
-    own = mentions.filter(F.length("label") >= 2).groupBy("type", "label").agg(F.count("*").alias("mentions"), F.count_distinct("article").alias("articles"), F.array_join(F.slice(F.array_sort(F.collect_set("article")), 1, ids), ",").alias("ids"))
-    return own.filter(F.col("mentions") >= least).orderBy(F.desc("mentions"), F.desc("label"), F.desc("type")).limit(limit)
+    """type, label, mentions (repeats count), articles, ids (the first `ids` articles); the most mentioned first.
+
+    Articles are listed for the nodes that stay alone, and no more than `ids` of each are gathered.
+    """
+    own = reports(mentions).filter(F.length("label") >= 2)
+    counts = own.groupBy("type", "label").agg(F.count("*").alias("mentions"), F.count_distinct("article").alias("articles"))
+    top = counts.filter(F.col("mentions") >= least).orderBy(F.desc("mentions"), F.desc("label"), F.desc("type")).limit(limit)
+    listed = own.join(F.broadcast(top.select("type", "label")), ["type", "label"], "left_semi").select("type", "label", "article").distinct()
+    nth = F.row_number().over(Window.partitionBy("type", "label").orderBy("article"))
+    listed = listed.withColumn("nth", nth).filter(F.col("nth") <= ids).groupBy("type", "label").agg(F.array_join(F.array_sort(F.collect_list("article")), ",").alias("ids"))
+    return top.join(listed, ["type", "label"]).orderBy(F.desc("mentions"), F.desc("label"), F.desc("type"))
 
 
 def edges(mentions: DataFrame, kept: DataFrame, least: int = 2, limit: int = 300) -> DataFrame:
@@ -17,7 +27,7 @@ def edges(mentions: DataFrame, kept: DataFrame, least: int = 2, limit: int = 300
 
     Only kept nodes are paired, and pairs are made inside each article's own short list, so no join multiplies rows.
     """
-    named = mentions.join(kept.select("type", "label"), ["type", "label"], "left_semi")
+    named = reports(mentions).join(kept.select("type", "label"), ["type", "label"], "left_semi")
     lists = named.groupBy("article").agg(F.array_sort(F.collect_set(F.concat_ws(":", "type", "label"))).alias("ends"))
     pairs = lists.select(F.explode(F.flatten(F.transform("ends", lambda a, i: F.transform(F.slice("ends", i + 2, F.size("ends")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("pair"))
     return pairs.groupBy("pair.a", "pair.b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least).orderBy(F.desc("weight"), "a", "b").limit(limit)
@@ -41,7 +51,10 @@ def calendar(announced: DataFrame, today: Column, days: int = 90, limit: int = 8
     announced has date, title, article, ord.
     """
     key = F.substring(F.regexp_replace(F.lower("title"), r"(?U)\s", ""), 1, 30)
-    own = announced.filter(F.col("date").between(today, F.date_add(today, days))).groupBy("date", key.alias("key"))
-    g = own.agg(F.min_by("title", "ord").alias("title"), F.count_distinct("article").alias("n"), F.slice(F.array_sort(F.collect_set(F.struct("ord", "article"))), 1, ids * 4).alias("seen"))
-    names = F.array_join(F.slice(F.array_distinct(F.transform("seen", lambda x: x["article"].cast("string"))), 1, ids), ",")
-    return g.select("date", "title", "n", names.alias("articles")).orderBy("date", "title").limit(limit)
+    own = reports(announced).filter(F.col("date").between(today, F.date_add(today, days))).withColumn("key", key)
+    each = own.groupBy("date", "key", "article").agg(F.min_by("title", "ord").alias("title"), F.min("ord").alias("ord"))
+    events = each.groupBy("date", "key").agg(F.min_by("title", "ord").alias("title"), F.count("*").alias("n")).orderBy("date", "title", "key").limit(limit)
+    nth = F.row_number().over(Window.partitionBy("date", "key").orderBy("ord", "article"))
+    first = each.join(F.broadcast(events.select("date", "key")), ["date", "key"], "left_semi").withColumn("nth", nth).filter(F.col("nth") <= ids)
+    listed = first.groupBy("date", "key").agg(F.array_sort(F.collect_list(F.struct("nth", F.col("article").cast("string").alias("article")))).alias("seen"))
+    return events.join(listed, ["date", "key"]).select("date", "title", "n", F.array_join("seen.article", ",").alias("articles")).orderBy("date", "title")

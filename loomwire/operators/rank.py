@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwire.storage import bounded, written
+
 from .trends import age_hours
 
 
@@ -13,9 +17,9 @@ def clamp(c: Column, low: float, high: float) -> Column:
 
 
 def importance(now: Column, boost: Column | None = None, downranked: Column | None = None) -> Column:
-    """10 a point of score, up to 12 for the cluster, up to 6 for freshness, plus personal boost, less 22 if ranked down."""
+    """10 a point of score (5 points where there is none), up to 12 for the cluster, up to 6 for freshness, plus personal boost, less 22 if ranked down."""
     size = F.coalesce(F.col("cluster_size"), F.lit(1))
-    out = 10 * F.col("score") + 3 * F.least(size - 1, F.lit(4)) + F.greatest(F.lit(0.0), 6 - clamp(age_hours(F.col("ts"), now), 0.0, 48.0) / 8)
+    out = 10 * F.coalesce("score", F.lit(5)) + 3 * F.least(size - 1, F.lit(4)) + F.greatest(F.lit(0.0), 6 - clamp(age_hours(F.col("ts"), now), 0.0, 48.0) / 8)
     if boost is not None:
         out = out + boost
     return out - 22 * downranked.cast("int") if downranked is not None else out
@@ -31,13 +35,17 @@ def profile(history: DataFrame, rows: DataFrame, tags: str | None = None) -> Dat
     return own.select("weight", F.inline(each)).groupBy("kind", "value").agg(F.sum("weight").alias("weight"))
 
 
-def personal_boost(rows: DataFrame, interest: DataFrame, cap: float = 18.0, least: int = 3) -> DataFrame:
-    """rows with boost: 14 for the source's and 8 for the category's share of all interest, capped; none below `least` weight."""
-    total = interest.filter("kind = 'source'").agg(F.sum("weight").alias("total"))
-    part = lambda k: F.broadcast(interest.filter(F.col("kind") == k).select(F.col("value").alias(k), F.col("weight").alias(f"_{k}")))
+def personal_boost(rows: DataFrame, interest: DataFrame, tags: str | None = None, cap: float = 18.0, least: int = 3) -> DataFrame:
+    """rows with boost: 14 for the source's, 8 for the category's and 4 for each tag's share of all interest, capped; none below `least` weight."""
+    total = interest.filter("kind = 'source'").agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("_total"))
+    part = lambda k: bounded(interest.filter((F.col("kind") == k) & F.col("value").isNotNull()).select(F.col("value").alias(k), F.col("weight").alias(f"_{k}")))
     out = rows.join(part("source"), "source", "left").join(part("category"), "category", "left").join(F.broadcast(total))
-    boost = 14 * F.coalesce("_source", F.lit(0)) / F.col("total") + 8 * F.coalesce("_category", F.lit(0)) / F.col("total")
-    return out.withColumn("boost", F.when(F.col("total") >= least, F.least(F.lit(cap), boost)).otherwise(0.0)).drop("_source", "_category", "total")
+    of_tags = F.lit(0)
+    if tags:
+        named = rows.select("id", F.explode(tags).alias("tag")).join(part("tag"), "tag").groupBy("id").agg(F.sum("_tag").alias("_tags"))
+        out, of_tags = out.join(named, "id", "left"), F.coalesce("_tags", F.lit(0))
+    boost = (14 * F.coalesce("_source", F.lit(0)) + 8 * F.coalesce("_category", F.lit(0)) + 4 * of_tags) / F.col("_total")
+    return out.withColumn("boost", F.when(F.col("_total") >= least, F.least(F.lit(cap), boost)).otherwise(0.0)).drop("_source", "_category", "_tags", "_total")
 
 
 def top_per_category(rows: DataFrame, rank: Column, limit: int = 10) -> DataFrame:
@@ -48,9 +56,22 @@ def top_per_category(rows: DataFrame, rank: Column, limit: int = 10) -> DataFram
     return one.withColumn("nth", F.row_number().over(order("category"))).filter(F.col("nth") <= limit).drop("_c")
 
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """rows with their place in a total order, from 1: sorted by ranges and numbered by the sizes of the ranges before, so that no task holds all."""
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = ranged.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    parts = F.broadcast(sizes.select("_part", before.alias("_before")))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return ranged.withColumn("_part", F.shiftright("_at", 33)).join(parts, "_part").withColumn(name, (inside + F.col("_before") + 1).cast("long")).drop("_at", "_part", "_before")
+
+
 def breaking_first(rows: DataFrame) -> DataFrame:
-    """Position of each row if breaking ones come first and the order stays otherwise."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("is_breaking"), F.desc("ts"), "ord")))
+    """Position of each row in its category if breaking ones come first and the order stays otherwise."""
+    every = numbered(rows, [F.col("category").asc_nulls_first(), F.col("is_breaking").desc(), F.col("ts").desc(), F.col("ord").asc()], "_place")
+    first = F.broadcast(every.groupBy(F.col("category").alias("_category")).agg(F.min("_place").alias("_first")))
+    return every.join(first, F.col("category").eqNullSafe(F.col("_category"))).withColumn("position", F.col("_place") - F.col("_first") + 1).drop("_category", "_first", "_place")
 
 
 def related(rows: DataFrame, others: DataFrame, now: Column, limit: int = 6) -> DataFrame:

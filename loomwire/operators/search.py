@@ -8,6 +8,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rank import numbered
+
 _TERM = re.compile(r"^(source|tag|cat|topic|risk):(.+)$", re.I)
 _SCORE = re.compile(r"^score(>=|<=|>|<)(\d+)$", re.I)
 
@@ -89,9 +91,7 @@ def list_filter(rows: DataFrame, muted: DataFrame | None = None, read: DataFrame
 
 def semantic_order(rows: DataFrame, ranked: DataFrame) -> DataFrame:
     """rows with position: those in ranked (id, rank) first in its order, the rest as they were (ord)."""
-    from pyspark.sql import Window
-
-    return rows.join(ranked, "id", "left").withColumn("position", F.row_number().over(Window.orderBy(F.col("rank").asc_nulls_last(), "ord"))).drop("rank")
+    return numbered(rows.join(ranked, "id", "left"), [F.col("rank").asc_nulls_last(), F.col("ord").asc()]).drop("rank")
 
 
 def hide_duplicates(rows: DataFrame) -> DataFrame:

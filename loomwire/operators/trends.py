@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clusters import reports
+
 
 def since(ts: str, now: Column, hours: int) -> Column:
     """Inclusive lower bound only: rows dated later than now pass."""
@@ -33,7 +37,7 @@ def trending(rows: DataFrame, now: Column, hours: int = 4, least: int = 2, limit
 def breaking(rows: DataFrame, now: Column, cluster: str = "cluster_id", hours: int = 2, least: int = 3) -> DataFrame:
     """Clusters that `least` distinct sources reported within the window; the headline is the best of all members."""
     recent = F.when(since("ts", now, hours) & (F.coalesce(F.col("source"), F.lit("")) != ""), F.col("source"))
-    g = rows.filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.array_sort(F.collect_set(recent)).alias("names"), F.max_by("id", F.struct("score", "ts", "ord")).alias("headline"), F.count("*").alias("n"))
+    g = reports(rows).filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.array_sort(F.collect_set(recent)).alias("names"), F.max_by("id", F.struct("score", "ts", "ord")).alias("headline"), F.count("*").alias("n"))
     return g.filter(F.size("names") >= least).select(cluster, "headline", "n", F.size("names").cast("long").alias("n_sources"), F.array_join("names", ",").alias("sources"))
 
 
@@ -43,12 +47,19 @@ def not_yet_alerted(found: DataFrame, state: DataFrame, now: Column, cluster: st
     return found.join(alive.select(cluster).distinct(), cluster, "left_anti")
 
 
-def alert_candidates(rows: DataFrame, now: Column) -> DataFrame:
-    """Breaking, important, or fresh and flagged; one per cluster, three in all. rows has is_breaking and flagged."""
+def alert_candidates(rows: DataFrame, now: Column, muted: DataFrame | None = None, order: Sequence[Column] | None = None, limit: int = 3) -> DataFrame:
+    """Breaking, important, or fresh and flagged; one per cluster, `limit` in all, in the active order of the list (newest first).
+
+    rows has is_breaking and flagged. Rows of muted sources and near copies are left out.
+    """
+    order = [F.col("ts").desc_nulls_last(), F.col("ord")] if order is None else list(order)
     age = age_hours(F.col("ts"), now)
-    keep = rows.filter(F.col("is_breaking") | (F.col("score") >= 8) | ((age <= 6) & F.col("flagged") & (F.col("score") >= 7)))
-    reason = F.when(F.col("is_breaking"), "breaking").when(F.col("score") >= 8, "important").otherwise("flagged")
+    own = reports(rows)
+    if muted is not None:
+        own = own.join(muted.select("source").distinct(), "source", "left_anti")
+    score = F.coalesce("score", F.lit(0))
+    keep = own.filter(F.col("is_breaking") | (score >= 8) | (F.coalesce(age <= 6, F.lit(False)) & F.col("flagged") & (score >= 7)))
+    reason = F.when(F.col("is_breaking"), "breaking").when(score >= 8, "important").otherwise("flagged")
     key = F.coalesce(F.col("cluster_id"), F.concat(F.lit("row:"), F.col("id")))
-    order = [F.desc("is_breaking"), F.desc("score"), F.desc("ts"), F.col("ord")]
     one = keep.withColumn("reason", reason).withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_nth = 1")
-    return one.orderBy(*order).limit(3).drop("_nth")
+    return one.orderBy(*order).limit(limit).drop("_nth")

@@ -155,11 +155,11 @@ def membership_signature(spark, sf_dir):
 
 
 @query(over_articles(_CLUSTERED + """, s AS (SELECT cluster_id AS cid, count(DISTINCT source) AS k FROM c WHERE cluster_id IS NOT NULL GROUP BY 1)
-SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(title, '[\\p{Lu}]{4}') THEN 'shouting' END, CASE WHEN contains(title, '|') THEN 'listing' END, CASE WHEN length(content) < 150 THEN 'thin' END,
-  CASE WHEN score >= 7 AND coalesce(k, 1) < 2 THEN 'single-source' END, CASE WHEN trim(CASE WHEN ord % 7 = 0 THEN '' ELSE title END) = '' THEN 'no-summary' END], lambda x: x IS NOT NULL)[1:3], ',') AS flags FROM c LEFT JOIN s ON cid = cluster_id"""))
+SELECT id, array_to_string(list_filter([CASE WHEN regexp_matches(title, '[\\p{Lu}]{4}') THEN 'shouting' END, CASE WHEN regexp_matches(concat_ws(' ', title, topic), 'a\\|b|qu') THEN 'listing' END, CASE WHEN length(content) < 500 THEN '全文不足' END,
+  CASE WHEN score >= 7 AND coalesce(k, 1) < 2 THEN '單一來源' END, CASE WHEN ord % 7 = 0 OR title = '' THEN 'AI摘要缺失' END], lambda x: x IS NOT NULL)[1:3], ',') AS flags FROM c LEFT JOIN s ON cid = cluster_id"""))
 def uncertainty_flags(spark, sf_dir):
     rows = clustered(spark, sf_dir).withColumn("chars", F.length("content")).withColumn("summary", F.when(F.col("ord") % 7 == 0, "").otherwise(F.col("title")))
-    flagged = clusters.uncertainty_flags(rows, (("shouting", r"\p{Lu}{4}"), ("listing", r"\|")), text=F.col("title"))
+    flagged = clusters.uncertainty_flags(rows, (("shouting", r"\p{Lu}{4}"), ("listing", r"a\|b|qu")))
     return flagged.select("id", F.array_join("flags", ",").alias("flags"))
 
 
@@ -337,29 +337,27 @@ def score_class(spark, sf_dir):
     return articles(spark, sf_dir).select("id", text.score_class(F.col("score")).alias("class"))
 
 
-_BULLETS = "replace(substr(text, 1, 300), chr(10), '・')"
+_BULLETS = "replace(text, chr(10), '・')"
 
 
-@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (SELECT string_agg('・' || trim(x), chr(10) ORDER BY i) FROM (SELECT unnest(string_split('・' || {_BULLETS} || '・', '・')) AS x, generate_subscripts(string_split('・' || {_BULLETS} || '・', '・'), 1) AS i) WHERE trim(x) <> '') ELSE trim(substr(text, 1, 300), ' ' || chr(10)) END AS summary FROM documents")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN (SELECT string_agg('・' || trim(x), chr(10) ORDER BY i) FROM (SELECT unnest(string_split('・' || {_BULLETS} || '・', '・')) AS x, generate_subscripts(string_split('・' || {_BULLETS} || '・', '・'), 1) AS i) WHERE trim(x) <> '') ELSE trim(text, ' ' || chr(10)) END AS summary FROM documents")
 def summary_normalise(spark, sf_dir):
-    head = F.substring("text", 1, 300)
-    marked = F.concat(F.lit("・"), F.replace(head, F.lit("\n"), F.lit("・")), F.lit("・"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.bullets(F.when(F.col("doc_id") % 2 == 0, marked).otherwise(head)).alias("summary"))
+    marked = F.concat(F.lit("・"), F.replace("text", F.lit("\n"), F.lit("・")), F.lit("・"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.bullets(F.when(F.col("doc_id") % 2 == 0, marked).otherwise(F.col("text"))).alias("summary"))
 
 
-@query("""WITH s AS (SELECT doc_id, i, substr(trim(regexp_replace(regexp_replace(trim(x, ' ' || chr(10)), '^#+', ''), '\\s+', ' ', 'g')), 1, 24) AS x FROM (SELECT doc_id, unnest(regexp_split_to_array(substr(text, 1, 200), '[,，、\\n]')) AS x, generate_subscripts(regexp_split_to_array(substr(text, 1, 200), '[,，、\\n]'), 1) AS i FROM documents)),
+@query("""WITH s AS (SELECT doc_id, i, substr(trim(regexp_replace(regexp_replace(trim(x, ' ' || chr(10)), '^#+', ''), '\\s+', ' ', 'g')), 1, 24) AS x FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[,，、\\n]')) AS x, generate_subscripts(regexp_split_to_array(text, '[,，、\\n]'), 1) AS i FROM documents)),
 d AS (SELECT doc_id, x, min(i) AS i FROM s WHERE x <> '' GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM d)
 SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY i) FILTER (n <= 3), '') AS items FROM documents d LEFT JOIN r USING (doc_id) GROUP BY 1""")
 def string_list_normalise(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.string_list(F.substring("text", 1, 200), 3), "|").alias("items"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.string_list(F.col("text"), 3), "|").alias("items"))
 
 
-@query("""WITH s AS (SELECT doc_id, i, trim(x, ' ' || chr(10)) AS x FROM (SELECT doc_id, unnest(string_split(regexp_replace(substr(text, 1, 600), '([.!?])\\s*', '\\1' || chr(1), 'g'), chr(1))) AS x, generate_subscripts(string_split(regexp_replace(substr(text, 1, 600), '([.!?])\\s*', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM documents)),
+@query("""WITH s AS (SELECT doc_id, i, trim(x, ' ' || chr(10)) AS x FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s*', '\\1' || chr(1), 'g'), chr(1))) AS x, generate_subscripts(string_split(regexp_replace(text, '([.!?])\\s*', '\\1' || chr(1), 'g'), chr(1)), 1) AS i FROM documents)),
 c AS (SELECT doc_id, i, regexp_replace(x, '\\s+', ' ', 'g') AS x FROM s), d AS (SELECT doc_id, x, min(i) AS i FROM c WHERE length(x) BETWEEN 8 AND 120 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM d)
 SELECT d.doc_id, coalesce(string_agg(x, '|' ORDER BY i) FILTER (n <= 2), '') AS items FROM documents d LEFT JOIN r USING (doc_id) GROUP BY 1""")
 def key_sentences(spark, sf_dir):
-    head = F.substring("text", 1, 600)
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.key_sentences(F.split(head, r"(?<=[.!?])\s*")), "|").alias("items"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.key_sentences(F.split("text", r"(?<=[.!?])\s*")), "|").alias("items"))
 
 
 @query("SELECT event_id, (json_extract(props, '$.k'))::BIGINT AS k FROM events")
@@ -467,25 +465,45 @@ def ai_rank(spark, sf_dir):
     return clustered(spark, sf_dir).select("id", F.round(rank.importance(at(NOW)), 4).alias("rank"))
 
 
-_INTEREST = ", h AS (SELECT ord, CASE WHEN ord % 6 = 0 THEN 3 ELSE 1 END AS weight FROM a WHERE ord % 2 = 0 AND ord < 400), t AS (SELECT sum(weight) AS total FROM h), s AS (SELECT source, sum(weight) AS sw FROM h JOIN a USING (ord) GROUP BY 1), k AS (SELECT category, sum(weight) AS kw FROM h JOIN a USING (ord) GROUP BY 1)"
+_INTEREST = (
+    _TAGS
+    + """, h AS (SELECT ord, CASE WHEN ord % 6 = 0 THEN 3 ELSE 1 END AS weight FROM a WHERE ord % 2 = 0), z AS (SELECT sum(weight) AS total FROM h),
+s AS (SELECT source, sum(weight) AS sw FROM h JOIN a USING (ord) GROUP BY 1), k AS (SELECT category, sum(weight) AS kw FROM h JOIN a USING (ord) GROUP BY 1),
+g AS (SELECT tag, sum(weight) AS tw FROM (SELECT weight, unnest(tags) AS tag FROM h JOIN t USING (ord)) GROUP BY 1)"""
+)
 
 
 def _interest(spark, sf_dir):
-    a = articles(spark, sf_dir)
-    read = a.filter("ord % 2 = 0 AND ord < 400").select("id", F.lit(1).alias("weight"))
-    saved = a.filter("ord % 6 = 0 AND ord < 400").select("id", F.lit(3).alias("weight"))
-    return a, rank.profile(read.unionByName(saved), a)
+    a = tagged(spark, sf_dir)
+    read = a.filter("ord % 2 = 0").select("id", F.lit(1).alias("weight"))
+    saved = a.filter("ord % 6 = 0").select("id", F.lit(3).alias("weight"))
+    return a, rank.profile(read.unionByName(saved), a, "tags")
 
 
-@query(over_articles(_INTEREST + " SELECT 'source' AS kind, source AS value, sw::BIGINT AS weight FROM s UNION ALL SELECT 'category', category, kw::BIGINT FROM k"))
+@query(over_articles(_INTEREST + " SELECT 'source' AS kind, source AS value, sw::BIGINT AS weight FROM s UNION ALL SELECT 'category', category, kw::BIGINT FROM k UNION ALL SELECT 'tag', tag, tw::BIGINT FROM g"))
 def personal_profile(spark, sf_dir):
     return _interest(spark, sf_dir)[1]
 
 
-@query(over_articles(_INTEREST + " SELECT id, round(least(18.0::DOUBLE, 14 * coalesce(sw, 0)::DOUBLE / total::DOUBLE + 8 * coalesce(kw, 0)::DOUBLE / total::DOUBLE), 4) AS boost FROM a, t LEFT JOIN s USING (source) LEFT JOIN k USING (category)".replace("FROM a, t LEFT", "FROM (SELECT * FROM a, t) LEFT")))
+_BOOST = (
+    _INTEREST
+    + """, w AS (SELECT ord, sum(tw) AS tagged FROM (SELECT ord, unnest(tags) AS tag FROM t) JOIN g USING (tag) GROUP BY 1),
+p AS (SELECT a.*, least(18.0::DOUBLE, (14 * coalesce(sw, 0)::DOUBLE + 8 * coalesce(kw, 0)::DOUBLE + 4 * coalesce(tagged, 0)::DOUBLE) / (SELECT total FROM z)::DOUBLE) AS boost
+  FROM a LEFT JOIN s USING (source) LEFT JOIN k USING (category) LEFT JOIN w USING (ord))"""
+)
+
+
+@query(over_articles(_BOOST + " SELECT id, round(boost, 4) AS boost FROM p"))
 def personal_boost(spark, sf_dir):
     a, interest = _interest(spark, sf_dir)
-    return rank.personal_boost(a, interest).select("id", F.round("boost", 4).alias("boost"))
+    return rank.personal_boost(a, interest, "tags").select("id", F.round("boost", 4).alias("boost"))
+
+
+@query(over_articles(_BOOST + f" SELECT id, round(10 * CASE WHEN ord % 9 = 0 THEN 5 ELSE score END + greatest(0.0::DOUBLE, 6 - greatest(0.0::DOUBLE, least(48.0::DOUBLE, {_AGE})) / 8) + boost - CASE WHEN source = 'src5' THEN 22 ELSE 0 END, 4) AS rank FROM p"))
+def personal_rank(spark, sf_dir):
+    a, interest = _interest(spark, sf_dir)
+    rows = rank.personal_boost(a, interest, "tags").withColumns({"score": F.when(F.col("ord") % 9 != 0, F.col("score")), "cluster_size": F.lit(None).cast("long")})
+    return rows.select("id", F.round(rank.importance(at(NOW), F.col("boost"), F.col("source") == "src5"), 4).alias("rank"))
 
 
 _BREAKING = ", b AS (SELECT *, score >= 9 AND ord % 2 = 0 AS is_breaking FROM c)"
@@ -496,11 +514,13 @@ def breaking_first(spark, sf_dir):
     return rank.breaking_first(clustered(spark, sf_dir).withColumn("is_breaking", (F.col("score") >= 9) & (F.col("ord") % 2 == 0))).select("id", "position")
 
 
-@query(over_articles(_CLUSTERED + _BREAKING + f""", k AS (SELECT *, CASE WHEN is_breaking THEN 'breaking' WHEN score >= 8 THEN 'important' ELSE 'flagged' END AS reason FROM b WHERE is_breaking OR score >= 8 OR ({_AGE} <= 6 AND length(content) < 500 AND score >= 7)),
-o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY coalesce(cluster_id, 'row:' || id) ORDER BY is_breaking DESC, score DESC, ts DESC, ord) = 1) SELECT id, reason FROM o ORDER BY is_breaking DESC, score DESC, ts DESC, ord LIMIT 3"""))
+@query(over_articles(_CLUSTERED + _BREAKING + f""", k AS (SELECT *, CASE WHEN is_breaking THEN 'breaking' WHEN score >= 8 THEN 'important' ELSE 'flagged' END AS reason FROM b WHERE source NOT IN ('src3', 'src4') AND ord % 7 <> 3 AND (is_breaking OR score >= 8 OR ({_AGE} <= 6 AND length(content) < 500 AND score >= 7))),
+o AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY coalesce(cluster_id, 'row:' || id) ORDER BY ts DESC, ord) = 1) SELECT id, reason FROM o ORDER BY ts DESC, ord LIMIT 3"""))
 def alert_candidates(spark, sf_dir):
     rows = clustered(spark, sf_dir).withColumn("is_breaking", (F.col("score") >= 9) & (F.col("ord") % 2 == 0)).withColumn("flagged", F.length("content") < 500)
-    return trends.alert_candidates(rows, at(NOW)).select("id", "reason")
+    muted = spark.createDataFrame([("src3",), ("src4",)], "source string")
+    rows = rows.withColumn("duplicate_of", F.when(F.col("ord") % 7 == 3, F.lit("x")))
+    return trends.alert_candidates(rows, at(NOW), muted).select("id", "reason")
 
 
 @query(over_articles(_CLUSTERED + f", r AS (SELECT *, {_RANK} AS rank FROM c), o AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY category, coalesce(cluster_id, 'row:' || id) ORDER BY rank DESC, ts DESC, ord) = 1) SELECT category, id, row_number() OVER (PARTITION BY category ORDER BY rank DESC, ts DESC, ord) AS nth FROM o QUALIFY nth <= 10"))
@@ -508,18 +528,18 @@ def top_n_per_category(spark, sf_dir):
     return rank.top_per_category(clustered(spark, sf_dir), rank.importance(at(NOW))).select("category", "id", "nth")
 
 
-@query(over_articles(", q AS (SELECT * FROM a WHERE ord < 50), p AS (SELECT q.id, o.id AS other, o.ts, round(35 + greatest(0.0::DOUBLE, 8 - greatest(0.0::DOUBLE, least(72.0::DOUBLE, " + _AGE.replace("epoch(ts)", "epoch(o.ts)") + ")) / 9), 4) AS score FROM q JOIN a o ON o.topic = q.topic AND o.topic <> '' AND o.id <> q.id) SELECT id, other, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, ts DESC, other) AS nth FROM p QUALIFY nth <= 6"))
+@query(over_articles(", q AS (SELECT * FROM a WHERE ord % 20 = 0), p AS (SELECT q.id, o.id AS other, o.ts, round(35 + greatest(0.0::DOUBLE, 8 - greatest(0.0::DOUBLE, least(72.0::DOUBLE, " + _AGE.replace("epoch(ts)", "epoch(o.ts)") + ")) / 9), 4) AS score FROM q JOIN a o ON o.topic = q.topic AND o.topic <> '' AND o.id <> q.id) SELECT id, other, score, row_number() OVER (PARTITION BY id ORDER BY score DESC, ts DESC, other) AS nth FROM p QUALIFY nth <= 6"))
 def related_articles(spark, sf_dir):
     none = F.array().cast("array<string>")
     a = articles(spark, sf_dir).select("id", "ord", "ts", F.lit(None).cast("string").alias("cluster_id"), "topic", F.lit("").alias("event_type"), *(none.alias(c) for c in ("people", "companies", "places", "dates", "numbers")))
-    return rank.related(a.filter("ord < 50"), a, at(NOW))
+    return rank.related(a.filter("ord % 20 = 0"), a, at(NOW))
 
 
 @query(over_articles(" SELECT id FROM a WHERE NOT (ord % 3 = 0 AND ord % 2 = 1 AND (ord - 1) % 5 <> 0)"))
 def duplicate_hiding(spark, sf_dir):
     a = articles(spark, sf_dir)
     before = F.substring(F.md5((F.col("ord") - 1).cast("string").cast("binary")), 1, 12)
-    shown = a.filter("ord % 5 <> 0 OR ord % 3 <> 0 OR true").withColumn("duplicate_of", F.when((F.col("ord") % 3 == 0) & (F.col("ord") % 2 == 1) & ((F.col("ord") - 1) % 5 != 0), before))
+    shown = a.withColumn("duplicate_of", F.when((F.col("ord") % 3 == 0) & (F.col("ord") % 2 == 1) & ((F.col("ord") - 1) % 5 != 0), before))
     return search.hide_duplicates(shown).select("id")
 
 
@@ -578,7 +598,7 @@ def html_paragraphs(spark, sf_dir):
     return each.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("x").cast("long")).alias("chars"))
 
 
-@query("SELECT page_id, regexp_matches(lower(substr(html, 1, 4000)), 'just a moment|enable javascript and cookies|verify you are human|access denied|attention required|checking your browser|are you a robot') AS blocked FROM pages")
+@query("SELECT page_id, regexp_matches(lower(substr(html, 1, 4000)), 'cloudflare ray id|security service to protect|cf-browser-verification|checking your browser|please enable cookies|enable javascript and cookies|ddos protection by') AS blocked FROM pages")
 def blocked_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.blocked(F.col("html")).alias("blocked"))
 

@@ -79,9 +79,21 @@ def test_qualifying_clusters(spark, size, peak, in_):
 
 
 def test_flags_are_three_at_most_in_order(spark):
-    rows = spark.createDataFrame([("a", "Reportedly a breaking opinion", "", 9, "s1", None, 10), ("b", "Plain", "text", 9, "s1", "c", 900), ("d", "Plain", "text", 9, "s2", "c", 900)], "id string, title string, summary string, score int, source string, cluster_id string, chars int")
-    got = {r.id: r.flags for r in clusters.uncertainty_flags(rows).collect()}
-    assert got == {"a": ["unverified", "developing", "opinion"], "b": [], "d": []}
+    plain = ("Plain", "text", 9)
+    rows = [("a", "據報有變", "", 9, "s1", None, 10, None, "可能"), ("b", *plain, "s1", "c", 900, None, None), ("d", *plain, "s2", "c", 900, None, None), ("e", *plain, "s1", "k", 600, None, None), ("f", *plain, "s2", "k", 600, "e", None), ("g", "t", None, 5, "s", None, 499, None, None)]
+    got = {r.id: r.flags for r in clusters.uncertainty_flags(spark.createDataFrame(rows, "id string, title string, summary string, score int, source string, cluster_id string, chars int, duplicate_of string, event_type string")).collect()}
+    assert got == {"a": ["消息未證實", "仍有變數", "全文不足"], "b": [], "d": [], "e": ["單一來源"], "f": ["單一來源"], "g": ["全文不足", "AI摘要缺失"]}
+
+
+def test_near_copies_are_no_reports(spark):
+    rows = [("1", "x", "s1", 5, at(1), 0, None), ("2", "x", "s2", 9, at(1), 1, None), ("3", "x", "s3", 9, at(1), 2, "1"), ("4", "y", "s1", 9, at(1), 3, None), ("5", "y", "s2", 9, at(1), 4, "4")]
+    df = spark.createDataFrame(rows, "id string, topic string, source string, score int, ts timestamp, ord int, duplicate_of string")
+    got = {r.id: r.cluster_size for r in clusters.with_clusters(df).collect()}
+    assert got == {"1": 2, "2": 2, "3": None, "4": None, "5": None}
+    assert [(r.topic, r.n, r.n_sources) for r in clusters.clusters(df).collect()] == [("x", 2, 2)]
+    assert trends.breaking(df.withColumn("cluster_id", F.col("topic")), now()).count() == 0
+    alerts = trends.alert_candidates(df.withColumns({"cluster_id": F.lit(None).cast("string"), "is_breaking": F.lit(False), "flagged": F.lit(False)}), now(), spark.createDataFrame([("s1",)], "source string"))
+    assert [r.id for r in alerts.collect()] == ["2"]
 
 
 def test_graph_counts_mentions_and_pairs(spark):
@@ -164,11 +176,11 @@ def test_text_functions(spark):
     r = one(
         spark,
         text.bigrams(c("A-b c")).alias("g"), text.bigrams(c("a")).alias("short"), text.clean_url(c('http://x/a"b')).alias("u"), text.bullets(c("・one・two")).alias("b"), text.bullets(c("a・b")).alias("plain"),
-        text.string_list(c("#a, b，a\nlonger than the width of it all"), 3, 8).alias("l"), text.key_sentences(F.array(c("“Quoted sentence here”"), c("short"), c("Quoted sentence here"))).alias("k"), text.sentences(c("One. Two! Three")).alias("s"), text.escape_xml(c("<a & 'b'>")).alias("x"),
+        text.string_list(c("#a, b，a\nlonger than the width of it all"), 3, 8).alias("l"), text.key_sentences(F.array(c("“Quoted sentence here”"), c("short"), c("Quoted sentence here"))).alias("k"), text.sentences(c("一3.5。 Two!！ Three")).alias("s"), text.escape_xml(c("<a & 'b'>")).alias("x"),
         text.json_object(c('```json\n{"a": 1}\n```')).alias("j"), text.has_cjk(c("新聞")).alias("cjk"), text.first_category(c("http://x/%E4%B8%AD/1"), (("/中/", "cn"),), "no").alias("cat"), text.read_minutes(c(0)).alias("m0"), text.read_minutes(c(760)).alias("m"),
     )
     assert r.g == ["ab", "bc"] and r.short == [] and r.u == "http://x/a" and r.b == "・one\n・two" and r.plain == "a・b"
-    assert r.l == ["a", "b", "longer t"] and r.k == ["Quoted sentence here"] and r.s == ["One.", "Two!", "Three"] and r.x == "&lt;a &amp; &apos;b&apos;&gt;"
+    assert r.l == ["a", "b", "longer t"] and r.k == ["Quoted sentence here"] and r.s == ["一3.5。", "Two!！", "Three"] and r.x == "&lt;a &amp; &apos;b&apos;&gt;"
     assert json.loads(r.j) == {"a": 1} and r.cjk and r.cat == "cn" and r.m0 == 0 and r.m == 2
 
 
@@ -176,8 +188,8 @@ def test_feed_dates(spark):
     cases = {"Tue, 21 Apr 2026 10:00:00": 10, "Tue, 21 Apr 2026 10:00:00 +0800": 2, "2026-04-21T10:00:00Z": 10, "2026-04-21T10:00:00+08:00": 2, "Tue, 21 Apr 2026 10:00:00 GMT": 10, "nonsense": None, "": None}
     rows = spark.createDataFrame([(k,) for k in cases], "d string").select("d", F.hour(dates.feed_date(F.col("d"))).alias("h"))
     assert {r.d: r.h for r in rows.collect()} == cases
-    r = one(spark, dates.strict_date(F.lit("2026-5-2")).alias("a"), dates.strict_date(F.lit("2026/05/02")).alias("b"), dates.stamp_in_url(F.lit("/x/20260421100000-1.htm")).alias("c"))
-    assert str(r.a) == "2026-05-02" and r.b is None and r.c.hour == 2
+    r = one(spark, dates.strict_date(F.lit("2026-5-2")).alias("a"), dates.strict_date(F.lit("2026/05/02")).alias("b"), dates.stamp_in_url(F.lit("/x/20260421/bkn-20260421100000-1.htm")).alias("c"), dates.stamp_in_url(F.lit("/x/20260421100000-1.htm")).alias("d"))
+    assert str(r.a) == "2026-05-02" and r.b is None and r.c.hour == 2 and r.d is None
 
 
 def test_answers_are_read_tolerantly(spark):
@@ -195,13 +207,13 @@ def test_answers_are_read_tolerantly(spark):
 
 def test_html(spark):
     page = '<html><head><title> T </title><script>x("<p>no</p>")</script></head><body><nav>menu</nav><article><p>First</p><img data-src="/a.jpg"><p>Second &amp; last</p></article></body></html>'
-    r = one(spark, html.title(F.lit(page)).alias("t"), html.article_flow(F.lit(page), F.lit("http://h/x")).alias("f"), html.blocked(F.lit("Just a moment...")).alias("b"), html.sanitise(F.lit('<p onclick="x()">a<script>b</script><a href=" javascript:x">c</a><img src="data:image/png;1"></p>')).alias("s"), html.highlight(F.lit("say  hello   world now"), F.lit("hello world")).alias("h"))
+    r = one(spark, html.title(F.lit(page)).alias("t"), html.article_flow(F.lit(page), F.lit("http://h/x")).alias("f"), html.blocked(F.lit("<b>Please enable cookies</b>")).alias("b"), html.sanitise(F.lit('<p onclick="x()">a<script>b</script><a href=" javascript:x">c</a><img src="data:image/png;1"></p>')).alias("s"), html.highlight(F.lit("say  hello   world now"), F.lit("hello world")).alias("h"))
     assert r.t == "T" and r.b and [(x.kind, x.value) for x in r.f] == [("text", "First"), ("image", "http://h/a.jpg"), ("text", "Second & last")]
     assert r.s == '<p>a<a>c</a><img src="data:image/png;1"></p>' and r.h == "say  <mark>hello   world</mark> now"
     noscript = html.rewritten('<noscript><img src="/n.png"></noscript><picture><source srcset="z"><img src="http://h/p.png"></picture><img>', "http://h")
     assert noscript == '<img src="http://h/n.png"><img src="http://h/p.png">'
     assert html.embedded('<script id="__NEXT_DATA__">{"props":{"pageProps":{"article":{"blocks":[{"text":"a"},{"image":"http://i"}]}}}}</script>') == [{"text": "a"}, {"image": "http://i"}]
-    f = one(spark, html.feed_fallback(F.lit("T"), F.lit("One. Two. Three."), F.lit("http://i"), F.lit("u")).alias("a"), html.feed_fallback(F.lit("T"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("u")).alias("b"))
+    f = one(spark, html.feed_fallback(F.lit("T"), F.lit("一。 二！三；"), F.lit("http://i"), F.lit("u")).alias("a"), html.feed_fallback(F.lit("T"), F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("u")).alias("b"))
     assert f.a.count("<p>") == 3 and "<img" in f.a and 'href="u"' in f.b
 
 
@@ -219,7 +231,7 @@ def test_feeds(spark):
     assert [r.title for r in c.collect()] == ["j"]
     d = feeds.flat_json(body(json.dumps([{"id": "9", "title": "k", "category": "A", "time": s * 1000, "images": ["http://p"]}])), cut, "http://b", {"A": "aa"})
     assert [(r.url, r.category, r.thumbnail) for r in d.collect()] == [("http://b/aa/9", "aa", "http://p")]
-    e = feeds.index_page(body('<a href="/news/20260421180000-1.htm"><img src="/t.jpg">Title</a><a href="/about">no</a>'), cut, "http://h", r"/news/\d{14}")
+    e = feeds.index_page(body('<a href="/news/20260421/bkn-20260421180000-1.htm"><img src="/t.jpg">Title</a><a href="/about">no</a>'), cut, "http://h", r"/bkn-\d{14}")
     assert [(r.title, r.ts.hour, r.thumbnail) for r in e.collect()] == [("Title", 10, "http://h/t.jpg")]
     assert [r.title for r in feeds.union_all([a, b, a]).collect()] == ["新", "A & B"]
 
