@@ -116,3 +116,31 @@ def read_minutes(chars: Column) -> Column:
 
 def score_class(score: Column) -> Column:
     return F.when(score >= 8, "high").when(score >= 5, "mid").otherwise("low")
+
+
+def is_site(url: Column, part: str, source: Column | None = None, prefix: str | None = None) -> Column:
+    """Whether a lower-cased URL holds a part or a source's name begins with a prefix."""
+    by_url = F.contains(F.lower(F.coalesce(url, F.lit(""))), F.lit(part))
+    return by_url if source is None or prefix is None else by_url | F.startswith(F.coalesce(source, F.lit("")), F.lit(prefix))
+
+
+def split_paragraphs(c: Column, short: int = 140) -> Column:
+    """Paragraphs of a text without any: one if it is short and has fewer than two closing marks, else cut at blanks after such marks."""
+    t = squeeze(F.coalesce(c, F.lit("")))
+    parts = F.filter(F.transform(F.split(t, r"(?<=[。！？；])\s+"), strip), lambda x: x != "")
+    one = (F.length(t) < short) & (F.regexp_count(t, F.lit("[。！？；]")) < 2)
+    return F.when(t == "", F.array().cast("array<string>")).when(one, F.array(t)).otherwise(parts)
+
+
+def joined_url(base: Column, href: Column) -> Column:
+    """An address relative to a page's: absolute ones stay, `//host` takes the scheme, `/path` the host, others the folder."""
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*:)", 1)
+    host = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(base, r"^([a-zA-Z][\w+.-]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
+    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
+    return F.when(href.rlike(r"^[a-zA-Z][\w+.-]*:"), href).when(F.startswith(href, F.lit("//")), F.concat(scheme, href)).when(F.startswith(href, F.lit("/")), F.concat(host, href)).otherwise(F.concat(folder, href))
+
+
+def swapped_host(url: Column, to: str) -> Column:
+    """The same address under another scheme and host, such as `https://h`."""
+    return F.regexp_replace(url, r"^[a-zA-Z][\w+.-]*://[^/?#]*", to)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import facets, rank
+from . import facets, rank, search
 
 
 def facts(event_type: Column, entities: Column, each: int = 4, most: int = 14) -> Column:
@@ -30,6 +30,50 @@ def indicators(digests: DataFrame) -> DataFrame:
     return digests.select("cluster_id", (n("timeline") >= 2).alias("has_timeline"), (n("contradictions") > 0).alias("has_contradiction"))
 
 
+def card_indicators(rows: DataFrame, digests: DataFrame, breaking: DataFrame) -> DataFrame:
+    """id and what a row's card shows: cluster stack, breaking, timeline, contradiction. Rows outside clusters of two or more show none."""
+    found = rows.join(indicators(digests), "cluster_id", "left").join(breaking.select("cluster_id", F.lit(True).alias("_breaking")).distinct(), "cluster_id", "left")
+    stack = F.coalesce((F.col("cluster_size") > 1) & F.col("cluster_id").isNotNull(), F.lit(False))
+    shown = lambda c: stack & F.coalesce(F.col(c), F.lit(False))
+    return found.select("id", stack.alias("stack"), shown("_breaking").alias("breaking"), shown("has_timeline").alias("timeline"), shown("has_contradiction").alias("contradiction"))
+
+
+def recency_step(ts: Column, now: Column) -> Column:
+    """2 within the hour, 1 within three, 0.5 within six, else 0."""
+    age = rank.age_hours(ts, now)
+    return F.when(age < 1, 2.0).when(age < 3, 1.0).when(age < 6, 0.5).otherwise(0.0)
+
+
+def hot_list(rows: DataFrame, least: int = 5) -> DataFrame:
+    """Rows of at least that score, and breaking ones."""
+    return rows.filter((F.col("score") >= least) | F.coalesce("is_breaking", F.lit(False)))
+
+
+def preset(rows: DataFrame, tab: str) -> DataFrame:
+    """What a tab starts with: home all rows, hot the important ones, without any other filter."""
+    return search.list_filter(rows, important=tab == "hot")
+
+
+def navigation(rows: DataFrame, session: DataFrame, current: str) -> DataFrame:
+    """id, position: the session's list (id, position) if it has the current row, else the snapshot's order (ord)."""
+    own = session.select("id", F.col("position").cast("long").alias("position"))
+    known = F.broadcast(own.agg(F.coalesce(F.max(F.col("id") == current), F.lit(False)).alias("known")))
+    snapshot = rank.numbered(rows.select("id", "ord"), [F.col("ord").asc()]).select("id", "position")
+    return own.join(known, F.col("known")).select("id", "position").unionByName(snapshot.join(known, ~F.col("known")).select("id", "position"))
+
+
+def digest_member(nth: Column, source: Column, ts: Column, title: Column, summary: Column) -> Column:
+    """One member of a cluster as a digest's prompt lists it."""
+    flat = lambda c: F.trim(F.replace(F.coalesce(c, F.lit("")), F.lit("\n"), F.lit(" ")))
+    day = F.coalesce(F.concat(F.lit("（"), F.date_format(ts, "yyyy-MM-dd"), F.lit("）")), F.lit(""))
+    return F.concat(F.lit("### 第 "), nth.cast("string"), F.lit(" 篇\n來源："), F.trim(F.coalesce(source, F.lit(""))), day, F.lit("\n標題："), F.trim(F.coalesce(title, F.lit(""))), F.lit("\n摘要："), flat(summary))
+
+
+def alert_messages(alerts: DataFrame, base: str, width: int = 120) -> DataFrame:
+    """article_id, body, url of the push message of each alert; sending it is the caller's (see streaming.jobs.each_batch)."""
+    return alerts.select("article_id", F.substring("headline", 1, width).alias("body"), F.concat(F.lit(base.rstrip("/") + "/article.html?id="), "article_id").alias("url"))
+
+
 def angle_sentiment(rows: DataFrame, angles: DataFrame) -> DataFrame:
     """(cluster_id, label, sentiment): the first known sentiment among an angle's sources in order; of a source's rows the last counts.
 

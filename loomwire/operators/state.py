@@ -66,3 +66,10 @@ def toggle(members: DataFrame, changed: DataFrame, key: str = "id") -> DataFrame
     """Symmetric difference: keys that are in exactly one of the two sets."""
     a, b = members.select(key).distinct(), changed.select(key).distinct()
     return a.join(b, key, "left_anti").unionByName(b.join(a, key, "left_anti"))
+
+
+def upsert_quality(rows: DataFrame, previous: DataFrame, computed: DataFrame) -> DataFrame:
+    """id, quality, origin: this run's quality, else the previous one, else the computed one."""
+    old, own = previous.select("id", F.col("quality").alias("_old")), computed.select("id", F.col("quality").alias("_own"))
+    origin = F.when(F.col("quality").isNotNull(), "current").when(F.col("_old").isNotNull(), "previous").otherwise("computed")
+    return rows.select("id", "quality").join(old, "id", "left").join(own, "id", "left").select("id", F.coalesce("quality", "_old", "_own").alias("quality"), origin.alias("origin"))

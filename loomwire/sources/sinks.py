@@ -49,3 +49,14 @@ def run_metrics(steps: DataFrame) -> DataFrame:
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
     vectors.write.mode("overwrite").parquet(path)
+
+
+def vector_meta(rows: DataFrame, model: str) -> DataFrame:
+    """What is said of a file of vectors: model, dimensions, how many."""
+    return rows.agg(F.lit(model).alias("model"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("dim"), F.count("*").alias("count"))
+
+
+def similar_rows(neighbours: DataFrame) -> DataFrame:
+    """id and the ids of its nearest rows in order, from (vec_id, other, nth)."""
+    best = neighbours.groupBy(F.col("vec_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("nth", "other"))).alias("near"))
+    return best.select("id", F.transform("near", lambda n: n["other"]).alias("similar"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def trend(rows: DataFrame, window: str = "4 hours", slide: str = "1 hour", late:
 
 
 class AlertOnce(StatefulProcessor):
-    """Lets a cluster's first alert pass, and its next only when the last is older than the time to live."""
+    """Lets a cluster's first alert pass, and its next only when the last is older than the time to live. One time stamp a cluster is kept."""
 
     ttl_hours = 48
 
@@ -40,16 +41,16 @@ class AlertOnce(StatefulProcessor):
         self.last = handle.getValueState("last", StructType([StructField("ts", TimestampType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("ts")
-        last = self.last.get()[0] if self.last.exists() else None
+        batch = pd.concat([r[["ts", "id"]] for r in rows]).sort_values(["ts", "id"])
+        times, rest = batch["ts"].to_numpy("datetime64[us]"), np.timedelta64(self.ttl_hours, "h")
         out = []
-        for r in batch.itertuples():
-            if last is None or (pd.Timestamp(r.ts) - pd.Timestamp(last)).total_seconds() > self.ttl_hours * 3600:
-                last = pd.Timestamp(r.ts).to_pydatetime()
-                out.append({"topic": key[0], "ts": last, "id": r.id})
+        at = int(np.searchsorted(times, np.datetime64(self.last.get()[0], "us") + rest, "right")) if self.last.exists() else 0
+        while at < len(times):
+            out.append(at)
+            at = int(np.searchsorted(times, times[at] + rest, "right"))
         if out:
-            self.last.update((last,))
-        yield pd.DataFrame(out, columns=["topic", "ts", "id"])
+            self.last.update((pd.Timestamp(times[out[-1]]).to_pydatetime(),))
+        yield pd.DataFrame({"topic": key[0], "ts": times[out], "id": batch["id"].to_numpy()[out]}, columns=["topic", "ts", "id"])
 
     def close(self) -> None:
         pass

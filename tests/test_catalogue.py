@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from loomwire.plans import catalogue
+from loomwire.plans import blocks, catalogue
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -37,6 +37,10 @@ def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def test_blocks_are_in_the_catalogue():
+    assert blocks.feed_rss.__name__ in catalogue.QUERIES
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
