@@ -37,8 +37,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomwire.operators.components import components
 
@@ -373,8 +374,8 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return written(every.join(joined.select(F.col("node").alias("part"), F.col("part").alias("to")), "part", "left").select("node", F.coalesce("to", "part").alias("part")), "jaccard-parts")
 
 
-def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+def _joined(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, point of every row of docs (doc_id, text); and point, first, part, low of every point: its smallest id, its component and the smallest id there."""
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
     small_batches(spark)
@@ -453,20 +454,48 @@ def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFra
     # A component's name: the smallest id of its points.
     by_point = named.select("point", "first").join(bounded(final.withColumnRenamed("node", "point"), most=MOST_SENT), "point", "left").withColumn("part", F.coalesce("part", "point"))
     low = by_point.groupBy("part").agg(F.min("first").alias("low"))
-    names = written(by_point.join(low, "part").select("point", "low"), "jaccard-names")
+    return ids, written(by_point.join(low, "part").select("point", "first", "part", "low"), "jaccard-names")
+
+
+def join(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row of docs (doc_id, text)."""
+    ids, names = _joined(docs, most, most_hot)
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
-    return ids.join(names, "point", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return ids.join(names.select("point", "low"), "point", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def _with_point(docs: DataFrame, name: str) -> DataFrame:
+    """docs with the digest of each text's set in a column of that name."""
+
+    def run(batches):
+        for b in batches:
+            points = [None] * b.num_rows
+            for row, s in _sets(b.column("text")):
+                points[row] = _digest(s) if len(s) else None
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(points, pa.int64())], [*b.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document that names it; documents without an id stay. Rows with one id are one document: the first by text stays."""
-    kept = written(join(docs).filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("rows")), "jaccard-kept")
-    stay = docs.join(bounded(kept.select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
-    twice = written(kept.filter("rows > 1").select("doc_id"), "jaccard-twice")
+    """Of each component one row, of the document that names it; rows without an id and those without words stay.
+
+    Texts that share an id are judged each by itself: unlike ones stay, of equal sets the first by text stays.
+    """
+    ids, names = _joined(docs)
+    chosen = names.filter(F.col("first") == F.col("low")).groupBy("part").agg(F.min("point").alias("point"), F.min("low").alias("doc_id")).select("doc_id", "point")
+    wordless = ids.filter(F.col("doc_id").isNotNull() & F.col("point").isNull()).select("doc_id", "point").distinct()
+    kept = written(chosen.unionByName(wordless), "jaccard-kept")
+    twice = written(ids.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id"), "jaccard-twice")
+    stay = docs.join(bounded(kept.select("doc_id").distinct()), "doc_id", "left_semi").select(*docs.columns)
     if not twice.isEmpty():
-        one = Window.partitionBy("doc_id").orderBy("text")
-        again = stay.join(bounded(twice), "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select(*docs.columns)
-        stay = stay.join(bounded(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+        point = "_point"
+        while point in docs.columns:
+            point += "_"
+        again = _with_point(stay.join(bounded(twice), "doc_id", "left_semi").select(*docs.columns), point).alias("d")
+        same = (F.col("d.doc_id") == F.col("k.doc_id")) & F.col(f"d.{point}").eqNullSafe(F.col("k.point"))
+        again = again.join(kept.alias("k"), same, "left_semi").groupBy("doc_id", point).agg(F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.coalesce("text", F.lit(""))).alias("row"))
+        stay = stay.join(bounded(twice), "doc_id", "left_anti").select(*docs.columns).unionByName(again.select("row.*"))
     return stay.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 

@@ -6,12 +6,13 @@ what the cap takes off is shared again by weight among the others until none is
 Documents are permuted by a hash of their ids and dealt into blocks of a source. A target of up to one
 size is one pass over the source's permuted blocks, a larger one a second pass: a pass takes whole
 blocks in order, then whole documents of one more block, then part of one document, so that the words
-taken are the target to less than one word. The blocks of all passes are split among output shards by a
-binary tree: each node sends a uniformly random half of its blocks left, so that its sources' quotas
-split by the multivariate hypergeometric law; blocks are disjoint and each is shuffled within its shard.
+taken are the target to less than one word. A source's quota is the number of blocks a pass takes of it. A binary
+tree splits the quotas of all sources among output shards, each node by the multivariate hypergeometric law; then every
+shard draws its quotas from the permuted blocks, which are disjoint, and shuffles within. The number of
+shards is a parameter; `shard_levels` is its default rule.
 
-Statistics come from all rows. No window holds a whole source: sums over documents are made within
-blocks, over blocks within a source (at most `most_blocks` in all).
+Statistics come from all rows. No window holds a source's documents: sums over documents are made within blocks, sums
+and the tree over blocks, which are `most_blocks` and one for each source at most. Sources are numbered by ranges.
 Null and empty texts have size 0 and are taken 0 words. Null sources are one source, the last. Null ids hash as
 the word null; of repeated rows each counts; rows alike in id and size may swap their words. Extra columns are
 ignored by `plan` and kept by `mixed`. Empty tables give empty results.
@@ -24,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwire.operators.rank import numbered
+
 from .common import WORD, bounded, written
 
 WEIGHTS = (5, 2, 1)
@@ -43,28 +46,57 @@ def n_words(text: str = "text") -> Column:
 
 
 def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """source, source_size, docs -> with weight and target. One row for each source."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))))
-    # In the order in which rising shares meet the caps, each source tells the level that would do if all before it were capped.
-    order = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, everything = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    left = F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("most").over(before), F.lit(0))
-    level = left / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    ranked = sources.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap).withColumn("level", level)
-    met = F.min(F.when(F.col("level") <= F.col("most") / F.col("weight"), F.struct(F.col("most") / F.col("weight"), F.col("level")))).over(everything)["level"]
-    return ranked.withColumn("met", met).select("source", "source_size", "docs", "weight", F.coalesce(F.least(F.col("most").cast("double"), F.col("met") * F.col("weight")), F.col("most").cast("double")).alias("target"))
-
-
-def _tree(blocks: DataFrame, levels: int, seed: str) -> DataFrame:
-    """blocks with a shard each: every node sends a random half of its blocks left."""
-    node = blocks.withColumn("shard", F.lit(0))
+    """source, source_size, docs -> with weight and target. One row for each source.
+
+    Sources above their cap are set to it and what that takes off is shared again, until none is above: each
+    turn is one sum over the sources.
+    """
+    ranked = numbered(sources, [F.col("source").asc_nulls_last()], "_nth")
+    weight = F.get(F.array(*map(F.lit, weights)), F.pmod(F.col("_nth") - 1, F.lit(len(weights))).cast("int"))
+    ranked = written(ranked.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap).drop("_nth"), "mix-sources")
+    ratio = F.col("most") / F.col("weight")
+    level, capped = 0.0, -1
+    while True:
+        over = ratio < F.lit(level)
+        r = ranked.agg(F.sum("source_size"), F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0)), F.count_if(over)).first()
+        if not r[2] or r[3] == capped:
+            break
+        level, capped = (r[0] * float(share) - r[1]) / float(r[2]), r[3]
+    most = F.col("most").cast("double")
+    target = F.least(most, F.lit(level) * F.col("weight")) if r[2] else most
+    return ranked.select("source", "source_size", "docs", "weight", target.alias("target"))
+
+
+def shard_levels(n_docs: int) -> int:
+    """The default number of levels of the tree: one shard for each SHARD_DOCS documents, a power of two, between 2**LEVELS and 2**MOST_LEVELS."""
+    return min(MOST_LEVELS, max(LEVELS, (n_docs // SHARD_DOCS).bit_length()))
+
+
+def _quotas(passes: DataFrame, levels: int, seed: str) -> DataFrame:
+    """source, pass, shard, n: how many of the blocks that a pass takes of a source each shard gets.
+
+    The root of the tree has the sources' whole quotas. Every node draws one half of its blocks' places at random for its
+    left child, so that the quotas of the two halves have the multivariate hypergeometric law.
+    """
+    counts = passes.groupBy("source", "pass").agg(F.count("*").alias("n"))
+    node = counts.select("source", "pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k")).withColumn("shard", F.lit(0))
     for level in range(levels):
-        key = hashed(seed, F.lit(str(level)), F.coalesce(F.col("source"), F.lit("null")), F.col("source").isNull().cast("string"), F.col("block").cast("string"), F.col("pass").cast("string"))
+        key = hashed(seed, F.lit(str(level)), F.coalesce(F.col("source"), F.lit("null")), F.col("source").isNull().cast("string"), F.col("k").cast("string"), F.col("pass").cast("string"))
         within = Window.partitionBy("shard")
-        first = F.row_number().over(within.orderBy(key, F.col("source").asc_nulls_last(), "block", "pass")) <= F.ceil(F.count("*").over(within) / 2)
-        node = node.withColumn("left", first).withColumn("shard", F.col("shard") * 2 + F.when(F.col("left"), 0).otherwise(1)).drop("left")
-    return node
+        left = F.row_number().over(within.orderBy(key, F.col("source").asc_nulls_last(), "k", "pass")) <= F.ceil(F.count("*").over(within) / 2)
+        node = node.withColumn("left", left).withColumn("shard", F.col("shard") * 2 + F.when(F.col("left"), 0).otherwise(1)).drop("left")
+    return node.groupBy("source", "pass", "shard").agg(F.count("*").alias("n"))
+
+
+def _tree(passes: DataFrame, levels: int, seed: str) -> DataFrame:
+    """passes with a shard each: the quotas are drawn from the permuted blocks of each source, without replacement."""
+    quotas = _quotas(passes, levels, seed)
+    key = hashed(seed, F.lit("draw"), F.coalesce(F.col("source"), F.lit("null")), F.col("source").isNull().cast("string"), F.col("block").cast("string"), F.col("pass").cast("string"))
+    permuted = passes.withColumn("nth", F.row_number().over(Window.partitionBy("source", "pass").orderBy(key, "block")))
+    places = quotas.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).withColumn("nth", F.row_number().over(Window.partitionBy("source", "pass").orderBy("shard", "_k")))
+    places = places.select(F.col("source").alias("_source"), F.col("pass").alias("_pass"), F.col("nth").alias("_nth"), "shard")
+    same = F.col("source").eqNullSafe(F.col("_source")) & (F.col("pass") == F.col("_pass")) & (F.col("nth") == F.col("_nth"))
+    return permuted.join(places, same).drop("_source", "_pass", "_nth", "nth")
 
 
 def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: int = CAP, levels: int | None = None, block_docs: int = BLOCK_DOCS, most_blocks: int = MOST_BLOCKS, seed: str = SEED, text: str = "text") -> DataFrame:
@@ -82,7 +114,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
     first = F.least("quota", "source_size")
     passes = blocks.withColumn("pass", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("left", F.when(F.col("pass") == 0, first).otherwise(F.col("quota") - first) - F.col("before")).filter((F.col("left") > 0) & (F.col("block_size") > 0))
     if levels is None:
-        levels = min(MOST_LEVELS, max(LEVELS, (sized.count() // SHARD_DOCS).bit_length()))
+        levels = shard_levels(sized.count())
     shards = _tree(passes.select("source", "block", "pass", F.least("left", "block_size").alias("block_taken"), (F.col("left") < F.col("block_size")).alias("cut")), levels, seed)
     ways = written(
         shards.groupBy("source", "block").agg(
@@ -125,18 +157,20 @@ def mixed(docs: DataFrame, text: str = "text", seed: str = SEED, **options) -> D
     return drawn.repartition(n, F.col("_at.shard")).sortWithinPartitions("_at.shard", key).select(*(docs[c] for c in docs.columns))
 
 
-def oracle_sql(levels: int = LEVELS) -> str:
-    """DuckDB SQL for plan() with its default parameters, for fewer than 2**levels * SHARD_DOCS documents."""
+def oracle_sql() -> str:
+    """DuckDB SQL for plan() with its default parameters and its default rule for the number of shards."""
     h = lambda *x: "('0x' || substr(md5(" + " || '|' || ".join(x) + "), 1, 15))::BIGINT"
-    tree, at = "", "passes0"
-    for k in range(levels):
-        key = h(f"'{SEED}'", f"'{k}'", "coalesce(source, 'null')", "CASE WHEN source IS NULL THEN 'true' ELSE 'false' END", "block::VARCHAR", "pass::VARCHAR")
-        tree += f""", passes{k + 1} AS (SELECT * EXCLUDE (shard), shard * 2 + CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY {key}, source NULLS LAST, block, pass) <= ceil(count(*) OVER (PARTITION BY shard) / 2) THEN 0 ELSE 1 END AS shard FROM {at})"""
-        at = f"passes{k + 1}"
+    source = ("coalesce(source, 'null')", "CASE WHEN source IS NULL THEN 'true' ELSE 'false' END")
+    tree = ""
+    for k in range(MOST_LEVELS):
+        key = h(f"'{SEED}'", f"'{k}'", *source, "k::VARCHAR", "pass::VARCHAR")
+        half = f"CASE WHEN row_number() OVER (PARTITION BY shard ORDER BY {key}, source NULLS LAST, k, pass) <= ceil(count(*) OVER (PARTITION BY shard) / 2) THEN 0 ELSE 1 END"
+        tree += f""", node{k + 1} AS (SELECT * EXCLUDE (shard), {f"shard * 2 + {half}" if k < LEVELS else f"CASE WHEN {k} < (SELECT l FROM deep) THEN shard * 2 + {half} ELSE shard END"} AS shard FROM node{k})"""
     weights = ", ".join(map(str, WEIGHTS))
     return rf"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(length(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, {h(f"'{SEED}'", "coalesce(doc_id::VARCHAR, 'null')")} AS h FROM documents
+), deep AS (SELECT least({MOST_LEVELS}, greatest({LEVELS}, length(bin(count(*) // {SHARD_DOCS})))) AS l FROM documents
 ), weighed AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS docs, ([{weights}])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(WEIGHTS)} + 1)::INT] AS weight FROM sized GROUP BY source
 ), ranked AS (
@@ -152,12 +186,20 @@ WITH sized AS (
   SELECT source, block, any_value(source_size) AS source_size, any_value(quota) AS quota, sum(size)::BIGINT AS block_size FROM dealt GROUP BY source, block
 ), placed AS (
   SELECT *, coalesce(sum(block_size) OVER (PARTITION BY source ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM per_block
-), passes0 AS (
-  SELECT source, block, pass, CASE WHEN pass = 0 THEN least(quota, source_size) ELSE quota - least(quota, source_size) END - before AS room, block_size, 0 AS shard FROM placed, (VALUES (0), (1)) p(pass) WHERE room > 0 AND block_size > 0
-){tree}, summed AS (
+), passes AS (
+  SELECT source, block, pass, CASE WHEN pass = 0 THEN least(quota, source_size) ELSE quota - least(quota, source_size) END - before AS room, block_size FROM placed, (VALUES (0), (1)) p(pass) WHERE room > 0 AND block_size > 0
+), node0 AS (
+  SELECT source, pass, row_number() OVER (PARTITION BY source, pass) - 1 AS k, 0 AS shard FROM passes
+){tree}, places AS (
+  SELECT source, pass, shard, row_number() OVER (PARTITION BY source, pass ORDER BY shard) AS nth FROM node{MOST_LEVELS}
+), permuted AS (
+  SELECT *, row_number() OVER (PARTITION BY source, pass ORDER BY {h(f"'{SEED}'", "'draw'", *source, "block::VARCHAR", "pass::VARCHAR")}, block) AS nth FROM passes
+), drawn AS (
+  SELECT b.source, b.block, b.pass, b.room, p.shard FROM permuted b JOIN places p ON p.source IS NOT DISTINCT FROM b.source AND p.pass = b.pass AND p.nth = b.nth
+), summed AS (
   SELECT d.doc_id, d.source, d.size, d.source_size, d.target, a.shard AS s0, b.shard AS s1, a.room AS r0, b.room AS r1,
     coalesce(sum(d.size) OVER (PARTITION BY d.source, d.block ORDER BY d.h, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
-  FROM dealt d LEFT JOIN {at} a ON a.pass = 0 AND a.source IS NOT DISTINCT FROM d.source AND a.block = d.block LEFT JOIN {at} b ON b.pass = 1 AND b.source IS NOT DISTINCT FROM d.source AND b.block = d.block
+  FROM dealt d LEFT JOIN drawn a ON a.pass = 0 AND a.source IS NOT DISTINCT FROM d.source AND a.block = d.block LEFT JOIN drawn b ON b.pass = 1 AND b.source IS NOT DISTINCT FROM d.source AND b.block = d.block
 ), took AS (
   SELECT *, CASE WHEN r0 IS NULL THEN 0 ELSE greatest(0, least(size, r0 - start)) END::BIGINT AS taken_first, CASE WHEN r1 IS NULL THEN 0 ELSE greatest(0, least(size, r1 - start)) END::BIGINT AS taken_again FROM summed
 )

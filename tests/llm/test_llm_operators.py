@@ -83,6 +83,31 @@ def test_pairs_learn_the_order():
     assert quality.rank(x, np.ones(400, bool)) is None
 
 
+def brute_features(t):
+    b = t.encode()
+    words = re.findall(rb"[^\x20\x09-\x0d]+", bytes(c + 32 if 65 <= c <= 90 else c for c in b))
+    n, size = max(1, len(words)), max(1, len(b))
+    of = lambda f: sum(map(f, b))
+    letters = max(1, of(lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c > 127))
+    lines, pairs = b.split(b"\n"), list(zip(words, words[1:], strict=False))
+    odd = of(lambda c: 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127)
+    entropy = -sum(b.count(bytes([c])) / size * np.log2(b.count(bytes([c])) / size) for c in set(b))
+    out = [np.sqrt(b.count(bytes([c])) / n) for c in quality.PUNCTUATION]
+    out += [np.log1p(len(b)), np.log1p(len(words)), np.log1p(size / n), of(lambda c: 65 <= c <= 90) / letters, of(lambda c: 48 <= c <= 57) / size, of(lambda c: c > 127) / size, of(lambda c: c in b" \t\n\v\f\r") / size, of(lambda c: c < 32) / size]
+    out += [len(set(lines)) / len(lines), np.log1p(len(lines) / n), len(set(words)) / n, len(set(pairs)) / max(1, len(pairs)), entropy, np.sqrt(odd / size), float(len(words) < 5)]
+    return out
+
+
+def test_quality_scores_against_loops(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = quality.fit(docs, labels)
+    some = docs.filter("doc_id % 9 = 0 AND n_chars < 20000")
+    for r in quality.score(some, model).collect():
+        z = np.clip((np.array(brute_features(r.text or "")) - model.mean) / model.scale, -8, 8)
+        strength = sum(a * w for a, w in zip(z, model.weight, strict=True))
+        assert abs(r.score - 1 / (1 + np.exp(-np.clip(4 * (strength - model.threshold) / model.spread, -500, 500)))) < 1e-6
+
+
 # 2
 
 
@@ -208,6 +233,13 @@ def test_jaccard_join_odd_rows(spark):
     assert sorted(r.doc_id or 0 for r in one.select("doc_id").collect()) == [0, 1, 2, 3, 4, 5, 7, 9, 10]
 
 
+def test_unlike_texts_of_one_id_are_judged_each(spark):
+    words = lambda k: " ".join(f"x{k}y{i}" for i in range(30))
+    rows = [(4, words(1)), (4, words(2)), (4, words(1).upper()), (2, words(2) + " end"), (7, words(3)), (7, words(1)), (9, None), (9, ""), (9, words(5))]
+    kept = jaccard_join.one_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(4, words(1).upper()), (2, words(2) + " end"), (7, words(3)), (9, ""), (9, words(5))])
+
+
 # 3
 
 
@@ -249,6 +281,29 @@ def test_language_odd_rows(spark):
     assert language_id.identify(empty(spark), language_id.fit(empty(spark))).count() == 0
 
 
+def test_languages_against_loops(spark):
+    docs = table(spark, SF, "documents")
+    model = language_id.fit(docs)
+    some = docs.filter("doc_id % 17 = 0 AND n_chars < 5000")
+    for r in language_id.identify(some, model).join(some.select("doc_id", "text"), "doc_id").collect():
+        if not any(map(str.isalpha, r.text or "")):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        c = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in r.text.lower().encode() + b" "]
+        counts: dict = {}
+        for x, y, z in zip(c, c[1:], c[2:], strict=False):
+            code = (x * 0x9E3779B1 + y * 0x85EBCA77 + z * 0xC2B2AE3D) % 2**32
+            code = (((code ^ (code >> 15)) * 0x2C1B3C6D) % 2**32) >> 21
+            if not x == y == 32 and code != language_id.DIM - 1:
+                counts[code] = counts.get(code, 0) + 1
+        weights = {k: np.log1p(n) * model.idf[k] for k, n in counts.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5
+        cosines = [sum(w * v[k] for k, w in weights.items()) / norm for v in model.vectors]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(r.score - min(1, max(0, cosines[best]))) < 1e-4
+        assert r.lang_pred == model.languages[model.owner[best]] or sorted(cosines)[-1] - sorted(cosines)[-2] < 1e-5
+
+
 # 5
 
 
@@ -354,6 +409,26 @@ def test_mixing_against_brute_force(spark):
     assert len(blocks) > 10 and max(blocks) < 64
 
 
+def test_quotas_are_split_exactly(spark):
+    """Each node halves its blocks; a source's share of a node follows the hypergeometric law, in the mean its share of all."""
+    passes = spark.createDataFrame([(s, b, p) for s, n in (("a", 60), ("b", 30), (None, 10)) for b in range(n) for p in (0, 1)], "source string, block long, pass int")
+    sums: dict = {}
+    for seed in range(6):
+        got = mixing._quotas(passes, 3, f"s{seed}").collect()
+        shards: dict = {}
+        for r in got:
+            shards[r.shard] = shards.get(r.shard, 0) + r.n
+            sums[r.source, r.shard] = sums.get((r.source, r.shard), 0) + r.n
+        assert shards == dict.fromkeys(range(8), 25)
+    assert all(abs(sums["a", k] / 6 - 15) < 3.5 and abs(sums.get((None, k), 0) / 6 - 2.5) < 2 for k in range(8))
+    dealt = mixing._tree(passes, 3, "s0").collect()
+    want = {(r.source, r["pass"], r.shard): r.n for r in mixing._quotas(passes, 3, "s0").collect()}
+    have: dict = {}
+    for r in dealt:
+        have[r.source, r["pass"], r.shard] = have.get((r.source, r["pass"], r.shard), 0) + 1
+    assert have == want and len({(r.source, r.block, r["pass"]) for r in dealt}) == 200
+
+
 def test_mixing_odd_rows(spark):
     got = mixing.plan(odd(spark)).collect()
     assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (1, 2, 3)} == {0}

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from loomwire.llm import decontaminate, jaccard_join, mixing, packing, quality
-from loomwire.llm.common import table
+from loomwire.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +34,21 @@ def test_stages(spark, tmp_path):
     tokens = lambda df: sum(r.cu_seqlens[-1] for r in df.collect())
     assert tokens(seen[5]) == tokens(packing.pack(seen[4])) == tokens(corpus_pipeline.run(spark, SF))
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
+    text = " ".join(f"w{i % 97}x{i}" for i in range(3000))
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id at all here", "en", None, 17), (4, text, None, "s", 9), (4, text, None, "s", 9), (5, text, "en", "t", 9), (6, "One two", "de", "t", 7), (None, None, None, None, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
+        docs = docs.withColumns({c: F.lit("clash") for c in ("score", "predicted", "held_out", "point", "_point", "h", "taken", "shard", "size", "item_id", "text_hash", "n")})
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF)
+            if k < 4:
+                assert out.columns == docs.columns
+                kept = out.select("score", "h", "taken", "n").distinct().collect()
+                assert all(set(r) == {"clash"} for r in kept)
+                docs = written(out, "odd")
+            else:
+                out.collect()
