@@ -7,8 +7,9 @@ d <= r = 0.2. Exact copies are one point. The result is the components of all li
    sets lack at most floor(n/5) of each other's shingles, so they share one of their first floor(n/5) + 1 under
    any one order; the order has rare shingles first, by hash, those of more than `most` windows last. Points that
    share such a shingle are in the region of the pivot that its points agree on; all others are too far apart.
-2. Pivots. Every member is compared with its region's pivot, unless the shingles that both share prove them too far
-   apart. What is within r is linked, so that a large group of near copies costs one comparison each. A region
+2. Pivots. Every point is compared with the pivot that its shared shingles allow to be the nearest, then with those of
+   its other regions that are in other components, unless the shingles that both share prove them too far
+   apart. What is within r is linked, so that a large group of near copies costs about one comparison each. A region
    whose members are then all in one component is done.
 3. Voronoi regions. An open region of more than LEAF members draws up to PICKS pivots of its own, each from another
    component where it can, and all members are compared with them. A member x belongs to the region of its nearest
@@ -311,8 +312,8 @@ def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataF
     region's pivot for any of the others are left out.
     """
     counts = members.groupBy("region", "part").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    largest = counts.groupBy("region").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("of"))
-    others = counts.join(largest.select("region", "main"), "region").filter("part <> main").groupBy("region").agg(F.min("low").alias("from"), F.max("high").alias("to"))
+    largest = written(counts.groupBy("region").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("of")), "jaccard-largest")
+    others = members.join(bounded(largest.select("region", "main")), "region").filter("part <> main").groupBy("region").agg(F.min("low").alias("from"), F.max("high").alias("to"))
     known = bounded(written(largest.join(others, "region"), "jaccard-dense"))
     main = F.col("part") == F.col("main")
     placed = members.join(known, "region").filter(~main | ((F.col("low") <= F.col("to") + R + EPS) & (F.col("high") >= F.col("from") - R - EPS)))
@@ -400,9 +401,20 @@ def _joined(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> tupl
     # 2. Every member against its region's pivot.
     stars = regions.filter(F.col("point") != F.col("pivot")).select(F.col("point").alias("x"), F.col("pivot").alias("y")).distinct()
     stars = written(_bounds(stars, known), "jaccard-stars")
-    possible = stars.filter("possible").select(F.col("y").alias("region"), F.col("x").alias("point"))
-    near = _against(possible, possible.select("region", F.col("region").alias("point")).distinct(), docs, named, "jaccard-near")
-    found = written(components(near.filter("linked").select(F.col("point").alias("x"), F.col("pick").alias("y"))), "jaccard-parts")
+    # First the pivot that may be nearest, then those of other components.
+    possible = stars.filter("possible").select(F.col("x").alias("point"), F.col("y").alias("region"), "low")
+    first = written(possible.groupBy("point").agg(F.min_by("region", F.struct("low", "region")).alias("region")), "jaccard-first")
+    star = lambda members: _against(members, members.select("region", F.col("region").alias("point")).distinct(), docs, named, "jaccard-near")
+    linked = lambda met: met.filter("linked").select(F.col("point").alias("x"), F.col("pick").alias("y"))
+    near = star(first)
+    found = written(components(linked(near)), "jaccard-parts")
+    part_of = lambda k: found.select(F.col("node").alias(k), F.col("part").alias(f"_{k}"))
+    apart = possible.select("point", "region").join(first, ["point", "region"], "left_anti").join(part_of("point"), "point", "left").join(part_of("region"), "region", "left")
+    apart = written(apart.filter(F.coalesce("_point", "point") != F.coalesce("_region", "region")).select("point", "region"), "jaccard-apart")
+    if not apart.isEmpty():
+        more = star(apart)
+        near = near.unionByName(more)
+        found = _merged(found, linked(more))
     spans = stars.select("x", "y", F.col("low").alias("least")).join(near.select(F.col("point").alias("x"), F.col("pick").alias("y"), "distance"), ["x", "y"], "left")
     spans = spans.select(F.col("x").alias("point"), F.col("y").alias("pivot"), F.coalesce("distance", "least").alias("low"), F.coalesce("distance", F.lit(1.0)).alias("high"))
 
@@ -429,7 +441,7 @@ def _joined(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> tupl
         members = written(members.join(bounded(large), "region"), "jaccard-large")
         picks = written(_picks(placed(members, found)), "jaccard-picks")
         met = _against(members.select("region", "point"), picks, docs, named, "jaccard-met")
-        more = written(met.filter("linked").select(F.col("point").alias("x"), F.col("pick").alias("y")), "jaccard-more")
+        more = written(linked(met), "jaccard-more")
         found = found if more.isEmpty() else _merged(found, more)
         cells = written(_cells(met, picks), "jaccard-cells")
         squares = cells.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
