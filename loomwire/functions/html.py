@@ -257,3 +257,127 @@ def highlight(text: Column, sentence: Column) -> Column:
     words = F.transform(F.split(squeeze(sentence), " "), lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E")))
     fits = (F.length(sentence) >= 6) & (F.length(sentence) <= 200)
     return F.when(fits, F.regexp_replace(text, F.concat(F.lit("(?s)^(.*?)("), F.array_join(words, r"\s+"), F.lit(")")), F.lit("$1<mark>$2</mark>"))).otherwise(text)
+
+
+def shown(root: list) -> str:
+    """The HTML of a tree."""
+    out: list[str] = []
+    todo: list = [root]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, str):
+            out.append(_html.escape(x, quote=False))
+        else:
+            tag, attrs, inner = x
+            if tag:
+                out.append(f"<{tag}" + "".join(f' {k}="{_html.escape(v or "")}"' for k, v in attrs.items()) + ">")
+                if tag not in _VOID:
+                    todo.append((f"</{tag}>",))
+            todo += reversed(inner)
+    return "".join(out)
+
+
+def _each(root: list):
+    """(parent, index, node) of all elements, in order."""
+    for i, x in enumerate(root[2]):
+        if not isinstance(x, str):
+            yield root, i, x
+            yield from _each(x)
+
+
+def text_of(node) -> str:
+    parts, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        else:
+            todo += reversed(x[2])
+    return re.sub(r"\s+", " ", "".join(parts)).strip()
+
+
+def without_relative_images(content: str) -> str:
+    """Images stay if their address is absolute or holds the data itself, or if they have none."""
+    return re.sub(r"""(?is)<img\b[^>]*?\ssrc\s*=\s*["']\s*(?!https?://|data:|["'\s])[^"']*["'][^>]*>""", "", content)
+
+
+def without_leading_title(content: str, title_: str) -> str:
+    """Without the first h1 if its text is part of the title or holds it."""
+    m = re.search(r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", content)
+    own, other = (text_of(tree(m[1])) if m else ""), re.sub(r"\s+", " ", title_ or "").strip()
+    return content[: m.start()] + content[m.end() :] if own and (own in other or other in own) else content
+
+
+def with_featured_image(content: str, thumbnail: str | None) -> str:
+    """The thumbnail in front, inside a body if there is one, where the content has no image."""
+    if not thumbnail or "<img" in content:
+        return content
+    image = f'<img src="{_html.escape(thumbnail)}">'
+    return content.replace("<body>", f"<body>{image}", 1) if "<body>" in content else image + content
+
+
+def with_intro(content: str, description: str | None, title_: str = "") -> str:
+    """The description's part before the content's first heading as a first paragraph, unless the content begins with it."""
+    told = re.sub(r"\s+", " ", description or "").strip()
+    root = tree(content)
+    heads = (text_of(x) for _, _, x in _each(root) if x[0] in ("h2", "h3", "h4"))
+    first = next((t for t in heads if t and t != re.sub(r"\s+", " ", title_ or "").strip()), "")
+    intro = told[: told.find(first)].strip() if first and told.find(first) > 0 else ""
+    if not intro or intro in text_of(root)[: max(len(intro) + 128, 256)]:
+        return content
+    lead = f"<p>{_html.escape(intro, quote=False)}</p>"
+    return content.replace("<body>", f"<body>{lead}", 1) if "<body>" in content else lead + content
+
+
+def with_galleries(page: str, variable: str = "article_galleries") -> str:
+    """Elements gallery-N replaced by the images that the page's own variable lists for them; all else stays."""
+    m = re.search(rf"const {variable}\s*=\s*", page)
+    if not m:
+        return page
+    try:
+        lists, _ = json.JSONDecoder().raw_decode(page, m.end())
+    except ValueError:
+        return page
+
+    def images_of(name: str) -> str:
+        rows = [x for x in lists.get(name, []) if isinstance(x, dict) and x.get("src")]
+        return "\n".join(f'<img src="{_html.escape(x["src"])}" alt="{_html.escape(x.get("alt_text") or x.get("caption") or "")}">' for x in rows)
+
+    return re.sub(r"(?i)<(gallery-\d+)\s*/?>(?:\s*</\1>)?", lambda g: images_of(g[1].lower()), page)
+
+
+def placeholder_flow(page: str, pattern: str = r'\{\{[\w-]+:inline-image name="([^"]+)"\}\}', root_class: str = "article-details-content-container", prefix_class: str = "prefixHidden") -> list[dict]:
+    """Paragraphs and images of a page whose paragraphs name inline images that lie under a hidden prefix, in order."""
+    every = list(_each(tree(page)))
+    classed = lambda name: next((x for _, _, x in every if name in (x[1].get("class") or "").split()), None)
+    root, prefix = classed(root_class), classed(prefix_class)
+    base = text_of(prefix).rstrip("/") if prefix else ""
+    out: list[dict] = []
+    todo: list = [root] if root else []
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x[0] in ("script", "style", "noscript"):
+            continue
+        if x[0] == "img":
+            if src := x[1].get("src") or x[1].get("data-src"):
+                out.append({"image": src})
+        elif x[0] == "p":
+            whole = text_of(x)
+            if text := re.sub(r"\s+", " ", re.sub(pattern, "", whole)).strip():
+                out.append({"text": text})
+            out += [{"image": f"{base}/{name}"} for name in re.findall(pattern, whole) if base]
+        else:
+            todo += reversed(x[2])
+    return out
+
+
+@F.pandas_udf(StringType())
+def finished(content: pd.Series, title_: pd.Series, thumbnail: pd.Series, description: pd.Series) -> pd.Series:
+    """An article's HTML with its last touches: no relative images, no leading title, the missing intro and a featured image."""
+
+    def one(c, t, i, d):
+        return None if c is None else with_featured_image(with_intro(without_leading_title(without_relative_images(c), t or ""), d, t or ""), i)
+
+    return pd.Series([one(*x) for x in zip(content, title_, thumbnail, description, strict=True)], dtype=object)

@@ -217,6 +217,21 @@ def test_html(spark):
     assert f.a.count("<p>") == 3 and "<img" in f.a and 'href="u"' in f.b
 
 
+def test_last_touches_of_articles(spark):
+    assert html.without_relative_images('<p>a<img src="/x.jpg"><img alt="" src="https://h/y.jpg"><img src="data:image/png;1"></p>') == '<p>a<img alt="" src="https://h/y.jpg"><img src="data:image/png;1"></p>'
+    assert html.without_leading_title("<h1>Big  <b>News</b></h1><p>x</p>", "Big News today") == "<p>x</p>" and html.without_leading_title("<h1>Other</h1>", "Big") == "<h1>Other</h1>"
+    assert html.with_featured_image("<html><body><p>x</p></body></html>", "http://i?a&b") == '<html><body><img src="http://i?a&amp;b"><p>x</p></body></html>' and html.with_featured_image("<img>", "http://i") == "<img>"
+    assert html.with_intro("<h2>Part one</h2><p>text</p>", "The lead. Part one and more") == "<p>The lead.</p><h2>Part one</h2><p>text</p>"
+    assert html.with_intro("<p>The lead.</p><h2>Part one</h2>", "The lead. Part one") == "<p>The lead.</p><h2>Part one</h2>" and html.with_intro("<p>x</p>", None) == "<p>x</p>"
+    page = '<script>const article_galleries = {"gallery-1": [{"src": "http://a", "caption": "c"}, {"alt_text": "none"}]};\n</script><gallery-1></gallery-1><GALLERY-1/><gallery-2>'
+    assert html.with_galleries(page).count('<img src="http://a" alt="c">') == 2 and html.with_galleries("<gallery-1>") == "<gallery-1>"
+    page = '<div class="x prefixHidden">http://h/p/</div><div class="article-details-content-container"><p>One</p><p>{{cms:inline-image name="a.jpg"}}</p><p>Two {{cms:inline-image name="b.jpg"}}</p><img src="http://c"></div>'
+    assert html.placeholder_flow(page) == [{"text": "One"}, {"image": "http://h/p/a.jpg"}, {"text": "Two"}, {"image": "http://h/p/b.jpg"}, {"image": "http://c"}]
+    r = one(spark, html.finished(F.lit("<h1>T</h1><p>x</p>"), F.lit("T"), F.lit("http://i"), F.lit(None).cast("string")).alias("c"))
+    assert r.c == '<img src="http://i"><p>x</p>'
+    assert html.shown(html.tree('<p class="a">x<br>y &amp; z</p>')) == '<p class="a">x<br>y &amp; z</p>'
+
+
 def test_feeds(spark):
     rss = '<rss><channel><item><title><![CDATA[A & B]]></title><link>http://x/1?a=1&amp;b=2</link><pubDate>Tue, 21 Apr 2026 10:00:00 GMT</pubDate><media:thumbnail url="http://t"/><description>d</description></item><item><title>old</title><link>http://x/2</link><pubDate>Tue, 14 Apr 2026 10:00:00 GMT</pubDate></item><item><title>n</title><link>http://x/3</link></item></channel></rss>'
     site = '<urlset><url><loc>https://h/%E4%B8%AD/1</loc><image:image><image:loc>http://img</image:loc></image:image><n:news><n:publication_date>2026-04-21T11:00:00Z</n:publication_date><n:title>新</n:title></n:news></url></urlset>'
