@@ -141,6 +141,7 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
 def mixed(docs: DataFrame, text: str = "text", seed: str = SEED, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row for each pass that takes at least half of a document's words, dealt to shards and shuffled within.
 
+    Documents come whole: the one document of a source and pass of which only a part is taken is rounded to all or nothing.
     Rows with one doc_id are dealt as one document: each of them comes once a pass.
     """
     spark = docs.sparkSession

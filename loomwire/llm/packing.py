@@ -9,8 +9,8 @@ A row has its ids (little-endian, two bytes, or four for larger vocabularies, fi
 cumulative lengths of its segments, where positions begin anew, and for each segment the document and
 its offset in the document's ids: enough to restore every document (see `unpack`).
 
-Null texts count as empty: one end token. Null ids stay null. Repeated rows are packed each; extra columns
-are ignored. Reruns over the same input files give the same rows.
+Null texts count as empty: one end token. Null ids stay null. Repeated rows are packed each; of pieces of one length
+the one read first goes first; very long texts become many pieces; an empty table gives no rows; extra columns are ignored. Reruns over the same input files give the same rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ no piece costs the lowest score less 10 and counts as its UTF-8 bytes if the voc
 If no piece has a mark after another character, a best path never crosses a mark that begins a word;
 words are then solved once and remembered (a bounded cache), else the text is solved as a whole.
 
-Null and empty texts have 0 tokens and score 0. Repeated rows count alike; extra columns are ignored.
+Null and empty texts have 0 tokens and score 0, an empty table no rows. Repeated rows count alike; extra columns are
+ignored. Very long texts are solved word by word, or whole in memory linear in their length.
 """
 
 from __future__ import annotations
