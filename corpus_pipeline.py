@@ -1,4 +1,10 @@
-"""From raw documents to packed training rows: five stages, each over all that the one before kept."""
+"""From raw documents to packed training rows: five stages, each over all that the one before kept.
+
+Nulls in any column, empty and very long texts, repeated rows, empty tables and extra columns pass all stages: a
+null text counts as empty, a row with a null id is scored by its text and otherwise kept, the columns of the first four
+stages are those of their input, whatever their names, and an empty table stays empty. Of ties the operators say
+what they do.
+"""
 
 from __future__ import annotations
 
