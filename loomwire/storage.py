@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 #: Largest table, in rows, that is broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: And in bytes.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +51,16 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def row_bytes(schema: StructType) -> int:
+    """About how many bytes a row takes in a broadcast table; variable fields by what ids and short lists take."""
+    size = 64
+    for f in schema.fields:
+        kind = f.dataType
+        size += row_bytes(kind) if isinstance(kind, StructType) else 1024 if isinstance(kind, (ArrayType, MapType)) else 64 if isinstance(kind, (StringType, BinaryType)) else 8
+    return size
+
+
 def bounded(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if its count proves it small; else as it is, so that the join shuffles."""
+    """df, marked for broadcast if its count and the width of its rows prove it small; else as it is, so that the join shuffles."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+    return F.broadcast(df) if n <= most and n * row_bytes(df.schema) <= BROADCAST_BYTES else df
