@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwire.storage import bounded, forget, shared_dir, table, written
 
-__all__ = ["ascii_lower", "bounded", "fold", "forget", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["ascii_lower", "bounded", "fold", "forget", "map_rows", "shared_dir", "small_batches", "table", "written"]
 
 #: A word of the contracts: a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,12 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+def map_rows(df: DataFrame, function) -> DataFrame:
+    """mapInArrow over all columns of df, whatever their names (dots, repeats); function sees c0, c1, ... and returns them."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(function, plain.schema).toDF(*df.columns)
+
+
 def fold(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by

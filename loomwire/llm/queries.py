@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, jaccard_join, language_id, mixing, packing, quality, token_counts, url_filter, warc
+from . import collocations, decontaminate, fingerprint, jaccard_join, language_id, mixing, packing, partial_distance, quality, secret_scan, token_counts, url_filter, warc
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_secret_guess_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op12_partial_distance_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partial_distance.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_sigma_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -66,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_viterbi_token_counts,
         op9_best_fit_packing,
         op10_template_decontamination,
+        op11_secret_guess_cost,
+        op12_partial_distance_codes,
+        op13_suffix_sigma_phrases,
     )
 }
 
@@ -74,4 +89,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_url_shift_and": url_filter.ORACLE_SQL,
     "op6_mixing_splitting_tree": mixing.oracle_sql(),
     "op10_template_decontamination": decontaminate.oracle_sql(),
+    "op12_partial_distance_codes": partial_distance.oracle_sql(),
+    "op13_suffix_sigma_phrases": collocations.ORACLE_SQL,
 }

@@ -26,5 +26,5 @@ def test_same_rows_as_sql(spark, name):
     assert pick([tuple(r) for r in df.collect()], df.columns) == pick(rows, columns)
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
