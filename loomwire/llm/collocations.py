@@ -38,7 +38,7 @@ from .common import bounded, forget, small_batches, written
 LEAST, MOST, TOP, INSIDE = 10, 3, 2000, 50
 NO_LANGUAGE = "und"
 #: Bytes of text whose suffixes a task adds up before it deals them out, and suffixes of a bucket.
-FLUSH_BYTES, BUCKET_WORDS = 16 << 20, 2_000_000
+FLUSH_BYTES, BUCKET_WORDS = 8 << 20, 1_000_000
 #: Lists that one task merges when the best of a language are found.
 FAN_IN = 32
 #: The signs that end a piece, and the blanks between words.
@@ -60,7 +60,7 @@ class Words(NamedTuple):
 
 def words_of(texts: pa.Array, langs: pa.Array) -> Words:
     """All words of the texts in order. Equal strings have equal codes."""
-    starts, sizes, pieces, rows, data = [], [], [], [], []
+    sizes, pieces, rows, data = [], [], [], []
     piece = 0
     for first, ends, b in texts_of(texts):
         kind = CLASS[b]
@@ -69,10 +69,9 @@ def words_of(texts: pa.Array, langs: pa.Array) -> Words:
         begin = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]]))
         stop = np.flatnonzero(word & np.concatenate([~word[1:], [True]])) + 1
         cut = np.cumsum(kind == 2)
-        starts.append(begin)
         sizes.append(stop - begin)
-        pieces.append(cut[begin] + piece)
-        rows.append(np.searchsorted(ends, begin, "right") + first)
+        pieces.append((cut[begin] + piece).astype(np.int32))
+        rows.append((np.searchsorted(ends, begin, "right") + first).astype(np.int32))
         data.append(LOWER[b[word]])
         piece += int(cut[-1]) + 1
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
@@ -81,8 +80,8 @@ def words_of(texts: pa.Array, langs: pa.Array) -> Words:
     flat = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(join(data, np.uint8)))
     coded = flat.dictionary_encode()
     of_lang = pc.fill_null(langs, NO_LANGUAGE).dictionary_encode()
-    at = join(rows, np.int64)
-    return Words(coded.indices.to_numpy().astype(np.int64), coded.dictionary, of_lang.indices.to_numpy().astype(np.int64)[at], of_lang.dictionary, join(pieces, np.int64))
+    lang = of_lang.indices.to_numpy()[join(rows, np.int32)]
+    return Words(coded.indices.to_numpy(), coded.dictionary, lang, of_lang.dictionary, join(pieces, np.int32))
 
 
 def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
@@ -135,7 +134,7 @@ def suffixes(w: Words, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct suffixes, as columns of a language and `most` words (code + 1, 0 for none), and how often each occurs."""
     columns = [w.lang, w.codes + 1]
     for k in range(1, most):
-        on = np.zeros(len(w.codes), np.int64)
+        on = np.zeros(len(w.codes), np.int32)
         same = w.piece[k:] == w.piece[:-k] if len(w.piece) > k else np.zeros(0, bool)
         on[: len(same)] = np.where(same, w.codes[k:] + 1, 0)
         columns.append(on)
@@ -202,13 +201,13 @@ class Bucket:
         self.n_langs = self.n_words = 0
 
     def add(self, langs: pa.Array, words: pa.Array, codes: np.ndarray, n: np.ndarray) -> None:
-        rows = codes.reshape(self.most + 1, len(n)).astype(np.int64)
+        rows = codes.reshape(self.most + 1, len(n))
         self.columns[0].append(rows[0] + self.n_langs)
         for k in range(1, self.most + 1):
             self.columns[k].append(np.where(rows[k] > 0, rows[k] + self.n_words, 0))
         self.langs.append(langs)
         self.words.append(words)
-        self.n.append(n.astype(np.int64))
+        self.n.append(n)
         self.n_langs += len(langs)
         self.n_words += len(words)
 
@@ -217,20 +216,20 @@ class Bucket:
         """The distinct strings in byte order, and the place of each given one among them."""
         coded = pa.chunked_array(arrays).combine_chunks().dictionary_encode()
         order = pc.sort_indices(coded.dictionary).to_numpy().astype(np.int64)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()]
 
     def prefixes(self) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, int]]:
         """For each number of words: languages, phrases and counts of all prefixes of that many words."""
         langs, lang_rank = self._ranked(self.langs)
         words, word_rank = self._ranked(self.words)
-        rank = np.concatenate([[0], word_rank + 1])
+        rank = np.concatenate([np.zeros(1, np.int32), word_rank + 1])
         columns = [lang_rank[np.concatenate(self.columns[0])], *(rank[np.concatenate(c)] for c in self.columns[1:])]
         order = np.argsort(packed(columns))[::-1]  # reverse-lexicographic: longer suffixes before their beginnings
-        columns, n = [c[order] for c in columns], np.concatenate(self.n)[order]
+        columns, n = [c[order] for c in columns], np.concatenate(self.n)[order].astype(np.int64)
         # how many levels of the stack stay open from one suffix to the next
-        same, shared = np.ones(len(n) - 1, bool), np.zeros(len(n) - 1, np.int64)
+        same, shared = np.ones(len(n) - 1, bool), np.zeros(len(n) - 1, np.int8)
         for c in columns:
             same = same & (c[1:] == c[:-1])
             shared += same
