@@ -39,6 +39,8 @@ LEAST, MOST, TOP, INSIDE = 10, 3, 2000, 50
 NO_LANGUAGE = "und"
 #: Bytes of text whose suffixes a task adds up before it deals them out, and suffixes of a bucket.
 FLUSH_BYTES, BUCKET_WORDS = 8 << 20, 1_000_000
+#: Bytes of an Arrow batch; a partition of blocks comes in many of them.
+BATCH_BYTES = 8 << 20
 #: Lists that one task merges when the best of a language are found.
 FAN_IN = 32
 #: The signs that end a piece, and the blanks between words.
@@ -316,6 +318,7 @@ def collocations(docs: DataFrame, least: int = LEAST, most: int = MOST, top: int
     """lang, rank, phrase, a, l, r, n and score of the first `top` phrases of 2 to `most` words of each language."""
     spark = docs.sparkSession
     small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     read = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     single = written(totals(read), "phrases-words")
     n = single.groupBy("lang").agg(F.sum("f").alias("n"))
