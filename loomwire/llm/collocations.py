@@ -38,7 +38,7 @@ from .common import bounded, forget, small_batches, written
 LEAST, MOST, TOP, INSIDE = 10, 3, 2000, 50
 NO_LANGUAGE = "und"
 #: Bytes of text whose suffixes a task adds up before it deals them out, and suffixes of a bucket.
-FLUSH_BYTES, BUCKET_WORDS = 8 << 20, 1_000_000
+FLUSH_BYTES, BUCKET_WORDS = 3 << 20, 1_000_000
 #: Bytes of an Arrow batch; a partition of blocks comes in many of them.
 BATCH_BYTES = 8 << 20
 #: Lists that one task merges when the best of a language are found.
