@@ -29,8 +29,13 @@ def short_list(v: Column, path: str, limit: int, width: int = 24) -> Column:
 
 
 def score(v: Column, path: str = "$.score") -> Column:
-    """1 to 10; 5 if it can't be read."""
-    n = F.try_variant_get(v, path, "string").try_cast("double").try_cast("int")
+    """1 to 10; 5 if it can't be read. Numbers lose their fraction, text must be a whole number, true counts 1."""
+    one = F.try_variant_get(v, path, "variant")
+    told = F.try_variant_get(v, path, "string")
+    kind = F.schema_of_variant(one)
+    text = F.when(told.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(told)).try_cast("decimal(38,0)")
+    n = F.when(kind == "STRING", text).when(kind == "BOOLEAN", F.when(told == "true", 1).otherwise(0)).otherwise(F.try_variant_get(v, path, "double"))
+    n = F.greatest(F.lit(0.0), F.least(F.lit(11.0), n.cast("double"))).cast("int")
     return F.when(n.isNull(), 5).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), n)))
 
 

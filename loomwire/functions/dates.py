@@ -30,11 +30,8 @@ def rfc822(c: Column) -> Column:
 
 
 def relative(ts: Column, now: Column) -> Column:
-    s = F.timestamp_diff("SECOND", ts, now)
-    return (
-        F.when(s.isNull(), "")
-        .when(s < 60, "just now")
-        .when(s < 3600, F.concat(F.floor(s / 60).cast("string"), F.lit(" min")))
-        .when(s < 86400, F.concat(F.floor(s / 3600).cast("string"), F.lit(" h")))
-        .otherwise(F.concat(F.floor(s / 86400).cast("string"), F.lit(" d")))
-    )
+    """Age in rounded minutes below 60, in rounded hours below 48, else in rounded days; empty for no date."""
+    s = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))) / 1e6)
+    whole = lambda unit: F.floor(s / unit + 0.5)
+    told = lambda unit, name: F.concat(whole(unit).cast("string"), F.lit(f" {name}"))
+    return F.when(ts.isNull(), "").when(s < 60, "just now").when(whole(60) < 60, told(60, "min")).when(whole(3600) < 48, told(3600, "h")).otherwise(told(86400, "d"))

@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwire.functions.text import hash_id, signature
+from loomwire.functions.text import hash_id, signature, strip
 
 
-def canonical_topic(topic: Column, text: Column, aliases: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """The first alias of which a keyword occurs in the text, else the trimmed topic."""
-    out = F.trim(topic)
+def canonical_topic(topic: Column, aliases: Sequence[tuple[str, Sequence[str]]], *texts: Column) -> Column:
+    """The first alias of which a keyword occurs, as it is written, in the topic or a text (title, summary), else the trimmed topic."""
+    found = F.concat_ws(" ", *(F.nullif(c, F.lit("")) for c in (topic, *texts)))
+    out = strip(F.coalesce(topic, F.lit("")))
     for name, keywords in reversed(aliases):
         hit = F.lit(False)
         for k in keywords:
-            hit = hit | F.lower(text).contains(k.lower())
+            hit = hit | found.contains(k)
         out = F.when(hit, F.lit(name)).otherwise(out)
     return out
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwire.functions.text import strip
+
 from .clusters import reports
 
 
@@ -22,27 +24,36 @@ def nodes(mentions: DataFrame, least: int = 2, limit: int = 150, ids: int = 20)
     return top.join(listed, ["type", "label"]).orderBy(F.desc("mentions"), F.desc("label"), F.desc("type"))
 
 
-def edges(mentions: DataFrame, kept: DataFrame, least: int = 2, limit: int = 300) -> DataFrame:
-    """a, b, weight: unordered pairs of kept nodes by the number of articles that mention both.
+def edges(mentions: DataFrame, kept: DataFrame, least: int = 2, limit: int = 300, ids: int = 10) -> DataFrame:
+    """a, b, weight, articles: unordered pairs of kept nodes by the number of articles that mention both, with the first `ids` of these.
 
     Only kept nodes are paired, and pairs are made inside each article's own short list, so no join multiplies rows.
     """
     named = reports(mentions).join(kept.select("type", "label"), ["type", "label"], "left_semi")
     lists = named.groupBy("article").agg(F.array_sort(F.collect_set(F.concat_ws(":", "type", "label"))).alias("ends"))
-    pairs = lists.select(F.explode(F.flatten(F.transform("ends", lambda a, i: F.transform(F.slice("ends", i + 2, F.size("ends")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("pair"))
-    return pairs.groupBy("pair.a", "pair.b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least).orderBy(F.desc("weight"), "a", "b").limit(limit)
+    pairs = lists.select("article", F.explode(F.flatten(F.transform("ends", lambda a, i: F.transform(F.slice("ends", i + 2, F.size("ends")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("pair"))
+    pairs = pairs.select("article", "pair.a", "pair.b")
+    top = pairs.groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= least).orderBy(F.desc("weight"), "a", "b").limit(limit)
+    nth = F.row_number().over(Window.partitionBy("a", "b").orderBy("article"))
+    first = pairs.join(F.broadcast(top.select("a", "b")), ["a", "b"], "left_semi").withColumn("nth", nth).filter(F.col("nth") <= ids)
+    listed = first.groupBy("a", "b").agg(F.array_join(F.array_sort(F.collect_list("article")), ",").alias("articles"))
+    return top.join(listed, ["a", "b"]).orderBy(F.desc("weight"), "a", "b")
 
 
 def top_entities(mentions: DataFrame, least: int = 3, limit: int = 20) -> DataFrame:
-    """type, label, articles: the entities of most distinct articles, `limit` of each type."""
-    own = mentions.groupBy("type", "label").agg(F.count_distinct("article").alias("articles")).filter(F.col("articles") >= least)
+    """type, label, articles: the entities of most distinct articles, `limit` of each type. Near copies and names under two characters don't count."""
+    named = reports(mentions).withColumn("label", strip("label")).filter(F.length("label") >= 2)
+    own = named.groupBy("type", "label").agg(F.count_distinct("article").alias("articles")).filter(F.col("articles") >= least)
     return own.withColumn("nth", F.row_number().over(Window.partitionBy("type").orderBy(F.desc("articles"), "label"))).filter(F.col("nth") <= limit)
 
 
 def drop_reasons(rows: DataFrame, now: Column, hours: int = 168) -> DataFrame:
-    """How many rows each rule of the entity digest drops, first rule first."""
-    reason = F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("ts").isNull(), "no date").when(F.col("ts") < now - F.make_dt_interval(hours=F.lit(hours)), "old").when(~F.col("has_entities"), "no entities").otherwise("ok")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    """How many rows each rule of the entity digest drops, first rule first; rows without entities are told apart and count as ok, too."""
+    old = F.col("ts") < now - F.make_dt_interval(hours=F.lit(hours))
+    dropped = F.when(F.col("duplicate_of").isNotNull(), "duplicate").when(F.col("ts").isNull(), "no date").when(old, "old")
+    bare = F.when(~F.coalesce("has_entities", F.lit(False)), "no entities")
+    reasons = F.when(dropped.isNotNull(), F.array(dropped)).otherwise(F.array_compact(F.array(F.lit("ok"), bare)))
+    return rows.select(F.explode(reasons).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def calendar(announced: DataFrame, today: Column, days: int = 90, limit: int = 80, ids: int = 6) -> DataFrame:

@@ -35,9 +35,9 @@ def trending(rows: DataFrame, now: Column, hours: int = 4, least: int = 2, limit
 
 
 def breaking(rows: DataFrame, now: Column, cluster: str = "cluster_id", hours: int = 2, least: int = 3) -> DataFrame:
-    """Clusters that `least` distinct sources reported within the window; the headline is the best of all members."""
+    """Clusters that `least` distinct sources reported within the window; the headline is the best of all members, of equals the first."""
     recent = F.when(since("ts", now, hours) & (F.coalesce(F.col("source"), F.lit("")) != ""), F.col("source"))
-    g = reports(rows).filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.array_sort(F.collect_set(recent)).alias("names"), F.max_by("id", F.struct("score", "ts", "ord")).alias("headline"), F.count("*").alias("n"))
+    g = reports(rows).filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.array_sort(F.collect_set(recent)).alias("names"), F.max_by("id", F.struct(F.coalesce("score", F.lit(0)), "ts", -F.col("ord"))).alias("headline"), F.count("*").alias("n"))
     return g.filter(F.size("names") >= least).select(cluster, "headline", "n", F.size("names").cast("long").alias("n_sources"), F.array_join("names", ",").alias("sources"))
 
 

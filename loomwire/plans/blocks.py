@@ -19,59 +19,90 @@ def _ts(c: str = "ts"):
     return F.col(c).cast("timestamp")
 
 
-# Feeds: every article is written into a body of its own and read back
+# Feeds: fifty articles in a row make one body, which the reader cuts to thirty items by its own rule
 
-_READ = "substr(md5(url), 1, 12) AS id, url, strftime(ts, {iso}) AS date, source, {category} AS category"
+_BODIES = """, u AS (SELECT *, 'feed' || (ord // 50) AS feed, 'https://h/' || category || '/' || id AS url FROM a)"""
+_SHOWN = "SELECT substr(md5(url), 1, 12) AS id, url, strftime(ts, {iso}) AS date, feed AS source, {category} AS category FROM {rows}"
 
 
-def _feed(spark, sf_dir):
+def _feed_sql(rows: str, category: str = "NULL::VARCHAR") -> str:
+    return over_articles(_BODIES + f", kept AS ({rows}) " + _SHOWN.format(iso=ISO, category=category, rows="kept"))
+
+
+def _feed(spark, sf_dir, item, begin: str, between: str, end: str):
+    """source and body; item makes the text of one article."""
     a = articles(spark, sf_dir).withColumn("url", F.concat(F.lit("https://h/"), "category", F.lit("/"), "id"))
-    return a, lambda *parts: a.select("source", F.concat(*parts).alias("body"))
+    feed = F.concat(F.lit("feed"), F.floor(F.col("ord") / 50).cast("string"))
+    lists = a.select(feed.alias("source"), F.struct("ord", item.alias("item")).alias("i")).groupBy("source").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    return lists.select("source", F.concat(F.lit(begin), F.array_join("items.item", between), F.lit(end)).alias("body"))
 
 
 def _shown(rows):
     return rows.select("id", "url", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), "source", "category")
 
 
-def _feed_sql(category: str) -> str:
-    shown = _READ.format(iso=ISO, category=category)
-    return over_articles(f", u AS (SELECT *, 'https://h/' || category || '/' || id AS url FROM a) SELECT {shown} FROM u WHERE ts >= TIMESTAMP '{CUT}'")
+_FIRST = "row_number() OVER (PARTITION BY feed ORDER BY ord) <= 30"
 
 
-@query(_feed_sql("NULL::VARCHAR"))
+@query(_feed_sql(f"SELECT * FROM (SELECT * FROM u QUALIFY {_FIRST}) WHERE ts >= TIMESTAMP '{CUT}'"))
 def feed_rss(spark, sf_dir):
-    _, body = _feed(spark, sf_dir)
-    item = body(F.lit("<rss><channel><item><title>t</title><link>"), "url", F.lit("</link><pubDate>"), F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0000</pubDate></item></channel></rss>"))
-    return _shown(feeds.rss(item, F.lit(CUT).cast("timestamp")))
+    date = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss")
+    item = F.concat(F.lit("<item><title>t</title><link>"), "url", F.lit("</link><pubDate>"), date, F.lit(" +0000</pubDate></item><!-- <item> -->"))
+    bodies = _feed(spark, sf_dir, item, "<rss><channel><title>f</title>", "", "</channel></rss>")
+    return _shown(feeds.rss(bodies, F.lit(CUT).cast("timestamp")))
 
 
-@query(_feed_sql("category"))
+@query(_feed_sql(f"SELECT * FROM u WHERE ts >= TIMESTAMP '{CUT}' QUALIFY row_number() OVER (PARTITION BY feed ORDER BY ts DESC, ord) <= 30", "category"))
 def feed_sitemap(spark, sf_dir):
-    _, body = _feed(spark, sf_dir)
-    item = body(F.lit("<urlset><url><loc>"), "url", F.lit("</loc><news:publication_date>"), iso("ts"), F.lit("Z</news:publication_date><news:title>t</news:title></url></urlset>"))
-    return _shown(feeds.sitemap(item, F.lit(CUT).cast("timestamp")))
+    loc = F.concat(F.lit("<loc>"), "url", F.lit("</loc>"))
+    news = F.concat(F.lit("<n:news><n:publication_date>"), iso("ts"), F.lit("Z</n:publication_date><n:title><![CDATA[<a:t>]]></n:title></n:news>"))
+    item = F.concat(F.lit("<url>"), loc, news, F.lit("</url><url>"), loc, F.lit("<n:news><n:title>no date</n:title></n:news></url>"))
+    bodies = _feed(spark, sf_dir, item, "<urlset>", "", "</urlset>")
+    return _shown(feeds.sitemap(bodies, F.lit(CUT).cast("timestamp")))
+
+
+@query(over_articles(_BODIES + " SELECT feed AS source, 'parse: not well-formed' AS error FROM u GROUP BY feed HAVING min(ord) % 100 = 0"))
+def feed_malformed(spark, sf_dir):
+    item = F.concat(F.lit("<item><title>t</title>"), F.when(F.col("ord") % 100 == 0, "").otherwise("</item>"))
+    return feeds.malformed(_feed(spark, sf_dir, item, "<rss><channel>", "", "</channel></rss>"))
 
 
-@query(_feed_sql("NULL::VARCHAR"))
+@query(_feed_sql(f"SELECT * FROM (SELECT * FROM u QUALIFY {_FIRST}) WHERE ts >= TIMESTAMP '{CUT}' AND ord % 3 <> 0"))
 def feed_paged_json(spark, sf_dir):
-    _, body = _feed(spark, sf_dir)
-    item = body(F.lit('{"items": [{"type": 1, "data": {"title": "t", "url": "'), "url", F.lit('", "publishTime": '), F.unix_timestamp(_ts()).cast("string"), F.lit('}}, {"type": 2, "data": {}}]}'))
-    return _shown(feeds.paged_json(item, F.lit(CUT).cast("timestamp")))
+    kind = F.when(F.col("ord") % 3 == 0, "2").otherwise("1")
+    time = F.unix_timestamp(_ts()).cast("string")
+    item = F.concat(F.lit('{"type": '), kind, F.lit(', "data": {"title": "t", "publishUrl": "'), "url", F.lit('", "publishTime": '), time, F.lit("}}"))
+    return _shown(feeds.paged_json(_feed(spark, sf_dir, item, '{"items": [', ", ", "]}"), F.lit(CUT).cast("timestamp")))
 
 
-@query(_feed_sql("category"))
+@query(over_articles(_BODIES.replace("'/' || id", "'/player?newsId=' || id") + f""", kept AS (SELECT * FROM u WHERE ts >= TIMESTAMP '{CUT}' AND ord % 3 <> 0 QUALIFY {_FIRST}) """ + _SHOWN.format(iso=ISO, category="category", rows="kept")))
 def feed_flat_json(spark, sf_dir):
-    _, body = _feed(spark, sf_dir)
-    item = body(F.lit('[{"id": "'), "id", F.lit('", "title": "t", "category": "'), "category", F.lit('", "time": '), F.unix_millis(_ts()).cast("string"), F.lit("}]"))
-    return _shown(feeds.flat_json(item, F.lit(CUT).cast("timestamp"), "https://h", {c: c for c in ("en", "de", "fr", "es")}))
+    title = F.when(F.col("ord") % 3 == 0, " ").otherwise("t")
+    time = F.unix_millis(_ts()).cast("string")
+    item = F.concat(F.lit('{"newsId": "'), "id", F.lit('", "title": "'), title, F.lit('", "category": "'), "category", F.lit('", "publishDate": '), time, F.lit("}"))
+    bodies = _feed(spark, sf_dir, item, "[", ", ", "]")
+    return _shown(feeds.flat_json(bodies, F.lit(CUT).cast("timestamp"), "https://h", {c: c for c in ("en", "de", "fr", "es")}))
 
 
-@query(over_articles(f", u AS (SELECT *, 'https://h/' || strftime(ts, '%Y%m%d') || '/bkn-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || id || '.html' AS url FROM a) SELECT substr(md5(url), 1, 12) AS id, url, strftime(ts - INTERVAL 8 HOUR, {ISO}) AS date FROM u WHERE ts - INTERVAL 8 HOUR >= TIMESTAMP '{CUT}'"))
+_STAMPED = "'https://h/' || strftime(ts, '%Y%m%d') || '/bkn-' || strftime(ts, '%Y%m%d%H%M%S') || '-' || id || '.html'"
+
+
+@query(over_articles(f""", u AS (SELECT *, 'feed' || (ord // 50) AS feed, {_STAMPED} AS url FROM a),
+kept AS (SELECT * FROM u WHERE ts - INTERVAL 8 HOUR >= TIMESTAMP '{CUT}' QUALIFY {_FIRST})
+SELECT substr(md5(url), 1, 12) AS id, url, strftime(ts - INTERVAL 8 HOUR, {ISO}) AS date, feed AS source FROM kept"""))
 def feed_index_page(spark, sf_dir):
-    _, body = _feed(spark, sf_dir)
     stamp = F.concat(F.date_format("ts", "yyyyMMdd"), F.lit("/bkn-"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("-"), "id")
-    page = body(F.lit('<a href="/'), stamp, F.lit('.html">t</a><a href="/about">no</a>'))
-    return _shown(feeds.index_page(page, F.lit(CUT).cast("timestamp"), "https://h", r"/bkn-")).select("id", "url", "date")
+    link = F.concat(F.lit('<a href="/'), stamp, F.lit('.html">t</a>'))
+    bodies = _feed(spark, sf_dir, F.concat(link, F.lit('<a href="/about">no</a>'), link), "", "", "")
+    return _shown(feeds.index_page(bodies, F.lit(CUT).cast("timestamp"), "https://h", r"/bkn-")).select("id", "url", "date", "source")
+
+
+@query(over_articles(""", u AS (SELECT ord, 'https://h/article/' || (ord // 3) || CASE ord % 3 WHEN 0 THEN '/' WHEN 1 THEN '/' || topic ELSE '/x' END AS url FROM a)
+SELECT (ord // 3)::VARCHAR AS number, arg_max(url, (length(url), -ord)) AS url, min(ord) AS ord FROM u GROUP BY ord // 3"""))
+def longest_article_urls(spark, sf_dir):
+    tail = F.when(F.col("ord") % 3 == 0, "/").when(F.col("ord") % 3 == 1, F.concat(F.lit("/"), "topic")).otherwise("/x")
+    urls = articles(spark, sf_dir).select("ord", F.concat(F.lit("https://h/article/"), F.floor(F.col("ord") / 3).cast("string"), tail).alias("url"))
+    return feeds.longest_urls(urls, r"/article/(\d+)")
 
 
 # Dates
@@ -90,7 +121,9 @@ def strict_dates(spark, sf_dir):
     return articles(spark, sf_dir).select("id", F.date_format(dates.strict_date(told), "yyyy-MM-dd").alias("date"))
 
 
-@query(f"WITH {EVENTS}, s AS (SELECT id, epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(ts))::BIGINT AS s FROM e) SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60)::VARCHAR || ' min' WHEN s < 86400 THEN (s // 3600)::VARCHAR || ' h' ELSE (s // 86400)::VARCHAR || ' d' END AS age FROM s")
+@query(f"""WITH {EVENTS}, s AS (SELECT id, greatest(0, epoch(TIMESTAMP '{NOW}')::BIGINT - floor(epoch(ts))::BIGINT) AS s FROM e)
+SELECT id, CASE WHEN s < 60 THEN 'just now' WHEN (s + 30) // 60 < 60 THEN ((s + 30) // 60)::VARCHAR || ' min'
+  WHEN (s + 1800) // 3600 < 48 THEN ((s + 1800) // 3600)::VARCHAR || ' h' ELSE ((s + 43200) // 86400)::VARCHAR || ' d' END AS age FROM s""")
 def relative_times(spark, sf_dir):
     return events(spark, sf_dir).select("id", dates.relative(F.date_trunc("SECOND", "ts"), at(NOW)).alias("age"))
 

@@ -65,7 +65,7 @@ def trending_topics_week(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS}, g AS (
-  SELECT topic, arg_max(id, (score, ts, ord)) AS headline, count(*) AS n, list_sort(list(DISTINCT source) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 2 HOUR AND source <> '')) AS names FROM e GROUP BY topic)
+  SELECT topic, arg_max(id, (score, ts, -ord)) AS headline, count(*) AS n, list_sort(list(DISTINCT source) FILTER (ts >= TIMESTAMP '{NOW}' - INTERVAL 2 HOUR AND source <> '')) AS names FROM e GROUP BY topic)
 SELECT topic, headline, n, len(names) AS n_sources, array_to_string(names, ',') AS sources FROM g WHERE len(names) >= 3""")
 def breaking_clusters(spark, sf_dir):
     return trends.breaking(events(spark, sf_dir), at(NOW), "topic")
@@ -130,11 +130,12 @@ def cluster_sources(spark, sf_dir):
 
 
 _ALIASES = (("letters", ("stst", "ciónez")), ("words", ("hethat", "ungen")), ("others", ("thenth", "queau")))
+_HAYSTACK = "concat_ws(' ', nullif(topic, ''), nullif(title, ''), nullif(content, ''))"
 
 
-@query(over_articles("SELECT id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains(lower(title), {k!r})' for k in ks)} THEN '{n}'" for n, ks in _ALIASES) + " ELSE trim(topic) END AS topic FROM a"))
+@query(over_articles("SELECT id, CASE " + " ".join(f"WHEN {' OR '.join(f'contains({_HAYSTACK}, {k!r})' for k in ks)} THEN '{n}'" for n, ks in _ALIASES) + " ELSE trim(topic) END AS topic FROM a"))
 def topic_aliases(spark, sf_dir):
-    return articles(spark, sf_dir).select("id", clusters.canonical_topic(F.col("topic"), F.col("title"), _ALIASES).alias("topic"))
+    return articles(spark, sf_dir).select("id", clusters.canonical_topic(F.col("topic"), _ALIASES, F.col("title"), F.col("content")).alias("topic"))
 
 
 _CLUSTERED = ", c AS (SELECT *, CASE WHEN topic <> '' AND count(*) OVER (PARTITION BY topic) > 1 THEN substr(md5(topic), 1, 8) END AS cluster_id, CASE WHEN topic <> '' AND count(*) OVER (PARTITION BY topic) > 1 THEN count(*) OVER (PARTITION BY topic) END AS cluster_size FROM a)"
@@ -183,18 +184,22 @@ def _week(spark, sf_dir):
 @query(f"""WITH {MENTIONS}, w AS (SELECT * FROM m WHERE ts >= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 168 HOUR),
 n AS (SELECT type, label, count(*) AS c FROM w WHERE length(label) >= 2 GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY c DESC, label DESC, type DESC LIMIT 150),
 d AS (SELECT DISTINCT article, type || ':' || label AS e FROM w SEMI JOIN n USING (type, label))
-SELECT x.e AS a, y.e AS b, count(*) AS weight FROM d x JOIN d y ON x.article = y.article AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY weight DESC, a, b LIMIT 300""")
+SELECT x.e AS a, y.e AS b, count(*) AS weight, array_to_string(list_sort(list(x.article))[1:10], ',') AS articles FROM d x JOIN d y ON x.article = y.article AND x.e < y.e GROUP BY 1, 2 HAVING count(*) >= 2 ORDER BY weight DESC, a, b LIMIT 300""")
 def graph_edges(spark, sf_dir):
     week = _week(spark, sf_dir)
     return graph.edges(week, graph.nodes(week))
 
 
-@query(f"WITH {MENTIONS} SELECT type, label, count(DISTINCT article) AS articles, row_number() OVER (PARTITION BY type ORDER BY count(DISTINCT article) DESC, label) AS nth FROM m WHERE ts >= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 168 HOUR GROUP BY 1, 2 HAVING count(DISTINCT article) >= 3 QUALIFY nth <= 20")
+@query(f"""WITH {MENTIONS} SELECT type, label, count(DISTINCT article) AS articles, row_number() OVER (PARTITION BY type ORDER BY count(DISTINCT article) DESC, label) AS nth
+FROM (SELECT article, type, trim(CASE WHEN article % 11 = 0 THEN substr(label, 1, 1) ELSE label END) AS label FROM m WHERE article % 5 <> 0 AND ts >= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 168 HOUR)
+WHERE length(label) >= 2 GROUP BY 1, 2 HAVING count(DISTINCT article) >= 3 QUALIFY nth <= 20""")
 def entity_top_n(spark, sf_dir):
-    return graph.top_entities(_week(spark, sf_dir))
+    week = _week(spark, sf_dir).withColumn("duplicate_of", F.when(F.col("article") % 5 == 0, F.lit("x")))
+    return graph.top_entities(week.withColumn("label", F.when(F.col("article") % 11 == 0, F.substring("label", 1, 1)).otherwise(F.concat(F.col("label"), F.lit(" ")))))
 
 
-@query(over_articles(f" SELECT CASE WHEN ord % 5 = 0 THEN 'duplicate' WHEN ts < TIMESTAMP '{NOW}' - INTERVAL 168 HOUR THEN 'old' WHEN length(topic) < 4 THEN 'no entities' ELSE 'ok' END AS reason, count(*) AS n FROM a GROUP BY 1"))
+@query(over_articles(f""", r AS (SELECT CASE WHEN ord % 5 = 0 THEN ['duplicate'] WHEN ts < TIMESTAMP '{NOW}' - INTERVAL 168 HOUR THEN ['old']
+  WHEN length(topic) < 4 THEN ['ok', 'no entities'] ELSE ['ok'] END AS rs FROM a) SELECT unnest(rs) AS reason, count(*) AS n FROM r GROUP BY 1"""))
 def entity_drop_reasons(spark, sf_dir):
     rows = articles(spark, sf_dir).withColumn("duplicate_of", F.when(F.col("ord") % 5 == 0, F.lit("x"))).withColumn("has_entities", F.length("topic") >= 4)
     return graph.drop_reasons(rows, at(NOW))

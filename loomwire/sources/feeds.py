@@ -22,13 +22,6 @@ def _article(df: DataFrame, source: Column, category: Column) -> DataFrame:
     return df.select(hash_id(F.col("url")).alias("id"), strip(F.col("title")).alias("title"), "url", "ts", source.alias("source"), category.alias("category"), "content", "thumbnail")
 
 
-def _tag(c: str | Column, name: str) -> Column:
-    """Content of the first element of a local name, whatever its prefix."""
-    c = F.col(c) if isinstance(c, str) else c
-    raw = F.regexp_extract(c, rf"(?is)<(?:\w+:)?{name}(?:\s[^>]*)?>(.*?)</(?:\w+:)?{name}>", 1)
-    return strip(_plain(raw))
-
-
 def _plain(raw: Column) -> Column:
     out = F.regexp_replace(raw, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&")):
@@ -36,67 +29,181 @@ def _plain(raw: Column) -> Column:
     return out
 
 
+TEXT = "array<struct<_VALUE:string>>"
+ENTRY = (
+    f"struct<title:{TEXT}, link:array<struct<_VALUE:string,_href:string,_rel:string>>, pubDate:string, published:string, updated:string, date:string,"
+    f" `dc:date`:string, `content:encoded`:string, content:{TEXT}, description:{TEXT}, summary:{TEXT}, `media:thumbnail`:array<struct<_url:string>>,"
+    " `media:content`:array<struct<_url:string,_type:string>>, enclosure:array<struct<_url:string,_type:string>>>"
+)
+FEED = f"struct<channel:struct<item:array<{ENTRY}>>, item:array<{ENTRY}>, entry:array<{ENTRY}>, _corrupt_record:string>"
+NEWS = "publication_date:string, title:string"
+SITEMAP = f"struct<url:array<struct<loc:string, {NEWS}, news:struct<{NEWS}>, image:array<struct<loc:string>>>>, _corrupt_record:string>"
+PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+MAX_ITEMS = 30
+NO_TITLE = "(no title)"
+
+
+def _filled(c: Column) -> Column:
+    return F.nullif(strip(c), F.lit(""))
+
+
+def _first(values: Column, field: str) -> Column:
+    """The first filled field of a list of elements."""
+    return F.get(F.filter(F.transform(values, lambda x: _filled(x[field])), lambda x: x.isNotNull()), F.lit(0))
+
+
+def without_prefixes(body: Column) -> Column:
+    """XML whose element names have lost their prefixes; comments and CDATA stay as they are."""
+    return F.regexp_replace(body, r"(?s)(<!\[CDATA\[.*?\]\]>|<!--.*?-->)|(</?)[\w.-]+:", "$1$2")
+
+
+def _xml(kind: str) -> Column:
+    if kind == "sitemap":
+        return F.from_xml(without_prefixes(F.col("body")), SITEMAP, PERMISSIVE)
+    return F.from_xml("body", FEED, PERMISSIVE)
+
+
+def malformed(files: DataFrame, kind: str = "rss") -> DataFrame:
+    """source and error of the bodies that are no XML; kind is rss or sitemap."""
+    bad = F.col("body").isNull() | _xml(kind)["_corrupt_record"].isNotNull()
+    return files.filter(bad).select("source", F.when(F.col("body").isNull(), "no body").otherwise("parse: not well-formed").alias("error"))
+
+
 def thumbnail(item: Column) -> Column:
     """A media thumbnail, else media content or an enclosure that is an image."""
-    at = lambda p: F.nullif(F.regexp_extract(item, p, 1), F.lit(""))
-    return F.coalesce(at(r'(?is)<media:thumbnail\b[^>]*\burl="([^"]+)"'), at(r'(?is)<media:content\b[^>]*\burl="([^"]+\.(?:jpe?g|png|webp|gif)[^"]*)"'), at(r'(?is)<enclosure\b(?=[^>]*type="image)[^>]*\burl="([^"]+)"'))
-
-
-def rss(files: DataFrame, cutoff: Column, max_items: int = 30, category: Column | None = None) -> DataFrame:
-    """files (source, body): the first `max_items` entries of each feed, then those not older than the cutoff."""
-    items = files.select("source", F.posexplode(F.slice(F.regexp_extract_all("body", F.lit(r"(?is)<(?:item|entry)\b[^>]*>(.*?)</(?:item|entry)>"), F.lit(1)), 1, max_items)).alias("pos", "item"))
-    link = F.coalesce(F.nullif(_tag("item", "link"), F.lit("")), F.regexp_extract("item", r'(?is)<link\b[^>]*\bhref="([^"]+)"', 1))
-    date = F.coalesce(*(F.nullif(_tag("item", t), F.lit("")) for t in ("pubDate", "published", "updated", "date")))
-    text = F.coalesce(*(F.nullif(_tag("item", t), F.lit("")) for t in ("encoded", "content", "description", "summary")))
-    rows = items.select("source", _tag("item", "title").alias("title"), clean_url(strip(link)).alias("url"), feed_date(date).alias("ts"), text.alias("content"), thumbnail(F.col("item")).alias("thumbnail"))
-    return _article(rows.filter((F.col("ts") >= cutoff) & (F.col("url") != "")), F.col("source"), category if category is not None else F.lit(None).cast("string"))
-
-
-def sitemap(files: DataFrame, cutoff: Column, max_items: int = 30, part: str | None = None, cjk: bool = False) -> DataFrame:
-    """files (source, body): news sitemaps; each URL once, newest first, optionally only some paths and titles in Chinese."""
-    each = files.select("source", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<(?:\w+:)?url>(.*?)</(?:\w+:)?url>"), F.lit(1))).alias("pos", "item"))
-    rows = each.select("source", "pos", _tag("item", "title").alias("title"), clean_url(_tag(F.regexp_replace("item", r"(?is)<image:image>.*?</image:image>", ""), "loc")).alias("url"), feed_date(_tag("item", "publication_date")).alias("ts"), F.lit(None).cast("string").alias("content"), F.nullif(_tag(F.regexp_extract("item", r"(?is)(<image:image>.*?</image:image>)", 1), "loc"), F.lit("")).alias("thumbnail"))
-    rows = rows.filter((F.col("ts") >= cutoff) & (F.col("title") != ""))
-    if part:
-        rows = rows.filter(F.col("url").contains(part))
-    if cjk:
-        rows = rows.filter(has_cjk(F.col("title")))
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source", "url").orderBy("pos"))).filter("_n = 1")
-    top = once.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("ts"), "pos"))).filter(F.col("_n") <= max_items)
+    picture = lambda x: F.coalesce(x["_url"].rlike(r"(?i)\.(jpe?g|png|webp|gif)"), F.lit(False))
+    image = lambda x: F.coalesce(x["_type"].startswith("image"), F.lit(False))
+    return F.coalesce(_first(item["media:thumbnail"], "_url"), _first(F.filter(item["media:content"], picture), "_url"), _first(F.filter(item["enclosure"], image), "_url"))
+
+
+def rss(files: DataFrame, cutoff: Column, max_items: int = MAX_ITEMS, category: Column | None = None) -> DataFrame:
+    """files (source, body): RSS or Atom; the first `max_items` entries of each body, then those not older than the cutoff."""
+    x = _xml("rss")
+    entries = F.coalesce(x["channel"]["item"], x["item"], x["entry"])
+    items = files.select("source", F.explode(F.slice(entries, 1, max_items)).alias("i"))
+    i = F.col("i")
+    own = F.filter(i["link"], lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    date = F.coalesce(*(_filled(i[c]) for c in ("pubDate", "published", "updated", "date", "dc:date")))
+    content = F.coalesce(_filled(i["content:encoded"]), *(_first(i[c], "_VALUE") for c in ("content", "description", "summary")))
+    rows = items.select(
+        "source",
+        F.coalesce(_first(i["title"], "_VALUE"), F.lit(NO_TITLE)).alias("title"),
+        clean_url(F.coalesce(_first(i["link"], "_VALUE"), _first(own, "_href"))).alias("url"),
+        feed_date(date).alias("ts"),
+        F.coalesce(content, F.lit("")).alias("content"),
+        thumbnail(i).alias("thumbnail"),
+    )
+    rows = rows.filter((F.col("ts") >= cutoff) & (F.col("url") != ""))
+    return _article(rows, F.col("source"), category if category is not None else F.lit(None).cast("string"))
+
+
+def _once(items: Column) -> Column:
+    """Structs (pos, url, ...) of one body without later ones of a URL."""
+    by_url = F.array_sort(F.transform(items, lambda x: F.struct(x["url"].alias("url"), x["pos"].alias("pos"), x.alias("item"))))
+    return F.transform(F.filter(by_url, lambda x, k: (k == 0) | ~F.get(by_url, k - 1)["url"].eqNullSafe(x["url"])), lambda x: x["item"])
+
+
+def sitemap(files: DataFrame, cutoff: Column, max_items: int = MAX_ITEMS, part: str | None = None, cjk: bool = False) -> DataFrame:
+    """files (source, body): news sitemaps; each URL of a body once, its newest `max_items`, optionally only some paths and titles in Chinese.
+
+    A body is worked off inside its row; nothing is shuffled.
+    """
+    parsed = files.select("source", _xml("sitemap")["url"].alias("urls"))
+
+    def item(x: Column, k: Column) -> Column:
+        date = feed_date(F.coalesce(_filled(x["news"]["publication_date"]), _filled(x["publication_date"])))
+        title = F.coalesce(_filled(x["news"]["title"]), _filled(x["title"]))
+        image = F.nullif(clean_url(_first(x["image"], "loc")), F.lit(""))
+        return F.struct(k.alias("pos"), clean_url(strip(x["loc"])).alias("url"), date.alias("ts"), title.alias("title"), image.alias("thumbnail"))
+
+    def good(x: Column) -> Column:
+        out = (x["ts"] >= cutoff) & x["title"].isNotNull() & (x["url"] != "")
+        if part:
+            out = out & x["url"].contains(part)
+        return F.coalesce(out & has_cjk(x["title"]) if cjk else out, F.lit(False))
+
+    found = parsed.withColumn("items", F.filter(F.transform("urls", item), good)).withColumn("items", _once(F.col("items")))
+    newest = F.array_sort(F.transform("items", lambda x: F.struct((-F.unix_micros(x["ts"])).alias("age"), x["pos"].alias("pos"), x.alias("item"))))
+    top = found.select("source", F.explode(F.slice(newest, 1, max_items)).alias("x")).select("source", "x.item.*").withColumn("content", F.lit(None).cast("string"))
     segment = F.regexp_extract(F.coalesce(F.try_url_decode("url"), F.col("url")), r"^https?://[^/]+/([^/]+)/", 1)
     return _article(top, F.col("source"), segment)
 
 
-def paged_json(files: DataFrame, cutoff: Column) -> DataFrame:
-    """files (source, body): {"items": [{"type": 1, "data": {...}}]} with times in epoch seconds."""
-    shape = "struct<items:array<struct<type:int,data:struct<title:string,url:string,publishTime:bigint,description:string,image:string>>>>"
-    each = files.select("source", F.explode(F.from_json("body", shape)["items"]).alias("i")).filter("i.type = 1")
-    rows = each.select("source", F.col("i.data.title").alias("title"), clean_url(F.col("i.data.url")).alias("url"), F.timestamp_seconds("i.data.publishTime").alias("ts"), F.col("i.data.description").alias("content"), F.col("i.data.image").alias("thumbnail"))
-    return _article(rows.filter(F.col("ts") >= cutoff), F.col("source"), F.lit(None).cast("string"))
-
-
-def flat_json(files: DataFrame, cutoff: Column, base: str, categories: dict[str, str]) -> DataFrame:
-    """files (source, body): a list with times in epoch milliseconds; the URL is made from category and id, the first image is the thumbnail."""
-    shape = "array<struct<id:string,title:string,category:string,time:bigint,summary:string,images:array<string>>>"
-    each = files.select("source", F.inline(F.from_json("body", shape)))
-    slug = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in categories.items() for x in kv)), F.col("category")), F.lit("other")) if categories else F.lit("other")
-    rows = each.select("source", "title", F.concat(F.lit(base.rstrip("/") + "/"), slug, F.lit("/"), "id").alias("url"), F.timestamp_millis("time").alias("ts"), F.col("summary").alias("content"), F.get("images", F.lit(0)).alias("thumbnail"), slug.alias("slug"))
-    return _article(rows.filter(F.col("ts") >= cutoff), F.col("source"), F.col("slug"))
-
-
-def index_page(files: DataFrame, cutoff: Column, base: str, pattern: str, section: str | None = None, max_items: int = 30) -> DataFrame:
-    """files (source, body): anchors of an HTML page whose address fits, dated by the time stamp in it."""
-    each = files.select("source", F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))).alias("pos", "a"))
-    href = F.regexp_extract("a", r"""(?is)^<a\b[^>]*\bhref=["']([^"']+)""", 1)
-    full = F.when(href.rlike("^https?://"), href).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(href, "^/+", "")))
-    image = F.nullif(F.regexp_extract("a", r"""(?is)<img\b[^>]*\bsrc=["']([^"']+)""", 1), F.lit(""))
-    image = F.when(image.rlike("^https?://") | image.isNull(), image).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(image, "^/+", "")))
-    rows = each.select("source", "pos", _plain(F.regexp_replace("a", r"<[^>]+>", "")).alias("title"), clean_url(full).alias("url"), stamp_in_url(full).alias("ts"), F.lit(None).cast("string").alias("content"), image.alias("thumbnail"))
-    rows = rows.filter(F.col("url").rlike(pattern) & (F.col("ts") >= cutoff) & (F.trim("title") != ""))
-    if section:
-        rows = rows.filter(F.col("url").contains(section))
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source", "url").orderBy("pos"))).filter("_n = 1")
-    return _article(once.withColumn("_n", F.row_number().over(Window.partitionBy("source").orderBy("pos"))).filter(F.col("_n") <= max_items), F.col("source"), F.lit(section))
+PAGED = (
+    "struct<items:array<struct<type:int,data:struct<title:string,publishUrl:string,publishTime:bigint,description:string,"
+    "mainImage:struct<cdnUrl:string>,originalImage:struct<cdnUrl:string>>>>>"
+)
+FLAT = "array<struct<newsId:string,title:string,category:string,publishDate:bigint,imageList:array<struct<imageUrl:string,image2Url:string>>>>"
+
+
+def paged_json(files: DataFrame, cutoff: Column, max_items: int = MAX_ITEMS) -> DataFrame:
+    """files (source, body): {"items": [{"type": 1, "data": {...}}]}, times in epoch seconds; of the first `max_items` those of type 1."""
+    items = F.slice(F.from_json("body", PAGED)["items"], 1, max_items)
+    d = F.col("i.data")
+    rows = files.select("source", F.explode(items).alias("i")).filter((F.col("i.type") == 1) & (F.coalesce(d["publishTime"], F.lit(0)) != 0))
+    image = F.coalesce(F.nullif(d["mainImage"]["cdnUrl"], F.lit("")), F.nullif(d["originalImage"]["cdnUrl"], F.lit("")))
+    rows = rows.select(
+        "source",
+        F.coalesce(d["title"], F.lit(NO_TITLE)).alias("title"),
+        clean_url(d["publishUrl"]).alias("url"),
+        F.timestamp_seconds(d["publishTime"]).alias("ts"),
+        _filled(d["description"]).alias("content"),
+        image.alias("thumbnail"),
+    )
+    return _article(rows.filter((F.col("ts") >= cutoff) & (F.col("url") != "")), F.col("source"), F.lit(None).cast("string"))
+
+
+def flat_json(files: DataFrame, cutoff: Column, base: str, categories: dict[str, str], max_items: int = MAX_ITEMS, other: str = "local") -> DataFrame:
+    """files (source, body): a list, times in epoch milliseconds; of a body the first `max_items` that pass.
+
+    Items without id, title or date are skipped. The URL is made from category and id; the first image is the thumbnail.
+    """
+    named = F.create_map(*(F.lit(x) for kv in categories.items() for x in kv)) if categories else None
+
+    def item(x: Column) -> Column:
+        slug = F.lit(other) if named is None else F.coalesce(F.try_element_at(named, x["category"]), F.lit(other))
+        image = F.get(x["imageList"], F.lit(0))
+        return F.struct(
+            strip(x["newsId"]).alias("id"),
+            strip(x["title"]).alias("title"),
+            F.timestamp_millis(x["publishDate"]).alias("ts"),
+            F.nullif(F.coalesce(_filled(image["imageUrl"]), _filled(image["image2Url"])), F.lit("")).alias("thumbnail"),
+            slug.alias("slug"),
+        )
+
+    good = lambda x: F.coalesce((x["id"] != "") & (x["title"] != "") & (x["ts"] >= cutoff), F.lit(False))
+    items = F.slice(F.filter(F.transform(F.from_json("body", FLAT), item), good), 1, max_items)
+    rows = files.select("source", F.inline(items)).withColumn("content", F.lit(None).cast("string"))
+    url = F.concat(F.lit(base.rstrip("/") + "/"), "slug", F.lit("/player?newsId="), "id")
+    return _article(rows.withColumn("url", url), F.col("source"), F.col("slug"))
+
+
+def index_page(files: DataFrame, cutoff: Column, base: str, pattern: str, section: str | None = None, max_items: int = MAX_ITEMS) -> DataFrame:
+    """files (source, body): anchors of an HTML page whose address fits, dated by the time stamp in it; of a body the first `max_items`."""
+    root = base.rstrip("/") + "/"
+    whole = lambda c: F.when(c.rlike("^https?://"), c).otherwise(F.concat(F.lit(root), F.regexp_replace(c, "^/+", "")))
+
+    def item(a: Column, k: Column) -> Column:
+        url = clean_url(whole(F.regexp_extract(a, r"""(?is)^<a\b[^>]*\bhref=["']([^"']+)""", 1)))
+        image = F.nullif(F.regexp_extract(a, r"""(?is)<img\b[^>]*\bsrc=["']([^"']+)""", 1), F.lit(""))
+        title = strip(_plain(F.regexp_replace(a, r"<[^>]+>", "")))
+        return F.struct(k.alias("pos"), url.alias("url"), stamp_in_url(url).alias("ts"), title.alias("title"), whole(image).alias("thumbnail"))
+
+    def good(x: Column) -> Column:
+        out = x["url"].rlike(pattern) & (x["ts"] >= cutoff) & (x["title"] != "")
+        return F.coalesce(out & x["url"].contains(section) if section else out, F.lit(False))
+
+    anchors = F.regexp_extract_all("body", F.lit(r"(?is)(<a\b[^>]*>.*?</a>)"), F.lit(1))
+    found = files.select("source", F.filter(F.transform(anchors, item), good).alias("items")).withColumn("items", _once(F.col("items")))
+    rows = found.select("source", F.inline(F.slice(F.array_sort("items"), 1, max_items))).withColumn("content", F.lit(None).cast("string"))
+    return _article(rows, F.col("source"), F.lit(section))
+
+
+def longest_urls(rows: DataFrame, pattern: str, order: str = "ord") -> DataFrame:
+    """Of all URLs with one article number (group 1 of the pattern) the longest, at the place of the first; URLs without a number go."""
+    number = F.nullif(F.regexp_extract("url", pattern, 1), F.lit(""))
+    best = F.max_by("url", F.struct(F.length("url"), -F.col(order)))
+    return rows.withColumn("number", number).filter("number IS NOT NULL").groupBy("number").agg(best.alias("url"), F.min(order).alias(order))
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:

@@ -64,7 +64,7 @@ def test_components_of_a_long_path(spark):
 
 
 def test_clusters_topics_and_signatures(spark):
-    rows = spark.createDataFrame([("1", " x ", "s1", 5), ("2", "x", "s2", 9), ("3", "y", "s1", 9), ("4", "", "s1", 9), ("5", None, "s1", 9)], "id string, topic string, source string, score int").withColumn("topic", clusters.canonical_topic(F.col("topic"), F.lit(""), ()))
+    rows = spark.createDataFrame([("1", " x ", "s1", 5), ("2", "x", "s2", 9), ("3", "y", "s1", 9), ("4", "", "s1", 9), ("5", None, "s1", 9)], "id string, topic string, source string, score int").withColumn("topic", clusters.canonical_topic(F.col("topic"), ()))
     got = clusters.with_clusters(rows)
     assert {r.id for r in got.filter("cluster_id IS NOT NULL").collect()} == {"1", "2"}
     a, b = (clusters.signatures(got.orderBy(o)).first().signature for o in ("id", F.desc("id")))
@@ -100,7 +100,7 @@ def test_graph_counts_mentions_and_pairs(spark):
     rows = spark.createDataFrame([(1, "p", "Ann"), (1, "p", "Ann"), (1, "c", "Acme"), (2, "p", "Ann"), (2, "c", "Acme"), (2, "c", "X"), (3, "p", "Bob")], "article int, type string, label string")
     nodes = graph.nodes(rows)
     assert {(r.label, r.mentions, r.articles) for r in nodes.collect()} == {("Ann", 3, 2), ("Acme", 2, 2)}
-    assert [tuple(r) for r in graph.edges(rows, nodes).collect()] == [("c:Acme", "p:Ann", 2)]
+    assert [tuple(r) for r in graph.edges(rows, nodes).collect()] == [("c:Acme", "p:Ann", 2, "1,2")]
 
 
 def test_calendar_merges_and_bounds(spark):
@@ -242,10 +242,10 @@ def test_feeds(spark):
     b = feeds.sitemap(body(site), cut, cjk=True)
     assert [(r.title, r.category, r.thumbnail) for r in b.collect()] == [("新", "中", "http://img")]
     s = int(NOW.replace(tzinfo=dt.timezone.utc).timestamp())
-    c = feeds.paged_json(body(json.dumps({"items": [{"type": 1, "data": {"title": "j", "url": "http://j", "publishTime": s}}, {"type": 2, "data": {"title": "no"}}]})), cut)
+    c = feeds.paged_json(body(json.dumps({"items": [{"type": 1, "data": {"title": "j", "publishUrl": "http://j", "publishTime": s}}, {"type": 2, "data": {"title": "no"}}]})), cut)
     assert [r.title for r in c.collect()] == ["j"]
-    d = feeds.flat_json(body(json.dumps([{"id": "9", "title": "k", "category": "A", "time": s * 1000, "images": ["http://p"]}])), cut, "http://b", {"A": "aa"})
-    assert [(r.url, r.category, r.thumbnail) for r in d.collect()] == [("http://b/aa/9", "aa", "http://p")]
+    d = feeds.flat_json(body(json.dumps([{"newsId": 9, "title": "k", "category": "A", "publishDate": s * 1000, "imageList": [{"imageUrl": "http://p"}]}])), cut, "http://b", {"A": "aa"})
+    assert [(r.url, r.category, r.thumbnail) for r in d.collect()] == [("http://b/aa/player?newsId=9", "aa", "http://p")]
     e = feeds.index_page(body('<a href="/news/20260421/bkn-20260421180000-1.htm"><img src="/t.jpg">Title</a><a href="/about">no</a>'), cut, "http://h", r"/bkn-\d{14}")
     assert [(r.title, r.ts.hour, r.thumbnail) for r in e.collect()] == [("Title", 10, "http://h/t.jpg")]
     assert [r.title for r in feeds.union_all([a, b, a]).collect()] == ["新", "A & B"]
