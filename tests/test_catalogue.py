@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from loomwire.plans import blocks, catalogue
+from loomwire.plans import blocks, catalogue, streams
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -38,7 +38,7 @@ def test_runs(spark, name):
 
 
 def test_blocks_are_in_the_catalogue():
-    assert blocks.feed_rss.__name__ in catalogue.QUERIES
+    assert {blocks.feed_rss.__name__, streams.feed_conditional.__name__} <= set(catalogue.QUERIES)
 
 
 def test_entry(spark):
