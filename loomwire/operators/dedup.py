@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomwire.functions.text import bigrams
-from loomwire.storage import written
+from loomwire.storage import bounded, written
 
 from .components import components
 
 THRESHOLD = 82  # per cent
+#: Elements in which one group of two alike sets differs at most; points that a mark may have; how often marks are split.
+SPARE, MOST_MARKED, LEVELS = 1, 256, 3
+BITS = 256
 
 
 def _points(rows: DataFrame, key: str, title: str) -> tuple[DataFrame, DataFrame]:
@@ -22,32 +25,87 @@ def _points(rows: DataFrame, key: str, title: str) -> tuple[DataFrame, DataFrame
     return points, sets.join(points, "grams").select("key", "point")
 
 
-def _parts(size: Column, percent: int) -> Column:
-    """More than two sets of that size at most, as alike as asked, can differ in: (2 - 2t) / (1 + t) * size elements."""
-    return F.floor(size * (200 - 2 * percent) / (100 + percent) + 1e-9).cast("int") + 1
+def _scheme(size: Column, percent: int) -> dict[str, Column]:
+    """How sets of at most `size` elements are cut, given that alike ones differ in `apart` elements at most.
 
+    In one of `groups` groups they differ in `spare` at most, so that of its `subs` parts all but `spare` agree.
+    """
+    apart = F.floor(size * (200 - 2 * percent) / (100 + percent) + 1e-9).cast("int")
+    groups = F.floor((apart + 1 + SPARE) / (SPARE + 1)).cast("int")
+    spare = F.floor(apart / groups).cast("int")
+    return {"apart": apart, "groups": groups, "spare": spare, "subs": spare + 3}
 
-def _similar_points(points: DataFrame, percent: int) -> DataFrame:
-    """(p, q, jaccard) of points p < q that are at least `percent` alike.
 
-    Sizes are cut into classes, each from one power of 1 / t to the next; a pair belongs to the class of its larger set,
-    so that every set takes part in its own class and the next. Sets of a class differ in fewer elements than
-    the class has parts; cut by the hashes of the elements into so many parts, alike sets have at least one part
-    in common, which a join on its hash finds. Sizes and the exact overlap decide. Whole parts are much
-    rarer than single bigrams, of which a language has only hundreds.
-    """
+def _choices(spare: Column) -> Column:
+    """Bit masks of all ways to leave out `spare` of `spare` + 3 parts."""
+    out = F.array(*(F.lit(m) for m in range(8) if m.bit_count() == 3))
+    for k in range(1, SPARE + 1):
+        masks = [m for m in range(1 << (k + 3)) if m.bit_count() == 3]
+        out = F.when(spare == k, F.array(*map(F.lit, masks))).otherwise(out)
+    return out
+
+
+def _bitmap(hashes: str) -> list[Column]:
+    """BITS bits of a set, in long columns: two sets differ in as many elements at least as their bitmaps in bits."""
+    word = lambda w: F.filter(hashes, lambda h: F.pmod(F.shiftrightunsigned(h, 40), F.lit(BITS // 64)) == w)
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    return [F.aggregate(word(w), F.lit(0).cast("long"), lambda a, h: a.bitwiseOR(bit(h))).alias(f"b{w}") for w in range(BITS // 64)]
+
+
+def _marks(points: DataFrame, percent: int, seed: int) -> DataFrame:
+    """point, n, class, mark and the bitmap: two points of a class that are alike have a mark in common, for every seed."""
+    bits = [f"b{w}" for w in range(BITS // 64)]
     step = math.log(100 / percent)
     own = F.floor(F.log(F.size("grams").cast("double")) / step + 1e-9).cast("int")
-    sized = points.select("point", "grams", F.size("grams").alias("n"), F.explode(F.array(own, own + 1)).alias("class"))
+    hashed = points.select("point", F.size("grams").alias("n"), own.alias("own"), F.transform("grams", lambda g: F.xxhash64(F.lit(seed), g)).alias("hashes"))
+    sized = hashed.select("point", "n", "hashes", *_bitmap("hashes"), F.explode(F.array("own", F.col("own") + 1)).alias("class"))
     largest = F.ceil(F.exp((F.col("class") + 1) * F.lit(step)) + 1e-6)
-    parts = sized.withColumn("parts", _parts(largest, percent)).withColumn("hashes", F.transform("grams", lambda g: F.xxhash64(g)))
-    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    each = parts.select("point", "n", "class", part.alias("part"), "hashes", "parts")
-    held = F.filter("hashes", lambda h: F.pmod(h, F.col("parts")) == F.col("part"))
-    index = written(each.select("point", "n", "class", F.xxhash64("class", "part", held).alias("mark")), "title-marks")
-    a, b = index.alias("a"), index.alias("b")
-    sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    met = a.join(b, (F.col("a.mark") == F.col("b.mark")) & (F.col("a.point") < F.col("b.point")) & sizes).select(F.col("a.point").alias("p"), F.col("b.point").alias("q")).distinct()
+    cut = sized.withColumns(_scheme(largest, percent)).filter("apart > 0")  # else only equal sets are alike
+    group = cut.select("point", "n", "class", *bits, "spare", "subs", "groups", "hashes", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"))
+    mine = F.filter("hashes", lambda h: F.pmod(h, F.col("groups")) == F.col("group"))
+    one = group.select("point", "n", "class", *bits, "group", "subs", mine.alias("mine"), F.explode(_choices(F.col("spare"))).alias("choice"))
+    part = lambda h: F.pmod(F.shiftrightunsigned(h, 20), F.col("subs")).cast("int")
+    held = F.filter("mine", lambda h: F.getbit(F.col("choice"), part(h)) == 1)
+    return one.select("point", "n", "class", *bits, F.xxhash64("class", "group", "choice", held).alias("mark"))
+
+
+def meetings(points: DataFrame, percent: int = THRESHOLD, most: int | None = None) -> DataFrame:
+    """(p, q) with p < q: all pairs of points that may be alike, once for each mark they share, by two levels of parts of their sets.
+
+    Sizes are cut into classes, each from one power of 1 / t to the next; a pair belongs to the class of its larger set,
+    so every set takes part in its own class and the next. Alike sets of a class differ in few elements: in one of the
+    class's groups of elements in SPARE at most, and there all but so many parts agree. A mark is the hash of three
+    parts that agree; it covers several elements, unlike a single bigram or a small part. Marks of more than `most` points
+    (parts that are empty, or very common) are split by marks of another seed, which alike sets share as well,
+    up to LEVELS times; what is still marked together is mostly alike. Pairs whose bitmaps differ in more bits than
+    alike sets in elements are left out as they meet, so that few of the rest aren't alike.
+    """
+    most, bits = MOST_MARKED if most is None else most, [f"b{w}" for w in range(BITS // 64)]
+    index = written(_marks(points, percent, 0), "title-marks")
+    found = None
+    for level in range(1, LEVELS + 1):
+        counts = index.groupBy("class", "mark").agg(F.count("*").alias("held")).filter(F.col("held") > (most if level < LEVELS else 0))
+        heavy = written(counts.select("class", "mark"), "title-heavy") if level < LEVELS else None
+        light = index if heavy is None else index.join(bounded(heavy), ["class", "mark"], "left_anti")
+        a, b = light.alias("a"), light.alias("b")
+        sizes = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+        same = (F.col("a.mark") == F.col("b.mark")) & (F.col("a.class") == F.col("b.class")) & (F.col("a.point") < F.col("b.point"))
+        differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in bits[1:]), F.bit_count(F.col("a.b0").bitwiseXOR(F.col("b.b0"))))
+        close = differ * (100 + percent) <= (F.col("a.n") + F.col("b.n")) * (100 - percent)
+        met = a.join(b, same & sizes & close).select(F.col("a.point").alias("p"), F.col("b.point").alias("q"))
+        found = met if found is None else found.unionByName(met)
+        if heavy is None or heavy.isEmpty():
+            break
+        rest = index.join(bounded(heavy), ["class", "mark"], "left_semi")
+        again = _marks(points.join(rest.select("point").distinct(), "point", "left_semi"), percent, level).withColumnRenamed("mark", "next")
+        split = rest.join(again.select("point", "class", "next"), ["point", "class"])
+        index = written(split.select("point", "n", "class", *bits, F.xxhash64("mark", "next").alias("mark")), "title-marks")
+    return found
+
+
+def _similar_points(points: DataFrame, percent: int) -> DataFrame:
+    """(p, q, jaccard) of points p < q that are at least `percent` alike: candidates whose exact overlap decides."""
+    met = meetings(points, percent).distinct()
     near = met.join(points.select(F.col("point").alias("p"), F.col("grams").alias("gp")), "p").join(points.select(F.col("point").alias("q"), F.col("grams").alias("gq")), "q")
     near = near.withColumn("both", F.size(F.array_intersect("gp", "gq"))).withColumn("all", F.size("gp") + F.size("gq") - F.col("both"))
     return near.filter(F.col("both") * 100 >= F.col("all") * percent).select("p", "q", (F.col("both") / F.col("all")).alias("jaccard"))
