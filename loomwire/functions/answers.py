@@ -35,7 +35,7 @@ def score(v: Column, path: str = "$.score") -> Column:
     kind = F.schema_of_variant(one)
     text = F.when(told.rlike(r"^\s*[+-]?\d+\s*$"), F.trim(told)).try_cast("decimal(38,0)")
     n = F.when(kind == "STRING", text).when(kind == "BOOLEAN", F.when(told == "true", 1).otherwise(0)).otherwise(F.try_variant_get(v, path, "double"))
-    n = F.greatest(F.lit(0.0), F.least(F.lit(11.0), n.cast("double"))).cast("int")
+    n = F.when(n.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(11.0), n.cast("double"))).cast("int"))
     return F.when(n.isNull(), 5).otherwise(F.greatest(F.lit(1), F.least(F.lit(10), n)))
 
 

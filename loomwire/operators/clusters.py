@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwire.functions.text import hash_id, signature, strip
+from loomwire.functions.text import hash_id, strip
 
 
 def canonical_topic(topic: Column, aliases: Sequence[tuple[str, Sequence[str]]], *texts: Column) -> Column:
@@ -49,9 +51,53 @@ def qualifying(rows: DataFrame, least: int = 2, large: int = 4, peak: int = 8, l
     return own.filter((F.col("n") >= least) & ((F.col("n") >= large) | (F.col("peak") >= peak))).orderBy(F.desc("peak"), F.desc("n"), F.desc("cluster_id")).limit(limit)
 
 
-def signatures(rows: DataFrame, n: int = 12) -> DataFrame:
-    """cluster_id and the digest of its members' ids."""
-    return rows.filter(F.col("cluster_id").isNotNull()).groupBy("cluster_id").agg(F.collect_list("id").alias("ids")).select("cluster_id", signature(F.col("cluster_id"), F.col("ids"), n).alias("signature"))
+def signatures(rows: DataFrame, n: int = 12, chunk: int = 1 << 20) -> DataFrame:
+    """cluster_id and the digest of it and its members' ids in order; rows without an id don't count.
+
+    No cluster is gathered: rows are sorted by cluster and id over all tasks, each of which joins the ids of a cluster
+    to chunks of `chunk` bytes; the chunks of a cluster, in order, are fed to its digest one by one.
+    """
+
+    def join_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, size, done = None, [], 0, []
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], ["cluster_id", "first", "ids"])
+        for b in batches:
+            for key, id_ in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if ids and (key != at or size >= chunk):
+                    done.append((at, ids[0], "|".join(ids)))
+                    ids, size = [], 0
+                at = key
+                ids.append(id_)
+                size += len(id_) + 1
+            if done:
+                yield rows()
+                done = []
+        if ids:
+            done.append((at, ids[0], "|".join(ids)))
+            yield rows()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, md5, done = None, None, []
+        rows = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*done, strict=True)], ["cluster_id", "signature"])
+        for b in batches:
+            for key, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if key != at:
+                    if md5:
+                        done.append((at, md5.hexdigest()[:n]))
+                    at, md5 = key, hashlib.md5(key.encode(), usedforsecurity=False)
+                md5.update(f"|{ids}".encode())
+            if done:
+                yield rows()
+                done = []
+        if md5:
+            done.append((at, md5.hexdigest()[:n]))
+            yield rows()
+
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    own = rows.filter("cluster_id IS NOT NULL AND id IS NOT NULL").select(F.col("cluster_id").cast("string"), F.col("id").cast("string"))
+    chunks = own.repartitionByRange(tasks, "cluster_id", "id").sortWithinPartitions("cluster_id", "id").mapInArrow(join_ids, "cluster_id string, first string, ids string")
+    return chunks.repartition(tasks, "cluster_id").sortWithinPartitions("cluster_id", "first").mapInArrow(digest, "cluster_id string, signature string")
 
 
 def representatives(rows: DataFrame, order: Sequence[Column]) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwire.storage import written
+
 from .clusters import reports
 
 
@@ -24,21 +26,46 @@ def age_hours(ts: Column, now: Column) -> Column:
     return F.timestamp_diff("SECOND", ts, now) / 3600.0
 
 
+def _named(source: str) -> Column:
+    return F.when(F.coalesce(F.col(source), F.lit("")) != "", F.col(source))
+
+
+def first_names(each: DataFrame, keys: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """key and its first `most` sources in order, from rows of one key and source; no more than these are gathered."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("source"))
+    first = each.filter("source IS NOT NULL").join(keys, key, "left_semi").select(key, "source").withColumn("nth", nth).filter(F.col("nth") <= most)
+    return first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("names"))
+
+
 def trending(rows: DataFrame, now: Column, hours: int = 4, least: int = 2, limit: int = 10) -> DataFrame:
     """Topics of the window by heat: rows, distinct sources, mean score and recency."""
     recent = rows.filter(since("ts", now, hours) & (F.coalesce(F.col("topic"), F.lit("")) != ""))
-    named = F.when(F.coalesce(F.col("source"), F.lit("")) != "", F.col("source"))
-    g = recent.groupBy("topic").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(named)).alias("names"), F.round(F.coalesce(F.avg("score"), F.lit(5.0)), 1).alias("avg_score"), F.max("ts").alias("latest")).filter(F.col("n") >= least)
+    each = recent.groupBy("topic", _named("source").alias("source")).agg(
+        F.count("*").alias("n"), F.sum("score").cast("double").alias("total"), F.count("score").alias("scored"), F.max("ts").alias("latest")
+    )
+    each = written(each, "topic-sources")
+    mean = F.when(F.sum("scored") > 0, F.sum("total") / F.sum("scored")).otherwise(5.0)
+    g = each.groupBy("topic").agg(F.sum("n").alias("n"), F.count("source").alias("n_sources"), F.round(mean, 1).alias("avg_score"), F.max("latest").alias("latest"))
+    g = g.filter(F.col("n") >= least)
     recency = F.greatest(F.lit(0.0), hours - F.greatest(F.lit(0.0), F.least(F.lit(float(hours)), age_hours(F.col("latest"), now))))
-    heat = F.round(8 * F.col("n") + 5 * F.size("names") + 3 * F.col("avg_score") + 2 * recency, 2)
-    return g.withColumn("heat", heat).orderBy(F.desc("heat"), F.desc("n"), F.desc("latest"), "topic").limit(limit).select("topic", "n", F.size("names").cast("long").alias("n_sources"), F.array_join(F.slice("names", 1, 5), ",").alias("top_sources"), "avg_score", "latest", "heat")
+    heat = F.round(8 * F.col("n") + 5 * F.col("n_sources") + 3 * F.col("avg_score") + 2 * recency, 2)
+    order = (F.desc("heat"), F.desc("n"), F.desc("latest"), "topic")
+    top = g.withColumn("heat", heat).orderBy(*order).limit(limit)
+    named = first_names(each, F.broadcast(top.select("topic")), "topic")
+    out = top.join(named, "topic", "left").orderBy(*order)
+    return out.select("topic", "n", "n_sources", F.coalesce("names", F.lit("")).alias("top_sources"), "avg_score", "latest", "heat")
 
 
 def breaking(rows: DataFrame, now: Column, cluster: str = "cluster_id", hours: int = 2, least: int = 3) -> DataFrame:
-    """Clusters that `least` distinct sources reported within the window; the headline is the best of all members, of equals the first."""
-    recent = F.when(since("ts", now, hours) & (F.coalesce(F.col("source"), F.lit("")) != ""), F.col("source"))
-    g = reports(rows).filter(F.col(cluster).isNotNull()).groupBy(cluster).agg(F.array_sort(F.collect_set(recent)).alias("names"), F.max_by("id", F.struct(F.coalesce("score", F.lit(0)), "ts", -F.col("ord"))).alias("headline"), F.count("*").alias("n"))
-    return g.filter(F.size("names") >= least).select(cluster, "headline", "n", F.size("names").cast("long").alias("n_sources"), F.array_join("names", ",").alias("sources"))
+    """Clusters that `least` distinct sources reported within the window, with the first five of these; the headline is the best of all members, of equals the first."""
+    recent = F.when(since("ts", now, hours), _named("source"))
+    order = F.struct(F.coalesce("score", F.lit(0)).alias("score"), "ts", (-F.col("ord")).alias("ord"), "id")
+    own = reports(rows).filter(F.col(cluster).isNotNull())
+    each = written(own.groupBy(cluster, recent.alias("source")).agg(F.count("*").alias("n"), F.max(order).alias("best")), "cluster-sources")
+    g = each.groupBy(cluster).agg(F.max("best")["id"].alias("headline"), F.sum("n").alias("n"), F.count("source").alias("n_sources"))
+    found = g.filter(F.col("n_sources") >= least)
+    names = first_names(each, found.select(cluster), cluster)
+    return found.join(names, cluster).select(cluster, "headline", "n", "n_sources", F.col("names").alias("sources"))
 
 
 def not_yet_alerted(found: DataFrame, state: DataFrame, now: Column, cluster: str = "cluster_id", ttl_hours: int = 48) -> DataFrame:

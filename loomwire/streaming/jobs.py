@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
@@ -21,26 +21,49 @@ def fresh(rows: DataFrame, hours: int = 30, ts: str = "ts") -> DataFrame:
     return as_event_time(rows, ts).withWatermark(ts, f"{hours} hours")
 
 
+#: Logarithm of the sketches' size: a standard error of 1.04 / sqrt(2 ** 12) = 1.6 per cent.
+SKETCH = 12
+
+
+def distinct(c: str) -> Column:
+    """How many different values; state of bounded size, mergeable between tasks and batches."""
+    return F.hll_sketch_estimate(F.hll_sketch_agg(c, SKETCH))
+
+
 def bursts(rows: DataFrame, window: str = "2 hours", slide: str = "30 minutes", least: int = 3, late: str = "30 hours") -> DataFrame:
-    """Clusters with `least` distinct sources in a sliding window; exact, as sources of a window are few."""
-    g = as_event_time(rows).withWatermark("ts", late).groupBy(F.window("ts", window, slide), "topic").agg(F.size(F.collect_set("source")).alias("n_sources"), F.count("*").alias("n"))
+    """Clusters with `least` distinct sources in a sliding window.
+
+    Sources are counted by a sketch of bounded size, exact for dozens of sources and within some per cent for any number.
+    """
+    g = as_event_time(rows).withWatermark("ts", late).groupBy(F.window("ts", window, slide), "topic").agg(distinct("source").alias("n_sources"), F.count("*").alias("n"))
     return g.filter(F.col("n_sources") >= least).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "topic", "n", "n_sources")
 
 
 def trend(rows: DataFrame, window: str = "4 hours", slide: str = "1 hour", late: str = "30 hours") -> DataFrame:
-    g = as_event_time(rows).withWatermark("ts", late).groupBy(F.window("ts", window, slide), "topic").agg(F.count("*").alias("n"), F.approx_count_distinct("source").alias("n_sources"), F.avg("score").alias("avg_score"))
-    return g.select(F.col("window.end").alias("end"), "topic", "n", "n_sources", "avg_score")
+    """Topics of each sliding window with their heat at its end."""
+    g = as_event_time(rows).withWatermark("ts", late).groupBy(F.window("ts", window, slide), "topic").agg(
+        F.count("*").alias("n"), distinct("source").alias("n_sources"), F.round(F.coalesce(F.avg("score"), F.lit(5.0)), 1).alias("avg_score"), F.max("ts").alias("latest")
+    )
+    whole, end = F.unix_seconds(F.col("window.end")) - F.unix_seconds(F.col("window.start")), F.col("window.end")
+    recency = F.greatest(F.lit(0.0), whole - F.greatest(F.lit(0), F.unix_seconds(end) - F.unix_seconds("latest"))) / 3600.0
+    heat = F.round(8 * F.col("n") + 5 * F.col("n_sources") + 3 * F.col("avg_score") + 2 * recency, 2)
+    return g.select(end.alias("end"), "topic", "n", "n_sources", "avg_score", heat.alias("heat"))
 
 
 class AlertOnce(StatefulProcessor):
-    """Lets a cluster's first alert pass, and its next only when the last is older than the time to live. One time stamp a cluster is kept."""
+    """Lets a cluster's first alert pass, and its next only when the last is older than the time to live.
+
+    One time stamp a cluster is kept, until a timer finds that the watermark has passed it by for longer than that: any row
+    that comes later may alert again, so nothing needs to be remembered.
+    """
 
     ttl_hours = 48
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", StructType([StructField("ts", TimestampType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat([r[["ts", "id"]] for r in rows]).sort_values(["ts", "id"])
         times, rest = batch["ts"].to_numpy("datetime64[us]"), np.timedelta64(self.ttl_hours, "h")
         out = []
@@ -49,9 +72,17 @@ class AlertOnce(StatefulProcessor):
             out.append(at)
             at = int(np.searchsorted(times, times[at] + rest, "right"))
         if out:
-            self.last.update((pd.Timestamp(times[out[-1]]).to_pydatetime(),))
+            last = times[out[-1]]
+            self.last.update((pd.Timestamp(last).to_pydatetime(),))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(int((last + rest).astype("datetime64[ms]").astype(np.int64)) + 1)
         yield pd.DataFrame({"topic": key[0], "ts": times[out], "id": batch["id"].to_numpy()[out]}, columns=["topic", "ts", "id"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
@@ -59,10 +90,10 @@ class AlertOnce(StatefulProcessor):
 ALERT = StructType([StructField("topic", StringType()), StructField("ts", TimestampType()), StructField("id", StringType())])
 
 
-def alert_once(rows: DataFrame) -> DataFrame:
-    """rows (topic, ts, id) -> those that may alert. Needs the RocksDB state store."""
-    own = as_event_time(rows).select("topic", "ts", F.col("id").cast("string").alias("id"))
-    return own.groupBy("topic").transformWithStateInPandas(statefulProcessor=AlertOnce(), outputStructType=ALERT, outputMode="Append", timeMode="None")
+def alert_once(rows: DataFrame, late: str = "30 hours") -> DataFrame:
+    """rows (topic, ts, id) -> those that may alert; rows later than `late` are dropped. Needs the RocksDB state store."""
+    own = as_event_time(rows).select("topic", "ts", F.col("id").cast("string").alias("id")).withWatermark("ts", late)
+    return own.groupBy("topic").transformWithStateInPandas(statefulProcessor=AlertOnce(), outputStructType=ALERT, outputMode="Append", timeMode="EventTime")
 
 
 def once_per_cluster(rows: DataFrame, ttl: str = "48 hours") -> DataFrame:

@@ -296,3 +296,38 @@ def test_stream_each_batch_upserts(spark, tmp_path):
     out = str(tmp_path / "out")
     jobs.each_batch(_stream(spark, tmp_path, rows, "id string, n int"), lambda df, k: df.groupBy("id").agg(F.max("n").alias("n")).write.mode("overwrite").parquet(f"{out}/batch={k}"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted((r.id, r.n) for r in spark.read.parquet(out).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_rules_at_their_limits(spark):
+    now = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    ages = {0: "just now", 59: "just now", 89: "1 min", 90: "2 min", 3569: "59 min", 3570: "1 h", 105 * 60: "2 h", 30 * 3600: "30 h", 47 * 3600 + 1799: "47 h", 47 * 3600 + 1800: "2 d", 60 * 3600: "3 d", -5: "just now"}
+    rows = spark.createDataFrame([(s,) for s in ages], "s long").select("s", dates.relative(F.timestamp_seconds(F.unix_seconds(now) - F.col("s")), now).alias("age"))
+    assert {r.s: r.age for r in rows.collect()} == ages
+    scores = {'{"score": "7.9"}': 5, '{"score": 7.9}': 7, '{"score": " 8 "}': 8, '{"score": "x"}': 5, '{"score": 99}': 10, '{"score": -3}': 1, '{"score": true}': 1, '{"score": null}': 5, "{}": 5, '{"score": [1]}': 5}
+    read = spark.createDataFrame([(j,) for j in scores], "j string").select("j", answers.score(F.try_parse_json("j")).alias("score"))
+    assert {r.j: r.score for r in read.collect()} == scores
+    topics = spark.createDataFrame([(" a ", "the IPO", None), (" a ", "the ipo", ""), (None, "x", "IPO"), ("IPO", None, None)], "topic string, title string, summary string")
+    named = topics.select(clusters.canonical_topic(F.col("topic"), (("market", ("IPO",)),), F.col("title"), F.col("summary")).alias("t"))
+    assert [r.t for r in named.collect()] == ["market", "a", "market", "market"]
+    mentions = spark.createDataFrame([(i, "p", n, d) for i in range(4) for n, d in (("Ann ", None), ("X", None), ("Bob", "1" if i < 2 else None))], "article int, type string, label string, duplicate_of string")
+    assert [(r.label, r.articles) for r in graph.top_entities(mentions).collect()] == [("Ann", 4)]
+    dropped = spark.createDataFrame([("x", NOW, True), (None, None, True), (None, NOW, False), (None, NOW, True)], "duplicate_of string, ts timestamp, has_entities boolean")
+    assert {tuple(r) for r in graph.drop_reasons(dropped, F.lit(NOW)).collect()} == {("duplicate", 1), ("no date", 1), ("ok", 2), ("no entities", 1)}
+    tied = spark.createDataFrame([("c", f"s{i}", 5, NOW, i, f"id{i}") for i in range(7)], "cluster_id string, source string, score int, ts timestamp, ord int, id string")
+    found = trends.breaking(tied, F.lit(NOW)).first()
+    assert (found.headline, found.n_sources, found.sources) == ("id0", 7, "s0,s1,s2,s3,s4")
+
+
+def test_feed_bodies_are_read_as_xml(spark):
+    cut = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    body = lambda *b: spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(b)], "source string, body string")
+    entry = lambda k: f"<item><title>t{k}</title><link>http://h/{k}</link><pubDate>Mon, {k:02d} Jan 2024 00:00:00 GMT</pubDate></item>"
+    atom = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title type="html"><![CDATA[<item>]]></title><link rel="self" href="http://h/self"/><link href="http://h/a"/><updated>2024-01-02T00:00:00Z</updated></entry><entry/></feed>'
+    many = "<rss><channel><!-- " + entry(1) + " -->" + "".join(entry(k) for k in range(1, 29)) + "</channel></rss>"
+    files = body(many, atom, "<rss><channel>" + entry(1), None, "")
+    assert sorted((r.source, r.url) for r in feeds.rss(files, cut, max_items=2).collect()) == [("s0", "http://h/1"), ("s0", "http://h/2"), ("s1", "http://h/a")]
+    assert {r.source for r in feeds.malformed(files).collect()} == {"s2", "s3", "s4"}
+    url = lambda p, k, d: f"<{p}url><{p}loc>http://h/x/{k}</{p}loc><n:news><n:title>t</n:title><n:publication_date>2024-01-{d:02d}</n:publication_date></n:news></{p}url>"
+    sites = body("<urlset>" + url("", 1, 3) + url("", 2, 5) + url("", 1, 9) + url("", 3, 4) + "</urlset>", '<s:urlset xmlns:s="u">' + url("s:", 7, 3) + "</s:urlset>", "<urlset><url>")
+    assert [(r.source, r.url[-1], r.category) for r in feeds.sitemap(sites, cut, max_items=2).orderBy("source", F.desc("ts")).collect()] == [("s0", "2", "x"), ("s0", "3", "x"), ("s1", "7", "x")]
+    assert [r.source for r in feeds.malformed(sites, "sitemap").collect()] == ["s2"]
