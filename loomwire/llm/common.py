@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwire.storage import bounded, forget, shared_dir, table, written
 
-__all__ = ["ascii_lower", "bounded", "fold", "forget", "map_rows", "shared_dir", "small_batches", "table", "written"]
+__all__ = ["any_names", "ascii_lower", "bounded", "fold", "forget", "map_rows", "plain_names", "shared_dir", "small_batches", "table", "written"]
 
 #: A word of the contracts: a run of characters other than the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,6 +35,25 @@ def map_rows(df: DataFrame, function) -> DataFrame:
     return plain.mapInArrow(function, plain.schema).toDF(*df.columns)
 
 
+def plain_names(df: DataFrame, *keep: str) -> DataFrame:
+    """df whose columns other than `keep` are called extra_0, extra_1, ...: any names of a caller's columns are safe then."""
+    first = [c in keep and df.columns.index(c) == i for i, c in enumerate(df.columns)]
+    return df.toDF(*(c if own else f"extra_{i}" for i, (c, own) in enumerate(zip(df.columns, first, strict=True))))
+
+
+def any_names(*keep: str):
+    """For a function that gives its first argument's columns back: callers' columns may have any names (dots, repeats, its own)."""
+
+    def wrap(stage):
+        @functools.wraps(stage)
+        def run(docs: DataFrame, *args, **options) -> DataFrame:
+            return stage(plain_names(docs, *keep), *args, **options).toDF(*docs.columns)
+
+        return run
+
+    return wrap
+
+
 def fold(doc_id: str, by: int) -> Column:
     """crc32 of the id as text, modulo `by`; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % by

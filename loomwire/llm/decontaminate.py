@@ -15,8 +15,9 @@ with other parameters does and an accidental likeness doesn't. A name's value is
 Whoever holds `least` of an item's windows holds one of any n - ceil(least * n) + 1 of them; so only documents
 with one of the item's rarest windows are compared with it, and windows that many documents share make no rows.
 
-Null texts, empty texts and empty tables have no windows and give no rows. A text with fewer than five template
-words has one window of all: an item that short is found only as a whole text, not as a passage. Very long
+Null texts, empty texts and empty tables have no windows and give no rows. An item with fewer than five template
+words has one window of all; documents then get windows of that many words as well, so that it is found as a passage, however
+common its words are. Very long
 texts only cost their length; no pattern backtracks or recurses. Null ids never match. Of rows with one
 doc_id each text is judged by itself and the best match is reported, in doubt of the plain template; equal rows
 count once. Items that are repeated or alike are reported each. Extra columns are ignored.
@@ -24,6 +25,8 @@ count once. Items that are repeated or alike are reported each. Extra columns ar
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,22 +80,25 @@ def templates(df: DataFrame, text: str = "text") -> DataFrame:
     return once.select(*keep, "once", _plain("words").alias("plain"), _named("once").alias("named"))
 
 
-def _hashed(words: str, kind: int) -> Column:
-    """Hashes of all windows in their order."""
-    last = F.greatest(F.size(words) - WIDTH + 1, F.lit(1))
-    return F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.lit(kind), F.slice(words, i, WIDTH)))
+def _hashed(words: str, kind: int, width: int = WIDTH, item: bool = False) -> Column:
+    """Hashes of all windows of that width in their order; an item with fewer words has one window of all."""
+    n = F.size(words)
+    whole = F.sequence(F.lit(1), F.greatest(n - width + 1, F.lit(1)))
+    at = whole if item else F.when(n >= width, whole).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.xxhash64(F.lit(kind), F.slice(words, i, width)))
 
 
-def _window_rows(df: DataFrame, text: str = "text") -> DataFrame:
-    """The other columns of df, then named, pos and h of each window that holds a word."""
-    keep = [c for c in df.columns if c != text]
+def _window_rows(df: DataFrame, widths: Sequence[int] = ()) -> DataFrame:
+    """The other columns of df, then named, pos and h of each window that holds a word: of documents with all widths, else of items."""
+    keep = [c for c in df.columns if c != "text"]
 
-    def of(words: str, kind: int) -> Column:
-        said = lambda i: F.exists(F.slice(words, i + 1, WIDTH), lambda w: ~w.isin(NUMBER, NAME, UNIT))
-        return F.transform(_hashed(words, kind), lambda h, i: F.struct(F.lit(bool(kind)).alias("named"), i.alias("pos"), h.alias("h"), said(i).alias("says")))
+    def of(words: str, kind: int, width: int) -> Column:
+        said = lambda i: F.exists(F.slice(words, i + 1, width), lambda w: ~w.isin(NUMBER, NAME, UNIT))
+        hashes = _hashed(words, kind, width, not widths)
+        return F.transform(hashes, lambda h, i: F.struct(F.lit(bool(kind)).alias("named"), i.alias("pos"), h.alias("h"), said(i).alias("says")))
 
-    some = F.when(F.size("plain") > 0, F.concat(of("plain", 0), of("named", 1)))
-    rows = templates(df, text).select(*keep, F.explode(some).alias("w")).select(*keep, "w.*")
+    some = F.when(F.size("plain") > 0, F.concat(*(of(words, kind, w) for kind, words in enumerate(("plain", "named")) for w in widths or (WIDTH,))))
+    rows = templates(df).select(*keep, F.explode(some).alias("w")).select(*keep, "w.*")
     return rows.filter("says").drop("says")
 
 
@@ -122,8 +128,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).groupBy("item_id", "text").agg(F.lit(1)).select("item_id", "text")
     own = written(_window_rows(items).distinct(), "decon-items")
     n = own.count()  # bounds every table made of the benchmark alone
+    short = templates(items).select(F.explode(F.array(F.size("plain"), F.size("named"))).alias("n")).filter(F.col("n").between(1, WIDTH - 1))
+    widths = [*sorted(r.n for r in short.distinct().collect()), WIDTH]  # four short ones at most
     forms = templates(rows)
-    hashes = F.explode(F.when(F.size("plain") > 0, F.concat(_hashed("plain", 0), _hashed("named", 1))))
+    hashes = F.explode(F.when(F.size("plain") > 0, F.concat(*(_hashed(words, kind, w) for kind, words in enumerate(("plain", "named")) for w in widths))))
     hits = written(forms.select(*key, hashes.alias("h")).join(bounded(own.select("h").distinct(), n), "h"), "decon-hits")
     # Candidates: whoever holds one of an item's rarest windows, so many that none can miss them all.
     part = ["item_id", "named"]
@@ -140,7 +148,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataF
     found = written(counted.filter(F.col("n_found") >= F.col("n_windows") * least), "decon-found")
     # Slots, of found texts alone.
     texts = rows.join(bounded(found.select(*key).distinct()), key, "left_semi").dropDuplicates(key)
-    met = found.select(*key, *part).join(_window_rows(texts), [*key, "named"]).withColumnRenamed("pos", "at").join(bounded(own, n), [*part, "h"])
+    met = found.select(*key, *part).join(_window_rows(texts, widths), [*key, "named"]).withColumnRenamed("pos", "at").join(bounded(own, n), [*part, "h"])
     aligned = met.groupBy(*key, *part, (F.col("at") - F.col("pos")).alias("shift")).agg(F.count_distinct("pos").alias("n"))
     aligned = aligned.groupBy(*key, *part).agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
     asked = _slots(items).withColumnRenamed("value", "asked")

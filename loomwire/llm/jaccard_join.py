@@ -45,7 +45,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from loomwire.operators.components import components
 
 from .bytescan import doc_words, mix, shingles
-from .common import bounded, forget, small_batches, written
+from .common import any_names, bounded, forget, small_batches, written
 
 R = 0.2
 EPS = 1e-9
@@ -489,6 +489,7 @@ def _with_point(docs: DataFrame, name: str) -> DataFrame:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
+@any_names("doc_id", "text")
 def one_each(docs: DataFrame) -> DataFrame:
     """Of each component one row, of the document that names it; rows without an id and those without words stay.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from loomwire.operators.rank import numbered
 
-from .common import WORD, bounded, written
+from .common import WORD, any_names, bounded, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2
@@ -138,14 +138,15 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE
     )
 
 
-def mixed(docs: DataFrame, text: str = "text", seed: str = SEED, **options) -> DataFrame:
+@any_names("doc_id", "text", "source")
+def mixed(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row for each pass that takes at least half of a document's words, dealt to shards and shuffled within.
 
     Documents come whole: the one document of a source and pass of which only a part is taken is rounded to all or nothing.
     Rows with one doc_id are dealt as one document: each of them comes once a pass.
     """
     spark = docs.sparkSession
-    took = plan(docs, text=text, seed=seed, **options)
+    took = plan(docs, seed=seed, **options)
     half = lambda c: F.col(c) * 2 >= F.col("size")
     turns = took.filter(F.col("taken") > 0).select(
         F.col("doc_id").alias("_doc"),

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytescan import BLANK, mix, texts_of, words_of
-from .common import fold, small_batches
+from .common import any_names, fold, plain_names, small_batches
 
 PUNCTUATION = b"!|*$%&#.,?:;\"'()/\\<>{}[]=+-_@~^`"
 N_FEATURES = len(PUNCTUATION) + 15
@@ -142,6 +142,8 @@ def score(docs: DataFrame, model: Ranking | None) -> DataFrame:
     """All columns of docs, then held_out, score and predicted (columns of docs with these names are replaced)."""
     small_batches(docs.sparkSession)
     docs = docs.drop("held_out", "score", "predicted")
+    names = docs.columns
+    docs = plain_names(docs, "doc_id", "text")
 
     def judge(batches):
         for b in batches:
@@ -152,9 +154,10 @@ def score(docs: DataFrame, model: Ranking | None) -> DataFrame:
 
     own = docs.withColumn("held_out", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
-    return own.mapInArrow(judge, f"{schema}, score double, predicted int")
+    return own.mapInArrow(judge, f"{schema}, score double, predicted int").toDF(*names, "held_out", "score", "predicted")
 
 
+@any_names("doc_id", "text")
 def accepted(docs: DataFrame, model: Ranking | None) -> DataFrame:
     """The rows of docs that the model accepts, all of them without a model, with their own columns as they are."""
     small_batches(docs.sparkSession)

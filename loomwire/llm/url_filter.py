@@ -149,7 +149,7 @@ def filter_urls(df: DataFrame, url: str = "url", rules: Sequence[Rule] = RULES,
 
     host, path = host_and_path(F.col(url))
     hit = "_hit"
-    while hit in df.columns:
+    while {hit, "host_" + hit, "path_" + hit} & {c.lower() for c in df.columns}:
         hit += "_"
     judged = df.select("*", host.alias("host_" + hit), path.alias("path_" + hit)).withColumn(hit, verdict(F.concat(F.lit("."), "host_" + hit, "path_" + hit)))
     pick = lambda values: F.get(F.array(*map(F.lit, values)), F.col(hit)) if values else F.lit(None).cast("string")

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import small_batches
 
@@ -164,31 +165,40 @@ def derivatives(page_id, kind, rid, uri, date, payload, headers, block) -> Itera
     yield _row(page_id, "conversion", conversion, rid, uri, date, "text/plain; charset=utf-8", payload, text.encode("utf-8", "surrogatepass"), tuple(source))
 
 
-def _batch(rows: list[list]) -> pa.RecordBatch:
-    kinds = {"page_id": pa.int64(), "content_length": pa.int64(), "block": pa.binary()}
+def _typed(df: DataFrame) -> tuple[str, pa.DataType]:
+    """The schema of records whose page ids have df's own type, and that type in Arrow."""
+    kind = df.schema["page_id"].dataType
+    return SCHEMA.replace("page_id long", f"page_id {kind.simpleString()}"), to_arrow_type(kind)
+
+
+def _batch(rows: list[list], page_id: pa.DataType = pa.int64()) -> pa.RecordBatch:  # noqa: B008
+    kinds = {"page_id": page_id, "content_length": pa.int64(), "block": pa.binary()}
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in FIELDS]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(f, pa.string())) for f, c in zip(FIELDS, columns, strict=True)], FIELDS)
 
 
 def responses(pages: DataFrame) -> DataFrame:
+    """A response record of each page (page_id, url, html); ids of any type stay as they are."""
     small_batches(pages.sparkSession)
+    schema, kind = _typed(pages)
 
     def wrap(batches):
         for b in batches:
-            yield _batch([response(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)])
+            yield _batch([response(*r) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)], kind)
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(wrap, SCHEMA)
+    return pages.select("page_id", "url", "html").mapInArrow(wrap, schema)
 
 
 def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of all response records."""
     small_batches(records.sparkSession)
+    schema, kind = _typed(records)
 
     def convert(batches):
         for b in batches:
-            yield _batch([d for r in zip(*(c.to_pylist() for c in b.columns), strict=True) for d in derivatives(*r)])
+            yield _batch([d for r in zip(*(c.to_pylist() for c in b.columns), strict=True) for d in derivatives(*r)], kind)
 
-    return records.select("page_id", "record_type", "record_id", "target_uri", "warc_date", "payload_digest", "headers", "block").mapInArrow(convert, SCHEMA)
+    return records.select("page_id", "record_type", "record_id", "target_uri", "warc_date", "payload_digest", "headers", "block").mapInArrow(convert, schema)
 
 
 def write_warc(records: DataFrame, path: str) -> None:

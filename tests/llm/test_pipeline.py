@@ -42,7 +42,7 @@ def test_stages_of_odd_rows(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "no id at all here", "en", None, 17), (4, text, None, "s", 9), (4, text, None, "s", 9), (5, text, "en", "t", 9), (6, "One two", "de", "t", 7), (None, None, None, None, None)]
     names = "doc_id long, text string, lang string, source string, n_chars long"
     for docs in (spark.createDataFrame(rows, names), spark.createDataFrame([], names)):
-        docs = docs.withColumns({c: F.lit("clash") for c in ("score", "predicted", "held_out", "point", "_point", "h", "taken", "shard", "size", "item_id", "text_hash", "n")})
+        docs = docs.withColumns({c: F.lit("clash") for c in ("score", "predicted", "held_out", "point", "_point", "h", "taken", "shard", "size", "item_id", "text_hash", "n", "_at", "_doc", "a.b", "extra_0", "TEXT_", "d", "k.point")})
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, SF)
             if k < 4:

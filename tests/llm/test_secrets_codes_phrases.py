@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomwire.llm import collocations, partial_distance, secret_scan
+from loomwire.llm import collocations, decontaminate, jaccard_join, mixing, partial_distance, quality, secret_scan, url_filter, warc
 from loomwire.llm.common import table
 from loomwire.llm.queries import QUERIES
 
@@ -302,3 +302,42 @@ def test_packed_keeps_the_order():
     key = collocations.packed(columns)
     rows = sorted(range(500), key=lambda i: tuple(int(c[i]) for c in columns))
     assert np.argsort(key, kind="stable").tolist() == rows
+
+
+# Odd names, ids and items of the operators before
+
+
+def test_any_column_names(spark):
+    """Names with dots, names the operators use themselves, and names that differ by case stay as they are."""
+    names = ["_at", "_doc", "a.b", "shard", "host__hit", "path__hit", "_hit", "extra_0", "turn", "score"]
+    docs = clashing(spark.createDataFrame([(i, f"w{i} " * 30, "s") for i in range(40)], "doc_id long, text string, source string"), *names)
+    for stage in (lambda d: quality.accepted(d, None), jaccard_join.one_each, mixing.mixed):
+        out = stage(docs)
+        assert out.columns == docs.columns and {x for r in out.select("`a.b`", "_at", "host__hit").distinct().collect() for x in r} == {"clash"}
+    assert quality.score(docs, None).columns == [*[c for c in docs.columns if c != "score"], "held_out", "score", "predicted"]
+    urls = docs.withColumn("url", F.lit("http://a.com/x"))
+    assert url_filter.filter_urls(urls).select("host", "host__hit").first() == ("a.com", "clash")
+
+
+def test_page_ids_of_any_type(spark):
+    pages = spark.createDataFrame([("p1", "http://a/", "<p>x</p>"), (None, None, None), ("", "u", "")], "page_id string, url string, html string")
+    got = warc.derive(warc.responses(pages)).filter("record_type = 'conversion'").collect()
+    assert sorted(str(r.page_id) for r in got) == ["", "None", "p1"] and warc.responses(pages).schema["page_id"].dataType.simpleString() == "string"
+    assert warc.responses(pages.limit(0)).count() == 0
+
+
+def test_short_items_are_found_as_passages(spark):
+    """Items of one to four words, against a search for them as runs of a document's words."""
+    items = {1: "zebra", 2: "paris is", 3: "what about lemons", 4: "the capital of france", 5: "one two three four five", 6: "of of"}
+    rng = random.Random(8)
+    words = "zebra paris is what about lemons the capital of france one two three four five six".split()
+    docs = {i: " ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for i in range(120)} | {500: "so paris is the capital of france, one two three four five.", 501: "Zebra", 502: None, 503: "of of of"}
+    got = decontaminate.contaminated(spark.createDataFrame([*docs.items()], "doc_id long, text string"), spark.createDataFrame([*items.items()], "item_id long, text string"))
+    want = set()
+    for d, t in docs.items():
+        w = re.findall("[a-z]+", (t or "").lower())
+        for i, item in items.items():
+            q = item.split()
+            if any(w[k : k + len(q)] == q for k in range(len(w) - len(q) + 1)):
+                want.add((d, i))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
