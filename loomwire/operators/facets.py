@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwire.storage import bounded
+
 
 def sentiment_by(rows: DataFrame, key: str = "category") -> DataFrame:
     """Counts and whole percentages; neutral takes what the others leave of 100."""
@@ -53,6 +55,18 @@ def source_health(stats: DataFrame) -> DataFrame:
     return stats.withColumn("health", state).withColumn("rank", rank)
 
 
+def source_history(runs: DataFrame) -> DataFrame:
+    """source, fail_streak, last_success, last_error from rows (source, run, error): errors since the last run without one.
+
+    The error is the last run's, up to 120 characters, or empty. Two sums over each source; no history is gathered.
+    """
+    last_ok = runs.groupBy("source").agg(F.max(F.when(F.col("error").isNull(), F.col("run"))).alias("last_success"))
+    met = runs.alias("r").join(bounded(last_ok).alias("k"), F.col("r.source").eqNullSafe(F.col("k.source"))).select("r.*", "last_success")
+    since = F.col("last_success").isNull() | (F.col("run") > F.col("last_success"))
+    told = F.max_by(F.coalesce(F.substring("error", 1, 120), F.lit("")), "run")
+    return met.groupBy("source").agg(F.count_if(since).alias("fail_streak"), F.max("last_success").alias("last_success"), told.alias("last_error"))
+
+
 def digest_points(rows: DataFrame, points: str = "points", limit: int = 5) -> DataFrame:
     """The first distinct points of a group's summaries, in order: group, nth, point. rows has group, ord and an array of points."""
     each = rows.select("group", "ord", F.posexplode(points).alias("pos", "point")).withColumn("key", F.lower(F.regexp_replace("point", r"(?U)\s", ""))).filter("key <> ''")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,11 +64,81 @@ def search(rows: DataFrame, query: str) -> DataFrame:
     return out
 
 
-def fuzzy(rows: DataFrame, word: str, most: float = 0.4, field: str = "title") -> DataFrame:
-    """rows with distance: the least share of the word to edit to get one of the field's words; at most `most`."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(field), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
-    best = F.array_min(F.transform(words, lambda w: F.levenshtein(w, F.lit(word.lower())) / float(len(word))))
-    return rows.withColumn("distance", best).filter(F.col("distance") <= most)
+#: Fields of the fuzzy search, the share of a query that may differ, and its least length.
+FUZZY_FIELDS, FUZZY_THRESHOLD, FUZZY_LEAST = ("title", "source", "tags", "summary"), 0.4, 2
+#: Characters of a query that one machine word holds.
+WORD_BITS = 63
+
+
+def least_errors(texts: Sequence[str], pattern: str, most: int) -> np.ndarray:
+    """For each text the least number of edits, up to `most`, that make one of its substrings the pattern; most + 1 if none does.
+
+    Bit-parallel: bit i of state d says that the first i + 1 characters of the pattern end here with d edits at most.
+    One step per character moves the states of all texts that are as long.
+    """
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    order = np.argsort(-size, kind="stable")
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = (np.cumsum(size) - size)[order]
+    masks = np.zeros(max([0, *map(ord, pattern)]) + 2, np.uint64)
+    for i, c in enumerate(pattern):
+        masks[ord(c)] |= np.uint64(1 << i)
+    one, last = np.uint64(1), np.uint64(1 << (len(pattern) - 1))
+    state = [np.full(len(texts), (1 << d) - 1, np.uint64) for d in range(most + 1)]
+    best = np.full(len(texts), most + 1)
+    sizes = -size[order]
+    for k in range(int(size.max(initial=0))):
+        alive = int(np.searchsorted(sizes, -k, "left"))  # texts longer than k
+        mask = masks[np.minimum(points[at[:alive] + k], len(masks) - 1)]
+        before = after = None
+        for d, s in enumerate(state):
+            old = s[:alive].copy()
+            now = ((old << one) | one) & mask
+            if d:
+                now |= before | (before << one) | (after << one) | one
+            s[:alive] = now
+            before, after = old, now
+        for d in range(most, -1, -1):
+            hit = (state[d][:alive] & last) != 0
+            best[:alive][hit & (best[:alive] > d)] = d
+    out = np.empty(len(texts), np.int64)
+    out[order] = best
+    return out
+
+
+def fuzzy(rows: DataFrame, query: str, fields: Sequence[str] = FUZZY_FIELDS, threshold: float = FUZZY_THRESHOLD) -> DataFrame:
+    """rows with distance: the least share of the query to edit to find it in one of the fields; at most the threshold.
+
+    A query that differs in k characters, cut into k + 1 pieces, has one of them unchanged: rows without any piece never
+    leave the JVM. The others are searched once, all fields joined by more blanks than a match can bridge. Queries
+    under two characters find nothing; of queries over 63 characters each piece of up to 63 is searched and the mean counts.
+    """
+    query = query.lower()
+    if len(query) < FUZZY_LEAST:
+        return rows.withColumn("distance", F.lit(0.0)).limit(0)
+    parts = -(-len(query) // WORD_BITS)
+    pieces = [query[len(query) * i // parts : len(query) * (i + 1) // parts] for i in range(parts)]
+    errors = [int(threshold * len(p) * (1 if parts == 1 else parts) + 1e-9) for p in pieces]
+    errors = [min(e, len(p) - 1) for e, p in zip(errors, pieces, strict=True)]
+    gap = "\0" * (max(errors) + 1)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    texts = [F.array_join(c, gap) if kinds[c].startswith("array") else F.col(c) for c in fields if c in kinds]
+    whole = F.lower(F.concat_ws(gap, *texts))
+
+    @F.pandas_udf("double")
+    def distance(text: pd.Series) -> pd.Series:
+        found = sum(least_errors(text.tolist(), p, e) for p, e in zip(pieces, errors, strict=True))
+        return pd.Series(found / len(query))
+
+    near = rows.withColumn("_whole", whole)
+    if parts == 1:
+        n = errors[0] + 1
+        cut = [query[len(query) * i // n : len(query) * (i + 1) // n] for i in range(n)]
+        held = F.lit(False)
+        for c in cut:
+            held = held | F.col("_whole").contains(c)
+        near = near.filter(held)
+    return near.withColumn("distance", distance("_whole")).filter(F.col("distance") <= threshold).drop("_whole")
 
 
 def list_filter(rows: DataFrame, muted: DataFrame | None = None, read: DataFrame | None = None, saved: DataFrame | None = None, important: bool = False, query: str = "", category: str | None = None, source: str | None = None, tag: str | None = None) -> DataFrame:

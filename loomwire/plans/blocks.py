@@ -268,3 +268,12 @@ def stream_alert_once(spark, sf_dir):
         return _drained(alert_once(_replay(spark, sf_dir)), "append").select("topic", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
+_PHRASES = {"the": "T", "th": "t!", "an": "", "n": "N", "ation": "<ation>", "é": "e", "en er": "ENER"}
+_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PHRASES.items())
+
+
+@query(over_articles(f" SELECT id, array_to_string(list_transform(regexp_extract_all(title, '{'|'.join(sorted(_PHRASES, key=lambda k: (-len(k), k)))}|(?s:.)'), lambda x: CASE x {_CASES} ELSE x END), '') AS title FROM a"))
+def phrase_conversion(spark, sf_dir):
+    return articles(spark, sf_dir).select("id", feeds.converted(F.col("title"), _PHRASES).alias("title"))

@@ -292,6 +292,18 @@ def source_health(spark, sf_dir):
     return facets.source_health(stats).select("source", "health", "rank")
 
 
+_RUNS = "r AS (SELECT source, ord AS run, CASE WHEN (ord // 40 + length(source)) % 3 = 0 THEN repeat('e', 100 + (ord % 50)::INT) END AS error FROM a)"
+
+
+@query(over_articles(f""", {_RUNS}, k AS (SELECT source, max(run) FILTER (error IS NULL) AS last_success FROM r GROUP BY source)
+SELECT r.source, count(*) FILTER (last_success IS NULL OR run > last_success) AS fail_streak, any_value(last_success) AS last_success, arg_max(coalesce(substr(error, 1, 120), ''), run) AS last_error
+FROM r JOIN k ON k.source IS NOT DISTINCT FROM r.source GROUP BY r.source"""))
+def source_history(spark, sf_dir):
+    failed = F.pmod(F.floor(F.col("ord") / 40) + F.length("source"), F.lit(3)) == 0
+    error = F.when(failed, F.expr("repeat('e', cast(100 + ord % 50 as int))"))
+    return facets.source_history(articles(spark, sf_dir).select("source", F.col("ord").alias("run"), error.alias("error")))
+
+
 @query(over_articles(" SELECT id, 'first' AS feed FROM a WHERE ord % 2 = 0 UNION ALL SELECT id, 'second' FROM a WHERE ord % 3 = 0 AND ord % 2 <> 0"))
 def union_distinct_first(spark, sf_dir):
     a = articles(spark, sf_dir).select("id", "ord")
@@ -449,9 +461,18 @@ def mute_unread_saved(spark, sf_dir):
     return search.list_filter(a, muted=muted, read=a.filter("ord % 5 = 0"), saved=a.filter("ord % 2 = 1")).select("id")
 
 
-@query(over_articles(r", w AS (SELECT id, min(levenshtein(x, 'therhean') / 8.0::DOUBLE) AS distance FROM (SELECT id, unnest(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+')) AS x FROM a) WHERE length(x) >= 2 GROUP BY id) SELECT id, round(distance, 4) AS distance FROM w WHERE distance <= 0.4"))
+_FUZZY = "hatreand"
+
+
+@query(over_articles(rf""", f AS (SELECT id, unnest([title, source, category, topic, sentiment]) AS t FROM a WHERE TRUE),
+p AS (SELECT DISTINCT id, regexp_replace(lower(t), '[^\x00-\x7f]', '~', 'g') AS t FROM f WHERE t IS NOT NULL),
+s AS (SELECT id, t, n, unnest(generate_series(1, greatest(length(t), 1))) AS i FROM p, range({len(_FUZZY) - 3}, {len(_FUZZY) + 4}) r(n)),
+d AS (SELECT id, min(levenshtein(substr(t, i, n), '{_FUZZY}')) / {len(_FUZZY)}.0::DOUBLE AS distance FROM s GROUP BY id)
+SELECT id, round(distance, 4) AS distance FROM d WHERE distance <= 0.4"""))
 def fuzzy_search(spark, sf_dir):
-    return search.fuzzy(articles(spark, sf_dir), "therhean").select("id", F.round("distance", 4).alias("distance"))
+    plain = lambda c: F.regexp_replace(c, r"[^\x00-\x7f]", "~")
+    rows = articles(spark, sf_dir).select("id", plain("title").alias("title"), "source", F.array(F.col("category"), plain("topic")).alias("tags"), F.col("sentiment").alias("summary"))
+    return search.fuzzy(rows, _FUZZY).select("id", F.round("distance", 4).alias("distance"))
 
 
 @query("WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id DESC) AS rank FROM embeddings WHERE label = 1) SELECT vec_id AS id, row_number() OVER (ORDER BY rank NULLS LAST, vec_id) AS position FROM embeddings LEFT JOIN r USING (vec_id)")

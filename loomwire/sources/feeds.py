@@ -5,9 +5,11 @@ Fetching is left to whatever lands the files; a DataSource (`LandedFeeds`) lists
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -308,5 +310,38 @@ def snapshot(spark, path: str, schema: str) -> DataFrame:
 
 
 def converted(c: Column, table: dict[str, str]) -> Column:
-    """Characters replaced one for one, as from one script variant to another; the table is the caller's."""
-    return F.translate(c, "".join(table), "".join(table.values())) if table else c
+    """Phrases replaced as from one script variant to another: at each place the longest that begins there, then on after it.
+
+    The table is the caller's; empty phrases aren't allowed. Single characters for single characters are translated by SQL,
+    phrases by looking up, where one may begin, the lengths that its first character has, longest first.
+    """
+    if not table:
+        return c
+    if all(len(k) == len(v) == 1 for k, v in table.items()):
+        return F.translate(c, "".join(table), "".join(table.values()))
+    sizes: dict[str, list[int]] = {}
+    for phrase in sorted(table, key=len, reverse=True):
+        of = sizes.setdefault(phrase[0], [])
+        of += [len(phrase)] if len(phrase) not in of else []
+    begin = f"[{re.escape(''.join(sizes))}]"
+
+    @F.pandas_udf("string")
+    def convert(texts: pd.Series) -> pd.Series:
+        first = re.compile(begin)
+
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            out, done, m = [], 0, first.search(text)
+            while m:
+                at = m.start()
+                size = next((n for n in sizes[text[at]] if text[at : at + n] in table), 0)
+                if size:
+                    out += [text[done:at], table[text[at : at + size]]]
+                    done = at + size
+                m = first.search(text, at + max(size, 1))
+            return "".join([*out, text[done:]])
+
+        return texts.map(one)
+
+    return convert(c)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -331,3 +333,51 @@ def test_feed_bodies_are_read_as_xml(spark):
     sites = body("<urlset>" + url("", 1, 3) + url("", 2, 5) + url("", 1, 9) + url("", 3, 4) + "</urlset>", '<s:urlset xmlns:s="u">' + url("s:", 7, 3) + "</s:urlset>", "<urlset><url>")
     assert [(r.source, r.url[-1], r.category) for r in feeds.sitemap(sites, cut, max_items=2).orderBy("source", F.desc("ts")).collect()] == [("s0", "2", "x"), ("s0", "3", "x"), ("s1", "7", "x")]
     assert [r.source for r in feeds.malformed(sites, "sitemap").collect()] == ["s2"]
+
+
+def _edits(pattern: str, text: str) -> int:
+    """Least edits between the pattern and a substring of the text, by the plain table."""
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        above, row[0] = row[:], 0
+        for i, p in enumerate(pattern, 1):
+            row[i] = min(above[i] + 1, row[i - 1] + 1, above[i - 1] + (c != p))
+        best = min(best, row[-1])
+    return best
+
+
+def test_fuzzy_search_equals_the_plain_table(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
+    texts = [word(rng.randint(0, 30)) for _ in range(300)] + ["", "x" * 5000 + "abcdabc"]
+    for pattern in ("ab", "abc", "abcdabcd", "dcbaé abcdabcd", "a" * 63):
+        most = int(0.4 * len(pattern) + 1e-9)
+        assert search.least_errors(texts, pattern, most).tolist() == [min(_edits(pattern, t), most + 1) for t in texts]
+    rows = [(i, texts[i], word(4), [word(5), word(6)], None if i % 3 else word(12)) for i in range(200)] + [(999, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, title string, source string, tags array<string>, summary string")
+    for query in ("abca", "bcdabc", "ABCDABCDAB"):
+        got = {r.id: r.distance for r in search.fuzzy(df, query).collect()}
+        want = {}
+        for i, t, s, tags, y in rows:
+            d = min((_edits(query.lower(), f) for f in [t, s, *(tags or []), y] if f is not None), default=99) / len(query)
+            if d <= 0.4:
+                want[i] = d
+        assert got == pytest.approx(want) and len(want) > 5
+    assert search.fuzzy(df, "a").count() == 0 and search.fuzzy(df.limit(0), "abc").count() == 0
+    assert search.fuzzy(df.withColumn("title", F.lit("ab" * 50)), "ab" * 40).first().distance == 0
+
+
+def test_phrases_beat_characters(spark):
+    rng = random.Random(9)
+    table = {"a": "1", "ab": "2", "abc": "3", "bc": "4", "cab": "5", "bca": "", "発": "發", "頭発": "頭髮"}
+    texts = ["".join(rng.choice("abcd頭発") for _ in range(rng.randint(0, 25))) for _ in range(300)] + [None]
+    longest = re.compile("|".join(sorted(map(re.escape, table), key=len, reverse=True)))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(F.col("t"), feeds.converted(F.col("t"), table).alias("c")).collect()
+    assert all(r.c == (None if r.t is None else longest.sub(lambda m: table[m[0]], r.t)) for r in got)
+
+
+def test_source_history(spark):
+    runs = [("a", 1, None), ("a", 2, "x"), ("a", 3, "y" * 200), ("b", 1, "z"), ("b", 2, None), ("c", 1, "w"), ("c", 2, "v")]
+    got = {r.source: (r.fail_streak, r.last_success, r.last_error) for r in facets.source_history(spark.createDataFrame(runs, "source string, run int, error string")).collect()}
+    assert got == {"a": (2, 1, "y" * 120), "b": (0, 2, ""), "c": (2, None, "v")}
