@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as _html
 import json
 import re
+from collections import Counter
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -83,21 +84,24 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = ["", {}, []]
         self.path = [self.root]
+        self.open = Counter()
 
     def handle_starttag(self, tag, attrs):
         node = [tag, dict(attrs), []]
         self.path[-1][2].append(node)
         if tag not in _VOID:
             self.path.append(node)
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.path[-1][2].append([tag, dict(attrs), []])
 
     def handle_endtag(self, tag):
-        for i in range(len(self.path) - 1, 0, -1):
-            if self.path[i][0] == tag:
-                del self.path[i:]
-                return
+        found = not self.open[tag]
+        while not found:
+            last = self.path.pop()[0]
+            self.open[last] -= 1
+            found = last == tag
 
     def handle_data(self, data):
         self.path[-1][2].append(data)
@@ -116,26 +120,27 @@ def _image(attrs: dict, url: str) -> str | None:
     return full if full.startswith(("http://", "https://")) else None
 
 
-def _weigh(node: list) -> tuple[int, int]:
-    """Characters of text and number of images below a node, without skipped elements."""
-    todo, chars, pictures = [node], 0, 0
+def _weights(root: list) -> dict[int, int]:
+    """Characters of text plus 600 an image below each element, without skipped ones, by its id(); one pass from the leaves."""
+    order, todo = [], [root]
     while todo:
         x = todo.pop()
-        if isinstance(x, str):
-            chars += len(x.strip())
-        elif x[0] not in _SKIP:
-            pictures += x[0] == "img"
-            todo += x[2]
-    return chars, pictures
+        order.append(x)
+        todo += [c for c in x[2] if not isinstance(c, str) and c[0] not in _SKIP]
+    out: dict[int, int] = {}
+    for x in reversed(order):
+        inner = sum(len(c.strip()) if isinstance(c, str) else out.get(id(c), 0) for c in x[2])
+        out[id(x)] = inner + 600 * (x[0] == "img")
+    return out
 
 
 def best_container(root: list) -> list:
     """The narrowest element that has nearly all of the weight: text length plus 600 an image."""
+    weight = _weights(root)
     node = root
     while True:
-        c, p = _weigh(node)
-        whole = c + 600 * p
-        inner = [(sum(w * f for w, f in zip(_weigh(x), (1, 600), strict=True)), x) for x in node[2] if not isinstance(x, str) and x[0] in _BOX]
+        inner = [(weight.get(id(x), 0), x) for x in node[2] if not isinstance(x, str) and x[0] in _BOX]
+        whole = weight.get(id(node), 0)
         if not inner or not whole:
             return node
         most, child = max(inner, key=lambda i: i[0])
@@ -197,10 +202,26 @@ def embedded(page: str, paths: tuple[str, ...] = ("props.pageProps.article", "pr
     return None
 
 
+def _pictures(page: str) -> str:
+    """Each closed picture element replaced by its first image, in one pass."""
+    out, done, begin, image = [], 0, None, None
+    for m in re.finditer(r"(?i)<(/?picture|img)\b[^<>]*>", page):
+        tag = m[1].lower()
+        if tag == "picture" and begin is None:
+            begin, image = m.start(), None
+        elif tag == "img" and begin is not None and image is None:
+            image = m[0]
+        elif tag == "/picture" and begin is not None:
+            if image:
+                out += [page[done:begin], image]
+                done = m.end()
+            begin = None
+    return "".join([*out, page[done:]])
+
+
 def rewritten(page: str, url: str = "") -> str:
     """noscript unwrapped, lazy images made plain, picture and graphic elements made img."""
-    page = re.sub(r"(?is)<noscript\b[^>]*>(.*?)</noscript>", r"\1", page)
-    page = re.sub(r"(?is)<picture\b[^>]*>.*?(<img\b[^>]*>).*?</picture>", r"\1", page)
+    page = _pictures(re.sub(r"(?i)</?noscript\b[^<>]*>", "", page))
     page = re.sub(r"(?i)<(/?)graphic\b", r"<\1img", page)
 
     def plain(m: re.Match) -> str:
@@ -214,26 +235,28 @@ def rewritten(page: str, url: str = "") -> str:
 def sanitised(page: str) -> str:
     """Without active elements, event attributes, script addresses and data other than images."""
     out: list[str] = []
-
-    def show(node):
-        if isinstance(node, str):
-            out.append(_html.escape(node, quote=False))
-            return
-        tag, attrs, inner = node
-        if tag in _ACTIVE:
-            return
-        if tag:
-            safe = "".join(f' {k}="{_html.escape(v or "")}"' for k, v in attrs.items() if not k.lower().startswith("on") and not (k.lower() in ("href", "src", "action", "formaction", "srcset", "xlink:href") and re.match(r"(?i)\s*(javascript|vbscript|data(?!:image/)):?", re.sub(r"[\x00-\x20]", "", v or ""))))
-            out.append(f"<{tag}{safe}>")
-        for x in inner:
-            show(x)
-        if tag and tag not in _VOID:
-            out.append(f"</{tag}>")
-
-    show(tree(page))
+    todo: list = [tree(page)]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, tuple):
+            out.append(x[0])
+        elif isinstance(x, str):
+            out.append(_html.escape(x, quote=False))
+        elif x[0] not in _ACTIVE:
+            tag, attrs, inner = x
+            if tag:
+                out.append(f"<{tag}{_safe(attrs)}>")
+                if tag not in _VOID:
+                    todo.append((f"</{tag}>",))
+            todo += reversed(inner)
     return "".join(out)
 
 
+def _safe(attrs: dict) -> str:
+    """Attributes that start nothing."""
+    return "".join(f' {k}="{_html.escape(v or "")}"' for k, v in attrs.items() if not k.lower().startswith("on") and not (k.lower() in ("href", "src", "action", "formaction", "srcset", "xlink:href") and re.match(r"(?i)\s*(javascript|vbscript|data(?!:image/)):?", re.sub(r"[\x00-\x20]", "", v or ""))))
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("kind", StringType()), StructField("value", StringType())])))
 def article_flow(page: pd.Series, url: pd.Series) -> pd.Series:
     """Paragraphs and images of pages, in order; null pages have none."""
@@ -281,10 +304,12 @@ def shown(root: list) -> str:
 
 def _each(root: list):
     """(parent, index, node) of all elements, in order."""
-    for i, x in enumerate(root[2]):
-        if not isinstance(x, str):
-            yield root, i, x
-            yield from _each(x)
+    todo = [(root, i) for i in reversed(range(len(root[2])))]
+    while todo:
+        parent, i = todo.pop()
+        if i < len(parent[2]) and not isinstance(x := parent[2][i], str):
+            yield parent, i, x
+            todo += [(x, k) for k in reversed(range(len(x[2])))]
 
 
 def text_of(node) -> str:

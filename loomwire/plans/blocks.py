@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwire.functions import dates, text
@@ -277,3 +278,24 @@ _CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _PHRASES.items())
 @query(over_articles(f" SELECT id, array_to_string(list_transform(regexp_extract_all(title, '{'|'.join(sorted(_PHRASES, key=lambda k: (-len(k), k)))}|(?s:.)'), lambda x: CASE x {_CASES} ELSE x END), '') AS title FROM a"))
 def phrase_conversion(spark, sf_dir):
     return articles(spark, sf_dir).select("id", feeds.converted(F.col("title"), _PHRASES).alias("title"))
+
+
+# Sitemap trees: fifty articles in a row are the pages of one tree, of which forty are read in batches of ten
+
+
+@query(over_articles(""", p AS (SELECT 'feed' || (ord // 50) AS source, 'https://h/' || id AS url, row_number() OVER (PARTITION BY ord // 50 ORDER BY ord) - 1 AS pos FROM a)
+SELECT source, pos::INT AS pos, url, (pos // 10)::INT AS batch FROM p WHERE pos < 40"""))
+def sitemap_walk(spark, sf_dir):
+    page = F.concat(F.lit("<url><loc>https://h/"), "id", F.lit("</loc></url>"))
+    leaves = _feed(spark, sf_dir, page, "<urlset>", "", "</urlset>")
+    leaf = leaves.select(F.concat(F.lit("https://h/leaf/"), "source").alias("url"), "body")
+    child = lambda url: F.concat(F.lit("<s:sitemap><s:loc> "), url, F.lit(" </s:loc></s:sitemap>"))
+
+    def index(name: str, below: str) -> DataFrame:
+        there = F.concat(F.lit(f"https://h/{below}/"), "source")
+        body = F.concat(F.lit("<s:sitemapindex>"), child(F.lit("https://h/none")), child(there), F.lit("</s:sitemapindex>"))
+        return leaves.select(F.concat(F.lit(f"https://h/{name}/"), "source").alias("url"), body.alias("body"))
+
+    bodies = leaf.unionByName(index("middle", "leaf")).unionByName(index("root", "middle"))
+    roots = leaves.select("source", F.concat(F.lit("https://h/root/"), "source").alias("url"))
+    return feeds.page_batches(feeds.walk_sitemaps(roots, bodies, most=40)).select("source", "pos", "url", "batch")

@@ -272,24 +272,30 @@ def pages(files: DataFrame, cutoff: Column, section: str, fields: dict[str, str]
     return _article(rows.filter((F.col("section") == section) & (F.col("ts") >= cutoff)), F.col("source"), F.col("section"))
 
 
-def walk_sitemaps(root: str, fetch, levels: int = 4, most: int = 120) -> list[str]:
-    """URLs of pages below a sitemap index: at each level the last child, of the leaf the first `most`. fetch(url) gives XML or None."""
-    at = root
+INDEX = "struct<sitemap:array<struct<loc:string>>, url:array<struct<loc:string>>, _corrupt_record:string>"
+
+
+def walk_sitemaps(roots: DataFrame, bodies: DataFrame, levels: int = 4, most: int = 120) -> DataFrame:
+    """source, pos, url: the pages below sitemap indexes. roots has source and url, bodies the landed XML by url.
+
+    At each level the last child of an index is followed, by one join of all sources with the bodies; of a leaf the first
+    `most` pages count. What is missing or no XML ends a walk without pages, as do indexes deeper than `levels`.
+    """
+    x = F.from_xml(without_prefixes(F.col("body")), INDEX, PERMISSIVE)
+    known = bodies.select(F.col("url").alias("_url"), x.alias("x")).select("_url", *(F.transform(F.col(f"x.{c}"), lambda i: strip(i["loc"])).alias(c) for c in ("sitemap", "url")))
+    at, found = roots.select("source", F.col("url").alias("_url")), None
     for _ in range(levels):
-        body = fetch(at)
-        if not body:
-            return []
-        try:
-            tree = ElementTree.fromstring(body)
-        except ElementTree.ParseError:
-            return []
-        locations = [(x.text or "").strip() for x in tree.iter() if x.tag.rsplit("}", 1)[-1] == "loc"]
-        if tree.tag.rsplit("}", 1)[-1] != "sitemapindex":
-            return locations[:most]
-        if not locations:
-            return []
-        at = locations[-1]
-    return []
+        met = at.join(known, "_url").select("source", "sitemap", "url")
+        leaf = met.filter(F.coalesce(F.size("sitemap"), F.lit(0)) <= 0)
+        pages_ = leaf.select("source", F.posexplode(F.slice("url", 1, most)).alias("pos", "url")).filter("url <> ''")
+        found = pages_ if found is None else found.unionByName(pages_)
+        at = met.filter(F.size("sitemap") > 0).select("source", F.element_at("sitemap", -1).alias("_url"))
+    return found
+
+
+def page_batches(pages_: DataFrame, size: int = 10) -> DataFrame:
+    """Pages of walk_sitemaps with the number of the batch they are fetched in."""
+    return pages_.withColumn("batch", F.floor(F.col("pos") / size).cast("int"))
 
 
 #: Readers by the name that a feed's configuration gives.

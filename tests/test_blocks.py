@@ -100,7 +100,12 @@ def test_pages_and_sitemap_walk(spark):
     files = spark.createDataFrame([("s", "http://x/1", page), ("s", "http://x/2", page.replace("news", "sport"))], "source string, url string, body string")
     assert [(r.title, r.ts.hour) for r in feeds.read(files, "pages", cut, section="news").collect()] == [("T & U", 10)]
     web = {"r": "<sitemapindex><sitemap><loc>a</loc></sitemap><sitemap><loc>b</loc></sitemap></sitemapindex>", "b": "<urlset><url><loc>1</loc></url><url><loc>2</loc></url></urlset>"}
-    assert feeds.walk_sitemaps("r", web.get, most=1) == ["1"] and feeds.walk_sitemaps("none", web.get) == [] and feeds.walk_sitemaps("b", lambda u: "<broken") == []
+    web |= {"loop": "<sitemapindex><sitemap><loc>loop</loc></sitemap></sitemapindex>", "bad": "<broken", "bare": "<sitemapindex/>"}
+    bodies = spark.createDataFrame([*web.items()], "url string, body string")
+    roots = spark.createDataFrame([(k, k) for k in ("r", "b", "none", "loop", "bad", "bare")], "source string, url string")
+    walked = lambda **o: sorted((r.source, r.pos, r.url) for r in feeds.walk_sitemaps(roots, bodies, **o).collect())
+    assert walked() == [("b", 0, "1"), ("b", 1, "2"), ("r", 0, "1"), ("r", 1, "2")]
+    assert walked(most=1, levels=1) == [("b", 0, "1")]
 
 
 def test_snapshot_may_be_absent(spark, tmp_path):

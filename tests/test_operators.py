@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -381,3 +382,13 @@ def test_source_history(spark):
     runs = [("a", 1, None), ("a", 2, "x"), ("a", 3, "y" * 200), ("b", 1, "z"), ("b", 2, None), ("c", 1, "w"), ("c", 2, "v")]
     got = {r.source: (r.fail_streak, r.last_success, r.last_error) for r in facets.source_history(spark.createDataFrame(runs, "source string, run int, error string")).collect()}
     assert got == {"a": (2, 1, "y" * 120), "b": (0, 2, ""), "c": (2, None, "v")}
+
+
+def test_deep_pages_take_linear_time():
+    began = time.time()
+    deep = "<div onclick='x'>" * 20_000 + "text"
+    assert html.sanitised(deep).count("<div>") == 20_000 and html.flow(deep) == [{"text": "text"}]
+    assert html.flow("<div>" * 9000 + "</b>" * 9000 + "x") == [{"text": "x"}]
+    assert html.rewritten("<noscript>" * 9000 + "<picture>" * 9000 + "<img src='http://a/b'></picture>").endswith('<img src="http://a/b">')
+    assert sum(1 for _ in html._each(html.tree(deep))) == 20_000
+    assert time.time() - began < 20
