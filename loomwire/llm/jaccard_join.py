@@ -11,7 +11,8 @@ d <= r = 0.2. Exact copies are one point. The result is the components of all li
    its other regions that are in other components, unless the shingles that both share prove them too far
    apart. What is within r is linked, so that a large group of near copies costs about one comparison each. A region
    whose members are then all in one component is done.
-3. Voronoi regions. An open region of more than LEAF members draws up to PICKS pivots of its own, each from another
+3. Voronoi regions. Members of open regions whose windows share too little with those of each other component there
+   to be linked leave them. An open region of more than LEAF members draws up to PICKS pivots of its own, each from another
    component where it can, and all members are compared with them. A member x belongs to the region of its nearest
    pivot and, by the triangle inequality, to that of every pivot p with d(x, p) <= d(x, nearest) + 2r: a
    linked y whose nearest pivot is p can't be further from x. What is 3r or more from every pivot is
@@ -59,6 +60,8 @@ MOST_SENT = 200_000
 LEAF, BLOCK, PART = 64, 512, 256
 #: How often regions are parted, and pivots of a region each time.
 ROUNDS, PICKS = 4, 16
+#: Regions of up to so many members are thinned by their windows before pivots part them; larger ones after that.
+THINNED = 4096
 #: One document of so many is in the sample that finds common shingles, and rows there that make one common.
 SAMPLED, COMMON = 16, 8
 #: Blocks of a region's largest component are numbered from here.
@@ -303,6 +306,50 @@ def _cells(met: DataFrame, picks: DataFrame) -> DataFrame:
     return placed.select("region", F.xxhash64("region", "at.pick", F.col("at.pick").isNull()).alias("cell"), "point", "at.low", "at.high")
 
 
+def _intersections(lists: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values the lists of rows a share with those of rows b: a product of incidence matrices, by slices of columns."""
+    size = np.diff(lists.offsets.to_numpy())
+    row = np.repeat(np.arange(len(size)), size)
+    _, column, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1  # columns that one row alone has don't matter
+    keep = count[column] > 1
+    row, column = row[keep], shared[column[keep]]
+    both = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
+        x, y = np.searchsorted(column, (first, first + 2048))
+        m = np.zeros((len(size), 2048), np.float32)
+        m[row[x:y], column[x:y] - first] = 1
+        both += m[a] @ m[b].T
+    return both
+
+
+def _plausible(members: DataFrame, known: DataFrame) -> DataFrame:
+    """region, point: the members that the bound of _bounds lets be linked with one of another component in their region.
+
+    members: region, point, part, of. Only the shingles of windows that several points have are sent, a fifth of a set at
+    most, and what comes back is members, not pairs.
+    """
+    blocks = F.floor((F.col("of") - 1) / BLOCK) + 1
+    placed = known.join(bounded(members.select("region", "point", "part", blocks.alias("blocks"))), "point").withColumn("block", F.pmod(F.xxhash64("point"), "blocks"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("region", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "point", "part", "n", "keys")
+
+    def run(t: pa.Table) -> pa.Table:
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        block, point, part, n = (t.column(c).to_numpy() for c in ("block", "point", "part", "n"))
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        beyond = n - n // 5 - 1
+        most = _intersections(t.column("keys").combine_chunks(), a, b) + np.maximum(beyond[a][:, None], beyond[b][None])
+        most = np.minimum(most, np.minimum(n[a][:, None], n[b][None]))
+        may = (most * 9 >= (n[a][:, None] + n[b][None]) * 4) & (part[a][:, None] != part[b][None])
+        stay = np.unique(point[np.concatenate([a[may.any(1)], b[may.any(0)]])])
+        return pa.table({"region": pa.array(np.full(len(stay), t.column("region")[0].as_py(), np.int64)), "point": pa.array(stay)})
+
+    return written(dealt.groupBy("region", "low", "high").applyInArrow(run, "region long, point long").distinct(), "jaccard-plausible")
+
+
 def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
     """Links (x, y) between components of dense regions, one for each two components of two blocks at most.
 
@@ -327,22 +374,10 @@ def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataF
     def links(t: pa.Table) -> pa.Table:
         low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
         block, point, part = (t.column(c).to_numpy() for c in ("block", "point", "part"))
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
         lists = t.column("members").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(size)), size)
-        _, column, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        shared = np.cumsum(count > 1) - 1  # columns that one row alone has don't matter
-        keep = count[column] > 1
-        row, column = row[keep], shared[column[keep]]
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        both = np.zeros((len(a), len(b)), np.float32)
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 2048):
-            x, y = np.searchsorted(column, (first, first + 2048))
-            m = np.zeros((len(size), 2048), np.float32)
-            m[row[x:y], column[x:y] - first] = 1
-            both += m[a] @ m[b].T
+        both = _intersections(lists, a, b)
         every = size[a][:, None] + size[b][None] - both
         i, j = np.nonzero((both * 100 >= every * 80) & (part[a][:, None] != part[b][None]))
         x, y = a[i], b[j]
@@ -430,8 +465,18 @@ def _joined(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> tupl
         sizes = placed(m, parts).groupBy("region").agg(F.count("*").alias("of"), F.min("part").alias("least"), F.max("part").alias("last"))
         return written(sizes.filter("least <> last").select("region", "of"), "jaccard-several")
 
+    def thinned(m: DataFrame, parts: DataFrame, most: int | None = None) -> DataFrame:
+        """m without those members of large regions that their windows prove unlinked with all other components there."""
+        large = still_open(m, parts).filter(F.col("of") > LEAF)
+        large = large if most is None else large.filter(F.col("of") <= most)
+        if large.isEmpty():
+            return m
+        stay = _plausible(written(placed(m, parts).join(bounded(large), "region").select("region", "point", "part", "of"), "jaccard-thick"), known)
+        return written(m.join(bounded(large), "region", "left_anti").unionByName(m.join(bounded(stay), ["region", "point"], "left_semi").select(*m.columns)), "jaccard-thin")
+
     # 3. Large regions are parted by pivots of their own.
     leaves = []
+    members = thinned(members, found, THINNED)
     for _ in range(ROUNDS):
         several = still_open(members, found)
         large = several.filter(F.col("of") > LEAF)
@@ -452,12 +497,14 @@ def _joined(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> tupl
         members = members.unionByName(leaf.select(*members.columns))
 
     # 4. What is left of small regions is compared pair by pair, of dense ones block by block.
+    members = thinned(members, found)
     several = still_open(members, found)
     left = placed(members.join(bounded(several, most=MOST_SENT), "region"), found).join(known.select("point", "n", F.size("keys").alias("k")), "point")
     left = written(left, "jaccard-left")
     few, many = left.filter(F.col("of") <= LEAF), left.filter(F.col("of") > LEAF)
     rest = few.alias("a").join(few.alias("b"), (F.col("a.region") == F.col("b.region")) & (F.col("a.point") < F.col("b.point")) & _apart("a", "b")).select(F.col("a.point").alias("x"), F.col("b.point").alias("y")).distinct()
-    rest = written(_bounds(rest, known).filter("possible").select("x", "y"), "jaccard-rest")
+    ends = bounded(few.select("point").distinct(), most=MOST_SENT)
+    rest = written(_bounds(rest, known.join(ends, "point", "left_semi")).filter("possible").select("x", "y"), "jaccard-rest")
     more = rest if rest.isEmpty() else _distances(rest, docs, named)
     if not many.isEmpty():
         more = more.unionByName(_block_links(many.select("region", "point", "part", "low", "high"), docs, named))

@@ -7,6 +7,7 @@ import random
 import re
 import time
 import unicodedata
+from collections import Counter
 from html.parser import HTMLParser
 from itertools import combinations
 
@@ -223,6 +224,32 @@ def test_jaccard_join_finds_near_copies_of_common_shingles(spark, seed):
     assert components_by(spark, rows, most=3) == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [5, 512])
+def test_thinning_keeps_every_member_with_a_link(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = random.Random(block)
+    sets = []
+    for _ in range(12):  # groups of near copies of many sizes, which all share a passage of five values
+        base = list(range(5)) + [rng.randrange(5, 10**6) for _ in range(rng.choice([4, 20, 60, 200]))]
+        sets += [base] + [base[: len(base) - rng.randrange(len(base) // 3)] + [rng.randrange(5, 10**6) for _ in range(rng.randrange(1 + len(base) // 6))] for _ in range(3)]
+    sets += [[*range(5), *(rng.randrange(5, 10**6) for _ in range(40 + 30 * i))] for i in range(9)]  # these share the passage alone
+    sets = [sorted(set(s)) for s in sets]
+    windows = [s[: len(s) // 5 + 1] for s in sets]
+    often = Counter(k for w in windows for k in w)
+    known = spark.createDataFrame([(i, len(s), [k for k in w if often[k] > 1]) for i, (s, w) in enumerate(zip(sets, windows, strict=True))], "point long, n long, keys array<long>")
+    members = spark.createDataFrame([(7, i, i, len(sets)) for i in range(len(sets))], "region long, point long, part long, of long")
+    got = {r.point for r in jaccard_join._plausible(members, known).collect()}
+    near = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 100 * len({*a} & {*b}) >= 80 * len({*a} | {*b})}
+    assert near and {i for i, _ in near} <= got
+    beyond = lambda n: n - n // 5 - 1
+    most = lambda a, b, v, w: min(len({*v} & {*w}) + max(beyond(len(a)), beyond(len(b))), len(a), len(b))
+    may = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and 9 * most(a, b, windows[i], windows[j]) >= 4 * (len(a) + len(b))}
+    assert got == may
+    assert len(may) < len(sets)
+    one = members.withColumn("part", F.lit(1).cast("long"))
+    assert jaccard_join._plausible(one, known).count() == 0
+
+
 def test_jaccard_join_odd_rows(spark):
     docs = odd(spark)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
