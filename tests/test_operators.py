@@ -321,6 +321,15 @@ def test_rules_at_their_limits(spark):
     assert (found.headline, found.n_sources, found.sources) == ("id0", 7, "s0,s1,s2,s3,s4")
 
 
+def test_breaking_clusters_name_every_source(spark, tmp_path):
+    from loomwire.plans import catalogue
+
+    rows = [(i, NOW, i, "c", 1.0, "{}") for i in range(12)] + [(20 + i, NOW, i, "d", 1.0, "{}") for i in range(2)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    got = catalogue.QUERIES["breaking_clusters"](spark, str(tmp_path)).collect()
+    assert [(r.topic, r.n_sources, r.sources) for r in got] == [("c", 12, ",".join(sorted(str(i) for i in range(12))))]
+
+
 def test_feed_bodies_are_read_as_xml(spark):
     cut = F.lit("2024-01-01 00:00:00").cast("timestamp")
     body = lambda *b: spark.createDataFrame([(f"s{i}", x) for i, x in enumerate(b)], "source string, body string")
