@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,10 +65,14 @@ def string_list(c: Column, limit: int, width: int = 24) -> Column:
     return F.slice(F.array_distinct(F.filter(items, lambda x: x != "")), 1, limit)
 
 
-def key_sentences(items: Column, limit: int = 2, least: int = 8, most: int = 120) -> Column:
-    """Distinct sentences of fitting length, without quotes around them."""
-    clean = F.transform(items, lambda x: strip(F.regexp_replace(squeeze(x), "^[\"'“”「」『』]+|[\"'“”「」『』]+$", "")))
-    return F.slice(F.array_distinct(F.filter(clean, lambda x: (F.length(x) >= least) & (F.length(x) <= most))), 1, limit)
+def unquoted(c: Column) -> Column:
+    """Blanks squeezed, without quotes around."""
+    return strip(F.regexp_replace(squeeze(c), "^[\"'“”「」『』]+|[\"'“”「」『』]+$", ""))
+
+
+def key_sentences(items: Column, limit: int = 2, least: int = 8, most: int = 120, clean: Callable[[Column], Column] = unquoted) -> Column:
+    """Distinct sentences of fitting length, each as `clean` leaves it."""
+    return F.slice(F.array_distinct(F.filter(F.transform(items, clean), lambda x: (F.length(x) >= least) & (F.length(x) <= most))), 1, limit)
 
 
 def sentences(c: Column) -> Column:

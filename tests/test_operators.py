@@ -401,3 +401,16 @@ def test_deep_pages_take_linear_time():
     assert html.rewritten("<noscript>" * 9000 + "<picture>" * 9000 + "<img src='http://a/b'></picture>").endswith('<img src="http://a/b">')
     assert sum(1 for _ in html._each(html.tree(deep))) == 20_000
     assert time.time() - began < 20
+
+
+def test_key_sentences_as_the_sql_cuts_them(spark, tmp_path):
+    import duckdb
+
+    from loomwire.plans import catalogue
+
+    texts = ['token = "55cf1b56d3d0" . “A quoted sentence.” And more', "\u00a0Blank of another kind. \tTab before it\x0bhere? no", "One sentence here.. One sentence here. 「Third one here」!", "Under\x01a mark of another kind", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.doc_id: r["items"] for r in catalogue.QUERIES["key_sentences"](spark, str(tmp_path)).collect()}
+    assert got == dict(duck.sql(catalogue.SQL["key_sentences"]).fetchall()) and got[4] == ""
