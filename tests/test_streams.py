@@ -160,7 +160,7 @@ def test_sketches_stay_near(spark):
     assert hot.avg_score == 5.0 and hot.heat == pytest.approx(8 * hot.n + 5 * hot.n_sources + 15 + 2 * (4 - 3 - 50 / 60), abs=0.01)
 
 
-@pytest.mark.parametrize("name", ["stream_bursts"])
+@pytest.mark.parametrize("name", ["stream_bursts", "window_bursts"])
 def test_bursts_count_many_sources_exactly(spark, tmp_path, name):
     """Thousands of users in a window, some in several slots of it, and rows without a user or a time."""
     import duckdb
