@@ -414,3 +414,16 @@ def test_key_sentences_as_the_sql_cuts_them(spark, tmp_path):
     duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     got = {r.doc_id: r["items"] for r in catalogue.QUERIES["key_sentences"](spark, str(tmp_path)).collect()}
     assert got == dict(duck.sql(catalogue.SQL["key_sentences"]).fetchall()) and got[4] == ""
+
+
+def test_related_candidates_of_a_hot_topic_are_few(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(rank, "written", lambda df, name, own=rank.written: kept.append(own(df, name)) or kept[-1])
+    none = F.array().cast("array<string>")
+    ages = {f"{i:04d}": i * 37 % 90 for i in range(600)}  # hours; many equally old, many past 72
+    rows = spark.createDataFrame([(i, at(h), "hot") for i, h in ages.items()] + [("0600", None, "hot"), ("0601", at(1), "cold")], "id string, ts timestamp, topic string")
+    rows = rows.select("*", F.lit(None).cast("string").alias("cluster_id"), F.lit("").alias("event_type"), *(none.alias(c) for c in ("people", "companies", "places", "dates", "numbers")))
+    got = sorted((r.id, r.nth, r.other) for r in rank.related(rows.filter("id % 20 = 0"), rows, now()).collect())
+    best = sorted(ages, key=lambda i: (ages[i], i))
+    assert got == sorted((q, k + 1, o) for q in [f"{i:04d}" for i in range(0, 601, 20)] for k, o in enumerate([o for o in best if o != q][:6]))
+    assert kept[0].count() == 8
