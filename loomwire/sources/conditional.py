@@ -1,7 +1,8 @@
 """Feeds as a stream that asks only for what has changed.
 
 The offset of the stream is the number of the poll and, for each feed, the validators of the body it last sent (ETag and
-Last-Modified) and the last status. The driver only compares validators; bodies are read by one task for each feed. A
+Last-Modified) and the last status. The driver only compares validators; bodies are read by tasks, one for each feed
+where a single poll is due. A stream that is behind takes many polls in a batch, MOST answers or so. A
 poll gives one row for each feed: with the body where it has changed, marked `not_modified` (304) where it hasn't, or
 with an error (400 and above, or a failed call), which keeps the validators. Offsets are in the stream's checkpoint, so a
 restarted stream repeats no body and skips none.
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
+#: Answers after which a batch takes no more polls, polls of a batch, and its tasks.
+MOST, MOST_POLLS, TASKS = 20_000, 1000, 64
+
+
 class Answer(NamedTuple):
     """What a feed says of itself, without its body."""
 
@@ -38,7 +43,7 @@ class Poller(Protocol):
         """Answers of poll `poll` (from 1), given the validators of each feed; None if it isn't due. Called by the driver."""
 
     def body(self, poll: int, feed: str) -> str:
-        """The body behind that answer. Called by a task."""
+        """The body behind that answer. Called by a task. A poller may also have `bodies`, as Landed has, which reads many at once."""
 
 
 class Landed:
@@ -48,40 +53,59 @@ class Landed:
 
     def __init__(self, options: dict[str, str]):
         self.uri = options["responses"]
-        self.known: dict[int, dict[str, Answer]] | None = None
+        self.known: dict[int, dict[str, Answer]] = {}
+        self.read: range = range(0)
+        self.last: int | None = None
 
-    def _table(self, columns: list[str], filters=None):
+    def _batches(self, columns: list[str], first: int | None = None, last: int | None = None):
+        """Rows of those polls, some at a time."""
+        import pyarrow.compute as pc
         import pyarrow.dataset as ds
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.uri)
-        return ds.dataset(path, filesystem=system, format="parquet").to_table(columns, filter=filters).to_pylist()
+        among = None if first is None else (pc.field("poll") >= first) & (pc.field("poll") <= last)
+        yield from ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=columns, filter=among, batch_size=1024, batch_readahead=2, fragment_readahead=1)
+
+    def _last(self) -> int:
+        import pyarrow.compute as pc
+
+        if self.last is None:
+            self.last = max((m for b in self._batches(["poll"]) if (m := pc.max(b.column(0)).as_py()) is not None), default=0)
+        return self.last
 
-    def _polls(self) -> dict[int, dict[str, Answer]]:
-        if self.known is None:
-            self.known = {}
-            for r in self._table(list(self.COLUMNS)):
-                self.known.setdefault(r["poll"], {})[r["feed"]] = Answer(r["status"], r["etag"], r["last_modified"])
-        return self.known
+    def _answers(self, poll: int) -> dict[str, Answer]:
+        """Of one poll; those of MOST_POLLS polls are kept at a time."""
+        if poll not in self.read:
+            self.known, self.read = {}, range(poll, poll + MOST_POLLS)
+            for b in self._batches(list(self.COLUMNS), poll, poll + MOST_POLLS - 1):
+                for r in b.to_pylist():
+                    self.known.setdefault(r["poll"], {})[r["feed"]] = Answer(r["status"], r["etag"], r["last_modified"])
+        return self.known.get(poll, {})
 
     def feeds(self) -> list[str]:
-        return sorted({f for answers in self._polls().values() for f in answers})
+        return sorted({f for b in self._batches(["feed"]) for f in b.column(0).unique().to_pylist()})
 
     def ask(self, poll: int, state: dict[str, Answer]) -> dict[str, Answer] | None:
         """Like a server: 304 to validators that still hold."""
-        if poll > max(self._polls(), default=0):
+        if poll > self._last():
             return None
         out = {}
-        for feed, now in self._polls().get(poll, {}).items():
+        for feed, now in self._answers(poll).items():
             had = state.get(feed)
             same = had is not None and now.status == 200 and ((now.etag and now.etag == had.etag) or (not now.etag and now.last_modified and now.last_modified == had.last_modified))
             out[feed] = Answer(304, had.etag, had.last_modified) if same else now
         return out
 
     def body(self, poll: int, feed: str) -> str:
-        import pyarrow.compute as pc
+        return dict(self.bodies({(poll, feed)}))[poll, feed]
 
-        return self._table(["body"], (pc.field("poll") == poll) & (pc.field("feed") == feed))[0]["body"]
+    def bodies(self, asked: set[tuple[int, str]]) -> Iterator[tuple[tuple[int, str], str]]:
+        """All bodies asked for, as one pass over their polls comes to them."""
+        for b in self._batches(["poll", "feed", "body"], min(p for p, _ in asked), max(p for p, _ in asked)):
+            for r in b.to_pylist():
+                if (r["poll"], r["feed"]) in asked:
+                    yield (r["poll"], r["feed"]), r["body"]
 
 
 def poller(options: dict[str, str]) -> Poller:
@@ -100,16 +124,18 @@ def after(state: dict[str, Answer], answers: dict[str, Answer]) -> dict[str, Ans
     return out
 
 
-class _Feed(InputPartition):
-    def __init__(self, poll: int, feed: str, answer: Answer):
-        super().__init__((poll, feed))
-        self.poll, self.feed, self.answer = poll, feed, answer
+class _Answers(InputPartition):
+    """(poll, feed, answer) for one task."""
+
+    def __init__(self, told: list[tuple[int, str, Answer]]):
+        super().__init__(told[0][:2])
+        self.told = told
 
 
 class ConditionalFeeds(DataSource):
     """Streaming source `conditional_feeds`: source, poll, status, etag, last_modified, not_modified, error, body.
 
-    A batch takes the next poll that is due; option `poller` or `responses` says of what.
+    A batch takes the next polls that are due; option `poller` or `responses` says of what.
     """
 
     @classmethod
@@ -130,34 +156,58 @@ class _Polls(DataSourceStreamReader):
         self.at: dict | None = None
 
     def initialOffset(self) -> dict:
-        return {"poll": 0, "feeds": "{}", "answers": "{}"}
+        return {"poll": 0, "feeds": "{}", "answers": "[]"}
 
     def latestOffset(self) -> dict:
-        """Asks the next poll once the last one is taken; the same offset again while none is due."""
+        """Asks the next polls that are due once the last ones are taken; the same offset again while none is."""
         at = self.at or self.initialOffset()
+        poll, told = at["poll"], []
         state = {f: Answer(*a) for f, a in json.loads(at["feeds"]).items()}
-        answers = self.poller.ask(at["poll"] + 1, state)
-        if answers is not None:
-            said = lambda x: json.dumps(x, sort_keys=True)
-            at = {"poll": at["poll"] + 1, "feeds": said(after(state, answers)), "answers": said(answers)}
+        while len(told) < MOST and poll - at["poll"] < MOST_POLLS and (answers := self.poller.ask(poll + 1, state)) is not None:
+            poll += 1
+            state = after(state, answers)
+            told += [(poll, f, a) for f, a in sorted(answers.items())]
+        if poll > at["poll"]:
+            at = {"poll": poll, "feeds": json.dumps(state, sort_keys=True), "answers": json.dumps(told)}
         self.at = at
         return at
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        """One for each feed that answered the poll; a batch never spans two polls, as each offset is one."""
+        """Even shares of the answers, in the order of their polls; a batch never spans two offsets, as each is one."""
         self.at = end  # a restarted stream goes on from here
-        return [_Feed(end["poll"], feed, Answer(*a)) for feed, a in json.loads(end["answers"]).items()]
-
-    def read(self, partition: _Feed) -> Iterator[tuple]:
-        a, body, error = partition.answer, None, partition.answer.error
-        if a.status == 200:
+        told = [(poll, feed, Answer(*a)) for poll, feed, a in json.loads(end["answers"])]
+        share = -(-len(told) // TASKS)
+        return [_Answers(told[i : i + share]) for i in range(0, len(told), share or 1)]
+
+    def _bodies(self, asked: set[tuple[int, str]]) -> Iterator[tuple[tuple[int, str], str | None, str | None]]:
+        """Each asked key with its body or the error."""
+        failed = lambda e: f"{type(e).__name__}: {e}"
+        if hasattr(self.poller, "bodies"):
+            left, error = set(asked), "LookupError: no body"
+            try:
+                for key, body in self.poller.bodies(asked):
+                    if key in left:
+                        left.remove(key)
+                        yield key, body, None
+            except (OSError, ValueError, LookupError) as e:
+                error = failed(e)
+            yield from ((key, None, error) for key in sorted(left))
+            return
+        for key in sorted(asked):
             try:
-                body = self.poller.body(partition.poll, partition.feed)
+                yield key, self.poller.body(*key), None
             except (OSError, ValueError, LookupError) as e:
-                error = f"{type(e).__name__}: {e}"
-        elif a.status >= 400:
-            error = error or f"HTTP {a.status}"
-        yield partition.feed, partition.poll, a.status, a.etag, a.last_modified, a.status == 304, error, body
+                yield key, None, failed(e)
+
+    def read(self, partition: _Answers) -> Iterator[tuple]:
+        row = lambda poll, feed, a, error, body: (feed, poll, a.status, a.etag, a.last_modified, a.status == 304, error, body)
+        changed = {(poll, feed): a for poll, feed, a in partition.told if a.status == 200}
+        for poll, feed, a in partition.told:
+            if a.status != 200:
+                yield row(poll, feed, a, a.error or (f"HTTP {a.status}" if a.status >= 400 else None), None)
+        if changed:
+            for key, body, error in self._bodies(set(changed)):
+                yield row(*key, changed[key], error or changed[key].error, body)
 
     def commit(self, end: dict) -> None:
         self.at = end

@@ -52,6 +52,24 @@ def test_a_restarted_stream_repeats_no_body(spark, tmp_path):
     assert rows.filter(F.col("not_modified")).count() == 3
 
 
+def test_a_stream_that_is_behind_takes_many_polls_in_a_batch(spark, tmp_path):
+    said = [("a", k, 503 if k % 7 == 0 else 200, f"v{k // 3}", None, f"A{k}") for k in range(1, 301)] + [("b", k, 200, None, None, f"B{k}") for k in range(1, 301, 2)]
+    spark.createDataFrame(said, SCHEMA).repartition(5).write.parquet(str(tmp_path / "responses"))
+    spark.dataSource.register(ConditionalFeeds)
+    stream = spark.readStream.format("conditional_feeds").option("responses", f"file://{tmp_path}/responses").load()
+    running = stream.writeStream.format("memory").queryName("behind").start()
+    running.processAllAvailable()
+    batches = {p["batchId"] for p in running.recentProgress if p["numInputRows"]}
+    running.stop()
+    had, want = {}, []
+    for feed, k, status, etag, _, body in sorted(said, key=lambda r: r[1]):
+        same = status == 200 and etag is not None and had.get(feed) == etag
+        want.append((feed, k, 304 if same else status, None if same or status != 200 else body))
+        had |= {feed: etag} if status == 200 else {}
+    got = [(r.source, r.poll, r.status, r.body) for r in spark.table("behind").collect()]
+    assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)] and {r for r in got} == {r for r in want} and len(batches) == 1
+
+
 def test_alerts_are_forgotten(spark, tmp_path):
     """Topics that fall silent leave no state, and what alerts is the same as in one pass over all rows."""
     rng = random.Random(4)
