@@ -2,8 +2,8 @@
 
 The offset of the stream is the number of the poll and, for each feed, the validators of the body it last sent (ETag and
 Last-Modified) and the last status. The driver only compares validators; bodies are read by tasks, one for each feed
-where a single poll is due. A stream that is behind takes many polls in a batch, MOST answers or so. A
-poll gives one row for each feed: with the body where it has changed, marked `not_modified` (304) where it hasn't, or
+where a single poll is due. A stream that is behind takes many polls in a batch, MOST answers or so; polls that
+nothing answered are passed over. A poll gives one row for each feed: with the body where it has changed, marked `not_modified` (304) where it hasn't, or
 with an error (400 and above, or a failed call), which keeps the validators. Offsets are in the stream's checkpoint, so a
 restarted stream repeats no body and skips none.
 
@@ -18,13 +18,14 @@ import json
 from collections.abc import Iterator
 from typing import NamedTuple, Protocol
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 
-#: Answers after which a batch takes no more polls, polls of a batch, and its tasks.
-MOST, MOST_POLLS, TASKS = 20_000, 1000, 64
+#: Answers after which a batch takes no more polls, polls of a batch, its tasks, and answers of a task that reads many bodies at once.
+MOST, MOST_POLLS, TASKS, SHARE = 20_000, 1000, 64, 2500
 
 
 class Answer(NamedTuple):
@@ -43,7 +44,10 @@ class Poller(Protocol):
         """Answers of poll `poll` (from 1), given the validators of each feed; None if it isn't due. Called by the driver."""
 
     def body(self, poll: int, feed: str) -> str:
-        """The body behind that answer. Called by a task. A poller may also have `bodies`, as Landed has, which reads many at once."""
+        """The body behind that answer. Called by a task.
+
+        A poller may also have, as Landed has, `bodies`, which reads many at once, and `following`, the next poll to ask after one.
+        """
 
 
 class Landed:
@@ -55,7 +59,7 @@ class Landed:
         self.uri = options["responses"]
         self.known: dict[int, dict[str, Answer]] = {}
         self.read: range = range(0)
-        self.last: int | None = None
+        self.due: np.ndarray | None = None
 
     def _batches(self, columns: list[str], first: int | None = None, last: int | None = None):
         """Rows of those polls, some at a time."""
@@ -67,18 +71,27 @@ class Landed:
         among = None if first is None else (pc.field("poll") >= first) & (pc.field("poll") <= last)
         yield from ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=columns, filter=among, batch_size=1024, batch_readahead=2, fragment_readahead=1)
 
-    def _last(self) -> int:
-        import pyarrow.compute as pc
+    def _due(self) -> np.ndarray:
+        """The polls that have answers, ascending."""
+        if self.due is None:
+            due = np.zeros(0, np.int64)
+            for b in self._batches(["poll"]):
+                due = np.union1d(due, b.column(0).drop_null().to_numpy())
+            self.due = due
+        return self.due
 
-        if self.last is None:
-            self.last = max((m for b in self._batches(["poll"]) if (m := pc.max(b.column(0)).as_py()) is not None), default=0)
-        return self.last
+    def following(self, poll: int) -> int:
+        """The next poll after that one that has answers."""
+        at = np.searchsorted(self._due(), poll, side="right")
+        return int(self._due()[at]) if at < len(self._due()) else poll + 1
 
     def _answers(self, poll: int) -> dict[str, Answer]:
         """Of one poll; those of MOST_POLLS polls are kept at a time."""
         if poll not in self.read:
-            self.known, self.read = {}, range(poll, poll + MOST_POLLS)
-            for b in self._batches(list(self.COLUMNS), poll, poll + MOST_POLLS - 1):
+            at = np.searchsorted(self._due(), poll)
+            last = int(self._due()[at : at + MOST_POLLS][-1])
+            self.known, self.read = {}, range(poll, last + 1)
+            for b in self._batches(list(self.COLUMNS), poll, last):
                 for r in b.to_pylist():
                     self.known.setdefault(r["poll"], {})[r["feed"]] = Answer(r["status"], r["etag"], r["last_modified"])
         return self.known.get(poll, {})
@@ -88,7 +101,7 @@ class Landed:
 
     def ask(self, poll: int, state: dict[str, Answer]) -> dict[str, Answer] | None:
         """Like a server: 304 to validators that still hold."""
-        if poll > self._last():
+        if not len(self._due()) or poll > self._due()[-1]:
             return None
         out = {}
         for feed, now in self._answers(poll).items():
@@ -161,10 +174,11 @@ class _Polls(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         """Asks the next polls that are due once the last ones are taken; the same offset again while none is."""
         at = self.at or self.initialOffset()
-        poll, told = at["poll"], []
+        poll, polls, told = at["poll"], 0, []
+        following = getattr(self.poller, "following", lambda poll: poll + 1)
         state = {f: Answer(*a) for f, a in json.loads(at["feeds"]).items()}
-        while len(told) < MOST and poll - at["poll"] < MOST_POLLS and (answers := self.poller.ask(poll + 1, state)) is not None:
-            poll += 1
+        while len(told) < MOST and polls < MOST_POLLS and (answers := self.poller.ask(following(poll), state)) is not None:
+            poll, polls = following(poll), polls + 1
             state = after(state, answers)
             told += [(poll, f, a) for f, a in sorted(answers.items())]
         if poll > at["poll"]:
@@ -176,8 +190,8 @@ class _Polls(DataSourceStreamReader):
         """Even shares of the answers, in the order of their polls; a batch never spans two offsets, as each is one."""
         self.at = end  # a restarted stream goes on from here
         told = [(poll, feed, Answer(*a)) for poll, feed, a in json.loads(end["answers"])]
-        share = -(-len(told) // TASKS)
-        return [_Answers(told[i : i + share]) for i in range(0, len(told), share or 1)]
+        share = max(-(-len(told) // TASKS), SHARE if hasattr(self.poller, "bodies") else 1)
+        return [_Answers(told[i : i + share]) for i in range(0, len(told), share)]
 
     def _bodies(self, asked: set[tuple[int, str]]) -> Iterator[tuple[tuple[int, str], str | None, str | None]]:
         """Each asked key with its body or the error."""

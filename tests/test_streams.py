@@ -6,13 +6,15 @@ import datetime as dt
 import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from loomwire.operators import clusters
 from loomwire.plans.streams import fresh_dir, in_parts
 from loomwire.sources import payload
-from loomwire.sources.conditional import Answer, ConditionalFeeds, after, validators
+from loomwire.sources.conditional import Answer, ConditionalFeeds, _Polls, after, validators
 from loomwire.sources.tables import KeyedTable, carry_over
 from loomwire.streaming import jobs
 
@@ -52,6 +54,20 @@ def test_a_restarted_stream_repeats_no_body(spark, tmp_path):
     assert rows.filter(F.col("not_modified")).count() == 3
 
 
+def test_polls_with_gaps_are_few_batches_of_few_tasks(tmp_path):
+    (tmp_path / "responses").mkdir()
+    said = [{"feed": f, "poll": k * 1_000_000, "status": 200, "etag": f"v{k}", "last_modified": None, "body": f"{f}{k}"} for k in range(1, 501) for f in "abcdef"]
+    schema = pa.schema([("feed", pa.string()), ("poll", pa.int64()), ("status", pa.int32()), ("etag", pa.string()), ("last_modified", pa.string()), ("body", pa.string())])
+    for i in range(3):
+        pq.write_table(pa.Table.from_pylist(said[i::3], schema), tmp_path / "responses" / f"{i}.parquet")
+    polls = _Polls({"responses": f"file://{tmp_path}/responses"})
+    end = polls.latestOffset()
+    assert end["poll"] == 500_000_000 and len(parts := polls.partitions(polls.initialOffset(), end)) == 2
+    polls.commit(end)
+    assert polls.latestOffset() == end
+    assert sorted((r[0], r[1], r[7]) for p in parts for r in polls.read(p)) == sorted((r["feed"], r["poll"], r["body"]) for r in said)
+
+
 def test_a_stream_that_is_behind_takes_many_polls_in_a_batch(spark, tmp_path):
     said = [("a", k, 503 if k % 7 == 0 else 200, f"v{k // 3}", None, f"A{k}") for k in range(1, 301)] + [("b", k, 200, None, None, f"B{k}") for k in range(1, 301, 2)]
     spark.createDataFrame(said, SCHEMA).repartition(5).write.parquet(str(tmp_path / "responses"))
