@@ -12,12 +12,14 @@ d <= r = 0.2. Exact copies are one point. The result is the components of all li
    apart. What is within r is linked, so that a large group of near copies costs about one comparison each. A region
    whose members are then all in one component is done.
 3. Voronoi regions. Members of open regions whose windows share too little with those of each other component there
-   to be linked leave them. An open region of more than LEAF members draws up to PICKS pivots of its own, each from another
-   component where it can, and all members are compared with them. A member x belongs to the region of its nearest
+   to be linked leave them. An open region of more than BLOCK members draws up to PICKS pivots of its own, each from another
+   component where it can. About PART of its members are compared with them first; where those show that the pivots
+   don't part the region, it is a leaf, else all members are compared with them. A member x belongs to the region of its nearest
    pivot and, by the triangle inequality, to that of every pivot p with d(x, p) <= d(x, nearest) + 2r: a
    linked y whose nearest pivot is p can't be further from x. What is 3r or more from every pivot is
    one region of its own, to which boundary members, 2r or more from every pivot, belong as well. Regions go on
-   the same way while that parts them: while the squares of the new sizes sum up to half the old one's at most.
+   the same way while that parts them: while the squares of the new sizes sum up to half the old one's at most. So
+   a dense group, however large, takes about PART times PICKS comparisons in this step.
 4. Leaves. Pairs of small regions, and blocks of those that pivots can't part (dense groups), are compared if
    they are of different components and the triangle inequality |d(x, p) - d(y, p)| <= r, their sizes and
    their shared shingles allow a link. In blocks the largest component is compared with the others, not with itself.
@@ -56,7 +58,8 @@ MOST, MOST_HOT = 64, 500_000
 SEEN = 500_000
 #: Rows of ids that are broadcast at most.
 MOST_SENT = 200_000
-#: Members of a region that isn't parted further, of a block of a dense one, and of a part that meets pivots in one task.
+#: Members of a region that is compared by pairs, of one that isn't parted further and of a block of a dense one, and of a
+#: part that meets pivots in one task and of a trial.
 LEAF, BLOCK, PART = 64, 512, 256
 #: How often regions are parted, and pivots of a region each time.
 ROUNDS, PICKS = 4, 16
@@ -306,6 +309,45 @@ def _cells(met: DataFrame, picks: DataFrame) -> DataFrame:
     return placed.select("region", F.xxhash64("region", "at.pick", F.col("at.pick").isNull()).alias("cell"), "point", "at.low", "at.high")
 
 
+def _parted(sizes: DataFrame, cells: DataFrame) -> DataFrame:
+    """region: those of sizes (region, of) that their cells part."""
+    squares = cells.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
+    return written(sizes.join(squares, "region", "left").filter(F.coalesce("squares", F.lit(0.0)) * 2 <= F.col("of").cast("double") * F.col("of")).select("region"), "jaccard-parted")
+
+
+def _met(members: DataFrame, picks: DataFrame, docs: DataFrame, named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What _against gives for members (region, point, of) and picks, and region: those that the picks may part.
+
+    Of the others only a trial of about PART members has met the picks.
+    """
+    members = members.withColumn("tried", F.pmod(F.xxhash64("region", "point"), F.col("of")) < PART)
+    trial, rest = members.filter("tried").select("region", "point"), members.filter(~F.col("tried")).select("region", "point")
+    met = _against(trial, picks, docs, named, "jaccard-trial")
+    hopeful = _parted(trial.groupBy("region").agg(F.count("*").alias("of")), _cells(met, picks))
+    rest = written(rest.join(bounded(hopeful), "region", "left_semi"), "jaccard-rest")
+    if not rest.isEmpty():
+        met = met.unionByName(_against(rest, picks.join(bounded(hopeful), "region", "left_semi"), docs, named, "jaccard-met"))
+    return met, hopeful
+
+
+def _forest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the links (x, y) a forest needs that joins what all of them join."""
+    root: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root.setdefault(up, up)
+        return k
+
+    kept = []
+    for i, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        a, b = top(a), top(b)
+        if a != b:
+            root[a] = b
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
 def _intersections(lists: pa.ListArray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many values the lists of rows a share with those of rows b: a product of incidence matrices, by slices of columns."""
     size = np.diff(lists.offsets.to_numpy())
@@ -351,7 +393,7 @@ def _plausible(members: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataFrame:
-    """Links (x, y) between components of dense regions, one for each two components of two blocks at most.
+    """Links (x, y) between components of dense regions: of two blocks, as few as join their components.
 
     members: region, point, part, low, high. A region's largest component and all its others are dealt into blocks of
     their own; two blocks of others, or one of others and one of the largest, are one group, whose intersections
@@ -382,6 +424,7 @@ def _block_links(members: DataFrame, docs: DataFrame, named: DataFrame) -> DataF
         i, j = np.nonzero((both * 100 >= every * 80) & (part[a][:, None] != part[b][None]))
         x, y = a[i], b[j]
         _, one = np.unique(np.stack([np.minimum(part[x], part[y]), np.maximum(part[x], part[y])]), axis=1, return_index=True)
+        one = one[_forest(part[x[one]], part[y[one]])]
         return pa.table({"x": point[x[one]], "y": point[y[one]]}, schema=pa.schema([("x", pa.int64()), ("y", pa.int64())]))
 
     return dealt.join(sets.select("point", "members"), "point").groupBy("region", "low", "high").applyInArrow(links, "x long, y long")
@@ -479,18 +522,17 @@ def _joined(docs: DataFrame, most: int = MOST, most_hot: int = MOST_HOT) -> tupl
     members = thinned(members, found, THINNED)
     for _ in range(ROUNDS):
         several = still_open(members, found)
-        large = several.filter(F.col("of") > LEAF)
+        large = several.filter(F.col("of") > BLOCK)
         if large.isEmpty():
             break
-        leaves.append(members.join(bounded(several.filter(F.col("of") <= LEAF).select("region")), "region", "left_semi"))
+        leaves.append(members.join(bounded(several.filter(F.col("of") <= BLOCK).select("region")), "region", "left_semi"))
         members = written(members.join(bounded(large), "region"), "jaccard-large")
         picks = written(_picks(placed(members, found)), "jaccard-picks")
-        met = _against(members.select("region", "point"), picks, docs, named, "jaccard-met")
+        met, hopeful = _met(members, picks, docs, named)
         more = written(linked(met), "jaccard-more")
         found = found if more.isEmpty() else _merged(found, more)
-        cells = written(_cells(met, picks), "jaccard-cells")
-        squares = cells.groupBy("region", "cell").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"))
-        parted = written(large.join(squares, "region", "left").filter(F.coalesce("squares", F.lit(0.0)) * 2 <= F.col("of").cast("double") * F.col("of")).select("region"), "jaccard-parted")
+        cells = written(_cells(met.join(bounded(hopeful), "region", "left_semi"), picks), "jaccard-cells")
+        parted = _parted(large.join(bounded(hopeful), "region", "left_semi"), cells)
         leaves.append(members.drop("of").join(bounded(parted), "region", "left_anti"))
         members = written(cells.join(bounded(parted), "region", "left_semi").select(F.col("cell").alias("region"), "point", "low", "high"), "jaccard-open")
     for leaf in leaves:

@@ -194,6 +194,34 @@ def test_large_open_regions_with_the_own_parameters(spark, seed, n, edits, most)
     assert components_by(spark, rows, most=most) == brute_components(rows)
 
 
+def test_a_dense_group_meets_its_pivots_in_a_trial_only(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 100)
+    monkeypatch.setattr(jaccard_join, "PART", 40)
+    against, met = jaccard_join._against, Counter()
+
+    def counted(members, picks, docs, named, name):
+        out = against(members, picks, docs, named, name)
+        met[name] = max(met[name], *(r["count"] for r in out.groupBy("region").count().collect()), 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_against", counted)
+    rows = families(4, [400], 40)
+    assert components_by(spark, rows, most=10**9) == brute_components(rows)
+    assert 0 < met["jaccard-trial"] < 2 * 40 * jaccard_join.PICKS and not met["jaccard-met"]  # of a region, however large
+
+
+def test_parted_regions(spark):
+    sizes = spark.createDataFrame([(1, 10), (2, 10), (3, 4)], "region long, of long")
+    cells = spark.createDataFrame([(1, i % 2, i) for i in range(10)] + [(2, 5, i) for i in range(8)] + [(3, 6, 1), (3, 6, 2), (3, 7, 2)], "region long, cell long, point long")
+    assert {r.region for r in jaccard_join._parted(sizes, cells).collect()} == {1, 3}
+
+
+def test_a_forest_joins_what_its_links_join():
+    x, y = np.array([1, 2, 1, 5, 7, 6, 3]), np.array([2, 3, 3, 6, 7, 5, 1])
+    assert jaccard_join._forest(x, y).tolist() == [0, 1, 3]
+    assert jaccard_join._forest(x[:0], y[:0]).tolist() == []
+
+
 def test_voronoi_regions_hold_all_linked_pairs(spark):
     """Every two members within r of each other share a cell, unless one is a pick."""
     rng = random.Random(9)
