@@ -24,9 +24,10 @@ def normal_title(c: Column) -> Column:
 
 
 def bigrams(c: Column) -> Column:
-    """The set of character pairs of a normalised title; empty below two characters."""
-    t = normal_title(F.coalesce(c, F.lit("")))
-    return F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))))
+    """The set of character pairs of a normalised title; empty below two characters. The title is normalised once, not for each pair."""
+    pairs = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
+    sets = F.transform(F.array(normal_title(F.coalesce(c, F.lit("")))), lambda t: F.when(F.length(t) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs(t))))
+    return F.element_at(sets, 1)
 
 
 def hash_id(c: Column, n: int = 12) -> Column:

@@ -438,3 +438,44 @@ def test_few_unlike_titles_meet_and_pairs_carry_no_sets(spark):
     assert alike.count() == 37 and met <= 45  # 61 by bitmaps of an OR
     joins = [x for x in alike._jdf.queryExecution().optimizedPlan().toString().split("Join ") if "title" in x]
     assert joins and not any("AS gp" in x or "AS gq" in x for x in joins)
+
+
+def _titles(spark, n):
+    """n titles, a third of them near copies or copies of earlier ones, some with signs outside the basic plane or too short; and the bigram sets of those that have one."""
+    draw, rows = random.Random(7), []
+    for k in range(n):
+        title = "".join(draw.choice("abcdefgh\U0001f600é漢\U00020000字 .") for _ in range(draw.choice((0, 1, 2, 8, 40, 60))))
+        if k % 3 == 0 and rows:
+            title = list(draw.choice(rows)[1])
+            for _ in range(draw.randrange(3) if title else 0):
+                title[draw.randrange(len(title))] = draw.choice("abcdefgh漢")
+            title = "".join(title)
+        rows.append((k, title))
+    sets = {k: {s[i : i + 2] for i in range(len(s) - 1)} for k, t in rows for s in ["".join(c for c in t.lower() if c.isalnum())]}
+    return spark.createDataFrame(rows, "ord int, title string"), {k: s for k, s in sets.items() if s}
+
+
+def _alike(sets, percent=82):
+    return {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) * 100 >= len(sets[a] | sets[b]) * percent}
+
+
+def test_groups_write_a_title_a_few_times_only(spark, monkeypatch):
+    rows, sets = _titles(spark, 240)
+    least = {k: k for k in sets}
+    links = _alike(sets)
+    for _ in sets:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    linked = {k for pair in links for k in pair}
+    held, real = [], dedup.written
+
+    def written(df, name):
+        out = real(df, name)
+        held.append(sum(len(r[-1]) if isinstance(r[-1], list) else 1 for r in out.collect()))  # a pack holds its points
+        return out
+
+    monkeypatch.setattr(dedup, "written", written)
+    for name, value in (("PACKED", 7), ("SIDE", 2), ("TILE", 3), ("CHECKED", 5), ("HELD", 4)):
+        monkeypatch.setattr(dedup, name, value, raising=False)
+    assert dict(map(tuple, dedup.duplicate_groups(rows).collect())) == {k: least[k] for k in linked}
+    assert sum(held) <= 4 * len(sets)  # marks were 56 rows for each set
