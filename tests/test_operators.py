@@ -497,3 +497,12 @@ def test_best_copies_of_many_titles(spark):
     want = {f"i{k}": (None, len(m)) if k == m[0] else (f"i{m[0]}", None) for m in members.values() for k in m}
     got = {r.id: (r.duplicate_of, r.duplicate_count) for r in dedup.mark_duplicates(rows).filter("duplicate_of is not null or duplicate_count is not null").collect()}
     assert got == want and {k for p in _alike(sets) for k in p} == set(group)
+
+
+def test_pairs_are_compared_where_packs_meet(spark):
+    rows, sets = _titles(spark, 150)
+    pairs = dedup.similar_pairs(rows)
+    got = {(r.a, r.b): r.jaccard for r in pairs.collect()}
+    want = _alike(sets)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "array_intersect" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # titles were dealt out for each pair
